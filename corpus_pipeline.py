@@ -49,7 +49,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     joined = docs.select(*COLUMNS).join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")))
     whole = F.size("spans") == 0
     # bytes that do not form a character become U+FFFD, which no valid text part needs to keep
-    text = F.when(whole, F.col("text")).otherwise(F.replace(F.decode("kept", F.lit("UTF-8")), F.lit("�"), F.lit("")))
+    text = F.when(whole, F.col("text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
     out = joined.withColumn("text", text).where(whole | (F.length(F.trim("text")) > 0))
     return out.select("doc_id", "text", "lang", "source", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast("long").alias("n_chars"))
 
