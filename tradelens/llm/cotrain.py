@@ -211,7 +211,7 @@ def cotrain(
     taken = rows.where(in_known | in_pool).join(known.where(in_known), "id", "left").where(F.col("quality").isNotNull() & F.col("training") | in_pool)
     taken = taken.select("text", "source", "lang", "length", F.when(F.col("training"), F.col("quality")).cast("double").alias("quality"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)).alias("part"), "id")
     described = taken.mapInArrow(_content, "source string, lang string, length double, quality double, part long, id long, content array<double>")
-    sample = described.limit(2 * (most_labelled + most_pool)).toPandas().sort_values(["part", "id"], kind="stable")  # bounded
+    sample = described.limit(2 * (most_labelled + most_pool)).toArrow().to_pandas().sort_values(["part", "id"], kind="stable")  # bounded
     model = Model(sample, rounds, grow, sure, ridge)
     shared = spark.sparkContext.broadcast(model)
     out = rows.select("id", "text", "source", "lang", "length").mapInArrow(_apply(shared, threshold), "id long, score double, text_score double, meta_score double, kept boolean")

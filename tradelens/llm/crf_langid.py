@@ -220,7 +220,7 @@ def language_id(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     usable = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (F.octet_length(text_col) <= most_bytes))
     n = usable.count()
     share = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most_fitted / max(n, 1)))
-    sample = usable.where(share).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).limit(2 * most_fitted).toPandas()
+    sample = usable.where(share).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).limit(2 * most_fitted).toArrow().to_pandas()
     sample = sample.sort_values(["id", "text"], kind="stable")
     model = fit([t.encode() for t in sample.text], list(sample.lang))
     shared = spark.sparkContext.broadcast(model)

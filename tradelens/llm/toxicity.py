@@ -110,7 +110,7 @@ def lexicon(labelled: DataFrame, prior: float = 0.02, z: float = 2.5, least_weig
     a, b = F.col("toxic") + own, F.col("other") + own
     odds = F.log(a / (F.lit(n1 + prior) - a)) - F.log(b / (F.lit(n0 + prior) - b))
     sure = counts.withColumn("weight", odds).withColumn("z", odds / F.sqrt(1 / a + 1 / b)).where((F.col("z") >= z) & (F.col("weight") >= least_weight))
-    top = sure.orderBy(F.desc("z"), "token").limit(most_terms).toPandas()  # bounded by most_terms
+    top = sure.orderBy(F.desc("z"), "token").limit(most_terms).toArrow().to_pandas()  # bounded by most_terms
     if not len(top):
         return empty
     keys = top["token"].to_numpy().astype(np.int64).view(np.uint64)
@@ -192,7 +192,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, training, id_col: str = "doc_id
     shared = spark.sparkContext.broadcast(model)
     scanned = labelled.mapInArrow(_scan(shared), "id long, toxic int, " + _SCAN_DDL)
     best = F.coalesce(F.array_max(F.transform("passages", lambda p: p.score)), F.lit(0.0))
-    fit = scanned.select("toxic", "n_tokens", best.alias("best"), F.aggregate("passages", F.lit(0.0), lambda a, p: a + p.score).alias("all")).limit(2 * most_fitted).toPandas()
+    fit = scanned.select("toxic", "n_tokens", best.alias("best"), F.aggregate("passages", F.lit(0.0), lambda a, p: a + p.score).alias("all")).limit(2 * most_fitted).toArrow().to_pandas()
     lam = model["lambda"]
     clean = fit[(fit.toxic == 0) & (fit.n_tokens > 0)]
     k = float(np.exp(np.clip((lam * clean.best - np.log(clean.n_tokens)).mean() - 0.5772156649, -30, 5))) if len(clean) else 1.0
