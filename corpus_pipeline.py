@@ -16,7 +16,7 @@ from tradelens.llm.mixing import mix_documents
 from tradelens.llm.packing import pack
 from tradelens.llm.queries import tokenizer_path
 from tradelens.llm.suffix_dedup import suffix_dedup
-from tradelens.llm.textcols import ensure_checkpoint_dir
+from tradelens.llm.textcols import ensure_checkpoint_dir, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,12 +29,14 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
+    small_batches(spark)
     verdict = cotrain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return _only(docs, verdict.where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id."""
+    small_batches(spark)
     groups = lsh_forest(docs)
     # rows repeated whole are one document too
     return _only(docs, groups.where("kept")).dropDuplicates(["doc_id"])
@@ -45,6 +47,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A cut inside a character also drops the rest of that character.
     """
+    small_batches(spark)
     cut = suffix_dedup(docs, length=300, k=64).select(F.col("doc_id").alias("cut_id"), "spans", "kept")
     joined = docs.select(*COLUMNS).join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")))
     whole = F.size("spans") == 0
@@ -56,12 +59,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled so that sources, languages and topics come near their target shares."""
+    small_batches(spark)
     taken = mix_documents(docs, flatten=0.9, rate=1.0)
     return _only(docs, taken.where("selected"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens."""
+    small_batches(spark)
     out = pack(docs, tokenizer_path())
     return out.select("doc_id", "source", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

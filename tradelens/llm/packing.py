@@ -108,7 +108,7 @@ def _pack(window: int, least_piece: int, path: str, end: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = tokens(path)
         shard, queues = None, {}
-        for rows, data, offsets in slices(batches, "text", 1 << 22):
+        for rows, data, offsets in slices(batches, "text", 1 << 20):
             ids, at = coder.encode(data, offsets)
             columns = (rows.column(c).to_pylist() for c in ("shard", "control", "source", "id", "share", "deficit"))
             for i, (s, control, source, doc, share, deficit) in enumerate(zip(*columns, strict=True)):

@@ -72,7 +72,7 @@ def _byte_alphabet() -> dict[str, int]:
 class Tokens:
     """Ids of byte-level BPE pieces, from the JSON file of the ``tokenizers`` library."""
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 300_000):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:

@@ -16,7 +16,7 @@ from .mixing import mix_documents
 from .packing import pack
 from .ppm import ppm_scores
 from .suffix_dedup import suffix_dedup
-from .textcols import crc_remainder
+from .textcols import crc_remainder, small_batches
 from .toxicity import toxicity
 
 
@@ -27,7 +27,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

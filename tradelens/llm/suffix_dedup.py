@@ -126,7 +126,7 @@ def _anchors(length: int, k: int):
                     document, low, count, distance, key, context = found
                     kept.append((ids[document], low + start, count, distance, key, context))
                     held += len(low)
-            if held > 400_000:
+            if held > 250_000:
                 yield out(kept)
                 kept, held = [], 0
         if kept:
@@ -293,8 +293,8 @@ def _sort_contexts(length: int):
         for whole, _ in _groups(batches, 1 << 62):
             at = 0
             keys = whole.column("key").to_numpy()
-            while at < whole.num_rows:  # about 20,000 contexts at a time, never part of a group
-                stop = min(at + 20_000, whole.num_rows)
+            while at < whole.num_rows:  # about 6,000 contexts at a time, never part of a group
+                stop = min(at + 6_000, whole.num_rows)
                 stop = int(np.searchsorted(keys, keys[stop - 1], "right"))
                 key, ids, low, data, row, step, suffix, distance = _windows(whole.slice(at, stop - at), length)
                 at = stop
@@ -324,8 +324,8 @@ def _explode_windows(length: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 5_000):
-                key, ids, low, data, row, step, suffix, distance = _windows(pa.Table.from_batches([batch.slice(at, 5_000)]), length)
+            for at in range(0, batch.num_rows, 3_000):
+                key, ids, low, data, row, step, suffix, distance = _windows(pa.Table.from_batches([batch.slice(at, 3_000)]), length)
                 one, two = Prefix(data, 0).of(suffix, suffix + length), Prefix(data, 1).of(suffix, suffix + length)
                 yield pa.record_batch([i64(key[row]), pa.array(distance.astype(np.int32)), i64(one), i64(two), i64(ids[row]), i64(low[row] + step)], schema=schema)
 
@@ -346,7 +346,7 @@ def merge_spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in slices(batches, "text", 1 << 24):
+    for rows, data, offsets in slices(batches, "text", 1 << 22):
         raw = data.tobytes()
         spans, kept = [], []
         ranges = rows.column("ranges")

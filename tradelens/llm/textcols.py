@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on (a longer document makes a slice of its own).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Stands for a null id wherever ids are ordered: a null id comes before every other id.
 NULL_ID = -(1 << 63)
 
@@ -42,6 +42,12 @@ def parts_for(docs: DataFrame, per_gb: int = 100) -> int:
     return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def small_batches(spark, rows: int = 2000):
+    """Arrow batches of at most ``rows`` rows for this session: whole texts make large rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return spark
+
+
 def ensure_checkpoint_dir(spark) -> None:
     """Keep the cluster's shared checkpoint folder; set a local one only where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
