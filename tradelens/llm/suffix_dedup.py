@@ -8,7 +8,8 @@ corpus would shuffle it many times over, so suffixes are first put in buckets:
     (leftmost of equals). Equal windows pick equal anchors at equal distances, so they meet in
     the bucket of that anchor. Runs of windows that share an anchor travel as one row.
 2.  Runs with equal anchor, distance and context hash are whole repeats of each other: all but
-    the first are marked, already before the shuffle where one batch holds several. The anchor
+    the first are marked, already before the shuffle where one batch holds several; those marks
+    are joined to one row where runs follow each other. The anchor
     hash and the context hash come from two independent families.
 3.  Anchors that occur in unequal contexts get the bytes of their contexts. The suffixes that
     start at their windows are put in order by a merge sort; a comparison finds the common
@@ -104,6 +105,18 @@ def _place(lows, counts, distances):
     return (lows.astype(np.int64) << 16) | (counts.astype(np.int64) << 8) | distances.astype(np.int64)
 
 
+def _joined(ids: np.ndarray, lows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring runs of one document as one run of fewer than 2**16 windows: (id, first window, windows)."""
+    if not len(ids):
+        return ids, lows.astype(np.int64), counts.astype(np.int64)
+    apart = np.append(True, (ids[1:] != ids[:-1]) | (lows[1:] != lows[:-1] + counts[:-1]))
+    ahead = np.cumsum(counts) - counts
+    base = ahead[apart][np.cumsum(apart) - 1]
+    piece = (ahead - base) >> 15
+    head = np.flatnonzero(apart | np.append(True, piece[1:] != piece[:-1]))
+    return ids[head], lows[head].astype(np.int64), np.add.reduceat(counts, head).astype(np.int64)
+
+
 def _anchors(length: int, k: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held = [], 0
@@ -112,10 +125,13 @@ def _anchors(length: int, k: int):
             ids, lows, counts, distances, keys, contexts = (np.concatenate(x) for x in zip(*kept, strict=True))
             place = _place(lows, counts, distances)
             later = _later(_identity(keys, contexts, place & 0xFFFF), ids, lows)
-            kind = np.where(later, REPEAT, DISTINCT).astype(np.int8)
-            keys = np.where(later, mix(ids.astype(_U) + lows.astype(_U)), keys)
-            contexts = np.where(later, _U(0), contexts)
-            return pa.record_batch([pa.array(kind), i64(keys), i64(contexts), i64(ids), i64(place)], schema=_RUNS)
+            left = ~later
+            again, starts, windows = _joined(ids[later], lows[later], counts[later])
+            kind = np.repeat(np.array([DISTINCT, REPEAT], np.int8), [left.sum(), len(again)])
+            keys = np.concatenate([keys[left], mix(again.astype(_U) + starts.astype(_U))])
+            contexts = np.concatenate([contexts[left], np.zeros(len(again), _U)])
+            places = np.concatenate([place[left], starts << 16 | windows])
+            return pa.record_batch([pa.array(kind), i64(keys), i64(contexts), i64(np.concatenate([ids[left], again])), i64(places)], schema=_RUNS)
 
         for rows, data, offsets in slices(batches):
             ids = rows.column("id").to_numpy(zero_copy_only=False)
@@ -181,6 +197,7 @@ def _meet(hot: int):
             sizes = np.diff(np.append(starts, len(rest)))
             size = np.repeat(sizes, sizes)
             several = rest[size > 1]
+            place = np.where(later, place & ~np.int64(0xFFFF) | (place >> 8) & 0xFF, place)
             result = np.where(done | later, REPEAT, -1).astype(np.int8)
             result[several] = np.where(size[size > 1] > hot, CROWDED, DISTINCT)
             keep = result >= 0
@@ -377,7 +394,7 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = docs.select(id_or_least(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     runs = text.where(F.length("text") > 0).mapInArrow(_anchors(length, k), RUNS_DDL)
     marks = settle(runs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(hot), MARKS_DDL))
-    whole = marks.where(F.col("kind") == REPEAT).select("id", F.shiftright("place", 16).alias("start"), (F.shiftright("place", 8).bitwiseAND(F.lit(0xFF)) + length - 1).alias("bytes"))
+    whole = marks.where(F.col("kind") == REPEAT).select("id", F.shiftright("place", 16).alias("start"), (F.col("place").bitwiseAND(F.lit(0xFFFF)) + length - 1).alias("bytes"))
     several = marks.where(F.col("kind") != REPEAT).hint("shuffle_hash")
     contexts = text.join(several, "id").select(
         "kind", "key", "id", "place",
