@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Business time zone unless a caller gives another.
@@ -121,3 +121,22 @@ def map_values(value, table: dict[str, str], default: str) -> Column:
     """Lookup in a small fixed table."""
     pairs = [F.lit(x) for kv in table.items() for x in kv]
     return F.coalesce(F.create_map(*pairs)[F.lower(col(value))], F.lit(default))
+
+
+def current(rows: DataFrame) -> DataFrame:
+    """Rows of a validity table that have not ended."""
+    return rows.where(F.col("valid_to").isNull())
+
+
+def primary_title(names) -> Column:
+    """First of the distinct trimmed names, with the number of the others; null without a name."""
+    trimmed = F.array_distinct(F.filter(F.transform(col(names), lambda n: F.trim(n)), lambda n: n != ""))
+    more = F.size(trimmed) - 1
+    first = F.get(trimmed, F.lit(0))
+    return F.when(more > 0, F.concat(first, F.lit(" (+"), more.cast("string"), F.lit(" componentes)"))).otherwise(first)
+
+
+def is_stale(generated, now, limit: str = "INTERVAL 10 MINUTES") -> Column:
+    """Older than the limit; a missing or unreadable instant is stale too."""
+    made = col(generated).try_cast("timestamp")
+    return F.coalesce(made < col(now) - F.expr(limit), F.lit(True))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..binding import items, orders
 from ..functions import scalars as s
 from ..operators import ingest as ing
+from ..operators.finance import canonical_decimal
 from ..sources import landing
 from .base import Queries
 
@@ -210,4 +211,66 @@ def fn_money(spark, d):
     return _keys(spark, d).select("order_id", s.money(F.col("gross_amount") / 8).alias("amount"))
 
 
+def _identities(spark, d):
+    """Codes of products with their validity: the older code of each even product has ended."""
+    k = F.col("p_partkey")
+    part = spark.read.parquet(f"{d}/part.parquet")
+    both = F.explode(F.when(k % 2 == 0, F.array(F.lit("old"), F.lit("new"))).otherwise(F.array(F.lit("new")))).alias("kind")
+    rows = part.select(k.alias("product_id"), "p_size", both)
+    ended = F.when(F.col("kind") == "old", F.lit("2000-01-01").cast("date"))
+    return rows.select("product_id", F.concat_ws("-", "kind", "product_id").alias("code"), ended.alias("valid_to"), "p_size")
+
+
+@R.add("flt_current_scd2", "SELECT p_partkey AS product_id, 'new-' || CAST(p_partkey AS VARCHAR) AS code FROM part")
+def flt_current_scd2(spark, d):
+    return s.current(_identities(spark, d)).select("product_id", "code")
+
+
+@R.add("snk_migration_coalesce", "SELECT order_id, sellable_id, CASE WHEN listing_id % 3 <> 0 THEN listing_id ELSE sellable_id END AS listing_id FROM i")
+def snk_migration_coalesce(spark, d):
+    lines = items(spark, d).select("order_id", "sellable_id", F.col("listing_id").alias("linked_id"))
+    catalog = spark.read.parquet(f"{d}/part.parquet").where(F.col("p_partkey") % 3 != 0).select(F.col("p_partkey").alias("listing_id"))
+    rows = lines.join(catalog, F.col("linked_id") == F.col("listing_id"), "left")
+    return rows.select("order_id", "sellable_id", F.coalesce("listing_id", "sellable_id").alias("listing_id"))
+
+
+@R.add("snk_migration_backfill", "SELECT DISTINCT product_id, listing_id, CASE WHEN sellable_id <> listing_id THEN sellable_id END AS variation_id, account_code FROM i JOIN o USING (order_id) WHERE product_id IS NOT NULL")
+def snk_migration_backfill(spark, d):
+    rows = items(spark, d).where(F.col("product_id").isNotNull()).join(orders(spark, d), "order_id")
+    variation = F.when(F.col("sellable_id") != F.col("listing_id"), F.col("sellable_id")).alias("variation_id")
+    return rows.select("product_id", "listing_id", variation, "account_code").distinct()
+
+
+@R.add("src_visits_api", "SELECT CASE WHEN user_id % 2 = 0 THEN 'C1' ELSE 'C2' END AS account_code, count(*) AS visits FROM events WHERE event_type = 'view' AND CAST(ts AS DATE) = DATE '2024-01-10' GROUP BY 1")
+def src_visits_api(spark, d):
+    start = F.lit("2024-01-10").cast("timestamp_ntz")
+    day = landing.within(spark.read.parquet(f"{d}/events.parquet"), "ts", start, start + F.expr("INTERVAL 1 DAY")).where(F.col("event_type") == "view")
+    return day.groupBy(F.when(F.col("user_id") % 2 == 0, "C1").otherwise("C2").alias("account_code")).agg(F.count("*").alias("visits"))
+
+
+@R.add("fn_money4", "SELECT order_id, CAST(CAST((CAST(gross_amount * 10000 AS HUGEINT) + 4) // 8 AS DECIMAL(30,0)) * CAST(0.0001 AS DECIMAL(5,4)) AS DECIMAL(38,4)) AS amount FROM o")
+def fn_money4(spark, d):
+    return _keys(spark, d).select("order_id", F.round(F.col("gross_amount") / 8, 4).cast("decimal(38,4)").alias("amount"))
+
+
+@R.add("fn_decimal10", "SELECT order_id, regexp_replace(CAST(CAST(order_id % 1000 AS DECIMAL(20,10)) / 8 AS DECIMAL(20,10))::VARCHAR, '\\.?0+$', '') AS text FROM o WHERE order_id % 1000 <> 0")
+def fn_decimal10(spark, d):
+    value = ((F.col("order_id") % 1000).cast("decimal(20,10)") / 8).cast("decimal(30,10)")
+    return _keys(spark, d).where(F.col("order_id") % 1000 != 0).withColumn("v", value).select("order_id", canonical_decimal("v").alias("text"))
+
+
+@R.add("fn_title_primary", "SELECT p_partkey AS listing_id, CASE p_partkey % 3 WHEN 0 THEN 'A (+1 componentes)' WHEN 1 THEN 'A' END AS title FROM part")
+def fn_title_primary(spark, d):
+    k = F.col("p_partkey")
+    names = F.when(k % 3 == 0, F.array(F.lit(" A"), F.lit("B "), F.lit("A"), F.lit(" "))).when(k % 3 == 1, F.array(F.lit("A"), F.lit("A "))).otherwise(F.array(F.lit("")))
+    return spark.read.parquet(f"{d}/part.parquet").select(k.alias("listing_id"), s.primary_title(names).alias("title"))
+
+
+@R.add("fn_staleness", "SELECT order_id, order_id % 4 = 0 OR order_id % 30 > 10 AS stale FROM o")
+def fn_staleness(spark, d):
+    now = F.lit("2001-08-01 00:30:00").cast("timestamp")
+    made = F.when(F.col("order_id") % 4 == 0, "broken").otherwise((now - F.make_interval(mins=(F.col("order_id") % 30).cast("int"))).cast("string"))
+    return _keys(spark, d).select("order_id", s.is_stale(made, now).alias("stale"))
+
+
 QUERIES, ORACLES = R.queries, R.sql
