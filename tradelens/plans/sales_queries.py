@@ -62,6 +62,34 @@ def win_abc_listing(spark, d):
     return abc.listing_curve(abc.listing_sales(_window(spark, d))).select("listing_id", "units", "rank", "abc_class", "share", "cumulative_share")
 
 
+@query("win_rank", f"{CURVE} SELECT listing_id, rank FROM cv")
+def win_rank(spark, d):
+    return abc.listing_curve(abc.listing_sales(_window(spark, d))).select("listing_id", "rank")
+
+
+def _account_curves() -> str:
+    parts = []
+    for account in ("C1", "C2"):
+        parts += [f"s{account} AS (SELECT * FROM s WHERE account_code = '{account}')", _per_listing(f"s{account}", NOW_A, NOW_B, f"p{account}")]
+        parts += [_curve(f"p{account}", metric, f"{metric}{account}") for metric in ("units", "revenue")]
+    columns = ", ".join(f"{m}{a}.abc_class AS {a.lower()}_{m}_class, {m}{a}.rank AS {a.lower()}_{m}_rank" for a in ("C1", "C2") for m in ("units", "revenue"))
+    joins = " ".join(f"LEFT JOIN {m}{a} ON {m}{a}.listing_id = li.listing_id" for a in ("C1", "C2") for m in ("units", "revenue"))
+    return f", {', '.join(parts)} SELECT li.listing_id, {columns} FROM li {joins}"
+
+
+@query("join_abc_lookup", _account_curves())
+def join_abc_lookup(spark, d):
+    """Class and rank of each listing by account and metric; null where it did not sell."""
+    rows, out = _window(spark, d), listings(spark, d).select("listing_id")
+    for account in ("C1", "C2"):
+        sold = abc.listing_sales(rows.where(F.col("account_code") == account))
+        for metric in ("units", "revenue"):
+            name = f"{account.lower()}_{metric}"
+            curve = abc.listing_curve(sold, metric).select("listing_id", F.col("abc_class").alias(f"{name}_class"), F.col("rank").alias(f"{name}_rank"))
+            out = out.join(curve, "listing_id", "left")
+    return out
+
+
 @query("win_cumulative_share", f", {PL}, {_curve('pl', 'revenue', 'cv')} SELECT listing_id, revenue, rank, abc_class, share, cumulative_share FROM cv")
 def win_cumulative_share(spark, d):
     return abc.listing_curve(abc.listing_sales(_window(spark, d)), "revenue").select("listing_id", "revenue", "rank", "abc_class", "share", "cumulative_share")
