@@ -1,8 +1,9 @@
 """A training-data pipeline over ``documents``: quality, near-duplicates, repeated passages, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but
-the last return the columns of ``documents``. Null ids, texts and metadata have the meaning that
-each operator's docstring gives them.
+the last return the columns of ``documents``. A document is an id with a text: several texts under
+one id or under none are documents of their own, rows with equal id and text are one. Null texts
+and metadata have the meaning that each operator's docstring gives them.
 """
 
 from __future__ import annotations
@@ -16,30 +17,44 @@ from tradelens.llm.mixing import mix_documents
 from tradelens.llm.packing import pack
 from tradelens.llm.queries import tokenizer_path
 from tradelens.llm.suffix_dedup import suffix_dedup
-from tradelens.llm.textcols import ensure_checkpoint_dir, small_batches
+from tradelens.llm.textcols import ensure_checkpoint_dir, row_key, settle, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is among ``ids`` (null ids match null ids)."""
-    ids = ids.select(F.col("doc_id").alias("keep_id")).distinct()
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, row_key("doc_id", "text").alias("row_key"))
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of keyed ``docs`` whose key is among ``kept``."""
+    return docs.join(kept.select("row_key").distinct(), "row_key", "left_semi").select(*COLUMNS, "row_key")
+
+
+def _document_ids(docs: DataFrame) -> DataFrame:
+    """``document``: the id where one document has it alone, else the row key."""
+    docs = _keyed(docs)
+    shared = settle(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("shared_id")).count().where("count > 1").select("shared_id"))
+    if shared.isEmpty():
+        return docs.withColumn("document", F.coalesce("doc_id", "row_key"))
+    # rows without an id go by their key, so that they do not meet in one task
+    docs = docs.join(shared, F.coalesce("doc_id", "row_key") == F.col("shared_id"), "left")
+    return docs.withColumn("document", F.when(F.col("shared_id").isNull(), F.coalesce("doc_id", "row_key")).otherwise(F.col("row_key"))).drop("shared_id")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     small_batches(spark)
-    verdict = cotrain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, verdict.where("kept"))
+    verdict = cotrain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_key=True)
+    return _only(_keyed(docs), verdict.where("kept")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id."""
     small_batches(spark)
-    groups = lsh_forest(docs)
-    # rows repeated whole are one document too
-    return _only(docs, groups.where("kept")).dropDuplicates(["doc_id"])
+    groups = lsh_forest(docs, with_key=True)
+    # rows with equal id and text are one document
+    return _only(_keyed(docs), groups.where("kept")).dropDuplicates(["row_key"]).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +63,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A cut inside a character also drops the rest of that character.
     """
     small_batches(spark)
-    cut = suffix_dedup(docs, length=300, k=64).select(F.col("doc_id").alias("cut_id"), "spans", "kept")
-    joined = docs.select(*COLUMNS).join(cut, F.col("doc_id").eqNullSafe(F.col("cut_id")))
+    docs = _document_ids(docs)
+    cut = suffix_dedup(docs, id_col="document", length=300, k=64).select("document", "spans", "kept")
+    joined = docs.join(cut, "document")
     whole = F.size("spans") == 0
     # bytes that do not form a character become U+FFFD, which no valid text part needs to keep
     text = F.when(whole, F.col("text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
@@ -60,8 +76,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled so that sources, languages and topics come near their target shares."""
     small_batches(spark)
-    taken = mix_documents(docs, flatten=0.9, rate=1.0)
-    return _only(docs, taken.where("selected"))
+    docs = _keyed(docs)
+    taken = mix_documents(docs, id_col="row_key", flatten=0.9, rate=1.0)
+    return _only(docs, taken.where("selected")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,19 @@
 """Each stage of the pipeline keeps what it should, and the whole agrees with its parts."""
 
+import random
+
 import corpus_pipeline as p
 
+DDL = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def _words(rng, n, least=4, most=9):
+    return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(least, most))) for _ in range(n))
+
+
+def _rows(made):
+    return [(i, t, "en", "a", len(t)) for i, t in made]
+
 
 def test_stages(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
@@ -28,3 +40,38 @@ def test_near_copies_and_passages_go(spark, small):
     twin = docs.limit(5).selectExpr("doc_id + 1000000 as doc_id", "text || ' ' as text", "lang", "source", "n_chars")
     kept = p.near_duplicates(spark, docs.unionByName(twin), small)
     assert kept.where("doc_id >= 1000000").where("length(trim(text)) > 0").count() == 0
+
+
+def test_texts_without_an_id_or_under_one_id_are_documents_of_their_own(spark, small):
+    rng = random.Random(3)
+    texts = [_words(rng, 120) for _ in range(60)]
+    ids = [None] * 20 + [7] * 20 + list(range(100, 120))
+    passage = _words(rng, 80)
+    made = [(i, f"{t} {passage}" if n in (5, 6, 25, 26) else t) for n, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    twins = [(None, made[0][1] + " end"), (7, made[21][1] + " end"), made[1], made[22]]
+    docs = spark.createDataFrame(_rows(made + twins), DDL).repartition(3)
+    got = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=repr)
+    # a rejected text goes also where another text under its id, or without one, is kept
+    verdict = {(r.doc_id, r.row_key): r.kept for r in p.cotrain(docs, spark.read.parquet(f"{small}/labels.parquet"), with_key=True, threshold=0.5).collect()}
+    good = p.quality(spark, docs, small)
+    keyed = {(r.doc_id, r.text): r.row_key for r in p._keyed(docs).collect()}
+    assert got(good) == sorted([(i, t) for i, t in made + twins if verdict[i, keyed[i, t]]], key=repr)
+    first = p.near_duplicates(spark, docs, small).cache()
+    left = got(first)
+    assert len(left) == len(set(left)) == 60
+    assert {t for _, t in left} >= {t for n, (_, t) in enumerate(made) if n not in (0, 21)}
+    second = p.repeated_passages(spark, first, small).cache()
+    cut = got(second)
+    assert len(cut) == 60 and sum(passage in t for _, t in cut) == 1
+    whole = {x for x in left if passage not in x[1]}
+    assert whole <= set(cut) and sum(len(t) for _, t in cut) <= sum(len(t) for _, t in left) - 3 * len(passage)
+    taken = got(p.mixture(spark, second, small))
+    assert len(taken) == len(set(taken)) and set(taken) <= set(cut)
+    pieces = p.packed(spark, second, small).collect()
+    assert sum(r.start == 0 for r in pieces) == 60
+
+
+def test_rejected_texts_do_not_stay_for_another_row_of_their_id(spark):
+    docs = p._keyed(spark.createDataFrame(_rows([(None, "good"), (None, "bad"), (1, "good"), (1, "bad")]), DDL))
+    kept = p._only(docs, docs.where("text = 'good'"))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "good"), (1, "good")]

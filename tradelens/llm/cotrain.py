@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .line_rules import _again
-from .textcols import Prefix, id_or_least, null_if_least, slices, sums_by, words
+from .textcols import Prefix, id_or_least, null_if_least, row_key, slices, sums_by, words
 from .toxicity import logistic
 
 FEATURES = ["log_words", "word_length", "symbols", "capitals", "digits", "marks", "shouts", "distinct_words", "repeated_windows", "repeated_lines", "words_a_line", "sentence_ends", "white", "non_ascii"]
@@ -191,9 +191,9 @@ def _apply(shared, threshold: float):
 def cotrain(
     docs: DataFrame, labels: DataFrame, training=None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
     length_col: str = "n_chars", label_col: str = "quality", most_labelled: int = 8_000, most_pool: int = 8_000, rounds: int = 4, grow: int = 400,
-    sure: float = 0.95, ridge: float = 1.0, threshold: float = 0.5,
+    sure: float = 0.95, ridge: float = 1.0, threshold: float = 0.5, with_key: bool = False,
 ) -> DataFrame:
-    """Per row: id, score (0 to 1, of good quality), text_score, meta_score, kept (score >= ``threshold``).
+    """Per row: id, its ``row_key`` if ``with_key``, score (0 to 1, of good quality), text_score, meta_score, kept (score >= ``threshold``).
 
     ``training`` is a condition on the rows of ``docs`` whose labels may be used (default: all).
     """
@@ -202,6 +202,7 @@ def cotrain(
     rows = docs.select(
         id_or_least(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(source_col).cast("string").alias("source"),
         F.col(lang_col).cast("string").alias("lang"), F.col(length_col).cast("double").alias("length"), training.alias("training"),
+        row_key(id_col, text_col).alias("row_key"),
     )
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min((F.col(label_col) > 0).cast("int")).alias("quality"))
     n_known, n_rows = known.count(), rows.count()
@@ -214,5 +215,6 @@ def cotrain(
     sample = described.limit(2 * (most_labelled + most_pool)).toArrow().to_pandas().sort_values(["part", "id"], kind="stable")  # bounded
     model = Model(sample, rounds, grow, sure, ridge)
     shared = spark.sparkContext.broadcast(model)
-    out = rows.select("id", "text", "source", "lang", "length").mapInArrow(_apply(shared, threshold), "id long, score double, text_score double, meta_score double, kept boolean")
+    key = ["row_key"] if with_key else []
+    out = rows.select("id", *key, "text", "source", "lang", "length").mapInArrow(_apply(shared, threshold), ("id long, row_key long, " if key else "id long, ") + "score double, text_score double, meta_score double, kept boolean")
     return out.withColumn("id", null_if_least("id")).withColumnRenamed("id", id_col)

@@ -13,8 +13,9 @@ links are dropped (with 64 values and similarity 0.85 that loses about one link
 the others are confirmed on the full sets. Confirmation takes two rounds: first the next
 neighbours of the first two orders, then only pairs that are not connected yet.
 
-Ids: a null id counts as the smallest; rows with equal id count as one node. Null, empty or
-blank texts have an empty set and are linked with nothing. Other columns are ignored.
+Ids: a null id counts as the smallest. A node is a hash of id and text, so different texts under
+one id or under none are different documents; rows with equal id and text are one. Null, empty
+or blank texts have an empty set and are linked with nothing. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected
-from .textcols import Prefix, i64, id_or_least, lower_ascii, mix, null_if_least, parts_for, settle, slices, stream, words
+from .textcols import Prefix, i64, id_or_least, lower_ascii, mix, null_if_least, parts_for, row_key, settle, slices, stream, words
 
 _U = np.uint64
 
@@ -67,7 +68,7 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, size: int) -> np.ndarray
     return out
 
 
-_DOCS_DDL = "id long, n_shingles long, set_a long, set_b long, signature binary"
+_DOCS_DDL = "id long, own long, n_shingles long, set_a long, set_b long, signature binary"
 
 
 def _describe(width: int, size: int):
@@ -82,7 +83,7 @@ def _describe(width: int, size: int):
                 sums.append(mix(total[at[1:]] - total[at[:-1]] + n.astype(_U)))
             sign = signatures(hashes, at, size)
             flat = pa.array([x.tobytes() for x in sign], pa.binary())
-            yield pa.record_batch([rows.column("id"), i64(n), i64(sums[0]), i64(sums[1]), flat], names=["id", "n_shingles", "set_a", "set_b", "signature"])
+            yield pa.record_batch([rows.column("id"), rows.column("own"), i64(n), i64(sums[0]), i64(sums[1]), flat], names=["id", "own", "n_shingles", "set_a", "set_b", "signature"])
 
     return work
 
@@ -265,8 +266,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, *more: str) -> D
 def lsh_forest(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5,
     trees: int = 16, depth: int = 4, least: int = 3, region: int = 16, crowd: int = 2, hubs: int = 8, agree: float | None = None,
+    with_key: bool = False,
 ) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each input row.
+    """(id, n_shingles, component_id, kept) for each input row, and its ``row_key`` if ``with_key``.
+
+    A component is named by its smallest id; ``kept`` are its rows with that id, of different
+    texts under that id only one.
 
     Links join classes with 100 * intersection >= ``percent`` * union. ``agree`` is the share of
     signature values that a candidate pair must have in common to be confirmed on its sets
@@ -274,11 +279,12 @@ def lsh_forest(
     """
     size = trees * depth
     agree = percent / 100 - 0.25 if agree is None else agree
-    text = docs.select(id_or_least(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = docs.select(row_key(id_col, text_col).alias("id"), id_or_least(id_col).alias("own"), F.col(text_col).cast("string").alias("text"))
     described = settle(text.mapInArrow(_describe(width, size), _DOCS_DDL))
     full = described.where("n_shingles > 0")
-    # one class for equal sets: its smallest id stands for it, and its signature is any member's
-    classes = settle(full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("signature").alias("signature")))
+    # one class for equal sets: its smallest key stands for it, its row of smallest id may be kept, and its signature is any member's
+    lead = F.min(F.struct("own", "id")).alias("lead")
+    classes = settle(full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), lead, F.first("signature").alias("signature")))
     nodes = classes.groupBy(F.col("rep").alias("id")).agg(F.first("signature").alias("signature"))
     found = candidates(nodes, trees, depth, least, region, crowd, hubs)
     found = found.groupBy("a", "b").agg(F.max((F.col("tree") < 2) & (F.col("gap") == 1)).alias("soon"))
@@ -288,7 +294,6 @@ def lsh_forest(
     pairs = settle(found.mapInArrow(_agree(size, agree), "a long, b long, soon boolean"))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = text.join(wanted.hint("shuffle_hash"), "id", "left_semi")
-    # rows with one id and several texts: the set of any of them, as for the class
     sets = settle(texts.mapInArrow(_sets(width), "id long, shingles array<long>").dropDuplicates(["id"]))
     links = settle(_confirmed(pairs.where("soon").select("a", "b"), sets, percent))
     labels = connected(links)
@@ -300,9 +305,14 @@ def lsh_forest(
     more = _confirmed(rest, sets, percent, "ca", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     above = connected(more).select(F.col("node").alias("component"), F.col("component").alias("top"))
     # a class is in a component of the first round, of the second, of both or alone
-    nodes = classes.join(ends, classes.rep == ends.node, "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    components = nodes.join(above, "component", "left").select("set_a", "set_b", F.coalesce("top", "component").alias("component_id"))
+    nodes = classes.join(ends, classes.rep == ends.node, "left").select("set_a", "set_b", "lead", F.coalesce("component", "rep").alias("component"))
+    nodes = settle(nodes.join(above, "component", "left").select("set_a", "set_b", "lead", F.coalesce("top", "component").alias("component")))
+    best = nodes.groupBy("component").agg(F.min("lead").alias("best"))
+    components = nodes.join(best, "component").select("set_a", "set_b", "best")
     out = described.drop("signature").join(components, ["set_a", "set_b"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    out = out.select("id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("id") == F.col("component_id"))
-    return out.select(null_if_least("id").alias(id_col), "n_shingles", null_if_least("component_id").alias("component_id"), "kept")
+    linked = F.col("n_shingles") > 0
+    component = F.when(linked, F.col("best.own")).otherwise(F.col("own"))
+    kept = F.when(linked, F.col("best.id") == F.col("id")).otherwise(True)
+    out = out.select(F.col("own").alias("id"), "n_shingles", component.alias("component_id"), kept.alias("kept"), F.col("id").alias("row_key"))
+    columns = [null_if_least("id").alias(id_col), "n_shingles", null_if_least("component_id").alias("component_id"), "kept"]
+    return out.select(*columns, *(["row_key"] if with_key else []))

@@ -1,6 +1,6 @@
 """Packing documents into fixed-length sequences with controlled source proportions.
 
-Documents are dealt to shards by a hash of their id; every shard is packed on its own by
+Documents are dealt to shards by a hash of id and text; every shard is packed on its own by
 deficit round-robin. A source has one queue. At each window every queue that still has tokens
 earns its target share of the window; queues are served in turn when they have earned at least
 ``least_piece`` tokens, and what they earned but did not use (or used ahead) stays with them for
@@ -148,7 +148,7 @@ def pack(
     shards = max(1, round(total / shard_bytes))
     named = [s for s in largest if s is not None]
     queue = F.when(F.col("source").isin(named), F.col("source")) if named else F.lit(None).cast("string")
-    dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), queue.alias("source"), "id", "text")
+    dealt = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(shards)).alias("shard"), queue.alias("source"), "id", "text")
     by_queue = dealt.groupBy("shard", "source").agg(F.sum(F.octet_length("text") + 1).cast("double").alias("bytes"))
     per_queue = by_queue.groupBy("source").agg(F.sum("bytes").alias("all_bytes"))
     if targets:
@@ -170,5 +170,5 @@ def pack(
     )
     body = dealt.select("shard", F.lit(False).alias("control"), "source", "id", "text", F.lit(0.0).alias("share"), F.lit(0.0).alias("deficit"))
     n = max(parts_for(docs), shards)
-    ready = control.unionByName(body).repartition(n, "shard").sortWithinPartitions("shard", F.desc("control"), F.xxhash64("id"), "id")
+    ready = control.unionByName(body).repartition(n, "shard").sortWithinPartitions("shard", F.desc("control"), F.xxhash64("id", "text"), "id")
     return ready.mapInArrow(_pack(window, least_piece, tokenizer, end), OUT_DDL).withColumn("id", null_if_least("id")).withColumnRenamed("id", id_col)

@@ -32,6 +32,12 @@ def null_if_least(name: str) -> Column:
     return F.when(F.col(name) != F.lit(NULL_ID), F.col(name))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash of id and text: rows are one document when both agree, whatever other rows have the same id or none."""
+    text = F.col(text_col).cast("string")
+    return F.xxhash64(id_or_least(id_col), text.isNull(), F.coalesce(text, F.lit("")))
+
+
 def crc_remainder(name: str, modulus: int) -> Column:
     """crc32 of the id written as decimal text, modulo ``modulus``; a null id counts as ''."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
