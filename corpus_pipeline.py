@@ -58,13 +58,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 300 bytes or more that stand earlier are cut out; documents that were nothing else go.
+    """Passages of 100 bytes or more that stand earlier are cut out; documents that were nothing else go.
 
+    Over 50 words with a blank between them are at least 101 bytes, however short the words.
     A cut inside a character also drops the rest of that character.
     """
     small_batches(spark)
     docs = _document_ids(docs)
-    cut = suffix_dedup(docs, id_col="document", length=300, k=64).select("document", "spans", "kept")
+    cut = suffix_dedup(docs, id_col="document", length=100, k=32).select("document", "spans", "kept")
     joined = docs.join(cut, "document")
     whole = F.size("spans") == 0
     # bytes that do not form a character become U+FFFD, which no valid text part needs to keep

@@ -75,3 +75,14 @@ def test_rejected_texts_do_not_stay_for_another_row_of_their_id(spark):
     docs = p._keyed(spark.createDataFrame(_rows([(None, "good"), (None, "bad"), (1, "good"), (1, "bad")]), DDL))
     kept = p._only(docs, docs.where("text = 'good'"))
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "good"), (1, "good")]
+
+
+def test_passages_of_51_short_words_are_cut_and_clean_documents_stay(spark, small):
+    rng = random.Random(4)
+    passages = [_words(rng, 51, 1, 2), _words(rng, 51, 2, 5)]
+    made = [(i, _words(rng, 60) + (f" {passages[i % 2]}" if i < 40 else "")) for i in range(80)]
+    docs = spark.createDataFrame(_rows(made), DDL).repartition(3)
+    out = {r.doc_id: r.text for r in p.repeated_passages(spark, docs, small).collect()}
+    for passage in passages:
+        assert 100 < len(passage) < 300 and sum(passage in t for t in out.values()) == 1
+    assert all(out[i] == t for i, t in made if i >= 40)
