@@ -75,10 +75,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are sampled so that sources, languages and topics come near their target shares."""
+    """Documents are sampled so that sources, languages and topics have their target shares of the tokens.
+
+    The heaviest cell is kept whole and all others are sampled down to it: no weight asks for
+    copies, which would be lost here.
+    """
     small_batches(spark)
     docs = _keyed(docs)
-    taken = mix_documents(docs, id_col="row_key", flatten=0.9, rate=1.0)
+    taken = mix_documents(docs, id_col="row_key", flatten=0.9, rate=None)
     return _only(docs, taken.where("selected")).select(*COLUMNS)
 
 

@@ -86,3 +86,14 @@ def test_passages_of_51_short_words_are_cut_and_clean_documents_stay(spark, smal
     for passage in passages:
         assert 100 < len(passage) < 300 and sum(passage in t for t in out.values()) == 1
     assert all(out[i] == t for i, t in made if i >= 40)
+
+
+def test_kept_tokens_meet_the_target_shares(spark, small):
+    rng = random.Random(6)
+    sizes = {"a": 2400, "b": 500, "c": 100}
+    made = [(s, _words(rng, 20)) for s, n in sizes.items() for _ in range(n)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, (s, t) in enumerate(made)], DDL).repartition(3)
+    tokens = {r.source: 20 * r["count"] for r in p.mixture(spark, docs, small).groupBy("source").count().collect()}
+    want = {s: n**0.9 / sum(m**0.9 for m in sizes.values()) for s, n in sizes.items()}
+    for s in sizes:
+        assert abs(tokens[s] / sum(tokens.values()) - want[s]) < 0.05 * want[s], s
