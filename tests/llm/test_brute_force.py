@@ -140,6 +140,31 @@ def test_near_duplicates_in_a_large_group(spark):
     check_components(rows(lsh_forest(docs, percent=85)), {i: t.encode() for i, t in made.items()}, 85)
 
 
+def without_centre(variants=800, seed=8):
+    """Variants of one text, most of them too far from each other; each tenth has a partner of similarity 0.87 or more."""
+    rng = random.Random(seed)
+
+    def changed(words, n):
+        words = list(words)
+        for j in rng.sample(range(len(words)), n):
+            words[j] = f"new{rng.randrange(10**9)}"
+        return words
+
+    made = [changed([f"w{j}" for j in range(300)], 3) for _ in range(variants)]
+    made += [changed(made[i], 4) for i in range(0, variants, 10)]
+    return {i: " ".join(w) for i, w in enumerate(made)}
+
+
+def test_partners_in_a_group_without_a_centre(spark):
+    from tradelens.llm.lsh_forest import lsh_forest
+
+    made = without_centre()
+    docs = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(7)
+    got = rows(lsh_forest(docs, percent=85))
+    lost = [i for i in range(80) if got[800 + i].component_id != got[10 * i].component_id]
+    assert not lost, len(lost)
+
+
 def test_packing(spark, small, texts):
     from tokenizers import Tokenizer
 

@@ -11,7 +11,10 @@ the most crowded regions, hence most of the values that are common there. A vari
 all other variants still finds the text that all of them come from this way. Candidates whose whole signatures agree too little to be
 links are dropped (with 64 values and similarity 0.85 that loses about one link in a million),
 the others are confirmed on the full sets. Confirmation takes two rounds: first the next
-neighbours of the first two orders, then only pairs that are not connected yet.
+neighbours of the first two orders, then only pairs that are not connected yet. What crowded
+regions leave unconnected is then compared exactly: two sets that are similar enough share one of
+their rarest shingles (as many of each as the threshold allows to be missing, and one), so classes
+of crowded regions meet in a bucket for each of these, unless they are connected already.
 
 Ids: a null id counts as the smallest. A node is a hash of id and text, so different texts under
 one id or under none are different documents; rows with equal id and text are one. Null, empty
@@ -206,8 +209,8 @@ def _edges_of_stretches(reach: int):
     return work
 
 
-def hub_pairs(ordered: DataFrame, depth: int, region: int, hubs: int, visits: int = 3) -> DataFrame:
-    """(a, b, tree, gap): the classes of crowded regions with the hubs of their first ``visits`` crowded regions.
+def hub_pairs(ordered: DataFrame, depth: int, region: int, hubs: int, visits: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(id) of all classes in crowded regions, and (a, b, tree, gap): the classes of crowded regions with the hubs of their first ``visits`` crowded regions.
 
     A region has one hub in each of ``hubs`` slots (a hash of the id): the class of the slot that
     stands in the most crowded regions. The first hub of all has gap 1 in tree 0: it comes in the
@@ -217,6 +220,7 @@ def hub_pairs(ordered: DataFrame, depth: int, region: int, hubs: int, visits: in
     crowded = rows.groupBy("tree", "values").agg(F.count("*").alias("size")).where(F.col("size") > region).drop("size")
     inside = settle(rows.join(crowded.hint("shuffle_hash"), ["tree", "values"]))
     of_class = inside.groupBy("id").agg(F.count("*").alias("rank"), F.slice(F.array_sort(F.collect_list("tree")), 1, visits).alias("visited"))
+    ids = settle(of_class.select("id"))
     inside = inside.join(of_class, "id")
     slot = F.pmod(F.xxhash64("id"), F.lit(hubs)).alias("slot")
     best = inside.groupBy("tree", "values", slot).agg(F.max(F.struct("rank", (-F.col("id")).alias("minus"))).alias("best"))
@@ -224,11 +228,11 @@ def hub_pairs(ordered: DataFrame, depth: int, region: int, hubs: int, visits: in
     pairs = inside.where(F.array_contains("visited", F.col("tree"))).join(lead, ["tree", "values"])
     pairs = pairs.select("id", F.explode("bests").alias("best"), "lead").select("id", (-F.col("best.minus")).alias("hub"), (F.col("best") == F.col("lead")).alias("first"))
     ends = [F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")]
-    return pairs.where("id <> hub").select(*ends, F.lit(0).alias("tree"), F.when(F.col("first"), 1).otherwise(2).alias("gap"))
+    return ids, pairs.where("id <> hub").select(*ends, F.lit(0).alias("tree"), F.when(F.col("first"), 1).otherwise(2).alias("gap"))
 
 
-def candidates(classes: DataFrame, trees: int, depth: int, least: int, region: int, crowd: int, hubs: int) -> DataFrame:
-    """Candidate pairs (a, b, tree, gap), a < b, from (id, signature)."""
+def candidates(classes: DataFrame, trees: int, depth: int, least: int, region: int, crowd: int, hubs: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b, tree, gap), a < b, from (id, signature), and (id) of the classes in crowded regions."""
     n = parts_for(classes)
     rows = classes.mapInArrow(_labels(trees, depth), _TREE_DDL)
     ordered = settle(rows.repartitionByRange(n, "tree", "label", "id").sortWithinPartitions("tree", "label", "id").withColumn("stretch", F.spark_partition_id()))
@@ -237,12 +241,34 @@ def candidates(classes: DataFrame, trees: int, depth: int, least: int, region: i
     # around each seam between two stretches: the last rows of one and the first of the next
     seams = ordered.mapInArrow(_edges_of_stretches(reach), "tree int, label binary, id long, stretch int, place int")
     seams = seams.repartition(n, "stretch").sortWithinPartitions("stretch", "tree", "label", "id").mapInArrow(_pairs(depth, least, region, crowd), _PAIRS_DDL)
-    return inside.unionByName(seams).unionByName(hub_pairs(ordered, depth, region, hubs))
+    crowded, hub = hub_pairs(ordered, depth, region, hubs)
+    return inside.unionByName(seams).unionByName(hub), crowded
 
 
-def _agree(size: int, least: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("soon", pa.bool_())])
+def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb), a < b: all pairs of different components that can be links, from (id, component, shingles).
 
+    The order of shingles is by number of sets, rarest first. In each bucket only classes outside
+    its largest component look for partners.
+    """
+    size = F.size("shingles").cast("long")
+    tokens = sets.select("id", "component", size.alias("n"), F.explode("shingles").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    ranked = tokens.join(often, "token").groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"))
+    most = (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("int")
+    rare = ranked.select("id", "component", "n", F.explode(F.slice("ranked", F.lit(1), most)).alias("one"))
+    rare = settle(rare.where("one.often > 1").select("id", "component", "n", F.col("one.token").alias("token")))
+    lead = rare.groupBy("token", "component").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max(F.struct("rows", "component")).alias("lead"), F.count("*").alias("components"))
+    lead = lead.where("components > 1").select("token", F.col("lead.component").alias("lead"))
+    own = rare.join(lead, "token").where("component <> lead").select("token", "lead", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
+    pairs = own.join(rare, "token").where("component <> cx and (component = lead or x < id)")
+    pairs = pairs.where(100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
+    first = F.col("x") < F.col("id")
+    ends = [F.when(first, F.col(u)).otherwise(F.col(v)).alias(w) for u, v, w in (("x", "id", "a"), ("id", "x", "b"), ("cx", "component", "ca"), ("component", "cx", "cb"))]
+    return pairs.select(*ends).distinct()
+
+
+def _agree(size: int, least: float, *more: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -250,7 +276,7 @@ def _agree(size: int, least: float):
                 continue
             one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(n, size) for c in ("signature_a", "signature_b"))
             keep = (one == two).sum(axis=1) >= least * size
-            yield pa.record_batch([batch.column(c).filter(pa.array(keep)) for c in ("a", "b", "soon")], schema=schema)
+            yield pa.record_batch([batch.column(c).filter(pa.array(keep)) for c in ("a", "b", *more)], names=["a", "b", *more])
 
     return work
 
@@ -286,13 +312,13 @@ def lsh_forest(
     lead = F.min(F.struct("own", "id")).alias("lead")
     classes = settle(full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), lead, F.first("signature").alias("signature")))
     nodes = classes.groupBy(F.col("rep").alias("id")).agg(F.first("signature").alias("signature"))
-    found = candidates(nodes, trees, depth, least, region, crowd, hubs)
+    found, crowded = candidates(nodes, trees, depth, least, region, crowd, hubs)
     found = found.groupBy("a", "b").agg(F.max((F.col("tree") < 2) & (F.col("gap") == 1)).alias("soon"))
     signed = nodes.select("id", "signature")
     found = found.join(signed.select(F.col("id").alias("a"), F.col("signature").alias("signature_a")), "a")
     found = found.join(signed.select(F.col("id").alias("b"), F.col("signature").alias("signature_b")), "b")
-    pairs = settle(found.mapInArrow(_agree(size, agree), "a long, b long, soon boolean"))
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    pairs = settle(found.mapInArrow(_agree(size, agree, "soon"), "a long, b long, soon boolean"))
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(crowded).distinct()
     texts = text.join(wanted.hint("shuffle_hash"), "id", "left_semi")
     sets = settle(texts.mapInArrow(_sets(width), "id long, shingles array<long>").dropDuplicates(["id"]))
     links = settle(_confirmed(pairs.where("soon").select("a", "b"), sets, percent))
@@ -305,8 +331,17 @@ def lsh_forest(
     more = _confirmed(rest, sets, percent, "ca", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     above = connected(more).select(F.col("node").alias("component"), F.col("component").alias("top"))
     # a class is in a component of the first round, of the second, of both or alone
-    nodes = classes.join(ends, classes.rep == ends.node, "left").select("set_a", "set_b", "lead", F.coalesce("component", "rep").alias("component"))
-    nodes = settle(nodes.join(above, "component", "left").select("set_a", "set_b", "lead", F.coalesce("top", "component").alias("component")))
+    nodes = classes.join(ends, classes.rep == ends.node, "left").select("rep", "set_a", "set_b", "lead", F.coalesce("component", "rep").alias("component"))
+    nodes = settle(nodes.join(above, "component", "left").select("rep", "set_a", "set_b", "lead", F.coalesce("top", "component").alias("component")))
+    if not crowded.isEmpty():
+        inside = sets.join(crowded, "id", "left_semi").join(nodes.select(F.col("rep").alias("id"), "component").dropDuplicates(["id"]), "id")
+        last = rare_pairs(inside, percent)
+        last = last.join(signed.select(F.col("id").alias("a"), F.col("signature").alias("signature_a")), "a")
+        last = last.join(signed.select(F.col("id").alias("b"), F.col("signature").alias("signature_b")), "b")
+        last = settle(last.mapInArrow(_agree(size, agree, "ca", "cb"), "a long, b long, ca long, cb long"))
+        last = _confirmed(last, sets, percent, "ca", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        joined = connected(last).select(F.col("node").alias("component"), F.col("component").alias("top"))
+        nodes = nodes.join(joined, "component", "left").select("set_a", "set_b", "lead", F.coalesce("top", "component").alias("component"))
     best = nodes.groupBy("component").agg(F.min("lead").alias("best"))
     components = nodes.join(best, "component").select("set_a", "set_b", "best")
     out = described.drop("signature").join(components, ["set_a", "set_b"], "left")
