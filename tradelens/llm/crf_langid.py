@@ -3,8 +3,8 @@
 Words carry hashed features: the word itself (lexicon), its first and last 1 to 3 characters
 (affixes, on bytes) and all its byte trigrams with word ends. Training sequences are spliced
 from stretches of documents in different languages, so the transitions learn how seldom text
-switches; weights and transitions follow the gradient of the likelihood, worked out by
-forward-backward. A text is tagged exactly and as a whole: stretches of ``stretch`` words are
+switches; weights and transitions follow the gradient of the likelihood: marginals of words and
+of neighbouring label pairs, both from the messages of forward-backward. A text is tagged exactly and as a whole: stretches of ``stretch`` words are
 first folded to transfer matrices, the matrices are chained over the text, and then marginals
 are worked out inside all stretches at once. The language of a text is the label with the
 largest sum of marginals over its words, the score its share.
@@ -62,8 +62,12 @@ def emissions(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> tup
     return scores[inverse], first
 
 
-def marginals(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, stretch: int = 64) -> np.ndarray:
-    """Posterior label probabilities of all words; documents are words first[i] to first[i+1]."""
+def marginals(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, stretch: int = 64, pairs: np.ndarray | None = None) -> np.ndarray:
+    """Posterior label probabilities of all words; documents are words first[i] to first[i+1].
+
+    Any label may have stood before a document's first word. The expected numbers of all label
+    pairs, that one included, are added to ``pairs`` (labels x labels) if it is given.
+    """
     n, labels = scores.shape
     if not n:
         return scores
@@ -96,6 +100,7 @@ def marginals(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, str
         b = np.einsum("ijk,ik->ij", fold[last], behind[last])
         behind[before] = b / b.sum(axis=1, keepdims=True)
     out = np.empty_like(e)
+    start = ahead.copy() if pairs is not None else ahead
     a = ahead
     for step, k in enumerate(live):
         x = (a[:k] @ t) * e[begin[:k] + step]
@@ -105,6 +110,9 @@ def marginals(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, str
     for step in range(len(live) - 1, -1, -1):
         k = live[step]
         at = begin[:k] + step
+        if pairs is not None:  # forward message of the word before, transition, this word, backward message
+            left, right = out[at - 1] if step else start[:k], e[at] * b[:k]
+            pairs += t * ((left / ((left @ t) * right).sum(axis=1, keepdims=True)).T @ right)
         both = out[at] * b[:k]
         out[at] = both / both.sum(axis=1, keepdims=True)
         y = (e[at] * b[:k]) @ t.T
@@ -112,6 +120,17 @@ def marginals(scores: np.ndarray, first: np.ndarray, transition: np.ndarray, str
     return out
 
 
+def pair_counts(y: np.ndarray, first: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Label pairs of known labels; the label before a first word is known only by the model."""
+    t = np.exp(transition - transition.max())
+    out = np.zeros_like(t)
+    heads = np.zeros(len(y), bool)
+    heads[first[:-1][np.diff(first) > 0]] = True
+    inner = np.flatnonzero(~heads)
+    np.add.at(out, (y[inner - 1], y[inner]), 1)
+    return out + t / t.sum(axis=0) * np.bincount(y[heads], minlength=len(t))
+
+
 class Model:
     def __init__(self, labels: list[str], weights: np.ndarray, transition: np.ndarray):
         self.labels, self.weights, self.transition = labels, weights, transition
@@ -155,7 +174,8 @@ def fit(texts: list[bytes], langs: list[str], passes: int = 2, sequence: int = 6
             f = features[np.repeat(at[ids] - cut[:-1], sizes) + np.arange(cut[-1])]
             scores = np.add.reduceat(weights[f], cut[:-1], axis=0).astype(float)
             firsts = np.arange(len(own) + 1) * word.shape[1]
-            p = marginals(scores, firsts, transition)
+            pairs = np.zeros((n, n))
+            p = marginals(scores, firsts, transition, pairs=pairs)
             y = label[ids]
             gap = p.copy()
             gap[np.arange(len(y)), y] -= 1
@@ -164,13 +184,7 @@ def fit(texts: list[bytes], langs: list[str], passes: int = 2, sequence: int = 6
             grad /= len(own)
             seen_w += grad * grad
             weights -= rate * grad / np.sqrt(seen_w)
-            # expected transitions from neighbouring marginals under the model's own coupling
-            inner = np.setdiff1d(np.arange(1, len(ids)), firsts)
-            pair = p[inner - 1][:, :, None] * np.exp(transition)[None] * p[inner][:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            want = np.zeros((n, n))
-            np.add.at(want, (y[inner - 1], y[inner]), 1)
-            g = (pair.sum(axis=0) - want) / len(own)
+            g = (pairs - pair_counts(y, firsts, transition)) / len(own)
             seen_t += g * g
             transition -= rate * g / np.sqrt(seen_t)
     return Model(labels, weights, transition)
