@@ -240,3 +240,118 @@ def test_longer_contexts_predict_unseen_text_better(spark, medium):
     held_out = crc_remainder("doc_id", 7) == 2
     total = [ppm_scores(docs, ~held_out, order=k).join(docs.where(held_out).select("doc_id"), "doc_id").agg(F.sum("score")).first()[0] for k in (1, 4)]
     assert total[1] > 0.9 * total[0]
+
+
+@pytest.mark.parametrize("most", [5, 64, 1 << 20])
+def test_components_of_random_graphs(spark, most):
+    from tradelens.llm.graph import connected
+
+    rng = random.Random(most)
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(50)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)] + [(7, 7)]
+    rng.shuffle(edges)
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {r.node: r.component for r in connected(spark.createDataFrame(edges, "a long, b long").repartition(6), most=most).collect()}
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_join_of_a_hot_key_keeps_all_rows(spark):
+    from tradelens.llm.graph import spread_join
+
+    rows = spark.range(3000).selectExpr("id as node", "if(id % 3 = 0, 5, id % 700) as k")
+    table = spark.range(650).selectExpr("id as k", "id * 2 as v")
+    want = rows.join(table, "k", "left").select("node", "k", "v")
+    assert sorted(map(repr, spread_join(rows, table, "k", "left", least=10).select("node", "k", "v").collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>", "a<|endoftext|>b  <|endoftext|><|endoftext|> c", "<|endoftext|", "it's <|endoftext|>'s   <|endoftext|>\n\n x", "é<|endoftext|>漢"])
+def test_ids_with_added_tokens(text):
+    from tokenizers import Tokenizer
+
+    from tradelens.llm.pretokens import tokens
+
+    coder = Tokenizer.from_file(q.tokenizer_path())
+    texts = [text, "text|> more", text + text, "", "<|endof", "text|>"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    ids, at = tokens(q.tokenizer_path()).encode(data, offsets)
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == coder.encode(t, add_special_tokens=False).ids
+
+
+def packed_by_sequence(spark, made, **options):
+    from tradelens.llm.packing import pack
+
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(4)
+    out = defaultdict(list)
+    for p in sorted(pack(docs, q.tokenizer_path(), **options).collect(), key=lambda r: (r.sequence_id, r.offset)):
+        out[p.sequence_id].append((p.source, p.length))
+    return out
+
+
+def test_windows_keep_their_target_proportions(spark):
+    rng = random.Random(1)
+    made = [(i, " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=rng.randrange(50, 900))), "abc"[i % 10 // 4]) for i in range(300)]
+    targets, piece = {"a": 0.2, "b": 0.3, "c": 0.5}, 128
+    windows = packed_by_sequence(spark, made, targets=targets, least_piece=piece)
+    left = Counter()
+    for parts in windows.values():
+        for s, n in parts:
+            left[s] += n
+    done, total = Counter(), 0
+    for _, parts in sorted(windows.items()):
+        for s, n in parts:
+            done[s] += n
+            total += n
+        if any(left[s] - done[s] < 1024 for s in targets):  # from here on a source has run dry
+            break
+        for s, share in targets.items():
+            assert abs(done[s] - share * total) <= 2 * piece, s
+    assert total > 20_000
+
+
+def test_deficits_carry_from_shard_to_shard(spark):
+    from tradelens.llm.packing import carried
+
+    rng = random.Random(2)
+    counts = [(shard, s, rng.randrange(1, 5000)) for shard in range(40) for s in ("a", "b", None, *(f"rare{k}" for k in range(80))) if s in ("a", None) or rng.random() < 0.3]
+    got = {(r.shard, r.source): r for r in carried(spark.createDataFrame(counts, "shard long, source string, tokens long"), block=7).collect()}
+    assert len(got) == len(counts)
+    total, own = sum(n for *_, n in counts), Counter()
+    for _, s, n in counts:
+        own[s] += n
+    for shard, s, n in counts:
+        before = sum(m for k, _, m in counts if k < shard)
+        had = sum(m for k, x, m in counts if k < shard and x == s)
+        r = got[shard, s]
+        assert (r.tokens, r.share) == (n, pytest.approx(own[s] / total))
+        assert r.deficit == pytest.approx(own[s] / total * before - had, abs=1e-6)
+
+
+def test_every_source_has_its_name_and_all_tokens_over_many_shards(spark):
+    rng = random.Random(3)
+    made = [(i % 50 if i % 3 else None, " ".join(rng.choices(["one", "two", "three"], k=rng.randrange(0, 400))), f"s{i % 90}" if i % 90 else None) for i in range(700)]
+    made += [(5, "same text " * 40, "s1")] * 60
+    want = Counter()
+    windows = packed_by_sequence(spark, made, shard_tokens=9_000)
+    for parts in windows.values():
+        size = sum(n for _, n in parts)
+        assert size == 1024 or size & (size - 1) == 0
+        for s, n in parts:
+            want[s] += n
+    assert len({k >> 32 for k in windows}) > 5
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(q.tokenizer_path())
+    have = Counter()
+    for _, t, s in made:
+        have[s] += len(coder.encode(t, add_special_tokens=False).ids) + 1
+    assert want == have

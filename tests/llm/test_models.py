@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradelens.llm import queries as q
-from tradelens.llm.crf_langid import language_id, marginals
+from tradelens.llm.crf_langid import language_id, marginals, pair_counts
 from tradelens.llm.media import box, features, walk, write_media
 from tradelens.llm.mixing import mix_documents, rake
 from tradelens.llm.ppm import learn, trie_from
@@ -48,6 +48,32 @@ def test_marginals_by_enumeration():
         assert np.allclose(got[a:b], want / want.sum(axis=1, keepdims=True), atol=1e-9)
 
 
+def log_likelihood(scores, first, transition, y):
+    total = 0.0
+    for a, b in itertools.pairwise(first):
+        def weight(path, a=a):
+            return np.logaddexp.reduce(transition[:, path[0]]) + sum(scores[a + k, x] for k, x in enumerate(path)) + sum(transition[x, z] for x, z in itertools.pairwise(path))
+        if b > a:
+            total += weight(y[a:b]) - np.logaddexp.reduce([weight(p) for p in itertools.product(range(len(transition)), repeat=b - a)])
+    return total
+
+
+@pytest.mark.parametrize("stretch", [2, 64])
+def test_transition_gradient_by_finite_differences(stretch):
+    rng = np.random.default_rng(3)
+    scores, transition, y = rng.normal(size=(10, 3)), rng.normal(size=(3, 3)), rng.integers(0, 3, 10)
+    first = np.array([0, 6, 6, 7, 10])
+    pairs = np.zeros((3, 3))
+    marginals(scores, first, transition, stretch=stretch, pairs=pairs)
+    assert pairs.sum() == pytest.approx(10)
+    got = pair_counts(y, first, transition) - pairs
+    for i, j in itertools.product(range(3), repeat=2):
+        step = np.zeros((3, 3))
+        step[i, j] = 1e-5
+        want = (log_likelihood(scores, first, transition + step, y) - log_likelihood(scores, first, transition - step, y)) / 2e-5
+        assert got[i, j] == pytest.approx(want, abs=1e-6)
+
+
 def segments_by_hand(values, begin=0):
     best, where = 0.0, None
     for i in range(len(values)):
@@ -123,6 +149,28 @@ def test_code_switched_text_gets_spans(spark, medium):
     assert {two[0].lang, two[1].lang} <= set(by)
 
 
+def test_switches_inside_a_text_are_found(spark, medium):
+    """Words of texts spliced from held-out stretches of all languages get their own language."""
+    docs = spark.read.parquet(f"{medium}/documents.parquet").where("lang is not null and length(text) between 600 and 6000")
+    held = docs.where(crc_remainder("doc_id", 4) == 2).orderBy("doc_id").limit(160).collect()
+    rng = random.Random(9)
+    made, truth = [], {}
+    for n in range(60):
+        parts = [(r.lang, " ".join(r.text.split()[:25])) for r in rng.sample(held, 4)]
+        truth[10**9 + n] = [(lang, len(t.encode()) + 1) for lang, t in parts]
+        made.append((10**9 + n, " ".join(t for _, t in parts)))
+    rows = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(made, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string")))
+    out = language_id(rows, crc_remainder("doc_id", 4) != 2, with_spans=True).where(F.col("doc_id") >= 10**9).collect()
+    right = total = 0
+    for r in out:
+        want = np.repeat([lang for lang, _ in truth[r.doc_id]], [n for _, n in truth[r.doc_id]])
+        for s in r.spans:
+            right += (want[s.start : s.start + s.length] == s.lang).sum()
+            total += s.length
+    print("share of bytes with the right language", right / total)
+    assert right > 0.9 * total
+
+
 def area(score, label):
     order = np.argsort(score, kind="stable")
     ranks = np.empty(len(order))

@@ -1,32 +1,102 @@
-"""Connected components of an edge table by least-label spreading with pointer jumping."""
+"""Connected components of an edge table by contraction, and joins that spread hot keys."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcols import settle
+from .textcols import i64, parts_for, settle
+
+_FOREST_DDL = "node long, root long"
+
+
+def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node of the component of each) of the edges a-b."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while len(u):
+        least = np.minimum(label[u], label[v])
+        np.minimum.at(label, label[u], least)  # the larger root hangs below the smaller
+        np.minimum.at(label, label[v], least)
+        while True:
+            further = label[label]
+            if (further == label).all():
+                break
+            label = further
+        open_ = label[u] != label[v]
+        u, v = u[open_], v[open_]
+    return nodes, nodes[label]
+
+
+def _forest(most: int):
+    """Edges of at most ``most`` rows at a time as (node, root), every node of theirs once."""
+    schema = pa.schema([("node", pa.int64()), ("root", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
 
+        def out():
+            node, root = least_labels(*(np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1)))
+            return pa.record_batch([i64(node), i64(root)], schema=schema)
 
-def connected(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= most:
+                yield out()
+                held, rows = [], 0
+        if rows:
+            yield out()
+
+    return work
+
+
+def connected(edges: DataFrame, a: str = "a", b: str = "b", most: int = 1 << 20) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
-    A round takes the least label among a node's neighbours and then jumps along the labels;
-    two rounds make one job, and rounds grow with the logarithm of the longest chain. Only
-    whether labels still changed reaches the driver. No edges give an empty result.
+    Each task turns ``most`` edges at a time into a forest of stars. A node that stands in several
+    stars joins their roots; the graph of these roots is smaller and goes the same way, until one
+    task's edges are all there are. A node of n edges is in as many rows as there are tasks, never
+    in n. No edges give an empty result.
+    """
+    graph = settle(edges.select(F.col(a).alias("node"), F.col(b).alias("root")).where("node <> root"))
+    levels: list[DataFrame] = []
+    while True:
+        parts = -(-graph.count() // most)
+        forest = graph.coalesce(max(1, parts)).mapInArrow(_forest(most), _FOREST_DDL)
+        if parts <= 1:
+            break
+        forest = settle(forest)
+        least = settle(forest.groupBy("node").agg(F.min("root").alias("root")))
+        levels.append(least)
+        # the roots of one node's stars belong together
+        ties = forest.join(least.withColumnRenamed("root", "least"), "node").where("root <> least")
+        graph = settle(ties.select(F.col("root").alias("node"), F.col("least").alias("root")).distinct())
+    labels = settle(forest)
+    for least in reversed(levels):
+        top = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        labels = settle(spread_join(least, top, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    return labels.select("node", F.col("root").alias("component"))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", by: str = "node", least: int = 100) -> DataFrame:
+    """``rows`` joined with ``table``, whose ``key`` is unique.
+
+    Keys that hold more rows than a task should are dealt to several tasks by a hash of the column
+    ``by`` and their row of ``table`` is repeated as often. At most four keys a task can be that
+    large, so their names are sent to all. ``rows`` and ``table`` are read twice.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = settle(both.union(both.select("v", "u")).distinct())
-    labels = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("component")).withColumnRenamed("u", "node")
-    for _ in range(0, most_rounds, 2):
-        step = labels.select("node", "component", F.col("component").alias("before"))
-        for _ in range(2):
-            spread = both.join(step.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("near"))
-            step = step.join(spread.withColumnRenamed("u", "node"), "node").select("node", F.least("component", "near").alias("component"), "before")
-            jump = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
-            step = step.join(jump, "component").select("node", F.col("further").alias("component"), "before")
-        step = settle(step)
-        labels = step.select("node", "component")
-        if step.where("component <> before").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    parts = parts_for(rows)
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_size"))
+    total = rows.count()
+    limit = max(least, total // (4 * parts))
+    hot = F.broadcast(settle(sizes.where(F.col("_size") > limit).select(key, F.ceil(F.col("_size") / limit).cast("int").alias("_copies"))))
+    salt = F.pmod(F.xxhash64(by), F.coalesce("_copies", F.lit(1)))
+    left = rows.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_copies")
+    right = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    return left.join(right, [key, "_salt"], how).drop("_salt")

@@ -1,16 +1,20 @@
 """Packing documents into fixed-length sequences with controlled source proportions.
 
-Documents are dealt to shards by a hash of id and text; every shard is packed on its own by
-deficit round-robin. A source has one queue. At each window every queue that still has tokens
-earns its target share of the window; queues are served in turn when they have earned at least
-``least_piece`` tokens, and what they earned but did not use (or used ahead) stays with them for
-the next windows. Between shards deficits carry on too: a first pass over text lengths says how
-far each source will lag or lead after the shards before, and the shard starts from there.
-Documents are cut wherever a window ends. What is left in a shard below one window goes into
-sequences whose lengths are powers of two, so no sequence needs padding.
+Texts are tokenized once and the ids are written to the shared folder. Documents are then dealt
+to shards of about ``shard_tokens`` tokens; every shard is packed on its own by deficit
+round-robin. A source has one queue in each shard where it occurs. At each window every queue
+that still has tokens earns its target share of the window; queues are served in turn when they
+have earned at least ``least_piece`` tokens, and what they earned but did not use (or used ahead)
+stays with them for the next windows. Between shards deficits carry on too. All tokens are packed
+in the end, so over all shards a source gets its part of all tokens whatever its target; what it
+lacks of that part after the shards before, by their token counts, is its deficit at the start of
+a shard. Documents are cut wherever a window ends. What is left in a shard below one window goes
+into sequences whose lengths are powers of two, so no sequence needs padding.
 
 Null texts are empty: they are one end token. A null source is a source of its own. Repeated
-rows are packed as often as they occur. Other columns are ignored.
+rows are packed as often as they occur. A text of any length is packed whole; it is held by one
+worker. Queues that lag equally are served in order of their names. An empty table gives no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pretokens import tokens
-from .textcols import i64, id_or_least, null_if_least, parts_for, slices
+from .textcols import id_or_least, null_if_least, parts_for, slices, written
 
 _OUT = pa.schema([
     ("id", pa.int64()), ("source", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
@@ -85,90 +89,111 @@ def fill(queues: list[Queue], turn: int, room: int, least_piece: int) -> tuple[l
     return pieces, turn
 
 
-def _pack(window: int, least_piece: int, path: str, end: int):
-    def shard_rows(shard: int, queues: dict, held: list) -> Iterator[pa.RecordBatch]:
+def _encode(path: str, end: int):
+    schema = pa.schema([("id", pa.int64()), ("source", pa.string()), ("salt", pa.int64()), ("tokens", pa.int64()), ("ids", pa.binary())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = tokens(path)
+        for rows, data, offsets in slices(batches):
+            ids, at = coder.encode(data, offsets)
+            kind = coder.width
+            own = [np.append(ids[at[i] : at[i + 1]], end).astype(kind).tobytes() for i in range(rows.num_rows)]
+            yield pa.record_batch([rows.column("id"), rows.column("source"), rows.column("salt"), pa.array(np.diff(at) + 1), pa.array(own, pa.binary())], schema=schema)
+
+    return work
+
+
+def _pack(window: int, least_piece: int, width: str):
+    def shard_rows(shard: int, queues: dict) -> Iterator[pa.RecordBatch]:
         order = [queues[k] for k in sorted(queues, key=lambda k: (k is None, k or ""))]
         waiting = sum(q.waiting for q in order)
-        sequence, turn, rows = shard << 32, 0, []
+        sequence, turn, rows = (shard or 0) << 32, 0, []
         while waiting:
             room = window if waiting >= window else 1 << (waiting.bit_length() - 1)
             pieces, turn = fill(order, turn, room, least_piece)
             offset = 0
             for q, doc, ids, start, size in pieces:
-                rows.append((doc, q.name, start, size, ids[start : start + size].tobytes(), len(ids), sequence, offset))
+                rows.append((doc, q.name, start, size, ids[start : start + size].astype("<u4").tobytes(), len(ids), sequence, offset))
                 offset += size
             waiting -= room
             sequence += 1
-            if len(rows) > 20_000:
+            if len(rows) > 5_000:
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
                 rows = []
         if rows:
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _OUT, strict=True)], schema=_OUT)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokens(path)
         shard, queues = None, {}
-        for rows, data, offsets in slices(batches, "text", 1 << 20):
-            ids, at = coder.encode(data, offsets)
-            columns = (rows.column(c).to_pylist() for c in ("shard", "control", "source", "id", "share", "deficit"))
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("shard", "control", "source", "id", "share", "deficit"))
             for i, (s, control, source, doc, share, deficit) in enumerate(zip(*columns, strict=True)):
                 if s != shard:
-                    if queues:
-                        yield from shard_rows(shard, queues, [])
+                    yield from shard_rows(shard, queues)
                     shard, queues = s, {}
                 if control:
                     queues[source] = Queue(source, share, deficit)
-                else:
-                    own = np.empty(at[i + 1] - at[i] + 1, "<u4")
-                    own[:-1], own[-1] = ids[at[i] : at[i + 1]], end
-                    queues[source].push((doc, own))
-        if queues:
-            yield from shard_rows(shard, queues, [])
+                else:  # a copy, so that the batch need not stay
+                    queues[source].push((doc, np.frombuffer(batch.column("ids")[i].as_py(), width)))
+        yield from shard_rows(shard, queues)
 
     return work
 
 
+def carried(counts: DataFrame, block: int = 1024) -> DataFrame:
+    """(shard, source, tokens, share, deficit) from (shard, source, tokens): the part of all tokens, and what is lacking of it after the shards before.
+
+    A source's shards are added up in blocks, so no task holds all shards of one source.
+    """
+    total = counts.agg(F.sum("tokens").alias("total"))
+    share = counts.groupBy("source").agg(F.sum("tokens").alias("own")).crossJoin(F.broadcast(total)).select(F.col("source").alias("of"), (F.col("own") / F.col("total")).alias("share"))  # one row of totals
+    per_shard = counts.groupBy("shard").agg(F.sum("tokens").alias("shard_tokens"))
+
+    def before(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+        """``rows`` (keys, shard, value) with the sum of ``value`` over smaller shards."""
+        rows = rows.withColumn("block", F.floor(F.col("shard") / block))
+        sums = rows.groupBy(*keys, "block").agg(F.sum(value).alias("sum"))
+        ahead = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sums.select(*(F.col(k).alias("at_" + k) for k in keys), F.col("block").alias("at_block"), F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("start"))
+        same = F.col("block") == F.col("at_block")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col("at_" + k))
+        own = Window.partitionBy(*keys, "block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumn("inside", F.coalesce(F.sum(value).over(own), F.lit(0))).join(starts, same)
+        return rows.withColumn(value + "_before", F.col("start") + F.col("inside")).drop("block", "at_block", "start", "inside", *("at_" + k for k in keys))
+
+    rows = before(counts, "tokens", "source").join(before(per_shard, "shard_tokens").drop("shard_tokens"), "shard")
+    rows = rows.join(share, F.col("source").eqNullSafe(F.col("of")))
+    return rows.select("shard", "source", "tokens", "share", (F.col("share") * F.col("shard_tokens_before") - F.col("tokens_before")).alias("deficit"))
+
+
 def pack(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     window: int = 1024, targets: dict[str | None, float] | None = None, least_piece: int = 128,
-    shard_bytes: int = 12_000_000, most_queues: int = 64, end: int = 0,
+    shard_tokens: int = 4_000_000, end: int = 0,
 ) -> DataFrame:
     """One row per piece: id, source, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    ``targets`` are shares of tokens by source; without them each source has its share of the
-    bytes. The ``most_queues`` - 1 largest sources have queues of their own, all others share
-    one (named by a null source); so a shard's state and its table of shares stay bounded.
+    ``targets`` are shares of tokens by source (a source without one gets what the others leave of
+    a window); without them each source's target is its part of all tokens.
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
-    rows = docs.select(id_or_least(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(source_col).cast("string").alias("source"))
-    sizes = rows.groupBy("source").agg(F.sum(F.octet_length("text") + 1).alias("bytes"), F.count("*").alias("docs"))
-    largest = [r.source for r in sizes.orderBy(F.desc("bytes"), "source").limit(most_queues - 1).collect()]  # at most most_queues names
-    total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    shards = max(1, round(total / shard_bytes))
-    named = [s for s in largest if s is not None]
-    queue = F.when(F.col("source").isin(named), F.col("source")) if named else F.lit(None).cast("string")
-    dealt = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(shards)).alias("shard"), queue.alias("source"), "id", "text")
-    by_queue = dealt.groupBy("shard", "source").agg(F.sum(F.octet_length("text") + 1).cast("double").alias("bytes"))
-    per_queue = by_queue.groupBy("source").agg(F.sum("bytes").alias("all_bytes"))
+    rows = docs.select(id_or_least(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(source_col).cast("string").alias("source"), F.monotonically_increasing_id().alias("salt"))
+    coded = written(rows.mapInArrow(_encode(tokenizer, end), "id long, source string, salt long, tokens long, ids binary"))
+    total = coded.agg(F.sum("tokens")).first()[0] or 0
+    shards = max(1, round(total / shard_tokens))
+    # repeated rows and rows without an id spread over the shards too
+    coded = coded.withColumn("shard", F.pmod(F.xxhash64("id", "salt"), F.lit(shards)))
+    control = carried(coded.groupBy("shard", "source").agg(F.sum("tokens").alias("tokens")))
+    share = F.col("share")
     if targets:
         wanted = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "target_source string, target double")
-        per_queue = per_queue.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("target_source")), "left")
+        control = control.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("target_source")), "left")  # as long as the caller's list
         share = F.coalesce("target", F.lit(0.0)) / F.lit(float(sum(targets.values())))
-    else:
-        share = F.col("all_bytes") / F.lit(float(max(total, 1)))
-    per_queue = per_queue.select(F.col("source").alias("queue"), share.alias("share"))
-    # before each shard: what each queue should have had by now less what it had, in tokens
-    tokens_per_byte = 0.4
-    per_shard = by_queue.groupBy("shard").agg(F.sum("bytes").alias("shard_bytes"))
-    grid = by_queue.join(per_shard, "shard").join(F.broadcast(per_queue), F.col("source").eqNullSafe(F.col("queue")))
-    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    lag = F.coalesce(F.sum(F.col("share") * F.col("shard_bytes") - F.col("bytes")).over(before), F.lit(0.0)) * tokens_per_byte
-    control = grid.select(
-        "shard", F.lit(True).alias("control"), "source", F.lit(None).cast("long").alias("id"), F.lit("").alias("text"), "share",
-        F.greatest(F.lit(-4.0 * window), F.least(F.lit(4.0 * window), lag)).alias("deficit"),
-    )
-    body = dealt.select("shard", F.lit(False).alias("control"), "source", "id", "text", F.lit(0.0).alias("share"), F.lit(0.0).alias("deficit"))
+    control = control.select("shard", F.lit(True).alias("control"), "source", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("ids"), share.alias("share"), "deficit", F.lit(0).cast("long").alias("salt"))
+    body = coded.select("shard", F.lit(False).alias("control"), "source", "id", "ids", F.lit(0.0).alias("share"), F.lit(0.0).alias("deficit"), "salt")
     n = max(parts_for(docs), shards)
-    ready = control.unionByName(body).repartition(n, "shard").sortWithinPartitions("shard", F.desc("control"), F.xxhash64("id", "text"), "id")
-    return ready.mapInArrow(_pack(window, least_piece, tokenizer, end), OUT_DDL).withColumn("id", null_if_least("id")).withColumnRenamed("id", id_col)
+    ready = control.unionByName(body).repartition(n, "shard").sortWithinPartitions("shard", F.desc("control"), F.xxhash64("id", "salt"), "id")
+    out = ready.select("shard", "control", "source", "id", "ids", "share", "deficit").mapInArrow(_pack(window, least_piece, tokens(tokenizer).width), OUT_DDL)
+    return out.withColumn("id", null_if_least("id")).withColumnRenamed("id", id_col)

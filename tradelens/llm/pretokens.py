@@ -1,14 +1,15 @@
 """Byte-level BPE ids of whole slices of text.
 
 The split pattern of the vocabulary is applied to all characters of a slice at once; each
-distinct piece is encoded once and its ids are kept by the hash of its bytes. The ids are
-those of the ``tokenizers`` library on the same file (strings of special tokens count as text).
+distinct piece is encoded once and its ids are kept by its bytes. The ids are those of the
+``tokenizers`` library on the same file; as there, strings of added tokens are cut out of a text
+first and have their own ids.
 """
 
 from __future__ import annotations
 
-import base64  # noqa: F401
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -72,24 +73,44 @@ def _byte_alphabet() -> dict[str, int]:
 class Tokens:
     """Ids of byte-level BPE pieces, from the JSON file of the ``tokenizers`` library."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = spec.get("added_tokens", [])
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take in what stands beside them are not known here")
         letters = _byte_alphabet()
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        self._piece = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self._added = {t["content"].encode(): [t["id"]] for t in added}
+        self._cut = re.compile(b"|".join(re.escape(x) for x in sorted(self._added, key=len, reverse=True))) if added else None
+        ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token.encode() not in self._added}
+        self._coder = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        #: The narrowest little-endian type that holds every id.
+        self.width = "<u2" if max([*ranks.values(), *(i[0] for i in self._added.values())]) < 1 << 16 else "<u4"
         self.most = most
         self._clear()
 
+    def _piece(self, piece: bytes) -> list[int]:
+        return self._added.get(piece) or self._coder.encode_ordinary(piece.decode())
+
+    def _added_at(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, stop) of the added tokens, leftmost first; none crosses documents."""
+        found, at = [], 0
+        while self._cut and (hit := self._cut.search(raw, at)):
+            a, b = hit.span()
+            whole = offsets[np.searchsorted(offsets, a, "right")] >= b
+            if whole:
+                found.append((a, b))
+            at = b if whole else a + 1
+        return tuple(np.array(found, np.int64).reshape(-1, 2).T)
+
     def _clear(self) -> None:
-        self._known: dict[int, int] = {}
+        self._known: dict[bytes, int] = {}
         self._ids, self._used = np.empty(1 << 16, np.uint32), 0
         self._at, self._size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
-    def _add(self, key: int, ids: list[int]) -> int:
+    def _add(self, key: bytes, ids: list[int]) -> int:
         i, n = len(self._known), len(ids)
         if i == len(self._at):
             self._at, self._size = np.resize(self._at, 2 * i), np.resize(self._size, 2 * i)
@@ -112,18 +133,25 @@ class Tokens:
         first = np.zeros(len(codes), bool)
         chars = np.searchsorted(at, offsets)
         first[chars[:-1][chars[:-1] < len(codes)]] = True
-        starts = split(codes, first)
-        begin = at[starts]
+        cut, uncut = self._added_at(raw, offsets)
+        edges = np.searchsorted(at, np.concatenate([cut, uncut]))
+        first[edges[edges < len(codes)]] = True  # what stands around an added token is split on its own
+        begin = at[split(codes, first)]
+        if len(cut):  # nothing starts inside one
+            inside = np.searchsorted(cut, begin, "left") - 1
+            begin = begin[(inside < 0) | (begin >= uncut[np.maximum(inside, 0)])]
         stop = np.append(begin[1:], len(data))
         keys, one, inverse = np.unique(Prefix(data).of(begin, stop), return_index=True, return_inverse=True)
+        other = Prefix(data, 1).of(begin, stop)
+        if (other != other[one][inverse]).any():  # two pieces of one hash
+            keys, one, inverse = np.unique([raw[a:b] for a, b in zip(begin, stop, strict=True)], return_index=True, return_inverse=True)
         if len(self._known) + len(keys) > self.most:
             self._clear()
         known, add, piece = self._known, self._add, self._piece
-        place = [known.get(k, -1) for k in keys.tolist()]
-        where = np.array(place, np.int64)
+        own = [raw[a:b] for a, b in zip(begin[one].tolist(), stop[one].tolist(), strict=True)]
+        where = np.array([known.get(k, -1) for k in own], np.int64)
         for j in np.flatnonzero(where < 0).tolist():
-            i = one[j]
-            where[j] = add(int(keys[j]), piece(raw[begin[i] : stop[i]]))
+            where[j] = add(own[j], piece(own[j]))
         where = where[inverse]
         size = self._size[where]
         ends = np.cumsum(size)

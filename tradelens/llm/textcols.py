@@ -6,6 +6,9 @@ Every operator of this subpackage that needs byte-level work receives Arrow batc
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import checkpoint_folder, settle
+
 #: Bytes of text that one numpy pass works on (a longer document makes a slice of its own).
 SLICE_BYTES = 1 << 20
 #: Stands for a null id wherever ids are ordered: a null id comes before every other id.
@@ -43,28 +48,30 @@ def crc_remainder(name: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-def parts_for(docs: DataFrame, per_gb: int = 100) -> int:
+def parts_for(docs: DataFrame) -> int:
     """Shuffle partitions of the session: the one place where operators read it."""
     return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_batches(spark, rows: int = 2000):
-    """Arrow batches of at most ``rows`` rows for this session: whole texts make large rows."""
+def small_batches(spark, rows: int = 2000, bytes_: int = 8 << 20):
+    """Arrow batches of at most ``rows`` rows and about ``bytes_`` bytes for this session: whole texts make large rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(bytes_))
     return spark
 
 
-def ensure_checkpoint_dir(spark) -> None:
-    """Keep the cluster's shared checkpoint folder; set a local one only where none is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or "/tmp/tradelens-checkpoints")
+def written(df: DataFrame) -> DataFrame:
+    """The rows as Parquet in the shared checkpoint folder, read back: single columns can be read of it."""
+    path = f"{checkpoint_folder(df.sparkSession)}/rows-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows to the shared checkpoint folder and read them back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def release() -> None:
+    """Hand memory that a worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +97,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start), data[offsets[start] : offsets[stop]], offsets[start : stop + 1] - offsets[start]
             start = stop
+    release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -118,7 +126,9 @@ def _powers(family: int, n: int, inverse: bool = False) -> np.ndarray:
         base = pow(_BASES[family], -1, 1 << 64) if inverse else _BASES[family]
         steps = np.full(max(n, SLICE_BYTES + 1), base, _U)
         steps[0] = 1
-        have = _POWERS[family, inverse] = np.multiply.accumulate(steps)
+        have = np.multiply.accumulate(steps)
+        if n <= SLICE_BYTES + 1:  # those of a longer text are not kept
+            _POWERS[family, inverse] = have
     return have[:n]
 
 
