@@ -17,7 +17,7 @@ from tradelens.llm.mixing import mix_documents
 from tradelens.llm.packing import pack
 from tradelens.llm.queries import tokenizer_path
 from tradelens.llm.suffix_dedup import suffix_dedup
-from tradelens.llm.textcols import ensure_checkpoint_dir, row_key, settle, small_batches
+from tradelens.llm.textcols import checkpoint_folder, row_key, settle, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -103,8 +103,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet to the shared checkpoint folder and read again."""
     import uuid
 
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4()}"
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
