@@ -12,6 +12,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -73,7 +74,7 @@ def _byte_alphabet() -> dict[str, int]:
 class Tokens:
     """Ids of byte-level BPE pieces, from the JSON file of the ``tokenizers`` library."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 400_000):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -107,20 +108,20 @@ class Tokens:
 
     def _clear(self) -> None:
         self._known: dict[bytes, int] = {}
-        self._ids, self._used = np.empty(1 << 16, np.uint32), 0
-        self._at, self._size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def _add(self, key: bytes, ids: list[int]) -> int:
-        i, n = len(self._known), len(ids)
-        if i == len(self._at):
-            self._at, self._size = np.resize(self._at, 2 * i), np.resize(self._size, 2 * i)
-        while self._used + n > len(self._ids):
-            self._ids = np.resize(self._ids, 2 * len(self._ids))
-        self._ids[self._used : self._used + n] = ids
-        self._at[i], self._size[i] = self._used, n
-        self._used += n
-        self._known[key] = i
-        return i
+        self._ids, self._used = np.empty(0, np.uint32), 0
+        self._at, self._size = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _add(self, pieces: list[bytes]) -> np.ndarray:
+        """Encode new pieces; returns their places."""
+        ids = [self._piece(x) for x in pieces]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        first, n = len(self._known), len(ids)
+        self._known.update(zip(pieces, range(first, first + n), strict=True))
+        self._at = np.concatenate([self._at, self._used + np.cumsum(sizes) - sizes])
+        self._size = np.concatenate([self._size, sizes])
+        self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        self._used = len(self._ids)
+        return np.arange(first, first + n)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, offsets by document) of UTF-8 bytes."""
@@ -147,11 +148,11 @@ class Tokens:
             keys, one, inverse = np.unique([raw[a:b] for a, b in zip(begin, stop, strict=True)], return_index=True, return_inverse=True)
         if len(self._known) + len(keys) > self.most:
             self._clear()
-        known, add, piece = self._known, self._add, self._piece
         own = [raw[a:b] for a, b in zip(begin[one].tolist(), stop[one].tolist(), strict=True)]
+        known = self._known
         where = np.array([known.get(k, -1) for k in own], np.int64)
-        for j in np.flatnonzero(where < 0).tolist():
-            where[j] = add(own[j], piece(own[j]))
+        new = np.flatnonzero(where < 0)
+        where[new] = self._add([own[j] for j in new.tolist()])
         where = where[inverse]
         size = self._size[where]
         ends = np.cumsum(size)
