@@ -80,23 +80,31 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", most: int = 1 << 20)
     labels = settle(forest)
     for least in reversed(levels):
         top = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        labels = settle(spread_join(least, top, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+        labels = settle(spread_join(least, top, "root", "node", hot_keys(least, "root"), "left").select("node", F.coalesce("top", "root").alias("root")))
     return labels.select("node", F.col("root").alias("component"))
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, how: str = "inner", by: str = "node", least: int = 100) -> DataFrame:
+def hot_keys(rows: DataFrame, key: str, least: int = 100) -> DataFrame | None:
+    """(key, copies) of keys that hold more rows than a task should; None if there are none.
+
+    At most four keys a task can be that large, so this table can be sent to every task.
+    """
+    limit = max(least, rows.count() // (4 * parts_for(rows)))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("rows")).where(F.col("rows") > limit)
+    found = sizes.select(key, F.ceil(F.col("rows") / limit).cast("int").alias("_copies")).collect()  # at most 4 * partitions
+    return rows.sparkSession.createDataFrame(found, f"{key} long, _copies int") if found else None
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``table``, whose ``key`` is unique.
 
-    Keys that hold more rows than a task should are dealt to several tasks by a hash of the column
-    ``by`` and their row of ``table`` is repeated as often. At most four keys a task can be that
-    large, so their names are sent to all. ``rows`` and ``table`` are read twice.
+    Rows of ``hot`` keys are dealt to several tasks by a hash of the column ``by``, and their row
+    of ``table`` is repeated as often.
     """
-    parts = parts_for(rows)
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_size"))
-    total = rows.count()
-    limit = max(least, total // (4 * parts))
-    hot = F.broadcast(settle(sizes.where(F.col("_size") > limit).select(key, F.ceil(F.col("_size") / limit).cast("int").alias("_copies"))))
-    salt = F.pmod(F.xxhash64(by), F.coalesce("_copies", F.lit(1)))
-    left = rows.join(hot, key, "left").withColumn("_salt", salt.cast("int")).drop("_copies")
+    if hot is None:
+        return rows.join(table, key, how)
+    hot = F.broadcast(hot)
+    salt = F.pmod(F.xxhash64(by), F.coalesce("_copies", F.lit(1))).cast("int")
+    left = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_copies")
     right = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
     return left.join(right, [key, "_salt"], how).drop("_salt")

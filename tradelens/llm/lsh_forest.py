@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected
+from .graph import connected, hot_keys, spread_join
 from .textcols import Prefix, i64, id_or_least, lower_ascii, mix, null_if_least, parts_for, row_key, settle, slices, stream, words
 
 _U = np.uint64
@@ -157,54 +157,33 @@ def neighbours(tree: np.ndarray, labels: np.ndarray, ids: np.ndarray, least: int
 
 
 def _pairs(depth: int, least: int, region: int, crowd: int):
-    """Candidate pairs of one sorted stretch; its first and last rows also go out, with gap 0, for the seams."""
+    """Candidate pairs of whole blocks; guests, the first rows of the next block, are only the right one of a pair."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        reach = max(region, crowd)
-
         def out(table: pa.Table):
-            tree, ids = table.column("tree").to_numpy(), table.column("id").to_numpy()
+            group = (table.column("block").to_numpy() << 16) | table.column("tree").to_numpy()
+            ids, guest = table.column("id").to_numpy(), table.column("guest").to_numpy()
             labels = np.frombuffer(b"".join(table.column("label").to_pylist()), ">u4").reshape(len(ids), depth + 1)[:, :depth]
-            left, right, gap = neighbours(tree, labels, ids, least, region, crowd)
-            keep = ids[left] != ids[right]
+            left, right, gap = neighbours(group, labels, ids, least, region, crowd)
+            keep = (ids[left] != ids[right]) & ~guest[left]
             left, right, gap = left[keep], right[keep], gap[keep]
             a, b = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
-            return pa.record_batch([i64(a), i64(b), pa.array(tree[left]), pa.array(gap.astype(np.int32))], schema=_PAIRS)
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(x.num_rows for x in held) > 300_000:
-                table = pa.Table.from_batches(held)
-                yield out(table)
-                held = table.slice(table.num_rows - reach).combine_chunks().to_batches()
-        if held:
-            yield out(pa.Table.from_batches(held))
-
-    return work
-
+            return pa.record_batch([i64(a), i64(b), pa.array((group[left] & 0xFFFF).astype(np.int32)), pa.array(gap.astype(np.int32))], schema=_PAIRS)
 
-def _edges_of_stretches(reach: int):
-    schema = pa.schema([("tree", pa.int32()), ("label", pa.binary()), ("id", pa.int64()), ("stretch", pa.int32()), ("place", pa.int32())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, tail, stretch = [], None, None
-        count = 0
+        rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            stretch = batch.column("stretch")[0].as_py()
-            if count < reach:
-                first.append(batch.slice(0, reach - count))
-            count += batch.num_rows
-            tail = pa.Table.from_batches(([*tail.to_batches()] if tail is not None else []) + [batch])
-            tail = tail.slice(max(0, tail.num_rows - reach)).combine_chunks()
-        if count:
-            head = pa.Table.from_batches(first)
-            for table, sign in ((head, 1), (tail, -1)):
-                n = table.num_rows
-                yield pa.record_batch([*(table.column(c).combine_chunks() for c in ("tree", "label", "id")), pa.array(np.full(n, stretch if sign > 0 else stretch + 1, np.int32)), pa.array((np.arange(n) if sign > 0 else np.arange(-n, 0)).astype(np.int32))], schema=schema)
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            block = table.column("block").to_numpy()
+            last = int(np.searchsorted(block, block[-1], "left"))
+            if last > 50_000:
+                yield out(table.slice(0, last))
+                rest = table.slice(last).combine_chunks()
+            else:
+                rest = table
+        if rest is not None:
+            yield out(rest)
 
     return work
 
@@ -216,37 +195,46 @@ def hub_pairs(ordered: DataFrame, depth: int, region: int, hubs: int, visits: in
     stands in the most crowded regions. The first hub of all has gap 1 in tree 0: it comes in the
     first round of confirmation.
     """
-    rows = ordered.select("tree", F.substring("label", 1, 4 * depth).alias("values"), "id")
-    crowded = rows.groupBy("tree", "values").agg(F.count("*").alias("size")).where(F.col("size") > region).drop("size")
-    inside = settle(rows.join(crowded.hint("shuffle_hash"), ["tree", "values"]))
+    rows = ordered.select("tree", F.xxhash64("tree", F.substring("label", 1, 4 * depth)).alias("region"), "id")
+    crowded = settle(rows.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > region).select("region"))
+    inside = settle(rows.join(crowded.hint("shuffle_hash"), "region"))
     of_class = inside.groupBy("id").agg(F.count("*").alias("rank"), F.slice(F.array_sort(F.collect_list("tree")), 1, visits).alias("visited"))
-    ids = settle(of_class.select("id"))
-    inside = inside.join(of_class, "id")
-    slot = F.pmod(F.xxhash64("id"), F.lit(hubs)).alias("slot")
-    best = inside.groupBy("tree", "values", slot).agg(F.max(F.struct("rank", (-F.col("id")).alias("minus"))).alias("best"))
-    lead = best.groupBy("tree", "values").agg(F.collect_list("best").alias("bests"), F.max("best").alias("lead"))
-    pairs = inside.where(F.array_contains("visited", F.col("tree"))).join(lead, ["tree", "values"])
+    inside = settle(inside.join(of_class, "id").withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(hubs))))
+    ids = inside.select("id").distinct()
+    best = inside.groupBy("region", "slot").agg(F.max(F.struct("rank", (-F.col("id")).alias("minus"))).alias("best"))
+    lead = best.groupBy("region").agg(F.collect_list("best").alias("bests"), F.max("best").alias("lead"))
+    visited = inside.where(F.array_contains("visited", F.col("tree"))).select("region", "id")
+    pairs = spread_join(visited, lead, "region", "id", hot_keys(visited, "region"))
     pairs = pairs.select("id", F.explode("bests").alias("best"), "lead").select("id", (-F.col("best.minus")).alias("hub"), (F.col("best") == F.col("lead")).alias("first"))
     ends = [F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")]
     return ids, pairs.where("id <> hub").select(*ends, F.lit(0).alias("tree"), F.when(F.col("first"), 1).otherwise(2).alias("gap"))
 
 
-def candidates(classes: DataFrame, trees: int, depth: int, least: int, region: int, crowd: int, hubs: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b, tree, gap), a < b, from (id, signature), and (id) of the classes in crowded regions."""
-    n = parts_for(classes)
+def candidates(classes: DataFrame, trees: int, depth: int, least: int, region: int, crowd: int, hubs: int, block: int = 8192) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b, tree, gap), a < b, from (id, signature), and (id) of the classes in crowded regions.
+
+    The sorted orders are cut to blocks of ``block`` places; each block also gets the first places
+    of the next one, so no neighbours are parted wherever a task's rows end.
+    """
+    n, reach = parts_for(classes), max(region, crowd)
     rows = classes.mapInArrow(_labels(trees, depth), _TREE_DDL)
-    ordered = settle(rows.repartitionByRange(n, "tree", "label", "id").sortWithinPartitions("tree", "label", "id").withColumn("stretch", F.spark_partition_id()))
-    inside = ordered.mapInArrow(_pairs(depth, least, region, crowd), _PAIRS_DDL)
-    reach = max(region, crowd)
-    # around each seam between two stretches: the last rows of one and the first of the next
-    seams = ordered.mapInArrow(_edges_of_stretches(reach), "tree int, label binary, id long, stretch int, place int")
-    seams = seams.repartition(n, "stretch").sortWithinPartitions("stretch", "tree", "label", "id").mapInArrow(_pairs(depth, least, region, crowd), _PAIRS_DDL)
+    ordered = settle(rows.repartitionByRange(n, "tree", "label", "id").sortWithinPartitions("tree", "label", "id").withColumn("at", F.monotonically_increasing_id()))
+    stretch = F.shiftright("at", 33)
+    counts = ordered.groupBy(stretch.alias("stretch")).agg(F.count("*").alias("rows"))
+    ahead = F.coalesce(F.sum("rows").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("stretch", ahead.alias("before")))  # one row a partition
+    placed = ordered.join(starts, stretch == F.col("stretch")).withColumn("place", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    own = F.floor(F.col("place") / block)
+    both = (own > 0) & (F.col("place") % block < reach)
+    placed = placed.select("tree", "label", "id", own.alias("own"), F.explode(F.when(both, F.array(own, own - 1)).otherwise(F.array(own))).alias("block"))
+    placed = placed.select("block", "tree", "label", "id", (F.col("block") != F.col("own")).alias("guest"))
+    pairs = placed.repartition(n, "block").sortWithinPartitions("block", "tree", "label", "id").mapInArrow(_pairs(depth, least, region, crowd), _PAIRS_DDL)
     crowded, hub = hub_pairs(ordered, depth, region, hubs)
-    return inside.unionByName(seams).unionByName(hub), crowded
+    return pairs.unionByName(hub), crowded
 
 
 def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ca, cb), a < b: all pairs of different components that can be links, from (id, component, shingles).
+    """(a, b), a < b: all pairs of different components that can be links, from (id, component, shingles).
 
     The order of shingles is by number of sets, rarest first. In each bucket only classes outside
     its largest component look for partners.
@@ -254,7 +242,7 @@ def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     size = F.size("shingles").cast("long")
     tokens = sets.select("id", "component", size.alias("n"), F.explode("shingles").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
-    ranked = tokens.join(often, "token").groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"))
+    ranked = spread_join(tokens, often, "token", "id", hot_keys(tokens, "token")).groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"))
     most = (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("int")
     rare = ranked.select("id", "component", "n", F.explode(F.slice("ranked", F.lit(1), most)).alias("one"))
     rare = settle(rare.where("one.often > 1").select("id", "component", "n", F.col("one.token").alias("token")))
@@ -263,9 +251,7 @@ def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     own = rare.join(lead, "token").where("component <> lead").select("token", "lead", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
     pairs = own.join(rare, "token").where("component <> cx and (component = lead or x < id)")
     pairs = pairs.where(100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
-    first = F.col("x") < F.col("id")
-    ends = [F.when(first, F.col(u)).otherwise(F.col(v)).alias(w) for u, v, w in (("x", "id", "a"), ("id", "x", "b"), ("cx", "component", "ca"), ("component", "cx", "cb"))]
-    return pairs.select(*ends).distinct()
+    return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
 def _agree(size: int, least: float, *more: str):
@@ -281,12 +267,18 @@ def _agree(size: int, least: float, *more: str):
     return work
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, *more: str) -> DataFrame:
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("one"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("two"))
+def _both(pairs: DataFrame, table: DataFrame, column: str, one: str, two: str, hot: dict[str, DataFrame | None], how: str = "inner") -> DataFrame:
+    """Pairs (a, b, ...) with ``column`` of both ends as ``one`` and ``two``, from (id, column)."""
+    for end, other, name in (("a", "b", one), ("b", "a", two)):
+        pairs = spread_join(pairs, table.select(F.col("id").alias(end), F.col(column).alias(name)), end, other, hot[end], how)
+    return pairs
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hot: dict[str, DataFrame | None]) -> DataFrame:
+    """The pairs (a, b) that are links."""
     both = F.size(F.array_intersect("one", "two")).cast("long")
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", *more, both.alias("both"), (F.size("one") + F.size("two")).cast("long").alias("sizes"))
-    return rows.where(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select("a", "b", *more)
+    rows = _both(pairs, sets, "shingles", "one", "two", hot).select("a", "b", both.alias("both"), (F.size("one") + F.size("two")).cast("long").alias("sizes"))
+    return rows.where(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select("a", "b")
 
 
 def lsh_forest(
@@ -313,37 +305,31 @@ def lsh_forest(
     classes = settle(full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), lead, F.first("signature").alias("signature")))
     nodes = classes.groupBy(F.col("rep").alias("id")).agg(F.first("signature").alias("signature"))
     found, crowded = candidates(nodes, trees, depth, least, region, crowd, hubs)
-    found = found.groupBy("a", "b").agg(F.max((F.col("tree") < 2) & (F.col("gap") == 1)).alias("soon"))
-    signed = nodes.select("id", "signature")
-    found = found.join(signed.select(F.col("id").alias("a"), F.col("signature").alias("signature_a")), "a")
-    found = found.join(signed.select(F.col("id").alias("b"), F.col("signature").alias("signature_b")), "b")
-    pairs = settle(found.mapInArrow(_agree(size, agree, "soon"), "a long, b long, soon boolean"))
+    found = settle(found.groupBy("a", "b").agg(F.max((F.col("tree") < 2) & (F.col("gap") == 1)).alias("soon")))
+    hot = {end: hot_keys(found, end) for end in ("a", "b")}
+    sure = _agree(size, agree, "soon")
+    pairs = settle(_both(found, nodes, "signature", "signature_a", "signature_b", hot).mapInArrow(sure, "a long, b long, soon boolean"))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(crowded).distinct()
     texts = text.join(wanted.hint("shuffle_hash"), "id", "left_semi")
     sets = settle(texts.mapInArrow(_sets(width), "id long, shingles array<long>").dropDuplicates(["id"]))
-    links = settle(_confirmed(pairs.where("soon").select("a", "b"), sets, percent))
+    links = settle(_confirmed(pairs.where("soon").select("a", "b"), sets, percent, hot))
+    labels = connected(links).withColumnRenamed("node", "id")
+    # of the rest only pairs that are not connected by now
+    rest = _both(pairs.where("not soon").select("a", "b"), labels, "component", "ca", "cb", hot, "left")
+    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    links = settle(links.union(_confirmed(rest, sets, percent, hot)))
     labels = connected(links)
-    ends = labels.select("node", "component")
-    rest = pairs.where(~F.col("soon")).select("a", "b")
-    rest = rest.join(ends.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-    rest = rest.join(ends.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    rest = rest.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-    more = _confirmed(rest, sets, percent, "ca", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    above = connected(more).select(F.col("node").alias("component"), F.col("component").alias("top"))
-    # a class is in a component of the first round, of the second, of both or alone
-    nodes = classes.join(ends, classes.rep == ends.node, "left").select("rep", "set_a", "set_b", "lead", F.coalesce("component", "rep").alias("component"))
-    nodes = settle(nodes.join(above, "component", "left").select("rep", "set_a", "set_b", "lead", F.coalesce("top", "component").alias("component")))
+    named = classes.join(labels, classes.rep == labels.node, "left").select("rep", "set_a", "set_b", "lead", F.coalesce("component", "rep").alias("component"))
     if not crowded.isEmpty():
-        inside = sets.join(crowded, "id", "left_semi").join(nodes.select(F.col("rep").alias("id"), "component").dropDuplicates(["id"]), "id")
-        last = rare_pairs(inside, percent)
-        last = last.join(signed.select(F.col("id").alias("a"), F.col("signature").alias("signature_a")), "a")
-        last = last.join(signed.select(F.col("id").alias("b"), F.col("signature").alias("signature_b")), "b")
-        last = settle(last.mapInArrow(_agree(size, agree, "ca", "cb"), "a long, b long, ca long, cb long"))
-        last = _confirmed(last, sets, percent, "ca", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        joined = connected(last).select(F.col("node").alias("component"), F.col("component").alias("top"))
-        nodes = nodes.join(joined, "component", "left").select("set_a", "set_b", "lead", F.coalesce("top", "component").alias("component"))
-    best = nodes.groupBy("component").agg(F.min("lead").alias("best"))
-    components = nodes.join(best, "component").select("set_a", "set_b", "best")
+        inside = sets.join(crowded, "id", "left_semi").join(named.select(F.col("rep").alias("id"), "component").dropDuplicates(["id"]), "id")
+        last = settle(rare_pairs(settle(inside), percent).select("a", "b"))
+        hot = {end: hot_keys(last, end) for end in ("a", "b")}
+        last = _both(last, nodes, "signature", "signature_a", "signature_b", hot).mapInArrow(_agree(size, agree), "a long, b long")
+        labels = connected(links.union(_confirmed(settle(last), sets, percent, hot)))
+        named = classes.join(labels, classes.rep == labels.node, "left").select("rep", "set_a", "set_b", "lead", F.coalesce("component", "rep").alias("component"))
+    named = settle(named)
+    best = named.groupBy("component").agg(F.min("lead").alias("best"))
+    components = spread_join(named, best, "component", "rep", hot_keys(named, "component")).select("set_a", "set_b", "best")
     out = described.drop("signature").join(components, ["set_a", "set_b"], "left")
     linked = F.col("n_shingles") > 0
     component = F.when(linked, F.col("best.own")).otherwise(F.col("own"))
