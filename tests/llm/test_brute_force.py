@@ -63,8 +63,18 @@ def test_suffix_dedup(spark, small, texts):
     check_removed(rows(q.op3_suffix_dedup(spark, small)), texts, 100)
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_suffix_dedup_of_periodic_and_crowded_texts(spark, hot):
+@pytest.fixture
+def tiny_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "37")
+    yield
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("hot,bits", [(4096, 64), (2, 64), (40, 64), (4096, 3), (50, 1)])
+def test_suffix_dedup_of_periodic_and_crowded_texts(spark, tiny_batches, hot, bits):
+    """``hot`` and batches so small that anchors pass them; so few hash bits that repeats fail to verify."""
     from pyspark.sql import functions as F
 
     from tradelens.llm.suffix_dedup import suffix_dedup
@@ -76,12 +86,39 @@ def test_suffix_dedup_of_periodic_and_crowded_texts(spark, hot):
         own = "".join(rng.choices("klmnopqrst ", k=rng.randrange(0, 120)))
         cut = rng.randrange(0, 60)
         made[i] = own + passage[cut:] + own[::-1] + passage[: 160 - cut]
+    for i in range(60, 260):  # one anchor in many contexts, and in many equal ones
+        made[i] = f"{i % 120:04d} " + passage[20:120] + f" {i % 90:04d} " + "filler " * (i % 3)
     docs = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(5)
-    out = suffix_dedup(docs, hot=hot)
+    out = suffix_dedup(docs, hot=hot, bits=bits)
     out = out.select("doc_id", "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.length).alias("n_removed"), F.size("spans").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     check_removed(rows(out), {i: t.encode() for i, t in made.items()}, 100)
 
 
+def test_suffix_dedup_tells_texts_of_one_id_apart(spark):
+    from tradelens.llm.suffix_dedup import suffix_dedup
+
+    rng = random.Random(12)
+    passage = "".join(rng.choices("abcdefghij ", k=130))
+    own = ["".join(rng.choices("klmnopqrst ", k=150)) for _ in range(12)]
+    ids = [None, None, None, 7, 7, 7, 7, 1, 2, 3, 4, 5]
+    made = [(i, t + passage) for i, t in zip(ids, own, strict=True)] + [(7, own[3] + passage), (None, None), (None, "")]
+    got = suffix_dedup(spark.createDataFrame(made, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(made)
+    kept = {bytes(r.kept).decode() for r in got}
+    assert sum(passage in t for t in kept) == 1  # the copied row is the same document as the first of it
+    assert all(any(t[:-5] in k for k in kept) for t in own)
+
+
+def test_suffix_dedup_of_a_text_beyond_one_block(spark):
+    from tradelens.llm.suffix_dedup import _BLOCK, suffix_dedup
+
+    rng = np.random.default_rng(5)
+    text = bytes(rng.integers(97, 123, _BLOCK + 70_000, dtype=np.uint8)).decode()
+    made = [(1, text), (2, text[_BLOCK - 300 : _BLOCK + 200]), (3, "x" + text[-150:])]
+    got = {r.doc_id: [(s.start, s.length) for s in r.spans] for r in suffix_dedup(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [(0, 500)], 3: [(1, 150)]}
+
+
 def shingles(text, width=5):
     w = WORD.findall(text.translate(LOWER))
     if not w:

@@ -10,17 +10,22 @@ corpus would shuffle it many times over, so suffixes are first put in buckets:
 2.  Runs with equal anchor, distance and context hash are whole repeats of each other: all but
     the first are marked, already before the shuffle where one batch holds several; those marks
     are joined to one row where runs follow each other. The anchor
-    hash and the context hash come from two independent families.
+    hash and the context hash come from two independent families. Each mark is verified: the
+    SHA-256 of its bytes must be that of the bytes it is said to repeat. If one differs, no whole
+    repeats are marked at all and step 4 decides every anchor by its bytes.
 3.  Anchors that occur in unequal contexts get the bytes of their contexts. The suffixes that
     start at their windows are put in order by a merge sort; a comparison finds the common
     extension of two suffixes by binary search over prefix polynomial hashes. Neighbours whose
     common extension reaches ``length`` are equal; bytes are compared to verify it.
 4.  An anchor with more than ``hot`` contexts is not sorted in one task: its windows are
-    grouped by anchor, distance and window hash with map-side aggregation.
-
-Ids: a null id counts as the smallest. A row that repeats another row's id counts as the same
-document. Null or empty texts and texts shorter than ``length`` lose nothing. Columns other
-than id and text are ignored.
+    grouped by their bytes with map-side aggregation. Anchors that hold more rows than a task
+    should (found in a sample of documents) are also dealt by context in step 2.
+
+Ids: a null id counts as the smallest. A row that repeats another row's id and text counts as the
+same document. Different texts under one id or under none are documents of their own that come
+before all others, in the order of a hash. Null or empty texts and texts shorter than ``length``
+lose nothing; long texts are taken in blocks that overlap. An empty table gives no rows. Columns
+other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +34,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textcols import Prefix, i64, id_or_least, mix, null_if_least, parts_for, settle, slices, stream, utf8
+from .graph import hot_keys
+from .textcols import Prefix, document_ids, i64, mix, null_if_least, parts_for, settle, slices, stream, utf8
 
 _U = np.uint64
 _BLOCK = 1 << 23
@@ -82,9 +88,9 @@ def _identity(key: np.ndarray, context: np.ndarray, shape: np.ndarray) -> np.nda
     return mix(key ^ mix(context + shape.astype(_U) * _U(0x9E3779B97F4A7C15)))
 
 
-def _later(identity: np.ndarray, ids: np.ndarray, lows: np.ndarray) -> np.ndarray:
-    """Marks rows whose identity occurs with a smaller (id, position) in these arrays."""
-    later = np.zeros(len(identity), bool)
+def _leads(identity: np.ndarray, ids: np.ndarray, lows: np.ndarray) -> np.ndarray:
+    """For each row the row of smallest (id, position) with its identity."""
+    lead = np.arange(len(identity))
     ordered = np.sort(identity)
     twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     if len(twice):
@@ -92,46 +98,51 @@ def _later(identity: np.ndarray, ids: np.ndarray, lows: np.ndarray) -> np.ndarra
         some = np.flatnonzero(twice[np.minimum(at, len(twice) - 1)] == identity)
         some = some[np.lexsort((lows[some], ids[some], identity[some]))]
         head = np.flatnonzero(np.append(True, identity[some][1:] != identity[some][:-1]))
-        lead = some[np.repeat(head, np.diff(np.append(head, len(some))))]
-        later[some[(ids[some] != ids[lead]) | (lows[some] != lows[lead])]] = True
-    return later
+        lead[some] = some[np.repeat(head, np.diff(np.append(head, len(some))))]
+    return lead
 
 
-_RUNS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("context", pa.int64()), ("id", pa.int64()), ("place", pa.int64())])
-RUNS_DDL = "kind byte, key long, context long, id long, place long"
+#: ``place`` holds first window, windows and the anchor's distance; of a REPEAT first window and
+#: windows, and ``lead``, ``lead_at`` are the document and first window that it repeats.
+_RUNS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("context", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("lead", pa.int64()), ("lead_at", pa.int64())])
+RUNS_DDL = "kind byte, key long, context long, id long, place long, lead long, lead_at long"
 
 
 def _place(lows, counts, distances):
     return (lows.astype(np.int64) << 16) | (counts.astype(np.int64) << 8) | distances.astype(np.int64)
 
 
-def _joined(ids: np.ndarray, lows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbouring runs of one document as one run of fewer than 2**16 windows: (id, first window, windows)."""
+def _joined(ids: np.ndarray, lows: np.ndarray, counts: np.ndarray, leads: np.ndarray, lead_lows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Neighbouring runs that repeat neighbouring runs as one run of fewer than 2**16 windows: (id, first window, windows, lead, its first window)."""
+    lows, counts, lead_lows = (x.astype(np.int64) for x in (lows, counts, lead_lows))
     if not len(ids):
-        return ids, lows.astype(np.int64), counts.astype(np.int64)
-    apart = np.append(True, (ids[1:] != ids[:-1]) | (lows[1:] != lows[:-1] + counts[:-1]))
+        return ids, lows, counts, leads, lead_lows
+    apart = np.append(True, (ids[1:] != ids[:-1]) | (lows[1:] != lows[:-1] + counts[:-1]) | (leads[1:] != leads[:-1]) | (lead_lows[1:] != lead_lows[:-1] + counts[:-1]))
     ahead = np.cumsum(counts) - counts
     base = ahead[apart][np.cumsum(apart) - 1]
     piece = (ahead - base) >> 15
     head = np.flatnonzero(apart | np.append(True, piece[1:] != piece[:-1]))
-    return ids[head], lows[head].astype(np.int64), np.add.reduceat(counts, head).astype(np.int64)
+    return ids[head], lows[head], np.add.reduceat(counts, head), leads[head], lead_lows[head]
 
 
-def _anchors(length: int, k: int):
+def _anchors(length: int, k: int, mask: int, whole: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, held = [], 0
 
         def out(kept):
             ids, lows, counts, distances, keys, contexts = (np.concatenate(x) for x in zip(*kept, strict=True))
+            contexts &= _U(mask)
             place = _place(lows, counts, distances)
-            later = _later(_identity(keys, contexts, place & 0xFFFF), ids, lows)
-            left = ~later
-            again, starts, windows = _joined(ids[later], lows[later], counts[later])
+            lead = _leads(_identity(keys, contexts, place & 0xFFFF), ids, lows) if whole else np.arange(len(ids))
+            later = (ids != ids[lead]) | (lows != lows[lead])
+            left, lead = ~later, lead[later]
+            again, starts, windows, first, first_at = _joined(ids[later], lows[later], counts[later], ids[lead], lows[lead])
             kind = np.repeat(np.array([DISTINCT, REPEAT], np.int8), [left.sum(), len(again)])
             keys = np.concatenate([keys[left], mix(again.astype(_U) + starts.astype(_U))])
             contexts = np.concatenate([contexts[left], np.zeros(len(again), _U)])
-            places = np.concatenate([place[left], starts << 16 | windows])
-            return pa.record_batch([pa.array(kind), i64(keys), i64(contexts), i64(np.concatenate([ids[left], again])), i64(places)], schema=_RUNS)
+            none = np.zeros(left.sum(), np.int64)
+            columns = [np.concatenate(x) for x in ((ids[left], again), (place[left], starts << 16 | windows), (none, first), (none, first_at))]
+            return pa.record_batch([pa.array(kind), i64(keys), i64(contexts), *map(i64, columns)], schema=_RUNS)
 
         for rows, data, offsets in slices(batches):
             ids = rows.column("id").to_numpy(zero_copy_only=False)
@@ -151,57 +162,114 @@ def _anchors(length: int, k: int):
     return work
 
 
-def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Table, bool]]:
-    """Tables of whole key groups from batches sorted by key; a group of over ``most`` rows comes in parts (True)."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole key groups from batches sorted by key."""
     rest: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         rest.append(batch)
-        if sum(x.num_rows for x in rest) < 200_000 and sum(x.nbytes for x in rest) < 32_000_000:
+        if sum(x.num_rows for x in rest) < 100_000 and sum(x.nbytes for x in rest) < 16_000_000:
             continue
         table = pa.Table.from_batches(rest)
         keys = table.column("key").to_numpy()
         last = int(np.searchsorted(keys, keys[-1], "left"))
         if last:
-            yield table.slice(0, last), False
+            yield table.slice(0, last)
             rest = table.slice(last).combine_chunks().to_batches()
-        elif table.num_rows > most:
-            yield table, True
-            rest = []
     if rest:
-        yield pa.Table.from_batches(rest), False
+        yield pa.Table.from_batches(rest)
+
+
+_MARKS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("lead", pa.int64()), ("lead_at", pa.int64())])
+MARKS_DDL = "kind byte, key long, id long, place long, lead long, lead_at long"
 
 
-_MARKS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("id", pa.int64()), ("place", pa.int64())])
-MARKS_DDL = "kind byte, key long, id long, place long"
+def _meet(hot: int, whole: bool):
+    """Whole repeats, and the anchors that stand in several contexts.
 
+    Rows come in order of key, context, shape, id and place, so that a context's first row is
+    met before all others and an anchor needs no more room than its first ``hot`` contexts.
+    """
 
-def _meet(hot: int):
-    """Whole repeats, and the anchors that stand in several contexts."""
+    def rows_of(kind: int, part: tuple) -> pa.RecordBatch:
+        key, ids, place = part
+        none = np.zeros(len(key), np.int64)
+        return pa.record_batch([pa.array(np.full(len(key), kind, np.int8)), i64(key), i64(ids), i64(place), i64(none), i64(none)], schema=_MARKS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, part in _groups(batches, 1_000_000):
-            kind, ids, place = (table.column(x).to_numpy() for x in ("kind", "id", "place"))
-            key, context = (table.column(x).to_numpy().view(_U) for x in ("key", "context"))
+        last = None  # key, context and shape of the last row, id and first window of its first row
+        held: list[tuple] = []  # contexts of the last key
+        size = 0
+
+        def settled():
+            if size > 1 and held:
+                part = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                yield rows_of(CROWDED if size > hot else DISTINCT, part)
+
+        def take(key, ids, place):
+            """More contexts of the last key; a key with too many is not held any longer."""
+            nonlocal held, size
+            size += len(key)
+            held.append((key, ids, place))
+            if size > hot:
+                yield from settled()
+                held = []
+
+        for batch in batches:
+            kind, ids, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("kind", "id", "place"))
             done = kind == REPEAT
-            if part:
-                result = np.where(done, REPEAT, CROWDED).astype(np.int8)
-                yield pa.record_batch([pa.array(result), i64(key), i64(ids), i64(place)], schema=_MARKS)
+            if done.any():
+                yield pa.record_batch([batch.column(c).filter(pa.array(done)) for c in _MARKS.names], schema=_MARKS)
+            rest = np.flatnonzero(~done)
+            if not len(rest):
                 continue
-            open_ = np.flatnonzero(~done)
-            later = np.zeros(len(kind), bool)
-            later[open_] = _later(_identity(key[open_], context[open_], place[open_] & 0xFFFF), ids[open_], place[open_] >> 16)
-            rest = np.flatnonzero(~done & ~later)
-            starts = np.flatnonzero(np.append(True, key[rest][1:] != key[rest][:-1])) if len(rest) else np.empty(0, np.int64)
-            sizes = np.diff(np.append(starts, len(rest)))
-            size = np.repeat(sizes, sizes)
-            several = rest[size > 1]
-            place = np.where(later, place & ~np.int64(0xFFFF) | (place >> 8) & 0xFF, place)
-            result = np.where(done | later, REPEAT, -1).astype(np.int8)
-            result[several] = np.where(size[size > 1] > hot, CROWDED, DISTINCT)
-            keep = result >= 0
-            yield pa.record_batch([pa.array(result[keep]), i64(key[keep]), i64(ids[keep]), i64(place[keep])], schema=_MARKS)
+            key, context = (batch.column(c).to_numpy()[rest] for c in ("key", "context"))
+            spread = batch.column("spread").to_numpy(zero_copy_only=False)[rest]
+            ids, place = ids[rest], place[rest]
+            shape, low = place & 0xFFFF, place >> 16
+            n = len(rest)
+            new = np.ones(n, bool)
+            if whole:
+                new[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1]) | (shape[1:] != shape[:-1])
+                if last is not None:
+                    new[0] = last[:3] != (key[0], context[0], shape[0])
+            first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            lead, lead_at = ids[np.maximum(first, 0)], low[np.maximum(first, 0)]
+            if last is not None:
+                lead, lead_at = np.where(first < 0, last[3], lead), np.where(first < 0, last[4], lead_at)
+            again = np.flatnonzero(~new & ((ids != lead) | (low != lead_at)))
+            if len(again):
+                columns = key[again], ids[again], low[again] << 16 | (place[again] >> 8) & 0xFF, lead[again], lead_at[again]
+                yield pa.record_batch([pa.array(np.full(len(again), REPEAT, np.int8)), *map(i64, columns)], schema=_MARKS)
+            open_ = last is not None and last[0] == key[0]
+            last = (key[-1], context[-1], shape[-1], lead[-1], lead_at[-1])
+            one = np.flatnonzero(new)
+            if not open_:
+                yield from settled()
+                held, size = [], 0
+            if not len(one):
+                continue
+            wide = np.flatnonzero(spread[one])  # known to be crowded: several tasks share them
+            if len(wide):
+                yield rows_of(CROWDED, (key[one[wide]], ids[one[wide]], place[one[wide]]))
+            one = one[~spread[one]]
+            if not len(one):
+                continue
+            key, ids, place = key[one], ids[one], place[one]
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            edge, tail = (start[1], start[-1]) if len(start) > 1 else (len(key), len(key))
+            yield from take(key[:edge], ids[:edge], place[:edge])  # may go on from the batch before
+            if len(start) > 1:
+                yield from settled()
+                held, size = [], 0
+                counts = np.diff(start[1:])  # of keys that begin and end in this batch
+                many = np.repeat(counts, counts)
+                for code, good in ((DISTINCT, (many > 1) & (many <= hot)), (CROWDED, many > hot)):
+                    if good.any():
+                        yield rows_of(code, tuple(x[edge:tail][good] for x in (key, ids, place)))
+                yield from take(key[tail:], ids[tail:], place[tail:])
+        yield from settled()
 
     return work
 
@@ -307,7 +375,7 @@ def _windows(table: pa.Table, length: int):
 
 def _sort_contexts(length: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole, _ in _groups(batches, 1 << 62):
+        for whole in _groups(batches):
             at = 0
             keys = whole.column("key").to_numpy()
             while at < whole.num_rows:  # about 6,000 contexts at a time, never part of a group
@@ -333,24 +401,8 @@ def _sort_contexts(length: int):
     return work
 
 
-_WINDOWS_DDL = "key long, distance int, window long, again long, id long, position long"
-
-
-def _explode_windows(length: int):
-    schema = pa.schema([("key", pa.int64()), ("distance", pa.int32()), ("window", pa.int64()), ("again", pa.int64()), ("id", pa.int64()), ("position", pa.int64())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 3_000):
-                key, ids, low, data, row, step, suffix, distance = _windows(pa.Table.from_batches([batch.slice(at, 3_000)]), length)
-                one, two = Prefix(data, 0).of(suffix, suffix + length), Prefix(data, 1).of(suffix, suffix + length)
-                yield pa.record_batch([i64(key[row]), pa.array(distance.astype(np.int32)), i64(one), i64(two), i64(ids[row]), i64(low[row] + step)], schema=schema)
-
-    return work
-
-
-_RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("kept", pa.binary())])
-RESULT_DDL = "id long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary"
+_RESULT = pa.schema([("own", pa.int64()), ("row_key", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("kept", pa.binary())])
+RESULT_DDL = "own long, row_key long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary"
 
 
 def merge_spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -363,7 +415,7 @@ def merge_spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in slices(batches, "text", 1 << 22):
+    for rows, data, offsets in slices(batches):
         raw = data.tobytes()
         spans, kept = [], []
         ranges = rows.column("ranges")
@@ -383,40 +435,59 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append([{"start": int(x), "length": int(y - x)} for x, y in zip(low, high, strict=True)])
             edges = [0, *np.stack([low, high], 1).ravel().tolist(), len(text)]
             kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
-        yield pa.record_batch([rows.column("id"), i64(np.diff(offsets)), pa.array(spans, _RESULT.field("spans").type), pa.array(kept, pa.binary())], schema=_RESULT)
+        yield pa.record_batch([rows.column("own"), rows.column("row_key"), i64(np.diff(offsets)), pa.array(spans, _RESULT.field("spans").type), pa.array(kept, pa.binary())], schema=_RESULT)
+
+
+def _bytes(start, size) -> Column:
+    return F.substring(F.col("text").cast("binary"), start.cast("int"), size.cast("int"))
+
 
+def repeated_ranges(text: DataFrame, length: int = 100, k: int = 32, hot: int = 4096, bits: int = 64, whole: bool = True) -> DataFrame:
+    """(id, start, bytes): ranges of bytes, overlapping ones included, that repeat an earlier passage, from (id, text).
 
-def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, k: int = 32, hot: int = 4096) -> DataFrame:
-    """(id, start, bytes): ranges of bytes, overlapping ones included, that repeat an earlier passage."""
+    ``bits`` of the context hash are used. Without ``whole`` nothing is decided by hashes alone.
+    """
     if not 8 <= k < length or length - k + 1 > 255:
         raise ValueError("k must be at least 8, below length, and length - k below 255")
-    n = parts_for(docs)
-    text = docs.select(id_or_least(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    runs = text.where(F.length("text") > 0).mapInArrow(_anchors(length, k), RUNS_DDL)
-    marks = settle(runs.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_meet(hot), MARKS_DDL))
-    whole = marks.where(F.col("kind") == REPEAT).select("id", F.shiftright("place", 16).alias("start"), (F.col("place").bitwiseAND(F.lit(0xFFFF)) + length - 1).alias("bytes"))
-    several = marks.where(F.col("kind") != REPEAT).hint("shuffle_hash")
-    contexts = text.join(several, "id").select(
-        "kind", "key", "id", "place",
-        F.expr(f"substring(cast(text as binary), int(shiftright(place, 16)) + 1, int((shiftright(place, 8) & 255) + {length - 1}))").alias("context"),
-    )
+    n, mask = parts_for(text), (1 << bits) - 1
+    filled = text.where(F.length("text") > 0)
+    anchors = _anchors(length, k, mask, whole)
+    # a sample shows which anchors to spread; what is found does not hang on it
+    crowd = hot_keys(filled.where(F.pmod(F.xxhash64("id"), F.lit(64)) == 0).mapInArrow(anchors, RUNS_DDL).where(F.col("kind") != REPEAT), "key", least=max(100, hot))
+    runs = filled.mapInArrow(anchors, RUNS_DDL)
+    runs = runs.withColumn("spread", F.lit(False)) if crowd is None else runs.join(F.broadcast(crowd.select("key", F.lit(True).alias("spread"))), "key", "left").withColumn("spread", F.coalesce("spread", F.lit(False)) & (F.col("kind") != REPEAT))
+    ordered = runs.repartition(n, "key", F.when(F.col("spread"), F.col("context"))).sortWithinPartitions("key", "context", F.col("place").bitwiseAND(F.lit(0xFFFF)), "id", "place")
+    marks = settle(ordered.mapInArrow(_meet(hot, whole), MARKS_DDL))
+    start, windows = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(0xFFFF))
+    repeats = marks.where(F.col("kind") == REPEAT).select("id", start.alias("start"), (windows + length - 1).alias("bytes"), "lead", "lead_at")
+    if whole:
+        def digests(of: str, at: str, name: str) -> DataFrame:
+            ranges = repeats.withColumn("of", F.col(of)).hint("shuffle_hash")
+            return text.withColumnRenamed("id", "of").join(ranges, "of").select(*repeats.columns, F.unhex(F.sha2(_bytes(F.col(at) + 1, F.col("bytes")), 256)).alias(name)).distinct()
+
+        wrong = digests("id", "start", "one").join(digests("lead", "lead_at", "two"), repeats.columns).where("one <> two")
+        if not wrong.isEmpty():
+            return repeated_ranges(text, length, k, hot, bits, whole=False)
+    several = marks.where(F.col("kind") != REPEAT).select("kind", "key", "id", "place").hint("shuffle_hash")
+    contexts = text.join(several, "id").select("kind", "key", "id", "place", _bytes(F.shiftright("place", 16) + 1, F.shiftright("place", 8).bitwiseAND(F.lit(255)) + length - 1).alias("context"))
     ordered = contexts.where(F.col("kind") == DISTINCT).drop("kind").repartition(n, "key").sortWithinPartitions("key")
     partly = ordered.mapInArrow(_sort_contexts(length), SPANS_DDL)
-    windows = contexts.where(F.col("kind") == CROWDED).drop("kind").mapInArrow(_explode_windows(length), _WINDOWS_DDL)
-    same = ["key", "distance", "window", "again"]
-    first_id = windows.groupBy(*same, "id").agg(F.min("position").alias("position")).groupBy(*same).agg(F.min("id").alias("first_id"), F.count("*").alias("documents"))
-    firsts = windows.groupBy(*same, "id").agg(F.min("position").alias("first_position"))
-    crowd = windows.join(first_id, same).join(firsts, [*same, "id"]).where((F.col("id") != F.col("first_id")) | (F.col("position") != F.col("first_position")))
-    return whole.unionByName(partly).unionByName(crowd.select("id", F.col("position").alias("start"), F.lit(length).cast("long").alias("bytes")))
-
-
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, k: int = 32, hot: int = 4096) -> DataFrame:
-    """One row per input row: id, n_bytes, spans removed, and the bytes kept (binary: a cut may split a character)."""
-    text = docs.select(id_or_least(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    ranges = repeated_ranges(docs, id_col, text_col, length, k, hot)
+    # windows of crowded anchors, by their bytes
+    steps = F.explode(F.sequence(F.lit(0), F.shiftright("place", 8).bitwiseAND(F.lit(255)).cast("int") - 1))
+    windows = contexts.where(F.col("kind") == CROWDED).select("id", "place", "context", steps.alias("step"))
+    windows = windows.select(F.substring("context", F.col("step") + 1, F.lit(length)).alias("window"), "id", (F.shiftright("place", 16) + F.col("step")).alias("position"))
+    first = windows.groupBy("window").agg(F.min(F.struct("id", "position")).alias("first"))
+    crowd = windows.join(first, "window").where((F.col("id") != F.col("first.id")) | (F.col("position") != F.col("first.position")))
+    return repeats.select("id", "start", "bytes").unionByName(partly).unionByName(crowd.select("id", F.col("position").alias("start"), F.lit(length).cast("long").alias("bytes")))
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, k: int = 32, hot: int = 4096, bits: int = 64, with_key: bool = False) -> DataFrame:
+    """One row per input row: id, n_bytes, spans removed, and the bytes kept (binary: a cut may split a character); its ``row_key`` if ``with_key``."""
+    text = document_ids(docs, id_col, text_col).select(F.col("document").alias("id"), "own", "row_key", "text")
+    ranges = repeated_ranges(text.select("id", "text"), length, k, hot, bits)
     ranges = ranges.groupBy("id").agg(F.collect_list(F.struct("start", "bytes")).alias("ranges")).hint("shuffle_hash")
     whole = text.join(ranges, "id", "left").mapInArrow(_cut, RESULT_DDL)
-    return whole.select(null_if_least("id").alias(id_col), "n_bytes", "spans", "kept")
+    return whole.select(null_if_least("own").alias(id_col), "n_bytes", "spans", "kept", *(["row_key"] if with_key else []))
 
 
 __all__ = ["suffix_dedup", "repeated_ranges", "Suffixes", "merge_spans", "anchor_runs", "stream"]
