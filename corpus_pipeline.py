@@ -17,7 +17,7 @@ from tradelens.llm.mixing import mix_documents
 from tradelens.llm.packing import pack
 from tradelens.llm.queries import tokenizer_path
 from tradelens.llm.suffix_dedup import suffix_dedup
-from tradelens.llm.textcols import checkpoint_folder, row_key, settle, small_batches
+from tradelens.llm.textcols import checkpoint_folder, row_key, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,17 +31,6 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return docs.join(kept.select("row_key").distinct(), "row_key", "left_semi").select(*COLUMNS, "row_key")
 
 
-def _document_ids(docs: DataFrame) -> DataFrame:
-    """``document``: the id where one document has it alone, else the row key."""
-    docs = _keyed(docs)
-    shared = settle(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("shared_id")).count().where("count > 1").select("shared_id"))
-    if shared.isEmpty():
-        return docs.withColumn("document", F.coalesce("doc_id", "row_key"))
-    # rows without an id go by their key, so that they do not meet in one task
-    docs = docs.join(shared, F.coalesce("doc_id", "row_key") == F.col("shared_id"), "left")
-    return docs.withColumn("document", F.when(F.col("shared_id").isNull(), F.coalesce("doc_id", "row_key")).otherwise(F.col("row_key"))).drop("shared_id")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     small_batches(spark)
@@ -64,9 +53,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A cut inside a character also drops the rest of that character.
     """
     small_batches(spark)
-    docs = _document_ids(docs)
-    cut = suffix_dedup(docs, id_col="document", length=100, k=32).select("document", "spans", "kept")
-    joined = docs.join(cut, "document")
+    cut = suffix_dedup(docs, length=100, k=32, with_key=True).select("row_key", "spans", "kept")
+    joined = _keyed(docs).join(cut.dropDuplicates(["row_key"]), "row_key")
     whole = F.size("spans") == 0
     # bytes that do not form a character become U+FFFD, which no valid text part needs to keep
     text = F.when(whole, F.col("text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
