@@ -267,6 +267,67 @@ def test_unigram_baseline(spark, small, texts):
         assert r.score < 0
 
 
+def bits_by_hand(texts, training, order):
+    """Code length of each text by a plain adaptive walk down the contexts."""
+    counts = [defaultdict(Counter) for _ in range(order + 1)]
+    for i, t in texts.items():
+        if training(i):
+            own = bytes(order) + t + b"\0"
+            for p in range(order, len(own)):
+                for k in range(order + 1):
+                    counts[k][own[p - k : p]][own[p]] += 1
+    out = {}
+    for i, t in texts.items():
+        own, bits = bytes(order) + t + b"\0", 0.0
+        for p in range(order, len(own)):
+            gone: set[int] = set()
+            for k in range(order, -1, -1):
+                here = counts[k].get(own[p - k : p])
+                if not here:
+                    continue
+                free = {x: n for x, n in here.items() if x not in gone}
+                escape = len(free) if len(here) < 256 else 0
+                if own[p] in free:
+                    bits += np.log2((sum(free.values()) + escape) / free[own[p]])
+                    break
+                if escape:
+                    bits += np.log2((sum(free.values()) + escape) / escape)
+                gone |= set(here)
+            else:
+                bits += np.log2(256 - len(gone))
+        out[i] = bits
+    return out
+
+
+@pytest.mark.parametrize("order,common", [(4, 1 << 22), (4, 300), (2, 1), (6, 1000)])
+def test_code_lengths_of_whole_texts(spark, small, texts, order, common):
+    """With all, some and no strings sent to the tasks."""
+    from pyspark.sql import functions as F
+
+    from tradelens.llm.ppm import ppm_scores
+
+    some = {i: t for i, t in texts.items() if len(t) < 3000}
+    want = bits_by_hand(some, lambda i: i % 3 > 0, order)
+    docs = spark.read.parquet(f"{small}/documents.parquet").where(F.octet_length(F.coalesce("text", F.lit(""))) < 3000)
+    got = rows(ppm_scores(docs, F.col("doc_id") % 3 > 0, order=order, common_strings=common))
+    assert got.keys() == want.keys()
+    for i, bits in want.items():
+        assert got[i].score == pytest.approx(-bits * np.log10(2), rel=1e-9)
+
+
+def test_contexts_beat_words_where_words_follow_from_each_other(spark):
+    """Held-out text with spelling and word order of its own: the baseline sees words only."""
+    from pyspark.sql import functions as F
+
+    from tradelens.llm.ppm import ppm_scores
+
+    rng = random.Random(4)
+    stems, endings = ["walk", "talk", "jump", "play", "look", "turn", "call", "open"], ["s", "ed", "ing", "er", "able", "less"]
+    made = [(i, " ".join(f"{rng.choice(stems)}{rng.choice(stems)}{e} {e}ly" for e in rng.choices(endings, k=60))) for i in range(120)]
+    out = ppm_scores(spark.createDataFrame(made, "doc_id long, text string"), F.col("doc_id") < 80).where("doc_id >= 80").agg(F.sum("score"), F.sum("base_score")).first()
+    assert out[0] > 0.9 * out[1]
+
+
 def test_longer_contexts_predict_unseen_text_better(spark, medium):
     from pyspark.sql import functions as F
 

@@ -11,25 +11,33 @@ from tradelens.llm import queries as q
 from tradelens.llm.crf_langid import language_id, marginals, pair_counts
 from tradelens.llm.media import box, features, walk, write_media
 from tradelens.llm.mixing import mix_documents, rake
-from tradelens.llm.ppm import learn, trie_from
+from tradelens.llm.ppm import Trie, learn
 from tradelens.llm.textcols import crc_remainder
 from tradelens.llm.toxicity import maximal_segments
 
 
 def test_code_lengths_are_a_distribution_in_every_context(spark, small):
+    """Also after contexts that were never seen, and after those that were seen only in part."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    trie = trie_from(learn(docs), contexts=2048)
-    assert len(trie.cost) > 500
-    assert np.allclose((2.0 ** -trie.cost.astype(float)).sum(axis=1), 1, atol=1e-4)
+    trie = Trie(learn(docs))
+    seen = trie.contexts[4].orderBy(F.xxhash64("context")).limit(30).select("context")
+    other = spark.createDataFrame([(int.from_bytes(x, "big"),) for x in (b"\xff\xfe\xfd\xfc", b"\xffthe", b"\xff\xfehe", b"\0\0\0\0", b"\xff\xfe\xfde")], "context long")
+    strings = seen.union(other).distinct().select(F.explode(F.sequence(F.lit(0), F.lit(255))).alias("symbol"), "context").select((F.shiftleft("context", 8) + F.col("symbol")).alias("string"))
+    total = trie.bits(strings).groupBy(F.shiftright("string", 8).alias("context")).agg(F.sum(F.pow(F.lit(2.0), -F.col("bits"))).alias("p"), F.count("*").alias("n")).collect()
+    assert len(total) >= 30 and all(r.n == 256 and r.p == pytest.approx(1, abs=1e-9) for r in total)
 
 
 def test_code_length_by_hand(spark):
     docs = spark.createDataFrame([("ab",), ("ab",), ("ac",)], "text string")
-    trie = trie_from(learn(docs, order=1), order=1, contexts=10**6)
-    stream = np.array([0, *b"ab", 0], np.uint8)
-    bits = trie.bits(stream, np.array([1, 2, 3]))
-    # after nothing: a (3 of 3, one kind); after a: b 2 of 3, two kinds; after b: the end, 2 of 2, one kind
-    assert bits == pytest.approx([np.log2(4 / 3), np.log2(5 / 2), np.log2(3 / 2)], rel=1e-5)
+    trie = Trie(learn(docs, order=1), order=1)
+    want = {
+        b"\0a": np.log2(4 / 3), b"ab": np.log2(5 / 2), b"b\0": np.log2(3 / 2),  # after nothing: a (3 of 3, one kind); after a: b 2 of 3, two kinds; after b: the end, 2 of 2
+        b"bc": np.log2(3) + np.log2((6 + 3) / 1),  # an escape from b, then c once among a, b, c (6 of 9 bytes, the end excluded)
+        b"xa": np.log2((9 + 4) / 3),  # x is no context: of all 9 bytes a is three, four kinds
+        b"xy": np.log2((9 + 4) / 4) + np.log2(252),
+    }
+    got = {r.string.to_bytes(2, "big"): r.bits for r in trie.bits(spark.createDataFrame([(int.from_bytes(x, "big"),) for x in want], "string long")).collect()}
+    assert got == {x: pytest.approx(v) for x, v in want.items()}
 
 
 def test_marginals_by_enumeration():

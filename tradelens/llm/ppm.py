@@ -2,24 +2,25 @@
 
 Learning counts every string of ``order`` + 1 bytes of the training texts (texts are led by
 ``order`` zero bytes and closed by one, which is coded as the end). Shorter contexts follow by
-summing. A context stays in the trie when it holds at least one in ``contexts`` of all coded
-bytes, so an order has at most ``contexts`` nodes whatever the corpus size: this bound is what
-makes the trie small enough to send to every task. Escapes are estimated as the number of
-distinct symbols over that number plus the count (method C), and symbols seen in a longer
-context are excluded from the shorter ones. All code lengths are worked out once for each node
-and symbol; scoring looks up the longest kept context of every byte of every text.
-
-The baseline needs the count of each word. Words that make up at least one in 2**20 of the
-tokens are sent to every task (at most 2**20 of them), all others are joined by hash.
+summing. No context is left out: the trie is a set of tables, one for each depth, that are
+joined by context and grow with the corpus. Escapes are estimated as the number of distinct
+symbols over that number plus the count (method C), and symbols seen in a longer context are
+excluded from the shorter ones.
+
+Scoring sums the code lengths of a text's strings. Strings that make up at least one in
+``common_strings`` of the training bytes (so at most that many) are sent to every task with
+their code lengths; the others of each text are counted and joined with the tables. A string
+that was never seen goes down the trie by its contexts. In the same way words that make up at
+least one in ``common_words`` of the tokens are sent to every task for the baseline, all others
+are joined by hash.
 
 Null texts are empty: they code one end. A null id counts as the smallest in hashing and as ''
-in choosing training rows. Rows repeated exactly are scored once each. Empty tables give an
-empty result; without training rows every byte costs 8 bits.
+in choosing training rows. Rows repeated exactly are scored once each. Long texts are scored
+whole. Empty tables give an empty result; without training rows every byte costs 8 bits.
 """
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textcols import Prefix, crc_remainder, i64, id_or_least, lower_ascii, null_if_least, settle, slices, sums_by, words
+from .textcols import Prefix, crc_remainder, i64, id_or_least, lower_ascii, null_if_least, row_key, settle, slices, sums_by, words, written
 
-_WORD, _GRAM = 0, 1
+_WORD, _GRAM, _TEXT = 0, 1, 2
 
 
 def byte_stream(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +85,7 @@ def _count(order: int):
             low = lower_ascii(data)
             start, stop, _ = words(low, offsets)
             words_.append(_counted(Prefix(low).of(start, stop)))
-            if held > 48 << 20:
+            if held > 16 << 20:
                 yield from out()
                 words_, grams_, held = [], [], 0
         if words_:
@@ -100,112 +101,121 @@ END = 0x656E64
 
 
 class Trie:
-    """Code lengths in bits for each kept context and next byte."""
+    """Tables of all contexts.
 
-    def __init__(self, order: int, child: np.ndarray, cost: np.ndarray):
-        self.order, self.child, self.cost = order, child, cost
+    ``strings[k]`` has (string, n): the counts of all strings of a context of k bytes and the byte
+    after it, as one number. ``contexts[k]`` has (context, total, kinds, free_total, free_kinds):
+    counts and distinct symbols after it, and what the context one byte shorter has besides them.
+    """
 
-    @staticmethod
-    def build(order: int, level: np.ndarray, context: np.ndarray, symbol: np.ndarray, count: np.ndarray) -> Trie:
-        """From (level, context, symbol, count) of all kept contexts; a kept context's shorter ones are kept too."""
-        if not len(level):
-            return Trie(order, np.zeros((1, 256), np.int32), np.full((1, 256), 8.0, np.float32))
-        names = np.unique(level.astype(np.uint64) << np.uint64(56) | context.astype(np.uint64))
-        node = np.searchsorted(names, level.astype(np.uint64) << np.uint64(56) | context.astype(np.uint64))
-        n = len(names)
-        depth = (names >> np.uint64(56)).astype(np.int64)
-        own = names & np.uint64((1 << 56) - 1)
-        counts = np.zeros((n, 256), np.float64)
-        counts[node, symbol] = count
-        child = np.zeros((n, 256), np.int32)
-        parent = np.zeros(n, np.int64)
-        for d in range(1, order + 1):
-            at = np.flatnonzero(depth == d)
-            short = own[at] & np.uint64((1 << 8 * (d - 1)) - 1)
-            parent[at] = np.searchsorted(names, np.uint64(d - 1) << np.uint64(56) | short)
-            child[parent[at], (own[at] >> np.uint64(8 * (d - 1))).astype(np.int64)] = at
-        after = np.zeros((n, 256), np.float32)  # bits of a symbol once a node was escaped from
-        cost = np.empty((n, 256), np.float32)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            for i in range(n):  # names are in order of depth
-                seen = counts[i] > 0
-                if i == 0:
-                    after[0] = np.log2(max(1, 256 - seen.sum()))
-                else:
-                    up = counts[parent[i]]
-                    free = (up > 0) & ~seen
-                    total, kinds = up[free].sum(), free.sum()
-                    if kinds:
-                        after[i] = np.log2((total + kinds) / kinds) + after[parent[i]]
-                        after[i, free] = np.log2((total + kinds) / up[free])
-                    else:
-                        after[i] = after[parent[i]]
-                total, kinds = counts[i].sum(), seen.sum()
-                kinds = kinds if kinds < 256 else 0
-                cost[i] = np.log2((total + kinds) / kinds) + after[i] if kinds else np.inf
-                cost[i, seen] = np.log2((total + kinds) / counts[i, seen])
-        return Trie(order, child, cost)
-
-    def bits(self, stream: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Code length of each coded byte."""
-        node = np.zeros(len(at), np.int32)
-        alive = np.ones(len(at), bool)
-        for back in range(1, self.order + 1):
-            further = self.child[node, stream[at - back]]
-            alive &= further > 0
-            node = np.where(alive, further, node)
-        return self.cost[node, stream[at]]
-
-    def dump(self) -> bytes:
-        out = io.BytesIO()
-        np.savez_compressed(out, order=self.order, child=self.child, cost=self.cost)
-        return out.getvalue()
+    def __init__(self, counts: DataFrame, order: int = 4):
+        if not 1 <= order <= 6:
+            raise ValueError("order must be from 1 to 6: a string is one number")
+        self.order = order
+        self.strings = {order: counts.where(F.col("kind") == _GRAM).select(F.col("key").alias("string"), "n")}
+        for k in range(order - 1, -1, -1):
+            self.strings[k] = settle(self.strings[k + 1].groupBy(self._last(k + 1).alias("string")).agg(F.sum("n").alias("n")))
+        self.contexts: dict[int, DataFrame] = {}
+        for k in range(order + 1):
+            rows = self.strings[k].withColumn("context", F.shiftright("string", 8))
+            if k:
+                shorter = self.strings[k - 1].select(F.col("string").alias("shorter"), F.col("n").alias("also"))
+                rows = rows.join(shorter, self._last(k) == F.col("shorter"))
+            else:
+                rows = rows.withColumn("also", F.lit(0).cast("long"))
+            own = rows.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("also").alias("also"))
+            if k:
+                up = self.contexts[k - 1].select(F.col("context").alias("up"), F.col("total").alias("up_total"), F.col("kinds").alias("up_kinds"))
+                own = own.join(up, F.col("context").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)) == F.col("up"))
+                free = [(F.col("up_total") - F.col("also")).alias("free_total"), (F.col("up_kinds") - F.col("kinds")).alias("free_kinds")]
+            else:
+                free = [F.lit(0).cast("long").alias("free_total"), F.lit(0).cast("long").alias("free_kinds")]
+            self.contexts[k] = settle(own.select("context", "total", "kinds", *free))
 
     @staticmethod
-    def load(raw: bytes) -> Trie:
-        with np.load(io.BytesIO(raw)) as z:
-            return Trie(int(z["order"]), z["child"], z["cost"])
-
-
-_LOADED: dict[int, Trie] = {}
-
-_SCORE = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("word", pa.int64()), ("n", pa.int64()), ("copies", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("bits", pa.float64())])
-_SCORE_DDL = "id long, text_hash long, word long, n long, copies long, n_tokens long, n_known long, base double, bits double"
-
-
-def _score(model, common, least: float, ends: int):
-    """A row for each text, and one for each of its words that are not among the common ones."""
+    def _last(size: int):
+        return F.col("string").bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+    def seen(self) -> DataFrame:
+        """(string, n, bits) of all strings that were learned from."""
+        own = self.contexts[self.order].select("context", "total", "kinds")
+        escape = F.when(F.col("kinds") < 256, F.col("kinds")).otherwise(0)
+        rows = self.strings[self.order].withColumn("context", F.shiftright("string", 8)).join(own, "context")
+        return rows.select("string", "n", F.log2((F.col("total") + escape) / F.col("n")).alias("bits"))
+
+    def bits(self, strings: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+        """(string, bits): the code length of a string's last byte after the others, from (string), distinct."""
+        known = strings.join(self.seen() if seen is None else seen, "string", "left").select("string", F.col("bits").alias("known"))
+        known = settle(known)
+        rows = known.where("known is null").select("string")
+        for k in range(self.order, -1, -1):
+            names = [F.col(c).alias(f"{c}_{k}") for c in ("context", "total", "kinds", "free_total", "free_kinds")]
+            rows = rows.join(self.contexts[k].select(*names), F.shiftright(self._last(k + 1), 8) == F.col(f"context_{k}"), "left")
+            if k < self.order:  # at the full order it was not seen
+                rows = rows.join(self.strings[k].select(F.col("string").alias(f"string_{k}"), F.col("n").alias(f"n_{k}")), self._last(k + 1) == F.col(f"string_{k}"), "left")
+            else:
+                rows = rows.withColumn(f"n_{k}", F.lit(None).cast("long"))
+        bits, found, entered = F.lit(0.0), F.lit(False), F.lit(False)
+        for k in range(self.order, -1, -1):
+            there, hit = F.col(f"total_{k}").isNotNull(), F.col(f"n_{k}").isNotNull()
+            mass, kinds = F.col(f"total_{k}"), F.col(f"kinds_{k}")
+            if k < self.order:  # after an escape only what the longer context lacks is left
+                mass, kinds = F.when(entered, F.col(f"free_total_{k + 1}")).otherwise(mass), F.when(entered, F.col(f"free_kinds_{k + 1}")).otherwise(kinds)
+            escape = F.when(F.col(f"kinds_{k}") < 256, kinds).otherwise(0)
+            step = F.when(~there, 0.0).when(hit, F.log2((mass + escape) / F.col(f"n_{k}"))).when(escape > 0, F.log2((mass + escape) / escape)).otherwise(0.0)
+            bits = bits + F.when(found, 0.0).otherwise(step)
+            found, entered = found | hit, entered | there
+        rest = F.log2(F.greatest(F.lit(1), F.lit(256) - F.coalesce("kinds_0", F.lit(0))))
+        new = rows.select("string", (bits + F.when(found, 0.0).otherwise(rest)).alias("bits"))
+        return known.where("known is not null").select("string", F.col("known").alias("bits")).unionByName(new)
+
+
+_SCORE = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("row_key", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("bits", pa.float64())])
+_SCORE_DDL = "kind byte, id long, row_key long, key long, n long, n_tokens long, n_known long, base double, bits double"
+
+
+def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each key is in a sorted table, its value or 0)."""
+    known, values = table
+    if not len(known):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    there = known[place] == keys
+    return there, np.where(there, values[place], 0)
+
+
+def _score(shared, order: int, least: float, ends: int):
+    """A row for each text, and one for each of its words and strings that are not among the common ones."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _LOADED.get(model.value[0])
-        if trie is None:
-            _LOADED.clear()
-            trie = _LOADED[model.value[0]] = Trie.load(model.value[1])
-        known, counts = common.value
+        common_words, common_strings = shared.value
         for rows, data, offsets in slices(batches):
             n = rows.num_rows
-            stream, at, coded = byte_stream(data, offsets, trie.order)
-            bits = sums_by(trie.bits(stream, at).astype(np.float64), coded)
+            ids, keys = (rows.column(c).to_numpy() for c in ("id", "row_key"))
+
+            def rest(kind, first, places, names, which):
+                """Rows of what each text has of the uncommon ones."""
+                doc = np.searchsorted(first, places, "right") - 1
+                pairs, times = _counted(doc.astype(np.uint64) << np.uint64(40) | which[places].astype(np.uint64))
+                doc, own = (pairs >> np.uint64(40)).astype(np.int64), (pairs & np.uint64((1 << 40) - 1)).astype(np.int64)
+                none, no = np.zeros(len(doc), np.int64), np.zeros(len(doc))
+                return pa.record_batch([pa.array(np.full(len(doc), kind, np.int8)), i64(ids[doc]), i64(keys[doc]), i64(names[own]), i64(times), i64(none), i64(none), pa.array(no), pa.array(no)], schema=_SCORE)
+
+            stream, at, coded = byte_stream(data, offsets, order)
+            strings, which = np.unique(grams(stream, at, order + 1), return_inverse=True)
+            there, bits = _found(common_strings, strings)
+            bits = sums_by(bits[which], coded)
+            yield rest(_GRAM, coded, np.flatnonzero(~there[which]), strings, which)
             low = lower_ascii(data)
             start, stop, first = words(low, offsets)
-            word, inverse = np.unique(Prefix(low).of(start, stop), return_inverse=True)
-            place = np.minimum(np.searchsorted(known, word), max(len(known) - 1, 0))
-            count = np.where(known[place] == word, counts[place], 0) if len(known) else np.zeros(len(word), np.int64)
-            token = count[inverse]
+            word, which = np.unique(Prefix(low).of(start, stop), return_inverse=True)
+            there, count = _found(common_words, word)
+            token = count[which]
             base = sums_by(np.where(token > 0, np.log10(token + 1) + least, 0.0), first) + np.log10(ends + 1) + least
-            sure = sums_by((token > 0).astype(np.int64), first) + (ends > 0)
-            ids, hashes = rows.column("id"), rows.column("text_hash")
+            sure = sums_by(there[which].astype(np.int64), first) + (ends > 0)
+            yield rest(_WORD, first, np.flatnonzero(~there[which]), word, which)
             zero = np.zeros(n, np.int64)
-            own = [ids, hashes, i64(Prefix(data).of(offsets[:-1], offsets[1:]) ^ ids.to_numpy().view(np.uint64)), i64(zero), i64(zero + 1), i64(np.diff(first) + 1), i64(sure), pa.array(base), pa.array(bits)]
-            yield pa.record_batch(own, schema=_SCORE)
-            rare = np.flatnonzero(token == 0)
-            if len(rare):
-                doc = np.searchsorted(first, rare, "right") - 1
-                pairs, times = _counted(doc.astype(np.uint64) << np.uint64(40) | inverse[rare].astype(np.uint64))
-                doc, which = (pairs >> np.uint64(40)).astype(np.int64), (pairs & np.uint64((1 << 40) - 1)).astype(np.int64)
-                none, no = np.zeros(len(doc), np.int64), np.zeros(len(doc))
-                rest = [i64(ids.to_numpy()[doc]), i64(hashes.to_numpy()[doc]), i64(word[which]), i64(times), i64(none), i64(none), i64(none), pa.array(no), pa.array(no)]
-                yield pa.record_batch(rest, schema=_SCORE)
+            yield pa.record_batch([pa.array(np.full(n, _TEXT, np.int8)), i64(ids), i64(keys), i64(zero), i64(zero + 1), i64(np.diff(first) + 1), i64(sure), pa.array(base), pa.array(bits)], schema=_SCORE)
 
     return work
 
@@ -216,27 +226,16 @@ def learn(docs: DataFrame, text_col: str = "text", order: int = 4) -> DataFrame:
     return text.mapInArrow(_count(order), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def trie_from(counts: DataFrame, order: int = 4, contexts: int = 8192) -> Trie:
-    """The trie of the contexts that hold at least one in ``contexts`` of all coded bytes."""
-    strings = counts.where(F.col("kind") == _GRAM).select("key", "n")
-    total = strings.agg(F.sum("n")).first()[0] or 0
-    levels = []
-    for k in range(order + 1):
-        mask = (1 << 8 * (k + 1)) - 1
-        own = strings.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n"))
-        context = F.shiftright("key", 8)
-        own = own.select(F.lit(k).alias("level"), context.alias("context"), F.col("key").bitwiseAND(F.lit(255)).alias("symbol"), "n")
-        heavy = own.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") * contexts >= total)
-        levels.append(own.join(heavy.select("context"), "context", "left_semi").select("level", "context", "symbol", "n"))
-    kept = levels[0]
-    for level in levels[1:]:
-        kept = kept.unionByName(level)
-    rows = kept.toArrow().to_pandas()  # at most contexts * 256 for each order
-    return Trie.build(order, *(rows[c].to_numpy() for c in ("level", "context", "symbol", "n")))
-
-
-def ppm_scores(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", order: int = 4, contexts: int = 8192, common_share: int = 1 << 20) -> DataFrame:
-    """Per row: id, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text), bits_per_byte.
+def _sorted(rows: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """A small table as sorted keys and their values."""
+    table = rows.select(key, value).toArrow()
+    keys = table.column(key).to_numpy().astype(np.int64).view(np.uint64)
+    by = np.argsort(keys)
+    return keys[by], table.column(value).to_numpy()[by]
+
+
+def ppm_scores(docs: DataFrame, training, id_col: str = "doc_id", text_col: str = "text", order: int = 4, common_strings: int = 1 << 22, common_words: int = 1 << 20) -> DataFrame:
+    """Per row: id, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text).
 
     ``training`` is a condition on the rows of ``docs`` that the model learns from.
     """
@@ -246,26 +245,30 @@ def ppm_scores(docs: DataFrame, training, id_col: str = "doc_id", text_col: str
     total, types = vocabulary.agg(F.sum("n"), F.count("*")).first()
     total, types = total or 0, types or 0
     ends = (vocabulary.where(F.col("key") == END).agg(F.sum("n")).first()[0]) or 0
-    common = vocabulary.where((F.col("n") * common_share >= total) & (F.col("key") != END)).toArrow().to_pandas()  # at most common_share rows
-    keys = common["key"].to_numpy().astype(np.int64).view(np.uint64)
-    by = np.argsort(keys)
-    raw = trie_from(counts, order, contexts).dump()
-    model = spark.sparkContext.broadcast((hash(raw), raw))
-    table = spark.sparkContext.broadcast((keys[by], common["n"].to_numpy().astype(np.int64)[by]))
+    vocabulary = vocabulary.where(F.col("key") != END)
+    trie = Trie(counts, order)
+    seen = settle(trie.seen())
+    size = seen.agg(F.sum("n")).first()[0] or 0
+    # at most common_words and common_strings rows
+    common = _sorted(vocabulary.where(F.col("n") * common_words >= total), "key", "n"), _sorted(seen.where(F.col("n") * common_strings >= size), "string", "bits")
     least = -float(np.log10(total + types + 1))
-    text = docs.select(id_or_least(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = text.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_score(model, table, least, ends), _SCORE_DDL)
-    rare = vocabulary.where((F.col("n") * common_share < total) & (F.col("key") != END)).select(F.col("key").alias("word"), F.col("n").alias("count"))
-    rows = rows.join(rare, "word", "left")
-    seen = F.coalesce("count", F.lit(0))
-    out = rows.groupBy("id", "text_hash").agg(
-        F.sum("copies").alias("copies"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(seen > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.col("n") * (F.log10(seen + 1) + least)).alias("base"), F.sum("bits").alias("bits"),
-    )
+    text = docs.select(id_or_least(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = written(text.mapInArrow(_score(spark.sparkContext.broadcast(common), order, least, ends), _SCORE_DDL))
+    none, no = F.lit(0).cast("long"), F.lit(0.0)
+    rare = vocabulary.where(F.col("n") * common_words < total).select("key", F.col("n").alias("count"))
+    count = F.coalesce("count", F.lit(0))
+    of_words = rows.where(F.col("kind") == _WORD).select("id", "row_key", "key", "n").join(rare, "key", "left").select(
+        "id", "row_key", none.alias("copies"), none.alias("n_tokens"), F.when(count > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * (F.log10(count + 1) + least)).alias("base"), no.alias("bits"))
+    strings = rows.where(F.col("kind") == _GRAM).select("id", "row_key", F.col("key").alias("string"), "n")
+    lengths = trie.bits(strings.select("string").distinct(), seen)
+    of_strings = strings.join(lengths, "string").select("id", "row_key", none.alias("copies"), none.alias("n_tokens"), none.alias("n_known"), no.alias("base"), (F.col("n") * F.col("bits")).alias("bits"))
+    of_texts = rows.where(F.col("kind") == _TEXT).select("id", "row_key", F.col("n").alias("copies"), "n_tokens", "n_known", "base", "bits")
+    sums = ["copies", "n_tokens", "n_known", "base", "bits"]
+    out = of_texts.unionByName(of_words).unionByName(of_strings).groupBy("id", "row_key").agg(*(F.sum(c).alias(c) for c in sums))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     each = [(F.col(c) / F.col("copies")).cast("long").alias(c) for c in ("n_tokens", "n_known")]
     score = F.col("bits") / F.col("copies") * F.lit(-float(np.log10(2)))
     return out.select(null_if_least("id").alias(id_col), *each, F.lit(total).cast("long").alias("train_tokens"), (F.col("base") / F.col("copies")).alias("base_score"), score.alias("score"))
 
 
-__all__ = ["ppm_scores", "learn", "trie_from", "Trie", "crc_remainder"]
+__all__ = ["ppm_scores", "learn", "Trie", "crc_remainder"]
