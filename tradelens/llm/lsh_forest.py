@@ -236,21 +236,31 @@ def candidates(classes: DataFrame, trees: int, depth: int, least: int, region: i
 def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b), a < b: all pairs of different components that can be links, from (id, component, shingles).
 
-    The order of shingles is by number of sets, rarest first. In each bucket only classes outside
-    its largest component look for partners.
+    The order of shingles is by number of sets, rarest first. Sets of x and y shingles that are
+    links share at least ``need`` = percent * (x + y) / (100 + percent), hence one of the first
+    x - need + 1 of the one and of the first y - need + 1 of the other. Sets meet in a bucket for
+    each of these, first by the smallest set of the bucket, then by each other's size. In a bucket
+    only classes outside its largest component look for partners.
     """
-    size = F.size("shingles").cast("long")
-    tokens = sets.select("id", "component", size.alias("n"), F.explode("shingles").alias("token"))
+    def need(x, y):
+        return F.ceil(percent * (x + y) / (100 + percent))
+
+    n, m, at = F.col("n"), F.col("m"), F.col("at")
+    tokens = sets.select("id", "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ranked = spread_join(tokens, often, "token", "id", hot_keys(tokens, "token")).groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"))
-    most = (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1).cast("int")
-    rare = ranked.select("id", "component", "n", F.explode(F.slice("ranked", F.lit(1), most)).alias("one"))
-    rare = settle(rare.where("one.often > 1").select("id", "component", "n", F.col("one.token").alias("token")))
-    lead = rare.groupBy("token", "component").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max(F.struct("rows", "component")).alias("lead"), F.count("*").alias("components"))
-    lead = lead.where("components > 1").select("token", F.col("lead.component").alias("lead"))
-    own = rare.join(lead, "token").where("component <> lead").select("token", "lead", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    pairs = own.join(rare, "token").where("component <> cx and (component = lead or x < id)")
-    pairs = pairs.where(100 * F.least("n", "nx") >= percent * F.greatest("n", "nx"))
+    # with a partner of its own size or smaller, down to percent of it
+    most = (n - need(n, F.ceil(n * percent / 100)) + 1).cast("int")
+    rare = ranked.select("id", "component", "n", F.posexplode(F.slice("ranked", F.lit(1), most)).alias("at", "one"))
+    rare = settle(rare.where("one.often > 1").select("id", "component", "n", F.col("one.token").alias("token"), (at + 1).alias("at")))
+    sizes = rare.groupBy("token", "component").agg(F.count("*").alias("rows"), F.min("n").alias("m")).groupBy("token")
+    bucket = sizes.agg(F.max(F.struct("rows", "component")).alias("lead"), F.count("*").alias("components"), F.min("m").alias("m"))
+    bucket = settle(bucket.where("components > 1").select("token", F.col("lead.component").alias("lead"), "m"))
+    near = rare.join(bucket, "token").where(at <= n - need(n, F.greatest(m, F.ceil(n * percent / 100))) + 1)
+    near = settle(near.select("token", "id", "component", "n", "at", "lead"))
+    own = near.where("component <> lead").select("token", F.col("id").alias("x"), F.col("component").alias("cx"), n.alias("m"), F.col("at").alias("x_at"))
+    pairs = own.join(near, "token").where("component <> cx and (component = lead or x < id)")
+    pairs = pairs.where((100 * F.least(n, m) >= percent * F.greatest(n, m)) & (at <= n - need(n, m) + 1) & (F.col("x_at") <= m - need(n, m) + 1))
     return pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
