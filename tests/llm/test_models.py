@@ -202,3 +202,96 @@ def test_quality_on_held_out_rows(spark, medium):
     out = cotrain(docs, labels, training=crc_remainder("doc_id", 4) != 1)
     out = out.join(labels, "doc_id").where(crc_remainder("doc_id", 4) == 1).toPandas()
     assert area(out.score.to_numpy(), out.quality.to_numpy()) > 0.75
+
+
+def cotrained_by_hand(frame, rounds, steps, sure, ridge):
+    """The whole of co-training on one frame of all rows, by loops over the rows."""
+    from tradelens.llm.cotrain import Content, Metadata
+    from tradelens.llm.toxicity import logistic
+
+    label = frame.quality.to_numpy(float)
+    known = ~np.isnan(label)
+    x = np.stack(frame.content.to_numpy())
+    views = [Content(x[known])(x), Metadata()(frame.source, frame.lang, frame.length.to_numpy(float))]
+    aside, learn = known & (frame.part.to_numpy() % 4 == 0), known & (frame.part.to_numpy() % 4 > 0)
+    sigmoid = lambda t: 1 / (1 + np.exp(-np.clip(t, -60, 60)))
+    w = [logistic(v[learn], label[learn], ridge) for v in views]
+
+    def calibrate():
+        out = []
+        for v, own in zip(views, w, strict=True):
+            odds = np.clip(v @ own[:-1] + own[-1], -30, 30)
+            a, b = logistic(odds[aside][:, None], label[aside], ridge=0.1)
+            out.append(max(a, 0.0) * odds + b)
+        return out
+
+    odds = calibrate()
+    for _ in range(rounds):
+        scale = [(np.polyfit(np.clip(v @ own[:-1] + own[-1], -30, 30), o, 1)) for v, own, o in zip(views, w, odds, strict=True)]
+        for _ in range(steps):
+            teach = [sigmoid(k[0] * np.clip(v @ own[:-1] + own[-1], -30, 30) + k[1]) for v, own, k in zip(views, w, scale, strict=True)]
+            new = []
+            for pupil in (0, 1):
+                target, weight = np.where(learn, label, 0.0), learn.astype(float)
+                for kind, p in ((0.0, 1 - teach[1 - pupil]), (1.0, teach[1 - pupil])):
+                    rows = ~known & (p >= sure)
+                    target[rows] = kind
+                    weight[rows] = min(1.0, (label[learn] == kind).sum() / max(rows.sum(), 1))
+                z = np.column_stack([views[pupil], np.ones(len(x))])
+                p = sigmoid(z @ w[pupil])
+                penalty = np.append(np.full(z.shape[1] - 1, ridge), 1e-6)
+                grad, curve = penalty * w[pupil], np.diag(penalty) + 1e-9 * np.eye(z.shape[1])
+                for r in np.flatnonzero(weight):
+                    grad = grad + weight[r] * (p[r] - target[r]) * z[r]
+                    curve = curve + weight[r] * p[r] * (1 - p[r]) * np.outer(z[r], z[r])
+                new.append(np.round(w[pupil] - np.linalg.solve(curve, grad), 9))
+            w = new
+        odds = calibrate()
+    mix = logistic(np.stack(odds, axis=1)[aside], label[aside], ridge=0.1)
+    return sigmoid(max(mix[0], 0) * odds[0] + max(mix[1], 0) * odds[1] + mix[2])
+
+
+def quality_rows(n=600, seed=7):
+    """Good and bad texts; sources tell them apart too. Labels only for sources a and b."""
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        good, source = i % 2, "ab"[i % 2] if i % 3 else "cd"[i % 2]
+        words = [rng.choice(["river", "stone", "letter", "garden", "winter", "music"]) for _ in range(rng.randrange(8, 60))]
+        text = " ".join(words).capitalize() + "." if good else "$$ " + "BUY NOW !! " * rng.randrange(2, 9) + "\n" + " ".join(words[:6])
+        rows.append((i, text, "en", source, len(text)))
+        if i % 3 and i % 5 < 2:
+            labels.append((i, good, 0))
+    return rows, labels
+
+
+def test_cotraining_equals_a_plain_version(spark):
+    from tradelens.llm.cotrain import _content, cotrain
+    from tradelens.llm.textcols import id_or_least
+
+    made, given = quality_rows()
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    labels = spark.createDataFrame(given, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in cotrain(docs, labels, rounds=2, sure=0.8).collect()}
+    rows = docs.select(id_or_least("doc_id").alias("id"), "text", "source", "lang", F.col("n_chars").cast("double").alias("length"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)).alias("part"))
+    frame = rows.mapInArrow(_content, "id long, source string, lang string, length double, part long, content array<double>").toPandas()
+    frame["quality"] = frame.id.map({i: y for i, y, _ in given}).astype(float)
+    frame = frame.sort_values(["part", "id"])
+    want = cotrained_by_hand(frame, 2, 2, 0.8, 1.0)
+    for i, p in zip(frame.id, want, strict=True):
+        assert got[i] == pytest.approx(p, abs=1e-6)
+
+
+def test_views_teach_each_other(spark):
+    """Sources c and d have no labels: only the content view can tell the metadata view about them."""
+    from tradelens.llm.cotrain import cotrain
+
+    made, given = quality_rows(900)
+    docs = spark.createDataFrame([(*r[:4], None) for r in made], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame(given, "doc_id long, quality int, toxic int")
+    gap = {}
+    for rounds in (0, 3):
+        out = cotrain(docs, labels, rounds=rounds, sure=0.8).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.avg("meta_score").alias("m"))
+        by = {r.source: r.m for r in out.collect()}
+        gap[rounds] = by["d"] - by["c"]
+    assert gap[3] > gap[0] + 0.2

@@ -4,16 +4,18 @@ The content view sees shares and repetition of the text: symbols, capitals, digi
 and line lengths, repeated lines, words and three-word windows, sentence ends. The metadata view
 sees only what is recorded about the page: source, language and the recorded length. Each view
 is a ridge logistic regression (the content view on values and squares). Both start from the
-labelled rows; in each round either view labels the pool rows it is surest about, at most
-``grow`` a class and round and only where its calibrated probability passes ``sure``, and the
-other view learns from them. A part of the labelled rows is kept aside for calibration: each
-view's log-odds are calibrated on it (Platt), then combined by a logistic regression on both.
-
-The fit takes a bounded sample of labelled rows (about ``most_labelled``) and of pool rows
-(about ``most_pool``), chosen by a hash of the id; every row is scored. Null texts are empty;
-null metadata is a value of its own. Repeated label rows count once for each id (the smallest
-label). Without labels of both kinds every row scores the share of good labels (1 without any)
-and is kept.
+labelled rows. In each round either view labels all rows without a label of whose kind it is
+sure (its calibrated probability passes ``sure``), and the other view learns from them: Spark
+sums their gradients and curvatures over all rows, the driver gets these sums and makes a Newton
+step. Rows labelled by the other view weigh as much as the labelled rows of their kind at most.
+A part of the labelled rows is kept aside for calibration: each view's log-odds are calibrated on
+it (Platt), then combined by a logistic regression on both.
+
+The labelled rows of the fit are a bounded sample (about ``most_labelled``), chosen by a hash of
+the id; every other row takes part in the rounds and every row is scored. Null texts are empty;
+null metadata is a value of its own. Long texts are read whole. Repeated label rows count once for
+each id (the smallest label). Without labels of both kinds every row scores the share of good
+labels (1 without any) and is kept. Equal rows get equal scores; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .line_rules import _again
-from .textcols import Prefix, id_or_least, null_if_least, row_key, slices, sums_by, words
+from .textcols import NULL_ID, Prefix, id_or_least, null_if_least, row_key, slices, sums_by, words, written
 from .toxicity import logistic
 
 FEATURES = ["log_words", "word_length", "symbols", "capitals", "digits", "marks", "shouts", "distinct_words", "repeated_windows", "repeated_lines", "words_a_line", "sentence_ends", "white", "non_ascii"]
@@ -122,99 +124,164 @@ def _odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -30, 30)
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+
+
 def _platt(odds: np.ndarray, y: np.ndarray) -> np.ndarray:
     w = logistic(odds[:, None], y, ridge=0.1) if 0 < y.sum() < len(y) else np.array([1.0, 0.0])
     return np.array([max(w[0], 0.0), w[1]])
 
 
+def slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gradient, curvature) of the logistic loss of these rows, summed."""
+    x = np.column_stack([x, np.ones(len(x))])
+    p = _sigmoid(x @ w)
+    return x.T @ (p - y), (x * (p * (1 - p))[:, None]).T @ x
+
+
+def _columns(rows: pa.RecordBatch) -> tuple[np.ndarray, pd.Series, pd.Series, np.ndarray]:
+    values = rows.column("content").flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, len(FEATURES))
+    return values, rows.column("source").to_pandas(), rows.column("lang").to_pandas(), rows.column("length").to_pandas().to_numpy(dtype=float, na_value=np.nan)
+
+
+_SUMS = pa.schema([("view", pa.int8()), ("kind", pa.int8()), ("place", pa.int32()), ("value", pa.float64())])
+
+
+def _sums(shared):
+    """Of the rows that the other view is sure of, for each view and kind: their number, gradient and curvature."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            views = model.views(*_columns(rows))
+            for pupil, teacher in ((0, 1), (1, 0)):
+                sure = _sigmoid(model.calibrated(teacher, views[teacher]))
+                for kind, p in ((0, 1 - sure), (1, sure)):
+                    own = views[pupil][p >= model.sure]
+                    if len(own):
+                        grad, curve = slopes(own, np.full(len(own), float(kind)), model.w[pupil])
+                        sums = np.concatenate([[len(own)], grad, curve[np.triu_indices(len(grad))]])
+                        total[pupil, kind] = total.get((pupil, kind), 0.0) + sums
+        for (view, kind), sums in total.items():
+            n = len(sums)
+            yield pa.record_batch([pa.array(np.full(n, view, np.int8)), pa.array(np.full(n, kind, np.int8)), pa.array(np.arange(n, dtype=np.int32)), pa.array(sums)], schema=_SUMS)
+
+    return work
+
+
 class Model:
     """Fitted views, their calibration and their combination."""
 
-    def __init__(self, frame: pd.DataFrame, rounds: int, grow: int, sure: float, ridge: float):
-        x1 = np.stack(frame["content"].to_numpy()) if len(frame) else np.zeros((0, len(FEATURES)))
+    def __init__(self, frame: pd.DataFrame, sure: float, ridge: float):
+        """``frame``: labelled rows with content, source, lang, length, quality and part."""
         y = frame["quality"].to_numpy(dtype=float)
-        known = ~np.isnan(y)
-        self.rate = float(y[known].mean()) if known.any() else 1.0
-        self.ready = 0 < y[known].sum() < known.sum()
+        self.rate = float(y.mean()) if len(y) else 1.0
+        self.ready = bool(0 < y.sum() < len(y))
+        self.sure, self.ridge, self.sizes = sure, ridge, []
         if not self.ready:
             return
-        self.scale, self.meta = Content(x1), Metadata()
-        views = [self.scale(x1), self.meta(frame["source"], frame["lang"], frame["length"].to_numpy(dtype=float))]
-        aside = known & (frame["part"].to_numpy() % 4 == 0)
+        x = np.stack(frame["content"].to_numpy())
+        self.scale, self.meta = Content(x), Metadata()
+        aside = frame["part"].to_numpy() % 4 == 0
         if not 0 < y[aside].sum() < aside.sum():
-            aside = known
-        learn = [np.where(known & (~aside if (known & ~aside).any() else known), y, np.nan) for _ in views]
-        for v in learn:
-            if not 0 < np.nansum(v) < (~np.isnan(v)).sum():
-                v[known] = y[known]
-        self.sizes = []
-        for step in range(rounds + 1):
-            self.w = [logistic(x[~np.isnan(v)], v[~np.isnan(v)], ridge) for x, v in zip(views, learn, strict=True)]
-            self.cal = [_platt(_odds(x[aside], w), y[aside]) for x, w in zip(views, self.w, strict=True)]
-            self.sizes.append([int((~np.isnan(v)).sum()) for v in learn])
-            if step == rounds:
-                break
-            for teacher, pupil in ((0, 1), (1, 0)):
-                a, b = self.cal[teacher]
-                p = 1 / (1 + np.exp(-(a * _odds(views[teacher], self.w[teacher]) + b)))
-                free = np.isnan(learn[pupil]) & ~known
-                for value, rank in ((1.0, p), (0.0, 1 - p)):
-                    rows = np.flatnonzero(free & (rank >= sure))
-                    learn[pupil][rows[np.argsort(-rank[rows], kind="stable")[:grow]]] = value
-        self.mix = logistic(np.stack([a * _odds(x[aside], w) + b for x, w, (a, b) in zip(views, self.w, self.cal, strict=True)], axis=1), y[aside], ridge=0.1)
+            aside = np.ones(len(y), bool)
+        learn = ~aside if 0 < y[~aside].sum() < (~aside).sum() else np.ones(len(y), bool)
+        views = self.views(x, frame["source"], frame["lang"], frame["length"].to_numpy(dtype=float))
+        self.learn, self.aside = [(v[learn], y[learn]) for v in views], [(v[aside], y[aside]) for v in views]
+        self.w = [logistic(v, t, ridge) for v, t in self.learn]
+        self._calibrate()
+
+    def views(self, content_: np.ndarray, source: pd.Series, lang: pd.Series, length: np.ndarray) -> list[np.ndarray]:
+        return [self.scale(content_), self.meta(source, lang, length)]
+
+    def calibrated(self, view: int, x: np.ndarray) -> np.ndarray:
+        return self.cal[view][0] * _odds(x, self.w[view]) + self.cal[view][1]
+
+    def _calibrate(self) -> None:
+        self.cal = [_platt(_odds(x, w), y) for (x, y), w in zip(self.aside, self.w, strict=True)]
+        odds = np.stack([self.calibrated(i, x) for i, (x, _) in enumerate(self.aside)], axis=1)
+        self.mix = logistic(odds, self.aside[0][1], ridge=0.1)
         self.mix[:2] = np.maximum(self.mix[:2], 0)
 
+    def step(self, sums: dict[tuple[int, int], np.ndarray], calibrate: bool) -> None:
+        """A Newton step of both views from labelled rows and the sums of ``_sums``; rounded, so that the order of sums does not show."""
+        self.sizes.append({k: int(v[0]) for k, v in sums.items()})
+        for view, (x, y) in enumerate(self.learn):
+            w = self.w[view]
+            d = len(w)
+            grad, curve = slopes(x, y, w)
+            for kind in (0, 1):
+                own = sums.get((view, kind))
+                if own is not None:
+                    weight = min(1.0, (y == kind).sum() / own[0])
+                    square = np.zeros((d, d))
+                    square[np.triu_indices(d)] = own[1 + d :]
+                    grad, curve = grad + weight * own[1 : 1 + d], curve + weight * (square + np.triu(square, 1).T)
+            penalty = np.append(np.full(d - 1, self.ridge), 1e-6)
+            self.w[view] = np.round(w - np.linalg.solve(curve + np.diag(penalty) + 1e-9 * np.eye(d), grad + penalty * w), 9)
+        if calibrate:
+            self._calibrate()
+
     def score(self, content_: np.ndarray, source: pd.Series, lang: pd.Series, length: np.ndarray) -> tuple[np.ndarray, ...]:
         """(combined, content, metadata) probabilities of good quality."""
         if not self.ready:
             flat = np.full(len(source), self.rate)
             return flat, flat, flat
-        odds = [a * _odds(x, w) + b for x, w, (a, b) in zip((self.scale(content_), self.meta(source, lang, length)), self.w, self.cal, strict=True)]
+        odds = [self.calibrated(i, x) for i, x in enumerate(self.views(content_, source, lang, length))]
         both = self.mix[0] * odds[0] + self.mix[1] * odds[1] + self.mix[2]
-        return tuple(1 / (1 + np.exp(-np.clip(o, -60, 60))) for o in (both, *odds))
+        return tuple(_sigmoid(o) for o in (both, *odds))
 
 
 def _apply(shared, threshold: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        for rows, data, offsets in slices(batches):
-            source, lang = (rows.column(c).to_pandas() for c in ("source", "lang"))
-            length = rows.column("length").to_pandas().to_numpy(dtype=float, na_value=np.nan)
-            both, one, two = model.score(content(data, offsets), source, lang, length)
-            keep = [c for c in rows.schema.names if c not in ("text", "source", "lang", "length")]
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            both, one, two = model.score(*_columns(rows))
             kept = both >= threshold if model.ready else np.ones(len(both), bool)
-            yield pa.record_batch([*(rows.column(c) for c in keep), pa.array(both), pa.array(one), pa.array(two), pa.array(kept)], names=[*keep, "score", "text_score", "meta_score", "kept"])
+            yield pa.record_batch([rows.column("id"), rows.column("row_key"), *map(pa.array, (both, one, two, kept))], names=["id", "row_key", "score", "text_score", "meta_score", "kept"])
 
     return work
 
 
 def cotrain(
     docs: DataFrame, labels: DataFrame, training=None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
-    length_col: str = "n_chars", label_col: str = "quality", most_labelled: int = 8_000, most_pool: int = 8_000, rounds: int = 4, grow: int = 400,
+    length_col: str = "n_chars", label_col: str = "quality", most_labelled: int = 8_000, rounds: int = 4, steps: int = 2,
     sure: float = 0.95, ridge: float = 1.0, threshold: float = 0.5, with_key: bool = False,
 ) -> DataFrame:
     """Per row: id, its ``row_key`` if ``with_key``, score (0 to 1, of good quality), text_score, meta_score, kept (score >= ``threshold``).
 
-    ``training`` is a condition on the rows of ``docs`` whose labels may be used (default: all).
+    ``training`` is a condition on the rows of ``docs`` whose labels may be used (default: all);
+    other rows count as rows without a label. A round makes ``steps`` Newton steps.
     """
     spark = docs.sparkSession
     training = F.lit(True) if training is None else training
     rows = docs.select(
         id_or_least(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(source_col).cast("string").alias("source"),
-        F.col(lang_col).cast("string").alias("lang"), F.col(length_col).cast("double").alias("length"), training.alias("training"),
+        F.col(lang_col).cast("string").alias("lang"), F.col(length_col).cast("double").alias("length"), F.coalesce(training, F.lit(False)).alias("training"),
         row_key(id_col, text_col).alias("row_key"),
     )
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min((F.col(label_col) > 0).cast("int")).alias("quality"))
-    n_known, n_rows = known.count(), rows.count()
-    part = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
-    in_known = part < int((1 << 20) * min(1.0, most_labelled / max(n_known, 1)))
-    in_pool = part < int((1 << 20) * min(1.0, most_pool / max(n_rows, 1)))
-    taken = rows.where(in_known | in_pool).join(known.where(in_known), "id", "left").where(F.col("quality").isNotNull() & F.col("training") | in_pool)
-    taken = taken.select("text", "source", "lang", "length", F.when(F.col("training"), F.col("quality")).cast("double").alias("quality"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)).alias("part"), "id")
-    described = taken.mapInArrow(_content, "source string, lang string, length double, quality double, part long, id long, content array<double>")
-    sample = described.limit(2 * (most_labelled + most_pool)).toArrow().to_pandas().sort_values(["part", "id"], kind="stable")  # bounded
-    model = Model(sample, rounds, grow, sure, ridge)
-    shared = spark.sparkContext.broadcast(model)
-    key = ["row_key"] if with_key else []
-    out = rows.select("id", *key, "text", "source", "lang", "length").mapInArrow(_apply(shared, threshold), ("id long, row_key long, " if key else "id long, ") + "score double, text_score double, meta_score double, kept boolean")
-    return out.withColumn("id", null_if_least("id")).withColumnRenamed("id", id_col)
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("label_id")).agg(F.min((F.col(label_col) > 0).cast("int")).alias("quality"))
+    described = rows.mapInArrow(_content, "id long, source string, lang string, length double, training boolean, row_key long, content array<double>")
+    # rows without an id have no label; they go by their key, so that they do not meet in one task
+    at = F.when(F.col("id") == F.lit(NULL_ID), F.col("row_key")).otherwise(F.col("id"))
+    described = described.join(known, (at == F.col("label_id")) & (F.col("id") == F.col("label_id")), "left")
+    quality = F.when(F.col("training"), F.col("quality")).cast("double").alias("quality")
+    described = written(described.select("id", "row_key", "source", "lang", "length", "content", quality))
+    n_known = known.count()
+    taken = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most_labelled / max(n_known, 1)))
+    sample = described.where(F.col("quality").isNotNull() & taken).select("id", "row_key", "source", "lang", "length", "content", "quality", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)).alias("part"))
+    sample = sample.toArrow().to_pandas().sort_values(["part", "id", "row_key"], kind="stable")  # about most_labelled rows
+    model = Model(sample, sure, ridge)
+    pool = described.where(F.col("quality").isNull())
+    for i in range(rounds * steps if model.ready else 0):
+        found = pool.mapInArrow(_sums(spark.sparkContext.broadcast(model)), "view byte, kind byte, place int, value double")
+        found = found.groupBy("view", "kind", "place").agg(F.sum("value").alias("value")).toArrow().to_pandas().sort_values(["view", "kind", "place"])  # as many as both views have weights, squared
+        model.step({k: g["value"].to_numpy() for k, g in found.groupby(["view", "kind"])}, calibrate=(i + 1) % steps == 0)
+    out = described.select("id", "row_key", "source", "lang", "length", "content").mapInArrow(_apply(spark.sparkContext.broadcast(model), threshold), "id long, row_key long, score double, text_score double, meta_score double, kept boolean")
+    return out.select(null_if_least("id").alias(id_col), *(["row_key"] if with_key else []), "score", "text_score", "meta_score", "kept")
