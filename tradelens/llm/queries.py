@@ -93,7 +93,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-_SPACE = r"[ \t\n\x0b\f\r]"
+_LOW = "translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _alternatives(phrases: list[str]) -> str:
+    return "|".join(phrases).replace("'", "''")
+
 
 OP7_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -111,8 +116,8 @@ f AS (
   SELECT *, length(packed) AS chars, length(regexp_replace(packed, '[^|>»•·]', '', 'g')) AS marks, length(regexp_replace(packed, '[^#*$%&|<>{{}}=~^_]', '', 'g')) AS symbols FROM l),
 j AS (
   SELECT *, nw > 0 AND ((marks >= 3 AND nw <= 4 * marks)
-    OR (nw <= 6 AND regexp_matches(lower(line), '(^|[^a-z])({"|".join(MENU)})([^a-z]|$)') AND NOT closed)
-    OR regexp_matches(lower(line), '({"|".join(FURNITURE)})') OR (nw < 8 AND NOT closed) OR symbols > 0.2 * chars) AS fails FROM f),
+    OR (nw <= 6 AND regexp_matches({_LOW}, '(^|[^a-z])({_alternatives(MENU)})([^a-z]|$)') AND NOT closed)
+    OR regexp_matches({_LOW}, '({_alternatives(FURNITURE)})') OR (nw < 8 AND NOT closed) OR symbols > 0.2 * chars) AS fails FROM f),
 g AS (
   SELECT doc_id, CAST(sum(CASE WHEN fails THEN 1 ELSE 0 END) AS BIGINT) AS n_lines_removed, CAST(sum(CASE WHEN fails THEN chars ELSE 0 END) AS BIGINT) AS chars_removed,
     CAST(sum(CASE WHEN nw > 0 THEN 1 ELSE 0 END) - count(DISTINCT CASE WHEN nw > 0 THEN line END) AS BIGINT) AS n_dup_lines
