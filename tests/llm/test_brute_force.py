@@ -72,9 +72,9 @@ def tiny_batches(spark):
     spark.conf.set(name, before)
 
 
-@pytest.mark.parametrize("hot,bits", [(4096, 64), (2, 64), (40, 64), (4096, 3), (50, 1)])
-def test_suffix_dedup_of_periodic_and_crowded_texts(spark, tiny_batches, hot, bits):
-    """``hot`` and batches so small that anchors pass them; so few hash bits that repeats fail to verify."""
+@pytest.mark.parametrize("hot,by_bytes", [(4096, False), (2, False), (40, False), (4096, True), (50, True)])
+def test_suffix_dedup_of_periodic_and_crowded_texts(spark, tiny_batches, hot, by_bytes):
+    """``hot`` and batches so small that anchors pass them; with and without marks of whole repeats."""
     from pyspark.sql import functions as F
 
     from tradelens.llm.suffix_dedup import suffix_dedup
@@ -89,7 +89,7 @@ def test_suffix_dedup_of_periodic_and_crowded_texts(spark, tiny_batches, hot, bi
     for i in range(60, 260):  # one anchor in many contexts, and in many equal ones
         made[i] = f"{i % 120:04d} " + passage[20:120] + f" {i % 90:04d} " + "filler " * (i % 3)
     docs = spark.createDataFrame(list(made.items()), "doc_id long, text string").repartition(5)
-    out = suffix_dedup(docs, hot=hot, bits=bits)
+    out = suffix_dedup(docs, hot=hot, by_bytes=by_bytes)
     out = out.select("doc_id", "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s.length).alias("n_removed"), F.size("spans").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
     check_removed(rows(out), {i: t.encode() for i, t in made.items()}, 100)
 

@@ -7,12 +7,11 @@ corpus would shuffle it many times over, so suffixes are first put in buckets:
 1.  Each window of ``length`` bytes picks an anchor, the ``k``-gram in it with the least hash
     (leftmost of equals). Equal windows pick equal anchors at equal distances, so they meet in
     the bucket of that anchor. Runs of windows that share an anchor travel as one row.
-2.  Runs with equal anchor, distance and context hash are whole repeats of each other: all but
-    the first are marked, already before the shuffle where one batch holds several; those marks
-    are joined to one row where runs follow each other. The anchor
-    hash and the context hash come from two independent families. Each mark is verified: the
-    SHA-256 of its bytes must be that of the bytes it is said to repeat. If one differs, no whole
-    repeats are marked at all and step 4 decides every anchor by its bytes.
+2.  Runs with equal anchor, distance and context are whole repeats of each other: all but
+    the first are marked, already before the shuffle where one batch holds several (there their
+    bytes are compared); those marks are joined to one row where runs follow each other. Between
+    batches contexts count as equal when the 128 bits of their BLAKE2 digests are. ``by_bytes``
+    leaves this step out and decides everything by bytes, which moves many more of them.
 3.  Anchors that occur in unequal contexts get the bytes of their contexts. The suffixes that
     start at their windows are put in order by a merge sort; a comparison finds the common
     extension of two suffixes by binary search over prefix polynomial hashes. Neighbours whose
@@ -30,15 +29,16 @@ other than id and text are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import hot_keys
-from .textcols import Prefix, document_ids, i64, mix, null_if_least, parts_for, settle, slices, stream, utf8
+from .textcols import FIRST_ID, Prefix, document_ids, i64, mix, parts_for, slices, stream, utf8, written
 
 _U = np.uint64
 _BLOCK = 1 << 23
@@ -58,11 +58,10 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
-    """Runs of windows with one anchor: (document, first window, windows, anchor's distance, anchor hash, context hash)."""
+    """Runs of windows with one anchor: (document, first window, windows, anchor's distance, anchor hash)."""
     if len(data) < length:
         return None
-    one, two = Prefix(data, 0), Prefix(data, 1)
-    grams = one.every(k)
+    grams = Prefix(data, 0).every(k)
     order = (grams & ~_POSITION) | np.arange(len(grams), dtype=_U)
     anchor = (_least(order, length - k + 1) & _POSITION).astype(np.int64)
     n = len(anchor)
@@ -81,11 +80,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     ends = np.append(upto[first[1:] - 1], upto[-1])
     count = ends - (upto[first] - 1)
     document = np.searchsorted(offsets, first, "right") - 1
-    return document, first - offsets[document], count, anchor[first] - first, grams[anchor[first]], two.of(first, first + count - 1 + length)
-
-
-def _identity(key: np.ndarray, context: np.ndarray, shape: np.ndarray) -> np.ndarray:
-    return mix(key ^ mix(context + shape.astype(_U) * _U(0x9E3779B97F4A7C15)))
+    return document, first - offsets[document], count, anchor[first] - first, grams[anchor[first]]
 
 
 def _leads(identity: np.ndarray, ids: np.ndarray, lows: np.ndarray) -> np.ndarray:
@@ -102,62 +97,82 @@ def _leads(identity: np.ndarray, ids: np.ndarray, lows: np.ndarray) -> np.ndarra
     return lead
 
 
-#: ``place`` holds first window, windows and the anchor's distance; of a REPEAT first window and
-#: windows, and ``lead``, ``lead_at`` are the document and first window that it repeats.
-_RUNS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("context", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("lead", pa.int64()), ("lead_at", pa.int64())])
-RUNS_DDL = "kind byte, key long, context long, id long, place long, lead long, lead_at long"
+#: ``place`` holds first window, windows and the anchor's distance, of a REPEAT only the first two.
+_RUNS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("context", pa.int64()), ("more", pa.int64()), ("id", pa.int64()), ("place", pa.int64())])
+RUNS_DDL = "kind byte, key long, context long, more long, id long, place long"
 
 
 def _place(lows, counts, distances):
     return (lows.astype(np.int64) << 16) | (counts.astype(np.int64) << 8) | distances.astype(np.int64)
 
 
-def _joined(ids: np.ndarray, lows: np.ndarray, counts: np.ndarray, leads: np.ndarray, lead_lows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Neighbouring runs that repeat neighbouring runs as one run of fewer than 2**16 windows: (id, first window, windows, lead, its first window)."""
-    lows, counts, lead_lows = (x.astype(np.int64) for x in (lows, counts, lead_lows))
+def _joined(ids: np.ndarray, lows: np.ndarray, counts: np.ndarray, leads: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Neighbouring runs as one run of fewer than 2**16 windows where what they repeat (``leads``, places of windows) follows too: (first of the runs, windows)."""
     if not len(ids):
-        return ids, lows, counts, leads, lead_lows
-    apart = np.append(True, (ids[1:] != ids[:-1]) | (lows[1:] != lows[:-1] + counts[:-1]) | (leads[1:] != leads[:-1]) | (lead_lows[1:] != lead_lows[:-1] + counts[:-1]))
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    lows, counts = lows.astype(np.int64), counts.astype(np.int64)
+    apart = np.append(True, (ids[1:] != ids[:-1]) | (lows[1:] != lows[:-1] + counts[:-1]) | (leads[1:] != leads[:-1] + counts[:-1]))
     ahead = np.cumsum(counts) - counts
     base = ahead[apart][np.cumsum(apart) - 1]
     piece = (ahead - base) >> 15
     head = np.flatnonzero(apart | np.append(True, piece[1:] != piece[:-1]))
-    return ids[head], lows[head], np.add.reduceat(counts, head), leads[head], lead_lows[head]
+    return head, np.add.reduceat(counts, head)
+
 
+def _digests(raw: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """(runs, 2) halves of the 128-bit digests of byte ranges."""
+    view, digest = memoryview(raw), hashlib.blake2b
+    return np.frombuffer(b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]), np.int64).reshape(-1, 2)
 
-def _anchors(length: int, k: int, mask: int, whole: bool):
+
+def _anchors(length: int, k: int, by_bytes: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, held = [], 0
+        kept: list[tuple] = []
+        texts: list[bytes] = []
+        held = size = 0
 
-        def out(kept):
-            ids, lows, counts, distances, keys, contexts = (np.concatenate(x) for x in zip(*kept, strict=True))
-            contexts &= _U(mask)
+        def out():
+            ids, lows, counts, distances, keys, at = (np.concatenate(x) for x in zip(*kept, strict=True))
+            raw = b"".join(texts)
             place = _place(lows, counts, distances)
-            lead = _leads(_identity(keys, contexts, place & 0xFFFF), ids, lows) if whole else np.arange(len(ids))
-            later = (ids != ids[lead]) | (lows != lows[lead])
-            left, lead = ~later, lead[later]
-            again, starts, windows, first, first_at = _joined(ids[later], lows[later], counts[later], ids[lead], lows[lead])
+            digests = np.zeros((len(ids), 2), np.int64) if by_bytes else _digests(raw, at, at + counts + length - 1)
+            lead = np.arange(len(ids)) if by_bytes else _leads(mix(keys ^ mix(digests[:, 0].view(_U) + (place & 0xFFFF).astype(_U))), ids, lows)
+            later = np.flatnonzero((ids != ids[lead]) | (lows != lows[lead]))
+            head, windows = _joined(ids[later], lows[later], counts[later], at[lead[later]])
+            again = later[head]
+            for a, b, n in zip(at[again].tolist(), at[lead[again]].tolist(), (windows + length - 1).tolist(), strict=True):
+                if raw[a : a + n] != raw[b : b + n]:  # no whole repeats are marked in this batch
+                    later = again = windows = np.empty(0, np.int64)
+                    break
+            left = np.ones(len(ids), bool)
+            left[later] = False
             kind = np.repeat(np.array([DISTINCT, REPEAT], np.int8), [left.sum(), len(again)])
-            keys = np.concatenate([keys[left], mix(again.astype(_U) + starts.astype(_U))])
-            contexts = np.concatenate([contexts[left], np.zeros(len(again), _U)])
-            none = np.zeros(left.sum(), np.int64)
-            columns = [np.concatenate(x) for x in ((ids[left], again), (place[left], starts << 16 | windows), (none, first), (none, first_at))]
-            return pa.record_batch([pa.array(kind), i64(keys), i64(contexts), *map(i64, columns)], schema=_RUNS)
+            none = np.zeros(len(again), np.int64)
+            columns = [np.concatenate(x) for x in (
+                (keys[left].view(np.int64), mix(ids[again].astype(_U) + lows[again].astype(_U)).view(np.int64)), (digests[left, 0], none), (digests[left, 1], none),
+                (ids[left], ids[again]), (place[left], lows[again].astype(np.int64) << 16 | windows),
+            )]
+            return pa.record_batch([pa.array(kind), *map(i64, columns)], schema=_RUNS)
 
         for rows, data, offsets in slices(batches):
             ids = rows.column("id").to_numpy(zero_copy_only=False)
             for start in range(0, max(len(data), 1), _BLOCK) if len(ids) == 1 else [0]:
                 part, cuts = (data[start : start + _BLOCK + length - 1], None) if len(ids) == 1 else (data, offsets)
-                found = anchor_runs(part, np.array([0, len(part)]) if cuts is None else cuts, length, k)
+                cuts = np.array([0, len(part)]) if cuts is None else cuts
+                found = anchor_runs(part, cuts, length, k)
                 if found is not None:
-                    document, low, count, distance, key, context = found
-                    kept.append((ids[document], low + start, count, distance, key, context))
+                    document, low, count, distance, key = found
+                    kept.append((ids[document], low + start, count, distance, key, size + cuts[document] + low))
+                    texts.append(part.tobytes())
                     held += len(low)
-            if held > 250_000:
-                yield out(kept)
-                kept, held = [], 0
+                    size += len(part)
+                if held > 250_000:
+                    yield out()
+                    kept.clear()
+                    texts.clear()
+                    held = size = 0
         if kept:
-            yield out(kept)
+            yield out()
 
     return work
 
@@ -181,11 +196,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-_MARKS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("id", pa.int64()), ("place", pa.int64()), ("lead", pa.int64()), ("lead_at", pa.int64())])
-MARKS_DDL = "kind byte, key long, id long, place long, lead long, lead_at long"
+_MARKS = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("id", pa.int64()), ("place", pa.int64())])
+MARKS_DDL = "kind byte, key long, id long, place long"
 
 
-def _meet(hot: int, whole: bool):
+def _meet(hot: int, by_bytes: bool):
     """Whole repeats, and the anchors that stand in several contexts.
 
     Rows come in order of key, context, shape, id and place, so that a context's first row is
@@ -193,12 +208,10 @@ def _meet(hot: int, whole: bool):
     """
 
     def rows_of(kind: int, part: tuple) -> pa.RecordBatch:
-        key, ids, place = part
-        none = np.zeros(len(key), np.int64)
-        return pa.record_batch([pa.array(np.full(len(key), kind, np.int8)), i64(key), i64(ids), i64(place), i64(none), i64(none)], schema=_MARKS)
+        return pa.record_batch([pa.array(np.full(len(part[0]), kind, np.int8)), *map(i64, part)], schema=_MARKS)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, context and shape of the last row, id and first window of its first row
+        last = None  # key, context, more and shape of the last row, id and first window of its first row
         held: list[tuple] = []  # contexts of the last key
         size = 0
 
@@ -224,26 +237,25 @@ def _meet(hot: int, whole: bool):
             rest = np.flatnonzero(~done)
             if not len(rest):
                 continue
-            key, context = (batch.column(c).to_numpy()[rest] for c in ("key", "context"))
+            key, context, more = (batch.column(c).to_numpy()[rest] for c in ("key", "context", "more"))
             spread = batch.column("spread").to_numpy(zero_copy_only=False)[rest]
             ids, place = ids[rest], place[rest]
             shape, low = place & 0xFFFF, place >> 16
             n = len(rest)
             new = np.ones(n, bool)
-            if whole:
-                new[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1]) | (shape[1:] != shape[:-1])
+            if not by_bytes:
+                new[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1]) | (more[1:] != more[:-1]) | (shape[1:] != shape[:-1])
                 if last is not None:
-                    new[0] = last[:3] != (key[0], context[0], shape[0])
+                    new[0] = last[:4] != (key[0], context[0], more[0], shape[0])
             first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
             lead, lead_at = ids[np.maximum(first, 0)], low[np.maximum(first, 0)]
             if last is not None:
-                lead, lead_at = np.where(first < 0, last[3], lead), np.where(first < 0, last[4], lead_at)
+                lead, lead_at = np.where(first < 0, last[4], lead), np.where(first < 0, last[5], lead_at)
             again = np.flatnonzero(~new & ((ids != lead) | (low != lead_at)))
             if len(again):
-                columns = key[again], ids[again], low[again] << 16 | (place[again] >> 8) & 0xFF, lead[again], lead_at[again]
-                yield pa.record_batch([pa.array(np.full(len(again), REPEAT, np.int8)), *map(i64, columns)], schema=_MARKS)
+                yield rows_of(REPEAT, (key[again], ids[again], low[again] << 16 | (place[again] >> 8) & 0xFF))
             open_ = last is not None and last[0] == key[0]
-            last = (key[-1], context[-1], shape[-1], lead[-1], lead_at[-1])
+            last = (key[-1], context[-1], more[-1], shape[-1], lead[-1], lead_at[-1])
             one = np.flatnonzero(new)
             if not open_:
                 yield from settled()
@@ -401,8 +413,8 @@ def _sort_contexts(length: int):
     return work
 
 
-_RESULT = pa.schema([("own", pa.int64()), ("row_key", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("kept", pa.binary())])
-RESULT_DDL = "own long, row_key long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary"
+_RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("kept", pa.binary())])
+RESULT_DDL = "id long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary"
 
 
 def merge_spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -435,59 +447,54 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append([{"start": int(x), "length": int(y - x)} for x, y in zip(low, high, strict=True)])
             edges = [0, *np.stack([low, high], 1).ravel().tolist(), len(text)]
             kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
-        yield pa.record_batch([rows.column("own"), rows.column("row_key"), i64(np.diff(offsets)), pa.array(spans, _RESULT.field("spans").type), pa.array(kept, pa.binary())], schema=_RESULT)
+        yield pa.record_batch([rows.column("id"), i64(np.diff(offsets)), pa.array(spans, _RESULT.field("spans").type), pa.array(kept, pa.binary())], schema=_RESULT)
 
 
-def _bytes(start, size) -> Column:
-    return F.substring(F.col("text").cast("binary"), start.cast("int"), size.cast("int"))
-
-
-def repeated_ranges(text: DataFrame, length: int = 100, k: int = 32, hot: int = 4096, bits: int = 64, whole: bool = True) -> DataFrame:
-    """(id, start, bytes): ranges of bytes, overlapping ones included, that repeat an earlier passage, from (id, text).
-
-    ``bits`` of the context hash are used. Without ``whole`` nothing is decided by hashes alone.
-    """
+def repeated_ranges(text: DataFrame, length: int = 100, k: int = 32, hot: int = 4096, by_bytes: bool = False) -> DataFrame:
+    """(id, start, bytes): ranges of bytes, overlapping ones included, that repeat an earlier passage, from (id, text)."""
     if not 8 <= k < length or length - k + 1 > 255:
         raise ValueError("k must be at least 8, below length, and length - k below 255")
-    n, mask = parts_for(text), (1 << bits) - 1
-    filled = text.where(F.length("text") > 0)
-    anchors = _anchors(length, k, mask, whole)
+    n = parts_for(text)
+    filled, anchors = text.where(F.length("text") > 0), _anchors(length, k, by_bytes)
     # a sample shows which anchors to spread; what is found does not hang on it
-    crowd = hot_keys(filled.where(F.pmod(F.xxhash64("id"), F.lit(64)) == 0).mapInArrow(anchors, RUNS_DDL).where(F.col("kind") != REPEAT), "key", least=max(100, hot))
+    wide = hot_keys(filled.where(F.pmod(F.xxhash64("id"), F.lit(64)) == 0).mapInArrow(anchors, RUNS_DDL).where(F.col("kind") != REPEAT), "key", least=max(100, hot))
     runs = filled.mapInArrow(anchors, RUNS_DDL)
-    runs = runs.withColumn("spread", F.lit(False)) if crowd is None else runs.join(F.broadcast(crowd.select("key", F.lit(True).alias("spread"))), "key", "left").withColumn("spread", F.coalesce("spread", F.lit(False)) & (F.col("kind") != REPEAT))
-    ordered = runs.repartition(n, "key", F.when(F.col("spread"), F.col("context"))).sortWithinPartitions("key", "context", F.col("place").bitwiseAND(F.lit(0xFFFF)), "id", "place")
-    marks = settle(ordered.mapInArrow(_meet(hot, whole), MARKS_DDL))
-    start, windows = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(0xFFFF))
-    repeats = marks.where(F.col("kind") == REPEAT).select("id", start.alias("start"), (windows + length - 1).alias("bytes"), "lead", "lead_at")
-    if whole:
-        def digests(of: str, at: str, name: str) -> DataFrame:
-            ranges = repeats.withColumn("of", F.col(of)).hint("shuffle_hash")
-            return text.withColumnRenamed("id", "of").join(ranges, "of").select(*repeats.columns, F.unhex(F.sha2(_bytes(F.col(at) + 1, F.col("bytes")), 256)).alias(name)).distinct()
-
-        wrong = digests("id", "start", "one").join(digests("lead", "lead_at", "two"), repeats.columns).where("one <> two")
-        if not wrong.isEmpty():
-            return repeated_ranges(text, length, k, hot, bits, whole=False)
-    several = marks.where(F.col("kind") != REPEAT).select("kind", "key", "id", "place").hint("shuffle_hash")
-    contexts = text.join(several, "id").select("kind", "key", "id", "place", _bytes(F.shiftright("place", 16) + 1, F.shiftright("place", 8).bitwiseAND(F.lit(255)) + length - 1).alias("context"))
+    spread = F.lit(False)
+    if wide is not None:
+        runs = runs.join(F.broadcast(wide.select("key", F.lit(True).alias("wide"))), "key", "left")
+        spread = F.coalesce("wide", F.lit(False)) & (F.col("kind") != REPEAT)
+    runs = runs.withColumn("spread", spread)
+    windows = F.col("place").bitwiseAND(F.lit(0xFFFF))
+    ordered = runs.repartition(n, "key", F.when(F.col("spread"), F.col("context"))).sortWithinPartitions("key", "context", "more", windows, "id", "place")
+    marks = written(ordered.mapInArrow(_meet(hot, by_bytes), MARKS_DDL))
+    whole = marks.where(F.col("kind") == REPEAT).select("id", F.shiftright("place", 16).alias("start"), (windows + length - 1).alias("bytes"))
+    several = marks.where(F.col("kind") != REPEAT).hint("shuffle_hash")
+    low, count = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255))
+    context = F.substring(F.col("text").cast("binary"), (low + 1).cast("int"), (count + length - 1).cast("int"))
+    contexts = text.join(several, "id").select("kind", "key", "id", "place", context.alias("context"))
     ordered = contexts.where(F.col("kind") == DISTINCT).drop("kind").repartition(n, "key").sortWithinPartitions("key")
-    partly = ordered.mapInArrow(_sort_contexts(length), SPANS_DDL)
+    found = whole.unionByName(ordered.mapInArrow(_sort_contexts(length), SPANS_DDL))
+    if marks.where(F.col("kind") == CROWDED).isEmpty():
+        return found
     # windows of crowded anchors, by their bytes
-    steps = F.explode(F.sequence(F.lit(0), F.shiftright("place", 8).bitwiseAND(F.lit(255)).cast("int") - 1))
-    windows = contexts.where(F.col("kind") == CROWDED).select("id", "place", "context", steps.alias("step"))
-    windows = windows.select(F.substring("context", F.col("step") + 1, F.lit(length)).alias("window"), "id", (F.shiftright("place", 16) + F.col("step")).alias("position"))
+    windows = contexts.where(F.col("kind") == CROWDED).select("id", "place", "context", F.explode(F.sequence(F.lit(0), count.cast("int") - 1)).alias("step"))
+    windows = windows.select(F.substring("context", F.col("step") + 1, F.lit(length)).alias("window"), "id", (low + F.col("step")).alias("position"))
     first = windows.groupBy("window").agg(F.min(F.struct("id", "position")).alias("first"))
     crowd = windows.join(first, "window").where((F.col("id") != F.col("first.id")) | (F.col("position") != F.col("first.position")))
-    return repeats.select("id", "start", "bytes").unionByName(partly).unionByName(crowd.select("id", F.col("position").alias("start"), F.lit(length).cast("long").alias("bytes")))
+    return found.unionByName(crowd.select("id", F.col("position").alias("start"), F.lit(length).cast("long").alias("bytes")))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, k: int = 32, hot: int = 4096, bits: int = 64, with_key: bool = False) -> DataFrame:
-    """One row per input row: id, n_bytes, spans removed, and the bytes kept (binary: a cut may split a character); its ``row_key`` if ``with_key``."""
-    text = document_ids(docs, id_col, text_col).select(F.col("document").alias("id"), "own", "row_key", "text")
-    ranges = repeated_ranges(text.select("id", "text"), length, k, hot, bits)
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, k: int = 32, hot: int = 4096, by_bytes: bool = False, with_document: bool = False) -> DataFrame:
+    """One row per input row: id, n_bytes, spans removed, and the bytes kept (binary: a cut may split a character); ``document`` as in ``document_ids`` if ``with_document``."""
+    rows, names = document_ids(docs, id_col, text_col)
+    text = rows.select(F.col("document").alias("id"), "text")
+    ranges = repeated_ranges(text, length, k, hot, by_bytes)
     ranges = ranges.groupBy("id").agg(F.collect_list(F.struct("start", "bytes")).alias("ranges")).hint("shuffle_hash")
-    whole = text.join(ranges, "id", "left").mapInArrow(_cut, RESULT_DDL)
-    return whole.select(null_if_least("own").alias(id_col), "n_bytes", "spans", "kept", *(["row_key"] if with_key else []))
+    out = text.join(ranges, "id", "left").mapInArrow(_cut, RESULT_DDL)
+    own = F.when(F.col("id") >= FIRST_ID, F.col("id"))
+    if names is not None:
+        out, own = out.join(names, F.col("id") == F.col("document"), "left").drop("document"), F.coalesce("own", own)
+    return out.select(own.alias(id_col), *([F.col("id").alias("document")] if with_document else []), "n_bytes", "spans", "kept")
 
 
 __all__ = ["suffix_dedup", "repeated_ranges", "Suffixes", "merge_spans", "anchor_runs", "stream"]

@@ -43,22 +43,28 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(id_or_least(id_col), text.isNull(), F.coalesce(text, F.lit("")))
 
 
-def document_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(document, own, row_key, text): ``own`` is the id or the least long; ``document`` tells different texts apart.
+#: Documents below this number have no id of their own alone.
+FIRST_ID = -(1 << 62)
+
+
+def document_ids(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> tuple[DataFrame, DataFrame | None]:
+    """(rows (document, text, ``more``), names): ``document`` tells different texts apart.
 
     It is the id where one text has it alone. Texts that share an id or have none get numbers below
-    all ids, from a hash of id and text.
+    ``FIRST_ID``, from a hash of id and text. ``names`` has (document, own) of texts that share an
+    id; None if there are none.
     """
-    rows = docs.select(id_or_least(id_col).alias("own"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"))
-    texts = rows.where(F.col("own") != F.lit(NULL_ID)).groupBy("own").agg(F.min("row_key").alias("one"), F.max("row_key").alias("other"))
+    rows = docs.select(id_or_least(id_col).alias("own"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0), *more).alias("more"))
+    given = F.col("own") != F.lit(NULL_ID)
+    texts = rows.where(given).groupBy("own").agg(F.min("row_key").alias("one"), F.max("row_key").alias("other"))
     shared = settle(texts.where("one <> other").select(F.col("own").alias("shared")))
-    below = F.lit(NULL_ID) + F.shiftrightunsigned("row_key", 2)  # ids above -2**62 come later
-    alone = F.col("own") != F.lit(NULL_ID)
-    if not shared.isEmpty():
-        # rows without an id are known: they need not meet in one task
-        rows = rows.withColumn("known", F.when(alone, F.col("own"))).join(shared, F.col("known") == F.col("shared"), "left").drop("known")
-        alone = alone & F.col("shared").isNull()
-    return rows.select(F.when(alone, F.col("own")).otherwise(below).alias("document"), "own", "row_key", "text")
+    below = F.lit(NULL_ID) + F.shiftrightunsigned("row_key", 2)
+    if shared.isEmpty():
+        return rows.select(F.when(given, F.col("own")).otherwise(below).alias("document"), "text", "more.*").drop("col1"), None
+    # rows without an id are known: they need not meet in one task
+    rows = rows.withColumn("known", F.when(given, F.col("own")).otherwise(F.col("row_key"))).join(shared, (F.col("known") == F.col("shared")) & given, "left")
+    rows = rows.withColumn("document", F.when(given & F.col("shared").isNull(), F.col("own")).otherwise(below))
+    return rows.select("document", "text", "more.*").drop("col1"), rows.where("shared is not null").select("document", "own").distinct()
 
 
 def crc_remainder(name: str, modulus: int) -> Column:
