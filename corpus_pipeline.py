@@ -17,7 +17,7 @@ from tradelens.llm.mixing import mix_documents
 from tradelens.llm.packing import pack
 from tradelens.llm.queries import tokenizer_path
 from tradelens.llm.suffix_dedup import suffix_dedup
-from tradelens.llm.textcols import checkpoint_folder, row_key, small_batches
+from tradelens.llm.textcols import checkpoint_folder, document_ids, row_key, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -53,11 +53,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A cut inside a character also drops the rest of that character.
     """
     small_batches(spark)
-    cut = suffix_dedup(docs, length=100, k=32, with_key=True).select("row_key", "spans", "kept")
-    joined = _keyed(docs).join(cut.dropDuplicates(["row_key"]), "row_key")
+    cut = suffix_dedup(docs, length=100, k=32, with_document=True).select("document", "spans", "kept").dropDuplicates(["document"])
+    rows, _ = document_ids(docs, "doc_id", "text", "doc_id", "lang", "source", "n_chars", F.col("text").isNull().alias("none"))
+    joined = rows.drop("text").dropDuplicates(["document"]).join(cut, "document")
     whole = F.size("spans") == 0
     # bytes that do not form a character become U+FFFD, which no valid text part needs to keep
-    text = F.when(whole, F.col("text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
+    text = F.when(~F.col("none"), F.when(whole, F.col("kept").cast("string")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))))
     out = joined.withColumn("text", text).where(whole | (F.length(F.trim("text")) > 0))
     return out.select("doc_id", "text", "lang", "source", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast("long").alias("n_chars"))
 
