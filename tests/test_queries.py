@@ -115,3 +115,31 @@ def test_the_rest_works_without_the_corpus_part(monkeypatch):
     assert set(entry.queries()) == set(registry.queries())
     monkeypatch.undo()
     importlib.reload(entry)
+
+
+def test_ranks_of_equal_values_do_not_meet_in_one_task(spark):
+    """Nine of ten listings with one value: ranges are cut by the ties, so no range holds many more than another."""
+    from tradelens.operators.ranking import ranked
+
+    rows = spark.range(8000).selectExpr("id as listing_id", "if(id % 10 = 0, id % 7 + 2, 1) as units", "if(id % 3 = 0, 'a', 'b') as scope").repartition(3)
+    out = ranked(rows, F.desc("units"), F.asc("listing_id"), within=("scope",), value="units").collect()
+    for scope in "ab":
+        want = sorted((r for r in rows.where(F.col("scope") == scope).collect()), key=lambda r: (-r.units, r.listing_id))
+        got = sorted((r for r in out if r.scope == scope), key=lambda r: r["rank"])
+        assert [(r.listing_id, r.units) for r in got] == [(r.listing_id, r.units) for r in want]
+        assert [r["rank"] for r in got] == list(range(1, len(want) + 1))
+        ahead = 0
+        for r in got:
+            assert (r.before, r.total) == (ahead, sum(x.units for x in want))
+            ahead += r.units
+    dealt = rows.repartitionByRange(4, F.desc("units"), F.asc("listing_id"))
+    sizes = sorted(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) == 4 and sizes[-1] < 1.5 * sizes[1]
+
+
+def test_the_window_reaches_the_lines_before_they_are_added_up(spark, small):
+    plan = registry.queries()["agg_listing_sales"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineitem") <= 1 and plan.count("Relation") == 3
+    lines = plan.splitlines()
+    depth = {name: min(len(x) - len(x.lstrip(" :+-")) for x in lines if name in x) for name in ("Aggregate [order_id", "o_orderdate")}
+    assert depth["o_orderdate"] > depth["Aggregate [order_id"]

@@ -2,34 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import class_movement, class_of, delta_percent, local_midnight, money, percentage, revenue_movement
+from .ranking import ranked
 
 
-def curve_totals(rows: DataFrame, value: str, *ties: str) -> DataFrame:
-    """``rank``, ``before`` (running total of the rows ahead) and ``total`` in descending order of a value >= 0.
+def curve_totals(rows: DataFrame, value: str, *ties: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """``rank``, ``before`` (running total of the rows ahead) and ``total`` in descending order of a value >= 0, in each group of ``within``."""
+    return ranked(rows, F.desc(value), *(F.asc(c) for c in ties), within=within, value=value)
 
-    Rows are dealt by a monotone bucket of the value (four to an octave), so no task holds them
-    all: bucket totals, a few hundred rows at most, give each bucket its start.
-    """
-    v = F.col(value)
-    rows = rows.withColumn("_bucket", F.when(v > 0, F.floor(F.log2(v.cast("double")) * 4)).otherwise(F.lit(-1_000_000)).cast("long"))
-    sums = rows.groupBy("_bucket").agg(F.sum(v).alias("_sum"), F.count("*").alias("_count"))
-    ahead = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    starts = sums.select("_bucket", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_start"), F.coalesce(F.sum("_count").over(ahead), F.lit(0)).alias("_rows"), F.sum("_sum").over(whole).alias("total"))
-    own = Window.partitionBy("_bucket").orderBy(F.desc(value), *ties)
-    inside = F.coalesce(F.sum(v).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.join(F.broadcast(starts), "_bucket")
-    return rows.withColumn("rank", (F.col("_rows") + F.row_number().over(own)).cast("long")).withColumn("before", F.col("_start") + inside).drop("_bucket", "_start", "_rows")
 
-
-def listing_sales(sales: DataFrame, *more: Column) -> DataFrame:
-    """Per listing: distinct orders, units, revenue (price x quantity, every status), accounts, first title by account."""
+def listing_sales(sales: DataFrame, *more: Column, within: tuple[str, ...] = ()) -> DataFrame:
+    """Per listing (and group of ``within``): distinct orders, units, revenue (price x quantity, every status), accounts, first title by account."""
     titled = F.when(F.col("title").isNotNull(), F.col("account_code"))
-    return sales.groupBy("listing_id").agg(
+    return sales.groupBy(*within, "listing_id").agg(
         F.countDistinct("order_id").alias("sales_count"), F.sum("quantity").alias("units"), F.sum("revenue").cast("decimal(38,2)").alias("revenue"),
         F.array_join(F.array_sort(F.collect_set("account_code")), ",").alias("accounts"), F.min_by("title", titled).alias("title"), *more,
     )
@@ -47,9 +35,16 @@ def window_bounds(today: str, days: int, shift: int = 0, zone: str | None = None
     return local_midnight(F.date_sub(day, days - 1 + shift), **extra), local_midnight(F.date_add(day, 1 - shift), **extra)
 
 
-def listing_curve(per_listing: DataFrame, metric: str = "units") -> DataFrame:
-    """Rank, class, share and running share of each listing by one metric (ties by listing id)."""
-    out = curve_totals(per_listing, metric, "listing_id")
+def in_periods(sales: DataFrame, periods: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Each sale once for every half-open window it lies in, named by ``period``: overlapping windows need one scan."""
+    t = F.col("sold_at")
+    names = F.filter(F.array(*(F.when((t >= start) & (t < end), F.lit(name)) for name, (start, end) in periods.items())), lambda x: x.isNotNull())
+    return sales.withColumn("period", F.explode(names))
+
+
+def listing_curve(per_listing: DataFrame, metric: str = "units", within: tuple[str, ...] = ()) -> DataFrame:
+    """Rank, class, share and running share of each listing by one metric (ties by listing id), in each group of ``within``."""
+    out = curve_totals(per_listing, metric, "listing_id", within=within)
     return out.select(
         *per_listing.columns, "rank", class_of("before", "total").alias("abc_class"),
         percentage(metric, "total").alias("share"), percentage(F.col("before") + F.col(metric), "total").alias("cumulative_share"),
@@ -75,10 +70,12 @@ def movement_summary(compared: DataFrame) -> DataFrame:
     return compared.agg(*kinds, *moves, money(F.coalesce(F.sum(F.when(d < 0, -d)), F.lit(0))).alias("revenue_lost"), money(F.coalesce(F.sum(F.when(d > 0, d)), F.lit(0))).alias("revenue_gained"))
 
 
-def class_totals(curve: DataFrame, share: str = "share") -> DataFrame:
-    """Always three rows: members and summed share of each class."""
+def class_totals(curve: DataFrame, share: str = "share", **more: Column) -> DataFrame:
+    """Always three rows: members, summed share and ``more`` sums (whole numbers) of each class."""
     classes = curve.sparkSession.createDataFrame([("A",), ("B",), ("C",)], "abc_class string")
-    return classes.join(curve.groupBy("abc_class").agg(F.count("*").alias("members"), F.round(F.sum(share), 4).alias("share")), "abc_class", "left").select("abc_class", F.coalesce("members", F.lit(0)).alias("members"), F.coalesce("share", F.lit(0.0)).alias("share"))
+    sums = curve.groupBy("abc_class").agg(F.count("*").alias("members"), F.round(F.sum(share), 4).alias("share"), *(F.sum(c).alias(k) for k, c in more.items()))
+    zero = [F.coalesce(k, F.lit(0)).cast("long").alias(k) for k in more]
+    return classes.join(sums, "abc_class", "left").select("abc_class", F.coalesce("members", F.lit(0)).alias("members"), *zero, F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
 def window_edges(sales: DataFrame, days: int, today: str) -> DataFrame:

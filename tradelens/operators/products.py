@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import STATUSES, business_days, ratio_percent
-from .abc import curve_totals
+from .ranking import by_locale, ranked
 
 
 def resolved(sales: DataFrame, direct: str = "product_id", listed: str | None = None) -> DataFrame:
@@ -37,7 +37,7 @@ def product_sales(products: DataFrame, sales: DataFrame) -> DataFrame:
 
 def product_curve(per_product: DataFrame) -> DataFrame:
     """Units in descending order, then sku, then id; classes from the double percentage before a row (<80 A, <95 B)."""
-    out = curve_totals(per_product, "units", "sku", "product_id")
+    out = ranked(per_product, F.desc("units"), by_locale("sku"), F.asc("product_id"), value="units")
     ahead = ratio_percent("before", "total")
     kind = F.when(ahead < 80, "A").when(ahead < 95, "B").otherwise("C")
     return out.select(*per_product.columns, "rank", kind.alias("abc_class"), ratio_percent("units", "total").alias("share"), ratio_percent(F.col("before") + F.col("units"), "total").alias("cumulative_share"))
@@ -61,10 +61,9 @@ def status_impact(sales: DataFrame) -> DataFrame:
 def account_comparison(curve: DataFrame, shared: DataFrame) -> DataFrame:
     """Products known in both accounts: difference of units, also in percent of the mean, and each account's part."""
     a, b = F.col("units_c1"), F.col("units_c2")
-    order = Window.orderBy(F.desc("units"), "sku", "product_id")
-    rows = curve.join(shared, "product_id", "left_semi")
+    rows = ranked(curve.join(shared, "product_id", "left_semi"), F.desc("units"), by_locale("sku"), F.asc("product_id"), name="position")
     return rows.select(
-        "product_id", "sku", "units_c1", "units_c2", F.abs(a - b).alias("difference"), ratio_percent(F.abs(a - b), (a + b) / 2).alias("difference_percent"), ratio_percent(a, a + b).alias("share_c1"), ratio_percent(b, a + b).alias("share_c2"), F.row_number().over(order).cast("long").alias("position"),
+        "product_id", "sku", "units_c1", "units_c2", F.abs(a - b).alias("difference"), ratio_percent(F.abs(a - b), (a + b) / 2).alias("difference_percent"), ratio_percent(a, a + b).alias("share_c1"), ratio_percent(b, a + b).alias("share_c2"), "position",
     )
 
 
@@ -79,7 +78,7 @@ def rankings(curve: DataFrame, sales: DataFrame) -> DataFrame:
     rows = curve.select("product_id", "sku", F.lit("ALL").alias("scope"), F.col("units").alias("value")).unionByName(
         curve.join(members, "product_id").select("product_id", "sku", "scope", F.when(F.col("scope") == "C1", F.col("units_c1")).otherwise(F.col("units_c2")).alias("value"))
     )
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("value"), "sku", "product_id")).cast("long"))
+    return ranked(rows, F.desc("value"), by_locale("sku"), F.asc("product_id"), within=("scope",), name="position")
 
 
 def last_sales(sales: DataFrame) -> DataFrame:

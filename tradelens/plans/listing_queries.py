@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..binding import ANCHOR, listings, orders, read, sales, signed_pct
 from ..functions.scalars import EFFECTIVE, local_midnight, money, operational_status
 from ..operators import equivalence as x1
 from ..operators import stale
+from ..operators.abc import in_window
+from ..operators.ranking import by_locale, ranked
 from .base import Queries, local, local_days
 
 R = Queries()
@@ -106,20 +107,24 @@ def fn_business_days(spark, d):
     return _evaluated(spark, d).select("account_code", "listing_id", "days_since", "observed_days")
 
 
-@R.add("sort_no_sale", f"{NOSALE} SELECT account_code, listing_id, sort_days FROM ns ORDER BY sort_days DESC, account_code, listing_id LIMIT 100")
+def _longest_first(rows):
+    return ranked(rows, F.desc("sort_days"), F.asc("account_code"), F.asc("listing_id"), name="position")
+
+
+@R.add("sort_no_sale", f"{NOSALE} SELECT account_code, listing_id, sort_days, row_number() OVER (ORDER BY sort_days DESC, account_code, listing_id) AS position FROM ns")
 def sort_no_sale(spark, d):
-    return rm_no_sale(spark, d).select("account_code", "listing_id", "sort_days").orderBy(F.desc("sort_days"), "account_code", "listing_id").limit(100)
+    return _longest_first(rm_no_sale(spark, d).select("account_code", "listing_id", "sort_days"))
 
 
-@R.add("sort_alerts", f"{NOSALE} SELECT account_code, listing_id, title, sort_days FROM ns WHERE listing_status = 'active' ORDER BY sort_days DESC, account_code, listing_id LIMIT 50")
+@R.add("sort_alerts", f"{NOSALE} SELECT account_code, listing_id, title, sort_days, row_number() OVER (ORDER BY sort_days DESC, account_code, listing_id) AS position FROM ns WHERE listing_status = 'active'")
 def sort_alerts(spark, d):
     rows = stale.no_sale(_evaluated(spark, d), listings(spark, d), status="ACTIVE")
-    return rows.select("account_code", "listing_id", "title", "sort_days").orderBy(F.desc("sort_days"), "account_code", "listing_id").limit(50)
+    return _longest_first(rows.select("account_code", "listing_id", "title", "sort_days"))
 
 
 @R.add("top_attention_5", f"{NOSALE} SELECT account_code, listing_id, sort_days FROM ns ORDER BY sort_days DESC, account_code, listing_id LIMIT 5")
 def top_attention_5(spark, d):
-    return sort_no_sale(spark, d).limit(5)
+    return rm_no_sale(spark, d).select("account_code", "listing_id", "sort_days").orderBy(F.desc("sort_days"), "account_code", "listing_id").limit(5)
 
 
 @R.add("pl_attention_center", f"{NOSALE} SELECT account_code, CASE WHEN sort_days >= 90 THEN '90+' WHEN sort_days >= 60 THEN '60-89' ELSE '30-59' END AS bucket, count(*) AS listings FROM ns GROUP BY 1, 2")
@@ -154,7 +159,7 @@ DAY = ANCHOR[:10]
 def _recent(spark, d, days=90):
     """The last closed days: today is not among them."""
     day = F.to_date(F.lit(DAY))
-    return sales(spark, d).where((F.col("sold_at") >= local_midnight(F.date_sub(day, days))) & (F.col("sold_at") < local_midnight(day)))
+    return sales(spark, d, in_window(orders(spark, d), local_midnight(F.date_sub(day, days)), local_midnight(day)))
 
 
 CLOSED = "timezone('UTC', timezone('America/Sao_Paulo', TIMESTAMP '{}'))"
@@ -256,10 +261,11 @@ def agg_catalog_audit(spark, d):
     return sales(spark, d).groupBy("account_code", (F.col("listing_id") % 20).alias("sku")).agg(F.count("*").alias("variations"), F.countDistinct("sellable_id").alias("sellables")).where("variations > 1")
 
 
-@R.add("sort_locale", "SELECT listing_id, title, row_number() OVER (ORDER BY lower(title), title, listing_id) AS position FROM li WHERE title IS NOT NULL")
+@R.add("sort_locale", "SELECT listing_id, title, row_number() OVER (ORDER BY title COLLATE pt, title, listing_id) AS position FROM li WHERE title IS NOT NULL")
 def sort_locale(spark, d):
-    order = Window.orderBy(F.lower("title"), "title", "listing_id")
-    return listings(spark, d).where("title is not null").select("listing_id", "title", F.row_number().over(order).cast("long").alias("position"))
+    """Titles in the order of the language, equal ones by their letters and ids."""
+    rows = listings(spark, d).where("title is not null").select("listing_id", "title")
+    return ranked(rows, by_locale("title"), F.asc("title"), F.asc("listing_id"), name="position")
 
 
 QUERIES, ORACLES = R.queries, R.sql

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..binding import ANCHOR, SQL, listings, orders, pct, products, sales, signed_pct
 from ..functions.scalars import EFFECTIVE, money, percentage, ratio_percent
 from ..operators import abc, products as prod
+from ..operators.ranking import ranked
+from ..shared import settle
 
 QUERIES, ORACLES = {}, {}
 
@@ -29,7 +31,7 @@ CENTS = "CAST({} * 100 AS HUGEINT)"
 
 
 def _window(spark, d, shift=0, days=30):
-    return abc.in_window(sales(spark, d), *abc.window_bounds(DAY, days, shift))
+    return sales(spark, d, abc.in_window(orders(spark, d), *abc.window_bounds(DAY, days, shift)))
 
 
 def _per_listing(src: str, a: str, b: str, name: str) -> str:
@@ -80,13 +82,12 @@ def _account_curves() -> str:
 @query("join_abc_lookup", _account_curves())
 def join_abc_lookup(spark, d):
     """Class and rank of each listing by account and metric; null where it did not sell."""
-    rows, out = _window(spark, d), listings(spark, d).select("listing_id")
-    for account in ("C1", "C2"):
-        sold = abc.listing_sales(rows.where(F.col("account_code") == account))
-        for metric in ("units", "revenue"):
-            name = f"{account.lower()}_{metric}"
-            curve = abc.listing_curve(sold, metric).select("listing_id", F.col("abc_class").alias(f"{name}_class"), F.col("rank").alias(f"{name}_rank"))
-            out = out.join(curve, "listing_id", "left")
+    sold, out = settle(abc.listing_sales(_window(spark, d), within=("account_code",))), listings(spark, d).select("listing_id")
+    for metric in ("units", "revenue"):
+        curve = abc.listing_curve(sold, metric, within=("account_code",))
+        of = {a: F.col("account_code") == a for a in ("C1", "C2")}
+        columns = [F.max(F.when(own, F.col(c))).alias(f"{a.lower()}_{metric}_{name}") for a, own in of.items() for c, name in (("abc_class", "class"), ("rank", "rank"))]
+        out = out.join(curve.groupBy("listing_id").agg(*columns), "listing_id", "left")
     return out
 
 
@@ -105,10 +106,12 @@ _CMP_COLS = ["listing_id", "units", "revenue", "rank", "abc_class", "previous_cl
 
 
 def _compared(spark, d, scope=None):
-    now, old = _window(spark, d), _window(spark, d, 1)
-    if scope:
-        now, old = (x.where(F.col("account_code") == scope) for x in (now, old))
-    return abc.compare_curves(*(abc.listing_curve(abc.listing_sales(x)) for x in (now, old)))
+    """Curves of both windows from one scan of the orders of either."""
+    periods = {"now": abc.window_bounds(DAY, 30), "previous": abc.window_bounds(DAY, 30, 1)}
+    own = abc.in_window(orders(spark, d), periods["previous"][0], periods["now"][1])
+    rows = abc.in_periods(sales(spark, d, own if scope is None else own.where(F.col("account_code") == scope)), periods)
+    curves = abc.listing_curve(abc.listing_sales(rows, within=("period",)), within=("period",))
+    return abc.compare_curves(*(curves.where(F.col("period") == p).drop("period") for p in periods))
 
 
 @query("rm_listing_abc", f"{_CMP} SELECT * FROM cmp")
@@ -151,7 +154,8 @@ _EDGES = ", ".join(
 
 @query("win_period_shift", f"SELECT listing_id, {_EDGES} FROM s WHERE sold_at >= {OLD_A} AND sold_at < {NOW_B} GROUP BY 1")
 def win_period_shift(spark, d):
-    return abc.window_edges(sales(spark, d), 30, DAY)
+    (old, _), (_, end) = abc.window_bounds(DAY, 30, 1), abc.window_bounds(DAY, 30)
+    return abc.window_edges(sales(spark, d, abc.in_window(orders(spark, d), old, end)), 30, DAY)
 
 
 @query("flt_half_open", f"SELECT order_id, account_code, sold_at, status FROM o WHERE sold_at >= {NOW_A} AND sold_at < {NOW_B}")
@@ -163,7 +167,7 @@ _CLOSED = f"sold_at BETWEEN TIMESTAMP '{ANCHOR}' - INTERVAL 30 DAYS AND TIMESTAM
 
 
 def _closed(spark, d):
-    return prod.closed_window(prod.resolved(sales(spark, d)), ANCHOR)
+    return prod.resolved(sales(spark, d, prod.closed_window(orders(spark, d), ANCHOR)))
 
 
 @query("flt_closed", f"SELECT order_id, listing_id, sellable_id, quantity FROM s WHERE {_CLOSED}")
@@ -235,7 +239,7 @@ _PS = f""", w AS (SELECT *, product_id AS product FROM s WHERE {_CLOSED}),
 f AS (SELECT product, CAST(sum(quantity) AS BIGINT) AS units, CAST(sum(CASE WHEN account_code = 'C1' THEN quantity ELSE 0 END) AS BIGINT) AS units_c1, CAST(sum(CASE WHEN account_code = 'C2' THEN quantity ELSE 0 END) AS BIGINT) AS units_c2,
   count(DISTINCT order_id) AS orders, max(sold_at) AS last_sale_at FROM w WHERE status = 'PAID' AND product IS NOT NULL GROUP BY 1),
 ps AS (SELECT product_id, sku, coalesce(units, 0) AS units, coalesce(units_c1, 0) AS units_c1, coalesce(units_c2, 0) AS units_c2, coalesce(orders, 0) AS orders, last_sale_at FROM pr LEFT JOIN f ON product = product_id),
-pc0 AS (SELECT *, row_number() OVER x AS rank, sum(units) OVER () AS total, coalesce(sum(units) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ps WINDOW x AS (ORDER BY units DESC, sku, product_id)),
+pc0 AS (SELECT *, row_number() OVER x AS rank, sum(units) OVER () AS total, coalesce(sum(units) OVER (x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ps WINDOW x AS (ORDER BY units DESC, sku COLLATE pt, product_id)),
 pc AS (SELECT *, CASE WHEN total = 0 THEN 0.0 ELSE CAST(before AS DOUBLE) / CAST(total AS DOUBLE) * 100 END AS ahead, CASE WHEN total = 0 THEN 0.0 ELSE CAST(units AS DOUBLE) / CAST(total AS DOUBLE) * 100 END AS share,
   CASE WHEN total = 0 THEN 0.0 ELSE CAST(before + units AS DOUBLE) / CAST(total AS DOUBLE) * 100 END AS cumulative_share FROM pc0),
 pk AS (SELECT *, CASE WHEN ahead < 80 THEN 'A' WHEN ahead < 95 THEN 'B' ELSE 'C' END AS abc_class FROM pc)"""
@@ -271,8 +275,7 @@ def top_products_20(spark, d):
 
 @query("agg_abc_summary", f"{_PS} SELECT c.abc_class, count(pk.product_id) AS members, CAST(coalesce(sum(units), 0) AS BIGINT) AS units, round(coalesce(sum(share), 0), 4) AS share FROM (VALUES ('A'), ('B'), ('C')) c(abc_class) LEFT JOIN pk USING (abc_class) GROUP BY 1")
 def agg_abc_summary(spark, d):
-    curve = prod.product_curve(_ps(spark, d))
-    return abc.class_totals(curve).join(curve.groupBy("abc_class").agg(F.sum("units").alias("units")), "abc_class", "left").select("abc_class", "members", F.coalesce("units", F.lit(0)).cast("long").alias("units"), "share")
+    return abc.class_totals(prod.product_curve(_ps(spark, d)), units=F.col("units"))
 
 
 @query("agg_conditional_pivot", f"{_PS} SELECT product_id, units_c1, units_c2 FROM f JOIN pr ON product = product_id")
@@ -314,7 +317,7 @@ def join_semi_shared(spark, d):
 _SH = "sh AS (SELECT product_id FROM s WHERE product_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT account_code) = 2)"
 
 
-@query("rm_product_abc_comparison", f"{_PS}, {_SH} SELECT product_id, sku, units_c1, units_c2, abs(units_c1 - units_c2) AS difference, {_dpct('abs(units_c1 - units_c2)', '((units_c1 + units_c2) / 2)')} AS difference_percent, {_dpct('units_c1', '(units_c1 + units_c2)')} AS share_c1, {_dpct('units_c2', '(units_c1 + units_c2)')} AS share_c2, row_number() OVER (ORDER BY units DESC, sku, product_id) AS position FROM pk SEMI JOIN sh USING (product_id)")
+@query("rm_product_abc_comparison", f"{_PS}, {_SH} SELECT product_id, sku, units_c1, units_c2, abs(units_c1 - units_c2) AS difference, {_dpct('abs(units_c1 - units_c2)', '((units_c1 + units_c2) / 2)')} AS difference_percent, {_dpct('units_c1', '(units_c1 + units_c2)')} AS share_c1, {_dpct('units_c2', '(units_c1 + units_c2)')} AS share_c2, row_number() OVER (ORDER BY units DESC, sku COLLATE pt, product_id) AS position FROM pk SEMI JOIN sh USING (product_id)")
 def rm_product_abc_comparison(spark, d):
     return prod.account_comparison(prod.product_curve(_ps(spark, d)), prod.shared_products(prod.resolved(sales(spark, d))))
 
@@ -322,12 +325,12 @@ def rm_product_abc_comparison(spark, d):
 _RANK = f"{_PS}, mem AS (SELECT DISTINCT product_id, account_code AS scope FROM s WHERE product_id IS NOT NULL), r AS (SELECT product_id, sku, 'ALL' AS scope, units AS value FROM pk UNION ALL SELECT product_id, sku, scope, CASE scope WHEN 'C1' THEN units_c1 ELSE units_c2 END FROM pk JOIN mem USING (product_id))"
 
 
-@query("rm_pi_rankings", f"{_RANK} SELECT *, row_number() OVER (PARTITION BY scope ORDER BY value DESC, sku, product_id) AS position FROM r")
+@query("rm_pi_rankings", f"{_RANK} SELECT *, row_number() OVER (PARTITION BY scope ORDER BY value DESC, sku COLLATE pt, product_id) AS position FROM r")
 def rm_pi_rankings(spark, d):
     return prod.rankings(prod.product_curve(_ps(spark, d)), prod.resolved(sales(spark, d)))
 
 
-@query("win_rank_per_account", f"{_RANK} SELECT product_id, scope, row_number() OVER (PARTITION BY scope ORDER BY value DESC, sku, product_id) AS position FROM r WHERE scope <> 'ALL'")
+@query("win_rank_per_account", f"{_RANK} SELECT product_id, scope, row_number() OVER (PARTITION BY scope ORDER BY value DESC, sku COLLATE pt, product_id) AS position FROM r WHERE scope <> 'ALL'")
 def win_rank_per_account(spark, d):
     return rm_pi_rankings(spark, d).where("scope <> 'ALL'").select("product_id", "scope", "position")
 
@@ -404,8 +407,7 @@ def fn_delta_percent(spark, d):
 
 @query("sort_transition_priority", f"{_CMP} SELECT listing_id, transition, revenue_delta, row_number() OVER (ORDER BY CASE transition WHEN 'A_TO_C' THEN 1 WHEN 'A_TO_B' THEN 2 ELSE 3 END, revenue_delta, listing_id) AS position FROM cmp WHERE movement = 'DECLINED'")
 def sort_transition_priority(spark, d):
-    from pyspark.sql import Window
-
     t = F.col("transition")
-    order = Window.orderBy(F.when(t == "A_TO_C", 1).when(t == "A_TO_B", 2).otherwise(3), "revenue_delta", "listing_id")
-    return _compared(spark, d).where("movement = 'DECLINED'").select("listing_id", "transition", "revenue_delta", F.row_number().over(order).cast("long").alias("position"))
+    first = F.when(t == "A_TO_C", 1).when(t == "A_TO_B", 2).otherwise(3)
+    rows = _compared(spark, d).where("movement = 'DECLINED'").select("listing_id", "transition", "revenue_delta")
+    return ranked(rows, first, F.asc("revenue_delta"), F.asc("listing_id"), name="position")
