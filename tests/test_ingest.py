@@ -77,3 +77,29 @@ def test_channels_must_name_one_account(spark):
     for bad in (frame("Shop 1", "Shop 2"), frame("Shop"), frame().limit(0)):
         with pytest.raises(Exception, match="no single account"):
             finance.account_of_channels(bad).collect()
+
+
+def test_a_scroll_that_stands_still_is_an_error(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "scan string, page int, item_id string, payload string")
+    rows = [("a", 0, "x", "1"), ("a", 0, "y", "2"), ("a", 1, "x", "1"), ("a", 1, "z", "3"), ("b", 0, "x", "1")]
+    assert sorted((r.scan, r.page, r.item_id) for r in landing.scrolled(frame(rows)).collect()) == [("a", 0, "x"), ("a", 0, "y"), ("a", 1, "z"), ("b", 0, "x")]
+    with pytest.raises(Exception, match="no new item"):
+        landing.scrolled(frame([*rows, ("a", 2, "x", "1")])).collect()
+    assert landing.scrolled(frame([])).collect() == []
+
+
+def test_a_snapshot_is_replaced_as_a_whole(spark):
+    ddl = "k int, day int, name string, value int"
+    old = spark.createDataFrame([(1, 1, "a", 1), (1, 1, "b", 2), (1, 2, "a", 3)], ddl)
+    rows, actions = ingest.replace_whole(old, spark.createDataFrame([(1, 1, "a", 9), (2, 1, "a", 8)], ddl), ["k", "day"])
+    assert sorted(map(tuple, rows.collect())) == [(1, 1, "a", 9), (1, 2, "a", 3), (2, 1, "a", 8)]
+    assert sorted(map(tuple, actions.collect())) == [(1, 1, "UPDATED"), (2, 1, "CREATED")]
+
+
+def test_a_failed_day_leaves_the_others_and_its_snapshot_alone(spark):
+    plan = spark.createDataFrame([(1, "LOCAL_REFRESH"), (2, "FULL_EXTERNAL_PROCESS"), (3, "FULL_EXTERNAL_PROCESS"), (4, "SKIPPED"), (5, "BLOCKED_LEGACY")], "sold_on int, action string")
+    stored = spark.createDataFrame([(1, "old", 1, 1, 50), (2, "old", 1, 1, 51), (4, "d4", 1, 1, 52), (5, None, 1, 1, 53), (9, "d9", 1, 1, 54)], "sold_on int, daily_sha256 string, margin int, products int, visits int")
+    report = spark.createDataFrame([(i, f"d{i}", 7, 8) for i in range(1, 6)], "sold_on int, daily_sha256 string, margin int, products int")
+    kept, days = finance.backfill(plan, stored, report, spark.createDataFrame([(3, 99)], "sold_on int, visits int"))
+    assert {r.sold_on: (r.daily_sha256, r.margin, r.visits) for r in kept.collect()} == {1: ("d1", 7, 50), 2: ("old", 1, 51), 3: ("d3", 7, 99), 4: ("d4", 1, 52), 5: (None, 1, 53), 9: ("d9", 1, 54)}
+    assert {r.sold_on: r.outcome for r in days.collect()} == {1: "UPDATED", 2: "FAILED", 3: "CREATED", 4: "SKIPPED", 5: "BLOCKED"}

@@ -80,3 +80,24 @@ def account_of_channels(records: DataFrame) -> DataFrame:
     found = records.select(F.nullif(number, F.lit("")).alias("n")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     good = F.col("low") == F.col("high")
     return found.select(F.when(good, F.col("low").cast("int")).otherwise(F.raise_error(F.lit("the channels name no single account")).cast("int")).alias("ordinal"))
+
+
+def backfill(plan: DataFrame, snapshots: DataFrame, report: DataFrame, external: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(snapshots, days): a plan carried out on stored snapshots, each day on its own.
+
+    ``plan``: sold_on, action. ``snapshots`` and ``report``: sold_on, daily_sha256, margin, products
+    and, of snapshots, visits. ``external``: sold_on, visits, for days whose sources answered. A local
+    refresh takes the report's values and keeps the rest; an external day takes both, and fails
+    when a source gave nothing. Days skipped, ignored, blocked or failed leave their snapshot alone.
+    """
+    ends = [report.select("sold_on", *(F.col(c).alias(f"new_{c}") for c in ("daily_sha256", "margin", "products"))), external.select("sold_on", F.col("visits").alias("new_visits"), F.lit(True).alias("answered"))]
+    old = snapshots.select("*", F.lit(True).alias("stored"))
+    rows = plan.join(old, "sold_on", "full_outer").join(ends[0], "sold_on", "left").join(ends[1], "sold_on", "left")
+    local, outside = F.col("action") == "LOCAL_REFRESH", F.col("action") == "FULL_EXTERNAL_PROCESS"
+    fails = (local & F.col("stored").isNull()) | (outside & F.col("answered").isNull()) | ((local | outside) & F.col("new_daily_sha256").isNull())
+    works = F.coalesce((local | outside) & ~fails, F.lit(False))
+    done = F.when(fails, "FAILED").when(works, F.when(F.col("stored"), "UPDATED").otherwise("CREATED")).otherwise(F.when(F.col("action") == "BLOCKED_LEGACY", "BLOCKED").otherwise(F.when(local | outside, "FAILED").otherwise("SKIPPED")))
+    values = [F.when(works, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in ("daily_sha256", "margin", "products")]
+    visits = F.when(works & outside, F.col("new_visits")).otherwise(F.col("visits")).alias("visits")
+    kept = rows.where(works | F.col("stored")).select("sold_on", *values, visits)
+    return kept, rows.where("action is not null").select("sold_on", "action", done.alias("outcome"))

@@ -68,3 +68,28 @@ def recovered(runs: DataFrame, now: Column, lease: str = "INTERVAL 30 MINUTES")
     """Runs with status FAILED where a RUNNING one has not been heard of for a lease."""
     stale = (F.col("status") == "RUNNING") & (F.col("heartbeat_at") < now - F.expr(lease))
     return runs.withColumn("status", F.when(stale, "FAILED").otherwise(F.col("status")))
+
+
+#: Civil days that each replay of landed orders goes back.
+REPLAYS = {"daily": 7, "weekly": 90}
+
+
+def replay(stored: DataFrame, landed: DataFrame, kind: str, now: Column) -> DataFrame:
+    """Stored orders with those landed for the replay's window, [now - days, now), put over them: late changes arrive this way.
+
+    ``landed`` may hold an order several times; the last arrival counts. Orders are never deleted.
+    """
+    start = now - F.make_dt_interval(F.lit(REPLAYS[kind]))
+    own = landed.where((F.col("sold_at") >= start) & (F.col("sold_at") < now))
+    return upsert(stored, latest(own, ["order_id"], ["arrived_at"]).select(*stored.columns), ["order_id"])
+
+
+def replace_whole(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, actions): of each key in ``new`` all old rows go and the new ones come; other keys stay as they were.
+
+    ``actions`` says CREATED or UPDATED for each key of ``new``.
+    """
+    given = new.select(*keys).distinct()
+    rows = old.join(given, keys, "left_anti").unionByName(new.select(*old.columns))
+    known = old.select(*keys, F.lit(True).alias("_known")).distinct()
+    return rows, given.join(known, keys, "left").select(*keys, F.when(F.col("_known"), "UPDATED").otherwise("CREATED").alias("action"))

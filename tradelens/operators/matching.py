@@ -122,3 +122,9 @@ def operational_report(market: DataFrame, items: DataFrame, flags: DataFrame, ke
         F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"), F.coalesce(F.sum("units"), F.lit(0)).alias("units"),
         F.count_if("is_full").alias("full_orders"), F.count_if(~F.col("is_full")).alias("other_orders"), F.count_if(F.col("is_full").isNull()).alias("missing_shipments"),
     )
+
+
+def sku_breakdown(lines: DataFrame) -> DataFrame:
+    """sku, product (of the line with the least ``place``), item lines and units; a line without a SKU counts under a dash."""
+    by = lines.groupBy(F.coalesce("sku", F.lit("-")).alias("sku"))
+    return by.agg(F.min_by("product", "place").alias("product"), F.count("*").alias("lines"), F.sum("quantity").alias("units"))

@@ -129,3 +129,51 @@ def resolve(evidence: DataFrame, policy: DataFrame) -> DataFrame:
     wanted = evidence.select(*keys).distinct().join(F.broadcast(policy), "metric")  # one row for each metric
     rows = wanted.join(evidence.select(*keys, F.col("source").alias("primary_source"), "value"), [*keys, "primary_source"], "left")
     return rows.select(*keys, "primary_source", "value", F.when(F.col("value").isNull(), "UNAVAILABLE").otherwise("RESOLVED").alias("state"))
+
+
+def operations_report(orders: DataFrame, items: DataFrame, flags: DataFrame, visits: DataFrame, reference: DataFrame) -> DataFrame:
+    """Per account: what its orders, shipments and visits add up to, beside the values noted by hand.
+
+    Columns account_code, metric, calculated, reference, status. The two kinds of values mean
+    different things, so no row has both and none a difference. ``flags``: order_id, is_full (null
+    when a lookup failed, which leaves the account's fulfilment unknown); ``visits``: account_code,
+    visits (null when the lookup failed); ``reference``: account_code, metric, value, for the metrics of ``NOTED``.
+    """
+    lines = items.groupBy("order_id").agg(F.sum("quantity").alias("units"))
+    rows = orders.join(lines, "order_id", "left").join(flags, "order_id", "left")
+    full, known = F.col("is_full"), F.count_if(F.col("is_full").isNull()) == 0
+    number = lambda x: x.cast("decimal(38,2)")
+    own = rows.groupBy("account_code").agg(
+        number(F.sum("gross_amount")).alias("orders.gross_amount"), number(F.count("*")).alias("orders.count"), number(F.coalesce(F.sum("units"), F.lit(0))).alias("orders.units"),
+        F.when(known, number(F.coalesce(F.sum(F.when(full, F.col("gross_amount"))), F.lit(0)))).alias("fulfillment.gross_amount"),
+        F.when(known, number(F.count_if("is_full"))).alias("fulfillment.orders"), F.when(known, number(F.coalesce(F.sum(F.when(full, F.col("units"))), F.lit(0)))).alias("fulfillment.units"),
+    )
+    own = own.join(visits.select("account_code", number(F.col("visits")).alias("visits")), "account_code", "left")
+    names = [c for c in own.columns if c != "account_code"]
+    none = F.lit(None).cast("decimal(38,2)")
+    found = own.unpivot(["account_code"], [F.col(f"`{c}`") for c in names], "metric", "calculated").select("account_code", "metric", "calculated", none.alias("reference"), F.lit("OPERATIONAL_DIAGNOSTIC").alias("status"))
+    noted = own.select("account_code", F.explode(F.array(*(F.lit(m) for m in NOTED))).alias("metric")).join(reference, ["account_code", "metric"], "left")
+    state = F.when(F.col("value").isNull(), "NO_REFERENCE").otherwise("SELLER_BI_REFERENCE")
+    return found.unionByName(noted.select("account_code", F.concat(F.lit("noted."), "metric").alias("metric"), none.alias("calculated"), number(F.col("value")).alias("reference"), state.alias("status")))
+
+
+#: Metrics that are noted by hand for a day.
+NOTED = ["gross", "sales_count", "units", "full_gross", "full_units", "full_sales", "ticket", "margin_percent"]
+
+
+def comparison_facts(periods: DataFrame, highest: tuple[str, ...], growth: str) -> DataFrame:
+    """What stands out between accounts: fact, account_code, metric, value.
+
+    ``periods``: account_code, metric, now, before. HIGHEST: the account with the larger value now
+    (TIE for equals; none while a value is missing). GROWTH: the largest relative change of
+    ``growth``, if it is a growth. DROP: the largest relative fall of any metric. Equal changes go
+    to the first account, then to the first metric.
+    """
+    change, now = temporal("now", "before")[1], F.col("now")
+    rows = periods.select("account_code", "metric", "now", (F.signum(now - F.col("before")) * F.abs(change)).alias("change"))
+    top = rows.where(F.col("metric").isin(*highest)).groupBy("metric").agg(F.max("now").alias("high"), F.min("now").alias("low"), F.count("now").alias("known"), F.count("*").alias("n"), F.max_by("account_code", "now").alias("account_code"))
+    top = top.where("known = n and n > 1").select(F.lit("HIGHEST").alias("fact"), F.when(F.col("high") == F.col("low"), "TIE").otherwise(F.col("account_code")).alias("account_code"), "metric", F.col("high").cast("double").alias("value"))
+    first = lambda sign: F.min(F.struct((sign * F.col("change")).alias("order"), "account_code", "metric", "change")).alias("first")
+    grown = rows.where((F.col("metric") == growth) & F.col("change").isNotNull()).agg(first(-1)).where("first.change > 0").withColumn("fact", F.lit("GROWTH"))
+    fallen = rows.where("change < 0").agg(first(1)).where("first is not null").withColumn("fact", F.lit("DROP"))
+    return top.unionByName(grown.unionByName(fallen).select("fact", "first.account_code", "first.metric", F.col("first.change").alias("value")))

@@ -17,6 +17,16 @@ def resolved(sales: DataFrame, direct: str = "product_id", listed: str | None =
     return sales.withColumn("product", F.when(clash, F.raise_error(F.lit("an item and its listing name different products"))).otherwise(F.coalesce(direct, listed)))
 
 
+def link_audit(sales: DataFrame, direct: str, listed: str) -> DataFrame:
+    """Items by how their product is found: their own link, their listing's, none, or two that differ (the caller's error)."""
+    a, b = F.col(direct), F.col(listed)
+    clash = F.coalesce(a != b, F.lit(False))
+    return sales.agg(
+        F.count("*").alias("items"), F.count_if(a.isNotNull() & ~clash).alias("direct_links"), F.count_if(a.isNull() & b.isNotNull()).alias("listing_links"),
+        F.count_if(a.isNull() & b.isNull()).alias("unlinked"), F.count_if(clash).alias("conflicts"),
+    )
+
+
 def closed_window(sales: DataFrame, until: str, days: int = 30) -> DataFrame:
     """Closed window of raw instants [until - days, until]."""
     end = F.to_timestamp(F.lit(until))

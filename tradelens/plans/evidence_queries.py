@@ -139,9 +139,9 @@ def fn_format_ptbr(spark, d):
     return orders(spark, d).select("order_id", display.currency_ptbr("gross_amount").alias("price"), display.signed_percent_ptbr("gross_amount").alias("change"))
 
 
-@R.add("snk_markdown", f"SELECT order_id AS line_number, '| ' || CAST(order_id AS VARCHAR) || ' | ' || account_code || '\\|x | R$ ' || {MONEY_TEXT} || ' |' AS line FROM o WHERE order_id BETWEEN 1 AND 50 UNION ALL SELECT -1, '| Order | Account | Gross |' UNION ALL SELECT 0, '| --- | --- | --- |'")
+@R.add("snk_markdown", f"SELECT order_id AS line_number, '| ' || CAST(order_id AS VARCHAR) || ' | ' || account_code || '\\|x | R$ ' || {MONEY_TEXT} || ' |' AS line FROM o UNION ALL SELECT -1, '| Order | Account | Gross |' UNION ALL SELECT 0, '| --- | --- | --- |'")
 def snk_markdown(spark, d):
-    rows = orders(spark, d).where(F.col("order_id").between(1, 50)).withColumn("account", F.concat("account_code", F.lit("|x")))
+    rows = orders(spark, d).withColumn("account", F.concat("account_code", F.lit("|x")))
     return display.markdown_lines(rows, "order_id", {"Order": display.cell("order_id"), "Account": display.cell("account"), "Gross": display.currency_ptbr("gross_amount")})
 
 

@@ -47,15 +47,16 @@ def prj_status_map(spark, d):
     return landing.parse_orders(_payloads(spark, d)).groupBy("status").agg(F.count("*").alias("orders"))
 
 
-def _catalog(spark, d):
-    """Catalog payloads: items with two variations, with one, and with none."""
+def _catalog(spark, d, skus: int | None = None):
+    """Catalog payloads: items with two variations, with one, and with none; ``skus`` numbers shared by all."""
     k = F.col("p_partkey")
+    number = (k if skus is None else F.floor(k / 4) % skus).cast("string")
     sku = lambda x: F.array(F.struct(F.lit("SELLER_SKU").alias("id"), x.alias("value_name")))
     blank = F.lit(None).cast("string")
-    one = lambda n: F.struct(F.concat(k.cast("string"), F.lit(f"-{n}")).alias("id"), sku(F.when(k % 4 == n, F.concat(F.lit("V"), k.cast("string"))).otherwise(" ")).alias("attributes"),
+    one = lambda n: F.struct(F.concat(k.cast("string"), F.lit(f"-{n}")).alias("id"), sku(F.when(k % 4 == n, F.concat(F.lit("V"), number)).otherwise(" ")).alias("attributes"),
         F.array(F.struct(F.lit("Color").alias("name"), F.lit("red").alias("value_name")), F.struct(F.lit("Size").alias("name"), F.lit(str(n)).alias("value_name"))).alias("attribute_combinations"))
     variations = F.when(k % 3 == 0, F.array(one(1), one(2))).when(k % 3 == 1, F.array(one(1)))
-    item = F.struct(k.cast("string").alias("id"), F.col("p_name").alias("title"), F.lit("active").alias("status"), F.when(k % 2 == 0, F.concat(F.lit("I"), k.cast("string"))).otherwise(blank).alias("seller_custom_field"), variations.alias("variations"))
+    item = F.struct(k.cast("string").alias("id"), F.col("p_name").alias("title"), F.lit("active").alias("status"), F.when(k % 2 == 0, F.concat(F.lit("I"), number)).otherwise(blank).alias("seller_custom_field"), variations.alias("variations"))
     return spark.read.parquet(f"{d}/part.parquet").select(k, F.to_json(item).alias("payload"))
 
 
@@ -71,10 +72,10 @@ def prj_catalog_normalize(spark, d):
 
 @R.add("src_catalog_scroll", f"{CATALOG} SELECT listing_id, count(*) AS rows FROM ct GROUP BY 1")
 def src_catalog_scroll(spark, d):
-    pages = _catalog(spark, d).withColumn("scan", F.lit("all"))
-    again = pages.where(F.col("p_partkey") % 5 == 0)  # a scroll may give an item twice
-    rows = pages.unionByName(again).dropDuplicates(["p_partkey"])
-    return landing.catalog_rows(rows).groupBy("listing_id").agg(F.count("*").alias("rows"))
+    k = F.col("p_partkey")
+    pages = _catalog(spark, d).select(F.lit("all").alias("scan"), F.floor(k / 50).alias("page"), k.cast("string").alias("item_id"), "payload")
+    again = pages.where("page = 0").withColumn("page", F.lit(1).cast("long"))  # a scroll may give an item twice
+    return landing.catalog_rows(landing.scrolled(pages.unionByName(again))).groupBy("listing_id").agg(F.count("*").alias("rows"))
 
 
 @R.add("src_catalog_bulk", "SELECT count(*) AS requested, count(*) FILTER (p_partkey % 10 = 0) AS failed FROM part")
@@ -182,10 +183,10 @@ def fn_parse_sale_date(spark, d):
     return _keys(spark, d).select("order_id", s.parse_sale_day(text).alias("day"))
 
 
-@R.add("fn_redact", "SELECT order_id, 'call [REDACTED] or [REDACTED] for ' || CAST(order_id AS VARCHAR) AS note FROM o WHERE order_id < 10000000")
+@R.add("fn_redact", "SELECT order_id, 'call [REDACTED] or [REDACTED] for ' || CAST(order_id AS VARCHAR) AS note FROM o")
 def fn_redact(spark, d):
     note = F.concat(F.lit("call someone@example.com or 123.456.789-09 for "), "k")
-    return _keys(spark, d).where(F.col("order_id") < 10000000).select("order_id", s.redact(note).alias("note"))
+    return _keys(spark, d).select("order_id", s.redact(note).alias("note"))
 
 
 @R.add("fn_identity_key", "SELECT order_id, account_code || '|' || CASE WHEN order_id % 2 = 0 THEN CAST(order_id AS VARCHAR) ELSE '' END AS identity FROM o")
@@ -253,10 +254,10 @@ def fn_money4(spark, d):
     return _keys(spark, d).select("order_id", F.round(F.col("gross_amount") / 8, 4).cast("decimal(38,4)").alias("amount"))
 
 
-@R.add("fn_decimal10", "SELECT order_id, regexp_replace(CAST(CAST(order_id % 1000 AS DECIMAL(20,10)) / 8 AS DECIMAL(20,10))::VARCHAR, '\\.?0+$', '') AS text FROM o WHERE order_id % 1000 <> 0")
+@R.add("fn_decimal10", "SELECT order_id, CASE WHEN order_id % 1000 = 0 THEN '0' ELSE regexp_replace(CAST(CAST(order_id % 1000 AS DECIMAL(20,10)) / 8 AS DECIMAL(20,10))::VARCHAR, '\\.?0+$', '') END AS text FROM o")
 def fn_decimal10(spark, d):
     value = ((F.col("order_id") % 1000).cast("decimal(20,10)") / 8).cast("decimal(30,10)")
-    return _keys(spark, d).where(F.col("order_id") % 1000 != 0).withColumn("v", value).select("order_id", canonical_decimal("v").alias("text"))
+    return _keys(spark, d).withColumn("v", value).select("order_id", canonical_decimal("v").alias("text"))
 
 
 @R.add("fn_title_primary", "SELECT p_partkey AS listing_id, CASE p_partkey % 3 WHEN 0 THEN 'A (+1 componentes)' WHEN 1 THEN 'A' END AS title FROM part")

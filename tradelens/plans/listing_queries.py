@@ -248,19 +248,6 @@ def fn_local_day_interval(spark, d):
     return orders(spark, d).groupBy("account_code", local_day("sold_at").alias("day")).agg(F.count("*").alias("orders"))
 
 
-@R.add("set_sku_distribution", "SELECT 'ONLY_C1' AS kind, count(*) AS listings FROM (SELECT listing_id FROM s WHERE account_code = 'C1' EXCEPT SELECT listing_id FROM s WHERE account_code = 'C2') UNION ALL SELECT 'ONLY_C2', count(*) FROM (SELECT listing_id FROM s WHERE account_code = 'C2' EXCEPT SELECT listing_id FROM s WHERE account_code = 'C1') UNION ALL SELECT 'BOTH', count(*) FROM (SELECT listing_id FROM s WHERE account_code = 'C1' INTERSECT SELECT listing_id FROM s WHERE account_code = 'C2')")
-def set_sku_distribution(spark, d):
-    one, two = (sales(spark, d).where(F.col("account_code") == c).select("listing_id").distinct() for c in ("C1", "C2"))
-    parts = {"ONLY_C1": one.subtract(two), "ONLY_C2": two.subtract(one), "BOTH": one.intersect(two)}
-    out = [rows.agg(F.count("*").alias("listings")).select(F.lit(k).alias("kind"), "listings") for k, rows in parts.items()]
-    return out[0].unionByName(out[1]).unionByName(out[2])
-
-
-@R.add("agg_catalog_audit", "SELECT account_code, listing_id % 20 AS sku, count(*) AS variations, count(DISTINCT sellable_id) AS sellables FROM s GROUP BY 1, 2 HAVING count(*) > 1")
-def agg_catalog_audit(spark, d):
-    return sales(spark, d).groupBy("account_code", (F.col("listing_id") % 20).alias("sku")).agg(F.count("*").alias("variations"), F.countDistinct("sellable_id").alias("sellables")).where("variations > 1")
-
-
 @R.add("sort_locale", "SELECT listing_id, title, row_number() OVER (ORDER BY title COLLATE pt, title, listing_id) AS position FROM li WHERE title IS NOT NULL")
 def sort_locale(spark, d):
     """Titles in the order of the language, equal ones by their letters and ids."""

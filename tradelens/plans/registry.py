@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence_queries, ingest_queries, listing_queries, matching_queries, metric_queries, sales_queries
+from . import evidence_queries, ingest_queries, listing_queries, matching_queries, metric_queries, report_queries, sales_queries
 
-_MODULES = [sales_queries, listing_queries, metric_queries, matching_queries, ingest_queries, evidence_queries]
+_MODULES = [sales_queries, listing_queries, metric_queries, matching_queries, ingest_queries, evidence_queries, report_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

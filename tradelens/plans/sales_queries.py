@@ -298,9 +298,11 @@ def agg_status_impact(spark, d):
     return prod.status_impact(prod.resolved(sales(spark, d)))
 
 
-@query("agg_link_audit", f"{_PS} SELECT count(*) AS items, count(*) FILTER (product IS NOT NULL) AS direct_links, count(*) FILTER (product IS NULL) AS unlinked FROM w")
+@query("agg_link_audit", f"""{_PS}, lp AS (SELECT listing_id, max(product_id) AS listed FROM s GROUP BY 1) SELECT count(*) AS items, count(*) FILTER (product IS NOT NULL AND (listed IS NULL OR listed = product)) AS direct_links,
+  count(*) FILTER (product IS NULL AND listed IS NOT NULL) AS listing_links, count(*) FILTER (product IS NULL AND listed IS NULL) AS unlinked, count(*) FILTER (product <> listed) AS conflicts FROM w JOIN lp USING (listing_id)""")
 def agg_link_audit(spark, d):
-    return _closed(spark, d).agg(F.count("*").alias("items"), F.count("product").alias("direct_links"), F.count(F.when(F.col("product").isNull(), 1)).alias("unlinked"))
+    listed = sales(spark, d).groupBy("listing_id").agg(F.max("product_id").alias("listed"))
+    return prod.link_audit(_closed(spark, d).join(listed, "listing_id"), "product", "listed")
 
 
 @query("join_product_resolve", f"{_PS}, lp AS (SELECT listing_id, max(product_id) AS listed FROM s GROUP BY 1) SELECT order_id, listing_id, sellable_id, coalesce(product, listed) AS product FROM w JOIN lp USING (listing_id)")

@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ZONE, col
+from ..functions.scalars import ZONE, col, local_day
 
 
-def on_local_day(text, day: Column, zone: str = ZONE) -> Column:
-    """Whether a time given as text falls on a civil day; false for null.
+def civil_day(text, zone: str = ZONE) -> Column:
+    """The day that a landed time names: its own date if it has no offset, else that of its instant in ``zone``; null if it is no time."""
+    text = col(text)
+    plain = [F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss[.SSS]")]
+    zoned = [F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd'T'HH:mm:ss[.SSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSS]XX", "yyyy-MM-dd HH:mm:ssXXX")]
+    return F.coalesce(F.to_date(F.coalesce(*plain)), local_day(F.coalesce(*zoned), zone))
 
-    Text without an offset counts by its leading date; other text is an instant, seen in ``zone``.
-    Text that is neither raises an error.
-    """
+
+def on_local_day(text, day: Column, zone: str = ZONE) -> Column:
+    """Whether a landed time falls on a civil day; false for null. Text that names no time stops the job with an error."""
     text = col(text)
-    leading, offset = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})(?:$|[ T])", 1), text.rlike(r"(?i)(Z|[+-]\d{2}:?\d{2})$")
-    plain = (leading != "") & ~(offset & (F.length(text) > 10))
-    instant = F.try_to_timestamp(F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2"))
-    local = F.to_date(F.from_utc_timestamp(F.when(instant.isNull(), F.raise_error(F.lit("order creation date")).cast("timestamp")).otherwise(instant), zone))
-    return F.when(text.isNull(), False).when(plain, leading == F.date_format(day, "yyyy-MM-dd")).otherwise(local == day)
+    named = civil_day(text, zone)
+    unknown = text.isNotNull() & named.isNull()
+    return F.when(unknown, F.raise_error(F.concat(F.lit("no time can be read from "), text)).cast("boolean")).otherwise(F.coalesce(named == day, F.lit(False)))
 
 
 def erp_orders(summaries: DataFrame, details: DataFrame, day: Column, zone: str = ZONE) -> DataFrame:

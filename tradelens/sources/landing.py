@@ -39,6 +39,19 @@ def within(rows: DataFrame, instant: str, start: Column, end: Column) -> DataFra
     return rows.where((F.col(instant) >= start) & (F.col(instant) < end))
 
 
+def scrolled(pages: DataFrame) -> DataFrame:
+    """The items of a scroll, each once; an error if a page brought nothing new, so that the scroll stood still.
+
+    ``pages``: ``scan``, ``page`` (whole numbers in order), ``item_id``, and other columns, equal for equal items.
+    """
+    rest = [c for c in pages.columns if c not in ("scan", "page", "item_id")]
+    items = pages.groupBy("scan", "item_id").agg(F.min("page").alias("page"), *(F.first(c).alias(c) for c in rest))
+    fresh = items.select("scan", "page").distinct()
+    stuck = pages.select("scan", "page").distinct().join(fresh, ["scan", "page"], "left_anti").agg(F.count("*").alias("_stuck"))  # one row
+    checked = F.when(F.col("_stuck") > 0, F.raise_error(F.lit("a page of a scroll brought no new item")).cast("boolean")).otherwise(True)
+    return items.join(F.broadcast(stuck)).where(checked).select(*pages.columns)
+
+
 def bulk(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bodies with code 200, and one row counting all requests and failures. ``responses``: code, body."""
     good = F.coalesce(F.col("code") == 200, F.lit(False))
