@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 from .textcols import i64, parts_for, settle
 
+def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """:func:`settle`, then as few tasks as hold ``rows`` rows each: a small table leaves no crowd of small files in the shuffles that follow."""
+    df = settle(df)
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 _FOREST_DDL = "node long, root long"
 
 
@@ -64,7 +70,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", most: int = 1 << 20)
     task's edges are all there are. A node of n edges is in as many rows as there are tasks, never
     in n. No edges give an empty result.
     """
-    graph = settle(edges.select(F.col(a).alias("node"), F.col(b).alias("root")).where("node <> root"))
+    graph = small(edges.select(F.col(a).alias("node"), F.col(b).alias("root")).where("node <> root"))
     levels: list[DataFrame] = []
     while True:
         parts = -(-graph.count() // most)
@@ -77,7 +83,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", most: int = 1 << 20)
         # the roots of one node's stars belong together
         ties = forest.join(least.withColumnRenamed("root", "least"), "node").where("root <> least")
         graph = settle(ties.select(F.col("root").alias("node"), F.col("least").alias("root")).distinct())
-    labels = settle(forest)
+    labels = small(forest)
     for least in reversed(levels):
         top = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
         labels = settle(spread_join(least, top, "root", "node", hot_keys(least, "root"), "left").select("node", F.coalesce("top", "root").alias("root")))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected, hot_keys, spread_join
+from .graph import connected, hot_keys, small, spread_join
 from .textcols import Prefix, i64, id_or_least, lower_ascii, mix, null_if_least, parts_for, row_key, settle, slices, stream, words
 
 _U = np.uint64
@@ -196,10 +196,10 @@ def hub_pairs(ordered: DataFrame, depth: int, region: int, hubs: int, visits: in
     first round of confirmation.
     """
     rows = ordered.select("tree", F.xxhash64("tree", F.substring("label", 1, 4 * depth)).alias("region"), "id")
-    crowded = settle(rows.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > region).select("region"))
-    inside = settle(rows.join(crowded.hint("shuffle_hash"), "region"))
+    crowded = small(rows.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > region).select("region"))
+    inside = small(rows.join(crowded.hint("shuffle_hash"), "region"))
     of_class = inside.groupBy("id").agg(F.count("*").alias("rank"), F.slice(F.array_sort(F.collect_list("tree")), 1, visits).alias("visited"))
-    inside = settle(inside.join(of_class, "id").withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(hubs))))
+    inside = small(inside.join(of_class, "id").withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(hubs))))
     ids = inside.select("id").distinct()
     best = inside.groupBy("region", "slot").agg(F.max(F.struct("rank", (-F.col("id")).alias("minus"))).alias("best"))
     lead = best.groupBy("region").agg(F.collect_list("best").alias("bests"), F.max("best").alias("lead"))
@@ -218,7 +218,7 @@ def candidates(classes: DataFrame, trees: int, depth: int, least: int, region: i
     """
     n, reach = parts_for(classes), max(region, crowd)
     rows = classes.mapInArrow(_labels(trees, depth), _TREE_DDL)
-    ordered = settle(rows.repartitionByRange(n, "tree", "label", "id").sortWithinPartitions("tree", "label", "id").withColumn("at", F.monotonically_increasing_id()))
+    ordered = small(rows.repartitionByRange(n, "tree", "label", "id").sortWithinPartitions("tree", "label", "id").withColumn("at", F.monotonically_increasing_id()))
     stretch = F.shiftright("at", 33)
     counts = ordered.groupBy(stretch.alias("stretch")).agg(F.count("*").alias("rows"))
     ahead = F.coalesce(F.sum("rows").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -252,12 +252,12 @@ def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     # with a partner of its own size or smaller, down to percent of it
     most = (n - need(n, F.ceil(n * percent / 100)) + 1).cast("int")
     rare = ranked.select("id", "component", "n", F.posexplode(F.slice("ranked", F.lit(1), most)).alias("at", "one"))
-    rare = settle(rare.where("one.often > 1").select("id", "component", "n", F.col("one.token").alias("token"), (at + 1).alias("at")))
+    rare = small(rare.where("one.often > 1").select("id", "component", "n", F.col("one.token").alias("token"), (at + 1).alias("at")))
     sizes = rare.groupBy("token", "component").agg(F.count("*").alias("rows"), F.min("n").alias("m")).groupBy("token")
     bucket = sizes.agg(F.max(F.struct("rows", "component")).alias("lead"), F.count("*").alias("components"), F.min("m").alias("m"))
-    bucket = settle(bucket.where("components > 1").select("token", F.col("lead.component").alias("lead"), "m"))
+    bucket = small(bucket.where("components > 1").select("token", F.col("lead.component").alias("lead"), "m"))
     near = rare.join(bucket, "token").where(at <= n - need(n, F.greatest(m, F.ceil(n * percent / 100))) + 1)
-    near = settle(near.select("token", "id", "component", "n", "at", "lead"))
+    near = small(near.select("token", "id", "component", "n", "at", "lead"))
     own = near.where("component <> lead").select("token", F.col("id").alias("x"), F.col("component").alias("cx"), n.alias("m"), F.col("at").alias("x_at"))
     pairs = own.join(near, "token").where("component <> cx and (component = lead or x < id)")
     pairs = pairs.where((100 * F.least(n, m) >= percent * F.greatest(n, m)) & (at <= n - need(n, m) + 1) & (F.col("x_at") <= m - need(n, m) + 1))
@@ -308,36 +308,36 @@ def lsh_forest(
     size = trees * depth
     agree = percent / 100 - 0.25 if agree is None else agree
     text = docs.select(row_key(id_col, text_col).alias("id"), id_or_least(id_col).alias("own"), F.col(text_col).cast("string").alias("text"))
-    described = settle(text.mapInArrow(_describe(width, size), _DOCS_DDL))
+    described = small(text.mapInArrow(_describe(width, size), _DOCS_DDL), 5_000)
     full = described.where("n_shingles > 0")
     # one class for equal sets: its smallest key stands for it, its row of smallest id may be kept, and its signature is any member's
     lead = F.min(F.struct("own", "id")).alias("lead")
-    classes = settle(full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), lead, F.first("signature").alias("signature")))
+    classes = small(full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), lead, F.first("signature").alias("signature")), 5_000)
     nodes = classes.groupBy(F.col("rep").alias("id")).agg(F.first("signature").alias("signature"))
     found, crowded = candidates(nodes, trees, depth, least, region, crowd, hubs)
-    found = settle(found.groupBy("a", "b").agg(F.max((F.col("tree") < 2) & (F.col("gap") == 1)).alias("soon")))
+    found = small(found.groupBy("a", "b").agg(F.max((F.col("tree") < 2) & (F.col("gap") == 1)).alias("soon")))
     hot = {end: hot_keys(found, end) for end in ("a", "b")}
     sure = _agree(size, agree, "soon")
-    pairs = settle(_both(found, nodes, "signature", "signature_a", "signature_b", hot).mapInArrow(sure, "a long, b long, soon boolean"))
+    pairs = small(_both(found, nodes, "signature", "signature_a", "signature_b", hot).mapInArrow(sure, "a long, b long, soon boolean"))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(crowded).distinct()
     texts = text.join(wanted.hint("shuffle_hash"), "id", "left_semi")
     sets = settle(texts.mapInArrow(_sets(width), "id long, shingles array<long>").dropDuplicates(["id"]))
-    links = settle(_confirmed(pairs.where("soon").select("a", "b"), sets, percent, hot))
+    links = small(_confirmed(pairs.where("soon").select("a", "b"), sets, percent, hot))
     labels = connected(links).withColumnRenamed("node", "id")
     # of the rest only pairs that are not connected by now
     rest = _both(pairs.where("not soon").select("a", "b"), labels, "component", "ca", "cb", hot, "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = settle(links.union(_confirmed(rest, sets, percent, hot)))
+    links = small(links.union(_confirmed(rest, sets, percent, hot)))
     labels = connected(links)
     named = classes.join(labels, classes.rep == labels.node, "left").select("rep", "set_a", "set_b", "lead", F.coalesce("component", "rep").alias("component"))
     if not crowded.isEmpty():
         inside = sets.join(crowded, "id", "left_semi").join(named.select(F.col("rep").alias("id"), "component").dropDuplicates(["id"]), "id")
-        last = settle(rare_pairs(settle(inside), percent).select("a", "b"))
+        last = small(rare_pairs(small(inside, 2_000), percent).select("a", "b"))
         hot = {end: hot_keys(last, end) for end in ("a", "b")}
         last = _both(last, nodes, "signature", "signature_a", "signature_b", hot).mapInArrow(_agree(size, agree), "a long, b long")
-        labels = connected(links.union(_confirmed(settle(last), sets, percent, hot)))
+        labels = connected(links.union(_confirmed(small(last), sets, percent, hot)))
         named = classes.join(labels, classes.rep == labels.node, "left").select("rep", "set_a", "set_b", "lead", F.coalesce("component", "rep").alias("component"))
-    named = settle(named)
+    named = small(named)
     best = named.groupBy("component").agg(F.min("lead").alias("best"))
     components = spread_join(named, best, "component", "rep", hot_keys(named, "component")).select("set_a", "set_b", "best")
     out = described.drop("signature").join(components, ["set_a", "set_b"], "left")
