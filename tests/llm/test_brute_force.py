@@ -362,13 +362,14 @@ def test_components_of_random_graphs(spark, most):
 
 
 def test_join_of_a_hot_key_keeps_all_rows(spark):
-    from tradelens.llm.graph import hot_keys, spread_join
+    from tradelens.llm.graph import hot_keys, salted, spread_join
 
     rows = spark.range(3000).selectExpr("id as node", "if(id % 3 = 0, 5, id % 700) as k")
     table = spark.range(650).selectExpr("id as k", "id * 2 as v")
     want = rows.join(table, "k", "left").select("node", "k", "v")
-    assert [r.k for r in hot_keys(rows, "k", least=10).collect()] == [5] and hot_keys(rows, "k", least=5000) is None
-    assert sorted(map(repr, spread_join(rows, table, "k", "node", hot_keys(rows, "k", least=10), "left").select("node", "k", "v").collect())) == sorted(map(repr, want.collect()))
+    hot = hot_keys(rows, "k", least=10)
+    assert [r.k for r in hot.collect()] == [5] and hot_keys(rows, "k", least=5000) is None
+    assert sorted(map(repr, spread_join(salted(rows, "k", "node", hot), table, "k", hot, "left").select("node", "k", "v").collect())) == sorted(map(repr, want.collect()))
 
 
 @pytest.mark.parametrize("text", ["<|endoftext|>", "a<|endoftext|>b  <|endoftext|><|endoftext|> c", "<|endoftext|", "it's <|endoftext|>'s   <|endoftext|>\n\n x", "é<|endoftext|>漢"])

@@ -86,7 +86,8 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", most: int = 1 << 20)
     labels = small(forest)
     for least in reversed(levels):
         top = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        labels = settle(spread_join(least, top, "root", "node", hot_keys(least, "root"), "left").select("node", F.coalesce("top", "root").alias("root")))
+        hot = hot_keys(least, "root")
+        labels = settle(spread_join(salted(least, "root", "node", hot), top, "root", hot, "left").select("node", F.coalesce("top", "root").alias("root")))
     return labels.select("node", F.col("root").alias("component"))
 
 
@@ -101,16 +102,18 @@ def hot_keys(rows: DataFrame, key: str, least: int = 100) -> DataFrame | None:
     return rows.sparkSession.createDataFrame(found, f"{key} long, _copies int") if found else None
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``table``, whose ``key`` is unique.
+def salted(rows: DataFrame, key: str, by: str, hot: DataFrame | None) -> DataFrame:
+    """``rows`` with the column that :func:`spread_join` needs: rows of ``hot`` keys are dealt by a hash of ``by``."""
+    name = f"_salt_{key}"
+    if hot is None:
+        return rows.withColumn(name, F.lit(0))
+    return rows.join(F.broadcast(hot), key, "left").withColumn(name, F.pmod(F.xxhash64(by), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
 
-    Rows of ``hot`` keys are dealt to several tasks by a hash of the column ``by``, and their row
-    of ``table`` is repeated as often.
-    """
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """``salted`` rows joined with ``table``, whose ``key`` is unique and whose rows of ``hot`` keys are repeated for each salt."""
+    name = f"_salt_{key}"
     if hot is None:
         return rows.join(table, key, how)
-    hot = F.broadcast(hot)
-    salt = F.pmod(F.xxhash64(by), F.coalesce("_copies", F.lit(1))).cast("int")
-    left = rows.join(hot, key, "left").withColumn("_salt", salt).drop("_copies")
-    right = table.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    more = table.join(F.broadcast(hot.where("_copies > 1")), key).withColumn(name, F.explode(F.sequence(F.lit(1), F.col("_copies") - 1))).drop("_copies")
+    return rows.join(table.withColumn(name, F.lit(0)).unionByName(more), [key, name], how)

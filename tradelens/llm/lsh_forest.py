@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected, hot_keys, small, spread_join
+from .graph import connected, hot_keys, salted, small, spread_join
 from .textcols import Prefix, i64, id_or_least, lower_ascii, mix, null_if_least, parts_for, row_key, settle, slices, stream, words
 
 _U = np.uint64
@@ -204,7 +204,8 @@ def hub_pairs(ordered: DataFrame, depth: int, region: int, hubs: int, visits: in
     best = inside.groupBy("region", "slot").agg(F.max(F.struct("rank", (-F.col("id")).alias("minus"))).alias("best"))
     lead = best.groupBy("region").agg(F.collect_list("best").alias("bests"), F.max("best").alias("lead"))
     visited = inside.where(F.array_contains("visited", F.col("tree"))).select("region", "id")
-    pairs = spread_join(visited, lead, "region", "id", hot_keys(visited, "region"))
+    hot = hot_keys(visited, "region")
+    pairs = spread_join(salted(visited, "region", "id", hot), lead, "region", hot)
     pairs = pairs.select("id", F.explode("bests").alias("best"), "lead").select("id", (-F.col("best.minus")).alias("hub"), (F.col("best") == F.col("lead")).alias("first"))
     ends = [F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")]
     return ids, pairs.where("id <> hub").select(*ends, F.lit(0).alias("tree"), F.when(F.col("first"), 1).otherwise(2).alias("gap"))
@@ -248,7 +249,8 @@ def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     n, m, at = F.col("n"), F.col("m"), F.col("at")
     tokens = sets.select("id", "component", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
-    ranked = spread_join(tokens, often, "token", "id", hot_keys(tokens, "token")).groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"))
+    hot = hot_keys(tokens, "token")
+    ranked = spread_join(salted(tokens, "token", "id", hot), often, "token", hot).groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"))
     # with a partner of its own size or smaller, down to percent of it
     most = (n - need(n, F.ceil(n * percent / 100)) + 1).cast("int")
     rare = ranked.select("id", "component", "n", F.posexplode(F.slice("ranked", F.lit(1), most)).alias("at", "one"))
@@ -266,26 +268,37 @@ def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 def _agree(size: int, least: float, *more: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*_ENDS, *more]
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
             one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(n, size) for c in ("signature_a", "signature_b"))
-            keep = (one == two).sum(axis=1) >= least * size
-            yield pa.record_batch([batch.column(c).filter(pa.array(keep)) for c in ("a", "b", *more)], names=["a", "b", *more])
+            keep = pa.array((one == two).sum(axis=1) >= least * size)
+            yield pa.record_batch([batch.column(c).filter(keep) for c in names], names=names)
 
     return work
 
 
+_ENDS = ("a", "b", "_salt_a", "_salt_b")
+_ENDS_DDL = "a long, b long, _salt_a int, _salt_b int"
+
+
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, dict[str, DataFrame | None]]:
+    """Pairs (a, b, ...) ready for joins by either end, whatever number of pairs an end is in, and the ends in many."""
+    hot = {end: hot_keys(pairs, end) for end in ("a", "b")}
+    return salted(salted(pairs, "a", "b", hot["a"]), "b", "a", hot["b"]), hot
+
+
 def _both(pairs: DataFrame, table: DataFrame, column: str, one: str, two: str, hot: dict[str, DataFrame | None], how: str = "inner") -> DataFrame:
-    """Pairs (a, b, ...) with ``column`` of both ends as ``one`` and ``two``, from (id, column)."""
-    for end, other, name in (("a", "b", one), ("b", "a", two)):
-        pairs = spread_join(pairs, table.select(F.col("id").alias(end), F.col(column).alias(name)), end, other, hot[end], how)
+    """Dealt pairs with ``column`` of both ends as ``one`` and ``two``, from (id, column)."""
+    for end, name in (("a", one), ("b", two)):
+        pairs = spread_join(pairs, table.select(F.col("id").alias(end), F.col(column).alias(name)), end, hot[end], how)
     return pairs
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hot: dict[str, DataFrame | None]) -> DataFrame:
-    """The pairs (a, b) that are links."""
+    """(a, b) of the dealt pairs that are links."""
     both = F.size(F.array_intersect("one", "two")).cast("long")
     rows = _both(pairs, sets, "shingles", "one", "two", hot).select("a", "b", both.alias("both"), (F.size("one") + F.size("two")).cast("long").alias("sizes"))
     return rows.where(100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).select("a", "b")
@@ -316,30 +329,29 @@ def lsh_forest(
     nodes = classes.groupBy(F.col("rep").alias("id")).agg(F.first("signature").alias("signature"))
     found, crowded = candidates(nodes, trees, depth, least, region, crowd, hubs)
     found = small(found.groupBy("a", "b").agg(F.max((F.col("tree") < 2) & (F.col("gap") == 1)).alias("soon")))
-    hot = {end: hot_keys(found, end) for end in ("a", "b")}
-    sure = _agree(size, agree, "soon")
-    pairs = small(_both(found, nodes, "signature", "signature_a", "signature_b", hot).mapInArrow(sure, "a long, b long, soon boolean"))
+    found, hot = _dealt(found)
+    pairs = small(_both(found, nodes, "signature", "signature_a", "signature_b", hot).mapInArrow(_agree(size, agree, "soon"), _ENDS_DDL + ", soon boolean"))
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(crowded).distinct()
     texts = text.join(wanted.hint("shuffle_hash"), "id", "left_semi")
     sets = settle(texts.mapInArrow(_sets(width), "id long, shingles array<long>").dropDuplicates(["id"]))
-    links = small(_confirmed(pairs.where("soon").select("a", "b"), sets, percent, hot))
+    links = small(_confirmed(pairs.where("soon"), sets, percent, hot))
     labels = connected(links).withColumnRenamed("node", "id")
     # of the rest only pairs that are not connected by now
-    rest = _both(pairs.where("not soon").select("a", "b"), labels, "component", "ca", "cb", hot, "left")
-    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    rest = _both(pairs.where("not soon"), labels, "component", "ca", "cb", hot, "left")
+    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*_ENDS)
     links = small(links.union(_confirmed(rest, sets, percent, hot)))
     labels = connected(links)
     named = classes.join(labels, classes.rep == labels.node, "left").select("rep", "set_a", "set_b", "lead", F.coalesce("component", "rep").alias("component"))
     if not crowded.isEmpty():
         inside = sets.join(crowded, "id", "left_semi").join(named.select(F.col("rep").alias("id"), "component").dropDuplicates(["id"]), "id")
-        last = small(rare_pairs(small(inside, 2_000), percent).select("a", "b"))
-        hot = {end: hot_keys(last, end) for end in ("a", "b")}
-        last = _both(last, nodes, "signature", "signature_a", "signature_b", hot).mapInArrow(_agree(size, agree), "a long, b long")
-        labels = connected(links.union(_confirmed(small(last), sets, percent, hot)))
+        last, hot = _dealt(small(rare_pairs(small(inside, 2_000), percent)))
+        last = small(_both(last, nodes, "signature", "signature_a", "signature_b", hot).mapInArrow(_agree(size, agree), _ENDS_DDL))
+        labels = connected(links.union(_confirmed(last, sets, percent, hot)))
         named = classes.join(labels, classes.rep == labels.node, "left").select("rep", "set_a", "set_b", "lead", F.coalesce("component", "rep").alias("component"))
     named = small(named)
     best = named.groupBy("component").agg(F.min("lead").alias("best"))
-    components = spread_join(named, best, "component", "rep", hot_keys(named, "component")).select("set_a", "set_b", "best")
+    hot = hot_keys(named, "component")
+    components = spread_join(salted(named, "component", "rep", hot), best, "component", hot).select("set_a", "set_b", "best")
     out = described.drop("signature").join(components, ["set_a", "set_b"], "left")
     linked = F.col("n_shingles") > 0
     component = F.when(linked, F.col("best.own")).otherwise(F.col("own"))
