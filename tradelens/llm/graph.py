@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from .textcols import i64, parts_for, settle
 
-def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """:func:`settle`, then as few tasks as hold ``rows`` rows each: a small table leaves no crowd of small files in the shuffles that follow."""
-    df = settle(df)
+def small(df: DataFrame, rows: int = 50_000, tasks: int | None = None) -> DataFrame:
+    """:func:`settle` from at most ``tasks`` tasks, then as few as hold ``rows`` rows each: a small table leaves no crowd of small files in the shuffles that follow."""
+    df = settle(df if tasks is None else df.coalesce(tasks))
     return df.coalesce(max(1, -(-df.count() // rows)))
 
 
@@ -62,7 +62,7 @@ def _forest(most: int):
     return work
 
 
-def connected(edges: DataFrame, a: str = "a", b: str = "b", most: int = 1 << 20) -> DataFrame:
+def connected(edges: DataFrame, a: str = "a", b: str = "b", most: int = 1 << 20, tasks: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable from each node that has an edge.
 
     Each task turns ``most`` edges at a time into a forest of stars. A node that stands in several
@@ -70,7 +70,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b", most: int = 1 << 20)
     task's edges are all there are. A node of n edges is in as many rows as there are tasks, never
     in n. No edges give an empty result.
     """
-    graph = small(edges.select(F.col(a).alias("node"), F.col(b).alias("root")).where("node <> root"))
+    graph = small(edges.select(F.col(a).alias("node"), F.col(b).alias("root")).where("node <> root"), tasks=tasks)
     levels: list[DataFrame] = []
     while True:
         parts = -(-graph.count() // most)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected, hot_keys, salted, small, spread_join
-from .textcols import Prefix, i64, id_or_least, lower_ascii, mix, null_if_least, parts_for, row_key, settle, slices, stream, words
+from .textcols import Prefix, i64, id_or_least, lower_ascii, mix, null_if_least, parts_for, row_key, slices, stream, words
 
 _U = np.uint64
 
@@ -188,7 +188,7 @@ def _pairs(depth: int, least: int, region: int, crowd: int):
     return work
 
 
-def hub_pairs(ordered: DataFrame, depth: int, region: int, hubs: int, visits: int = 3) -> tuple[DataFrame, DataFrame]:
+def hub_pairs(ordered: DataFrame, depth: int, region: int, hubs: int, tasks: int, visits: int = 3) -> tuple[DataFrame, DataFrame]:
     """(id) of all classes in crowded regions, and (a, b, tree, gap): the classes of crowded regions with the hubs of their first ``visits`` crowded regions.
 
     A region has one hub in each of ``hubs`` slots (a hash of the id): the class of the slot that
@@ -196,10 +196,10 @@ def hub_pairs(ordered: DataFrame, depth: int, region: int, hubs: int, visits: in
     first round of confirmation.
     """
     rows = ordered.select("tree", F.xxhash64("tree", F.substring("label", 1, 4 * depth)).alias("region"), "id")
-    crowded = small(rows.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > region).select("region"))
-    inside = small(rows.join(crowded.hint("shuffle_hash"), "region"))
+    crowded = small(rows.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > region).select("region"), tasks=tasks)
+    inside = small(rows.join(crowded.hint("shuffle_hash"), "region"), tasks=tasks)
     of_class = inside.groupBy("id").agg(F.count("*").alias("rank"), F.slice(F.array_sort(F.collect_list("tree")), 1, visits).alias("visited"))
-    inside = small(inside.join(of_class, "id").withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(hubs))))
+    inside = small(inside.join(of_class, "id").withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(hubs))), tasks=tasks)
     ids = inside.select("id").distinct()
     best = inside.groupBy("region", "slot").agg(F.max(F.struct("rank", (-F.col("id")).alias("minus"))).alias("best"))
     lead = best.groupBy("region").agg(F.collect_list("best").alias("bests"), F.max("best").alias("lead"))
@@ -211,7 +211,7 @@ def hub_pairs(ordered: DataFrame, depth: int, region: int, hubs: int, visits: in
     return ids, pairs.where("id <> hub").select(*ends, F.lit(0).alias("tree"), F.when(F.col("first"), 1).otherwise(2).alias("gap"))
 
 
-def candidates(classes: DataFrame, trees: int, depth: int, least: int, region: int, crowd: int, hubs: int, block: int = 8192) -> tuple[DataFrame, DataFrame]:
+def candidates(classes: DataFrame, trees: int, depth: int, least: int, region: int, crowd: int, hubs: int, tasks: int, block: int = 8192) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b, tree, gap), a < b, from (id, signature), and (id) of the classes in crowded regions.
 
     The sorted orders are cut to blocks of ``block`` places; each block also gets the first places
@@ -219,7 +219,7 @@ def candidates(classes: DataFrame, trees: int, depth: int, least: int, region: i
     """
     n, reach = parts_for(classes), max(region, crowd)
     rows = classes.mapInArrow(_labels(trees, depth), _TREE_DDL)
-    ordered = small(rows.repartitionByRange(n, "tree", "label", "id").sortWithinPartitions("tree", "label", "id").withColumn("at", F.monotonically_increasing_id()))
+    ordered = small(rows.repartitionByRange(n, "tree", "label", "id").sortWithinPartitions("tree", "label", "id").withColumn("at", F.monotonically_increasing_id()), tasks=tasks)
     stretch = F.shiftright("at", 33)
     counts = ordered.groupBy(stretch.alias("stretch")).agg(F.count("*").alias("rows"))
     ahead = F.coalesce(F.sum("rows").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -230,11 +230,11 @@ def candidates(classes: DataFrame, trees: int, depth: int, least: int, region: i
     placed = placed.select("tree", "label", "id", own.alias("own"), F.explode(F.when(both, F.array(own, own - 1)).otherwise(F.array(own))).alias("block"))
     placed = placed.select("block", "tree", "label", "id", (F.col("block") != F.col("own")).alias("guest"))
     pairs = placed.repartition(n, "block").sortWithinPartitions("block", "tree", "label", "id").mapInArrow(_pairs(depth, least, region, crowd), _PAIRS_DDL)
-    crowded, hub = hub_pairs(ordered, depth, region, hubs)
+    crowded, hub = hub_pairs(ordered, depth, region, hubs, tasks)
     return pairs.unionByName(hub), crowded
 
 
-def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+def rare_pairs(sets: DataFrame, percent: int, tasks: int) -> DataFrame:
     """(a, b), a < b: all pairs of different components that can be links, from (id, component, shingles).
 
     The order of shingles is by number of sets, rarest first. Sets of x and y shingles that are
@@ -254,12 +254,12 @@ def rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
     # with a partner of its own size or smaller, down to percent of it
     most = (n - need(n, F.ceil(n * percent / 100)) + 1).cast("int")
     rare = ranked.select("id", "component", "n", F.posexplode(F.slice("ranked", F.lit(1), most)).alias("at", "one"))
-    rare = small(rare.where("one.often > 1").select("id", "component", "n", F.col("one.token").alias("token"), (at + 1).alias("at")))
+    rare = small(rare.where("one.often > 1").select("id", "component", "n", F.col("one.token").alias("token"), (at + 1).alias("at")), tasks=tasks)
     sizes = rare.groupBy("token", "component").agg(F.count("*").alias("rows"), F.min("n").alias("m")).groupBy("token")
     bucket = sizes.agg(F.max(F.struct("rows", "component")).alias("lead"), F.count("*").alias("components"), F.min("m").alias("m"))
-    bucket = small(bucket.where("components > 1").select("token", F.col("lead.component").alias("lead"), "m"))
+    bucket = small(bucket.where("components > 1").select("token", F.col("lead.component").alias("lead"), "m"), tasks=tasks)
     near = rare.join(bucket, "token").where(at <= n - need(n, F.greatest(m, F.ceil(n * percent / 100))) + 1)
-    near = small(near.select("token", "id", "component", "n", "at", "lead"))
+    near = small(near.select("token", "id", "component", "n", "at", "lead"), tasks=tasks)
     own = near.where("component <> lead").select("token", F.col("id").alias("x"), F.col("component").alias("cx"), n.alias("m"), F.col("at").alias("x_at"))
     pairs = own.join(near, "token").where("component <> cx and (component = lead or x < id)")
     pairs = pairs.where((100 * F.least(n, m) >= percent * F.greatest(n, m)) & (at <= n - need(n, m) + 1) & (F.col("x_at") <= m - need(n, m) + 1))
@@ -320,35 +320,36 @@ def lsh_forest(
     """
     size = trees * depth
     agree = percent / 100 - 0.25 if agree is None else agree
+    tasks = max(1, docs.count() // 2_000)
     text = docs.select(row_key(id_col, text_col).alias("id"), id_or_least(id_col).alias("own"), F.col(text_col).cast("string").alias("text"))
-    described = small(text.mapInArrow(_describe(width, size), _DOCS_DDL), 5_000)
+    described = small(text.mapInArrow(_describe(width, size), _DOCS_DDL), 5_000, tasks=tasks)
     full = described.where("n_shingles > 0")
     # one class for equal sets: its smallest key stands for it, its row of smallest id may be kept, and its signature is any member's
     lead = F.min(F.struct("own", "id")).alias("lead")
-    classes = small(full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), lead, F.first("signature").alias("signature")), 5_000)
+    classes = small(full.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), lead, F.first("signature").alias("signature")), 5_000, tasks=tasks)
     nodes = classes.groupBy(F.col("rep").alias("id")).agg(F.first("signature").alias("signature"))
-    found, crowded = candidates(nodes, trees, depth, least, region, crowd, hubs)
-    found = small(found.groupBy("a", "b").agg(F.max((F.col("tree") < 2) & (F.col("gap") == 1)).alias("soon")))
+    found, crowded = candidates(nodes, trees, depth, least, region, crowd, hubs, tasks)
+    found = small(found.groupBy("a", "b").agg(F.max((F.col("tree") < 2) & (F.col("gap") == 1)).alias("soon")), tasks=tasks)
     found, hot = _dealt(found)
-    pairs = small(_both(found, nodes, "signature", "signature_a", "signature_b", hot).mapInArrow(_agree(size, agree, "soon"), _ENDS_DDL + ", soon boolean"))
+    pairs = small(_both(found, nodes, "signature", "signature_a", "signature_b", hot).mapInArrow(_agree(size, agree, "soon"), _ENDS_DDL + ", soon boolean"), tasks=tasks)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(crowded).distinct()
     texts = text.join(wanted.hint("shuffle_hash"), "id", "left_semi")
-    sets = settle(texts.mapInArrow(_sets(width), "id long, shingles array<long>").dropDuplicates(["id"]))
-    links = small(_confirmed(pairs.where("soon"), sets, percent, hot))
-    labels = connected(links).withColumnRenamed("node", "id")
+    sets = small(texts.mapInArrow(_sets(width), "id long, shingles array<long>").dropDuplicates(["id"]), 2_000, tasks=tasks)
+    links = small(_confirmed(pairs.where("soon"), sets, percent, hot), tasks=tasks)
+    labels = connected(links, tasks=tasks).withColumnRenamed("node", "id")
     # of the rest only pairs that are not connected by now
     rest = _both(pairs.where("not soon"), labels, "component", "ca", "cb", hot, "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*_ENDS)
-    links = small(links.union(_confirmed(rest, sets, percent, hot)))
-    labels = connected(links)
+    links = small(links.union(_confirmed(rest, sets, percent, hot)), tasks=tasks)
+    labels = connected(links, tasks=tasks)
     named = classes.join(labels, classes.rep == labels.node, "left").select("rep", "set_a", "set_b", "lead", F.coalesce("component", "rep").alias("component"))
     if not crowded.isEmpty():
         inside = sets.join(crowded, "id", "left_semi").join(named.select(F.col("rep").alias("id"), "component").dropDuplicates(["id"]), "id")
-        last, hot = _dealt(small(rare_pairs(small(inside, 2_000), percent)))
-        last = small(_both(last, nodes, "signature", "signature_a", "signature_b", hot).mapInArrow(_agree(size, agree), _ENDS_DDL))
-        labels = connected(links.union(_confirmed(last, sets, percent, hot)))
+        last, hot = _dealt(small(rare_pairs(small(inside, 2_000, tasks=tasks), percent, tasks), tasks=tasks))
+        last = small(_both(last, nodes, "signature", "signature_a", "signature_b", hot).mapInArrow(_agree(size, agree), _ENDS_DDL), tasks=tasks)
+        labels = connected(links.union(_confirmed(last, sets, percent, hot)), tasks=tasks)
         named = classes.join(labels, classes.rep == labels.node, "left").select("rep", "set_a", "set_b", "lead", F.coalesce("component", "rep").alias("component"))
-    named = small(named)
+    named = small(named, tasks=tasks)
     best = named.groupBy("component").agg(F.min("lead").alias("best"))
     hot = hot_keys(named, "component")
     components = spread_join(salted(named, "component", "rep", hot), best, "component", hot).select("set_a", "set_b", "best")

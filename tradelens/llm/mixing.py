@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textcols import id_or_least, null_if_least, settle
+from .textcols import id_or_least, narrow, null_if_least, settle
 
 #: Topics are found by the first rule that fits; texts that fit none are "prose".
 TOPICS = {
@@ -65,7 +65,8 @@ def rake(cells: DataFrame, margins: list[str], targets: dict[str, dict | None],
     for m in margins:  # values without a target weigh nothing
         wanted = _targets(cells, m, targets.get(m), flatten).select(F.col("value").alias(m + "_value"), F.col("target").alias(m + "_target"))
         state = state.join(wanted, F.col(m).eqNullSafe(F.col(m + "_value"))).drop(m + "_value")
-    state = settle(state)
+    n = cells.count()
+    state = settle(narrow(state, n))
     total = state.agg(F.sum("tokens")).first()[0] or 0
     for done in range(0, most_rounds, steps):
         for _ in range(steps):
@@ -76,7 +77,7 @@ def rake(cells: DataFrame, margins: list[str], targets: dict[str, dict | None],
                 gap = F.greatest(gap, F.abs(F.col("now") / total - F.col(m + "_target")))
                 state = state.withColumn("gap", gap).withColumn("weight", F.col("weight") * F.col(m + "_target") * total / F.col("now"))
                 gap = F.col("gap")
-        state = settle(state)
+        state = settle(narrow(state, n))
         if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
             break
     return state.select(*margins, "tokens", "weight")
@@ -91,8 +92,8 @@ def mix_documents(
     rows = docs.select(id_or_least(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), (topic_of(text) if topic is None else topic).alias("topic"), token_count(text).alias("n_tokens"))
     rows = settle(rows)
     margins = ["source", "lang", "topic"]
-    cells = settle(rows.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens")))
-    weights = settle(rake(cells, margins, targets or {}, flatten, tolerance))
+    cells = settle(narrow(rows.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens")), docs.count()))
+    weights = rake(cells, margins, targets or {}, flatten, tolerance)
     top, mass, total = weights.agg(F.max("weight"), F.sum(F.col("tokens") * F.col("weight")), F.sum("tokens")).first()
     all_tokens = cells.agg(F.sum("tokens")).first()[0] or 0
     factor = (1.0 / top if top else 0.0) if rate is None else (rate * all_tokens / mass if mass else 0.0)

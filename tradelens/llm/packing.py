@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pretokens import tokens
-from .textcols import id_or_least, null_if_least, parts_for, slices, written
+from .textcols import id_or_least, narrow, null_if_least, parts_for, slices, written
 
 _OUT = pa.schema([
     ("id", pa.int64()), ("source", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
@@ -181,7 +181,7 @@ def pack(
         raise ValueError("window must be a power of two")
     rows = docs.select(id_or_least(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(source_col).cast("string").alias("source"), F.monotonically_increasing_id().alias("salt"))
     coded = written(rows.mapInArrow(_encode(tokenizer, end), "id long, source string, salt long, tokens long, ids binary"))
-    total = coded.agg(F.sum("tokens")).first()[0] or 0
+    total, n_rows = coded.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     shards = max(1, round(total / shard_tokens))
     # repeated rows and rows without an id spread over the shards too
     coded = coded.withColumn("shard", F.pmod(F.xxhash64("id", "salt"), F.lit(shards)))
@@ -196,4 +196,5 @@ def pack(
     n = max(parts_for(docs), shards)
     ready = control.unionByName(body).repartition(n, "shard").sortWithinPartitions("shard", F.desc("control"), F.xxhash64("id", "salt"), "id")
     out = ready.select("shard", "control", "source", "id", "ids", "share", "deficit").mapInArrow(_pack(window, least_piece, tokens(tokenizer).width), OUT_DDL)
+    out = narrow(out, n_rows, 5_000)
     return out.withColumn("id", null_if_least("id")).withColumnRenamed("id", id_col)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import hot_keys
-from .textcols import FIRST_ID, Prefix, document_ids, i64, mix, parts_for, slices, stream, utf8, written
+from .textcols import FIRST_ID, Prefix, document_ids, i64, mix, narrow, parts_for, slices, stream, utf8, written
 
 _U = np.uint64
 _BLOCK = 1 << 23
@@ -450,8 +450,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([rows.column("id"), i64(np.diff(offsets)), pa.array(spans, _RESULT.field("spans").type), pa.array(kept, pa.binary())], schema=_RESULT)
 
 
-def repeated_ranges(text: DataFrame, length: int = 100, k: int = 32, hot: int = 4096, by_bytes: bool = False) -> DataFrame:
-    """(id, start, bytes): ranges of bytes, overlapping ones included, that repeat an earlier passage, from (id, text)."""
+def repeated_ranges(text: DataFrame, length: int = 100, k: int = 32, hot: int = 4096, by_bytes: bool = False, rows: int | None = None) -> DataFrame:
+    """(id, start, bytes): ranges of bytes, overlapping ones included, that repeat an earlier passage, from (id, text), about ``rows``."""
     if not 8 <= k < length or length - k + 1 > 255:
         raise ValueError("k must be at least 8, below length, and length - k below 255")
     n = parts_for(text)
@@ -466,7 +466,7 @@ def repeated_ranges(text: DataFrame, length: int = 100, k: int = 32, hot: int =
     runs = runs.withColumn("spread", spread)
     windows = F.col("place").bitwiseAND(F.lit(0xFFFF))
     ordered = runs.repartition(n, "key", F.when(F.col("spread"), F.col("context"))).sortWithinPartitions("key", "context", "more", windows, "id", "place")
-    marks = written(ordered.mapInArrow(_meet(hot, by_bytes), MARKS_DDL))
+    marks = written(narrow(ordered.mapInArrow(_meet(hot, by_bytes), MARKS_DDL), text.count() if rows is None else rows, 5_000))
     whole = marks.where(F.col("kind") == REPEAT).select("id", F.shiftright("place", 16).alias("start"), (windows + length - 1).alias("bytes"))
     several = marks.where(F.col("kind") != REPEAT).hint("shuffle_hash")
     low, count = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(F.lit(255))
@@ -488,7 +488,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: id, n_bytes, spans removed, and the bytes kept (binary: a cut may split a character); ``document`` as in ``document_ids`` if ``with_document``."""
     rows, names = document_ids(docs, id_col, text_col)
     text = rows.select(F.col("document").alias("id"), "text")
-    ranges = repeated_ranges(text, length, k, hot, by_bytes)
+    ranges = repeated_ranges(text, length, k, hot, by_bytes, docs.count())
     ranges = ranges.groupBy("id").agg(F.collect_list(F.struct("start", "bytes")).alias("ranges")).hint("shuffle_hash")
     out = text.join(ranges, "id", "left").mapInArrow(_cut, RESULT_DDL)
     own = F.when(F.col("id") >= FIRST_ID, F.col("id"))

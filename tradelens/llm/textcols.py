@@ -57,7 +57,7 @@ def document_ids(docs: DataFrame, id_col: str, text_col: str, *more: Column) ->
     rows = docs.select(id_or_least(id_col).alias("own"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0), *more).alias("more"))
     given = F.col("own") != F.lit(NULL_ID)
     texts = rows.where(given).groupBy("own").agg(F.min("row_key").alias("one"), F.max("row_key").alias("other"))
-    shared = settle(texts.where("one <> other").select(F.col("own").alias("shared")))
+    shared = settle(narrow(texts.where("one <> other").select(F.col("own").alias("shared")), docs.count(), 100_000))
     below = F.lit(NULL_ID) + F.shiftrightunsigned("row_key", 2)
     if shared.isEmpty():
         return rows.select(F.when(given, F.col("own")).otherwise(below).alias("document"), "text", "more.*").drop("col1"), None
@@ -91,6 +91,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def narrow(df: DataFrame, rows: int, each: int = 10_000) -> DataFrame:
+    """``df`` of about ``rows`` rows in no more tasks than hold ``each`` of them: a small table is not written as a crowd of small files."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def release() -> None:
     """Hand memory that a worker has freed back to the system."""
     pa.default_memory_pool().release_unused()
