@@ -17,7 +17,7 @@ from tradelens.llm.mixing import mix_documents
 from tradelens.llm.packing import pack
 from tradelens.llm.queries import tokenizer_path
 from tradelens.llm.suffix_dedup import suffix_dedup
-from tradelens.llm.textcols import checkpoint_folder, document_ids, row_key, small_batches
+from tradelens.llm.textcols import checkpoint_folder, document_ids, narrow, row_key, small_batches
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     small_batches(spark)
     verdict = cotrain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_key=True)
-    return _only(_keyed(docs), verdict.where("kept")).select(*COLUMNS)
+    return narrow(_only(_keyed(docs), verdict.where("kept")).select(*COLUMNS), docs.count())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     small_batches(spark)
     groups = lsh_forest(docs, with_key=True)
     # rows with equal id and text are one document
-    return _only(_keyed(docs), groups.where("kept")).dropDuplicates(["row_key"]).select(*COLUMNS)
+    return narrow(_only(_keyed(docs), groups.where("kept")).dropDuplicates(["row_key"]).select(*COLUMNS), docs.count())
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     # bytes that do not form a character become U+FFFD, which no valid text part needs to keep
     text = F.when(~F.col("none"), F.when(whole, F.col("kept").cast("string")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))))
     out = joined.withColumn("text", text).where(whole | (F.length(F.trim("text")) > 0))
-    return out.select("doc_id", "text", "lang", "source", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast("long").alias("n_chars"))
+    out = out.select("doc_id", "text", "lang", "source", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast("long").alias("n_chars"))
+    return narrow(out, docs.count())
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,9 +71,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies, which would be lost here.
     """
     small_batches(spark)
-    docs = _keyed(docs)
-    taken = mix_documents(docs, id_col="row_key", flatten=0.9, rate=None)
-    return _only(docs, taken.where("selected")).select(*COLUMNS)
+    keyed = _keyed(docs)
+    taken = mix_documents(keyed, id_col="row_key", flatten=0.9, rate=None)
+    return narrow(_only(keyed, taken.where("selected")).select(*COLUMNS), docs.count())
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
