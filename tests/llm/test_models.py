@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tradelens.llm import queries as q
 from tradelens.llm.crf_langid import language_id, marginals, pair_counts
-from tradelens.llm.media import box, features, walk, write_media
+from tradelens.llm.media import box, features, sample_table, walk, write_media
 from tradelens.llm.mixing import mix_documents, rake
 from tradelens.llm.ppm import Trie, learn
 from tradelens.llm.textcols import crc_remainder
@@ -115,6 +115,63 @@ def test_boxes_of_all_sizes_and_broken_files():
     assert features(b"")[-1]
 
 
+def fragmented(frames, explicit):
+    """A file whose samples stand in two movie fragments; sizes, durations and flags by run or by default."""
+    whole = write_media(frames[0])
+    moov = next(whole[body - 8 : end] for path, body, end in walk(whole) if path == (b"moov",))
+
+    def rebuilt(data):
+        """Boxes of ``data`` with the tables emptied."""
+        out, at = b"", 0
+        while at < len(data):
+            size, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+            body = data[at + 8 : at + size]
+            if kind in (b"trak", b"mdia", b"minf", b"stbl"):
+                body = rebuilt(body)
+            elif kind in (b"stts", b"stsc", b"stco"):
+                body = bytes(8)
+            elif kind == b"stsz":
+                body = bytes(12)
+            if kind != b"stss":
+                out += box(kind, body)
+            at += size
+        return out
+
+    trex = box(b"mvex", box(b"trex", bytes(4), *(x.to_bytes(4, "big") for x in (1, 1, 1, 576, 0x10000))))
+    out = box(b"ftyp", b"isom", bytes(4)) + box(b"moov", rebuilt(moov[8:]), trex)
+    time = 0
+    for payload in frames:
+        n = len(payload) // 576
+        if explicit:
+            rows = b"".join(x.to_bytes(4, "big") for i in range(n) for x in (1, 576, 0x10000 if i % 4 else 0))
+            run = lambda at: box(b"trun", (0x701).to_bytes(4, "big"), n.to_bytes(4, "big"), at.to_bytes(4, "big"), rows)  # noqa: B023, E731
+        else:
+            run = lambda at: box(b"trun", (0x5).to_bytes(4, "big"), n.to_bytes(4, "big"), at.to_bytes(4, "big"), bytes(4))  # noqa: B023, E731
+        head = lambda at: box(b"moof", box(b"mfhd", bytes(8)), box(b"traf", box(b"tfhd", (0x20000).to_bytes(4, "big"), (1).to_bytes(4, "big")), box(b"tfdt", bytes(4), time.to_bytes(4, "big")), run(at)))  # noqa: B023, E731
+        out += head(len(head(0)) + 8) + box(b"mdat", payload)
+        time += n
+    return out
+
+
+@pytest.mark.parametrize("explicit", [True, False])
+def test_samples_of_movie_fragments(explicit):
+    frames = [bytes([k]) * (576 * n) for k, n in ((1, 9), (2, 5))]
+    media = fragmented(frames, explicit)
+    (track,) = sample_table(media)
+    assert [t for _, _, t, _ in track["samples"]] == list(range(14)) and track["duration"] >= 14
+    assert b"".join(media[o : o + n] for o, n, _, _ in track["samples"]) == b"".join(frames)
+    assert [i for i, x in enumerate(track["samples"]) if x[3]] == ([0, 4, 8, 9, 13] if explicit else [0, 9])
+    assert features(media)[5] == 14 and features(media)[-1] is None
+
+
+def test_counts_beyond_the_file_are_errors():
+    media = write_media(bytes(576 * 40))
+    for kind, at in ((b"stsz", 8), (b"stts", 8), (b"stts", 4), (b"stsc", 4), (b"stco", 4)):
+        body = next(b for p, b, _ in walk(media) if p[-1] == kind)
+        broken = media[: body + at] + b"\xff\xff\xff\xf0" + media[body + at + 4 :]
+        assert features(broken)[-1], kind
+
+
 def test_raking_meets_every_margin(spark):
     rng = random.Random(4)
     cells = [(s, l, t, rng.randrange(1, 1000)) for s in "abc" for l in "xy" for t in "pqr"]
@@ -128,6 +185,34 @@ def test_raking_meets_every_margin(spark):
             assert have[k] == pytest.approx(v, abs=1e-5)
 
 
+def test_probabilities_equal_plain_raking(spark):
+    """Documents of a small table against raking by hand over the whole table of cells."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 30)), rng.choice("abc"), rng.choice(["x", "y", None]), 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    targets = {"source": {"a": 0.5, "b": 0.25, "c": 0.25}, "lang": {"x": 0.2, "y": 0.5, None: 0.3}}
+    got = {r.doc_id: r for r in mix_documents(docs, targets=targets, tolerance=1e-12).collect()}
+    tokens = {i: len(t.split()) for i, t, *_ in rows}
+    cell = {i: (s, lang) for i, _, s, lang, _ in rows}
+    weight, total = {c: 1.0 for c in cell.values()}, sum(tokens.values())
+    for _ in range(200):
+        for place, name in enumerate(("source", "lang")):
+            for value, share in targets[name].items():
+                now = sum(tokens[i] * weight[c] for i, c in cell.items() if c[place] == value)
+                for c in weight:
+                    if c[place] == value:
+                        weight[c] *= share * total / now
+    top = max(weight.values())
+    for i, c in cell.items():
+        assert got[i].probability == pytest.approx(weight[c] / top, rel=1e-6) and got[i].n_tokens == tokens[i]
+
+
+def test_targets_that_cannot_be_met_are_told(spark):
+    frame = spark.createDataFrame([("a", "x", "p", 10), ("b", "y", "p", 10)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="no weights meet"):
+        rake(frame, ["source", "lang", "topic"], {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}, most_rounds=8)
+
+
 def test_sampled_tokens_come_near_their_targets(spark, medium):
     docs = spark.read.parquet(f"{medium}/documents.parquet")
     out = mix_documents(docs).toPandas()

@@ -11,7 +11,8 @@ largest sum of marginals over its words, the score its share.
 
 Null texts and texts without a letter give ``und`` with score 0. Without training rows all
 others do so too. A null language or id teaches nothing (a null id may be scored). Repeated
-rows get equal results; other columns are never looked at.
+rows get equal results; of languages with equal sums the first by name is taken. Long texts are
+tagged whole. An empty table gives no rows. Other columns are never looked at.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ of crowded regions meet in a bucket for each of these, unless they are connected
 
 Ids: a null id counts as the smallest. A node is a hash of id and text, so different texts under
 one id or under none are different documents; rows with equal id and text are one. Null, empty
-or blank texts have an empty set and are linked with nothing. Other columns are ignored.
+or blank texts have an empty set and are linked with nothing. Long texts are read whole. Of equal
+ids in a component the least hash of id and text is kept; labels that are equal in all values are
+ordered by a hash, in each tree anew. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -2,12 +2,14 @@
 
 A payload becomes a track of raw 8-bit grey frames of 24 x 24 samples (576 bytes), one sample
 each, with every ``sync_every``-th frame listed as a sync sample. Reading walks the nested boxes
-(32-bit, 64-bit and to-the-end sizes), decodes the sample tables and gives the byte range, time
-and sync flag of every sample; sample bytes are only ever copied.
+(32-bit, 64-bit and to-the-end sizes), decodes the sample tables, those of movie fragments
+included, and gives the byte range, time and sync flag of every sample; sample bytes are only ever
+copied. Features are those of the first track.
 
 Null texts are empty: their payload is one frame of bytes 255. A container that is cut off or
 has broken tables gives a row with ``error`` set and null features. Equal payloads give equal
-containers. Other columns are ignored.
+containers, an empty table no rows. Long texts are stored whole, past 4 GB with 64-bit offsets.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -109,15 +111,108 @@ def _ints(data, at: int, count: int, code: str = "I") -> tuple:
     return struct.unpack_from(f">{count}{code}", data, at)
 
 
+def _fits(data, count: int, least: int, what: str) -> None:
+    """A table can't count more entries than the file has bytes for."""
+    if count * least > len(data):
+        raise ValueError(f"{what} counts more than the file holds")
+
+
+def _tables(data, table: dict) -> list[tuple]:
+    """Samples (offset, size, time, sync) of one track's sample tables."""
+    body = table[b"stsz"][0]
+    same, n = _ints(data, body + 4, 2)
+    _fits(data, n, same or 4, "the size table")
+    sizes = [same] * n if same else list(_ints(data, body + 12, n))
+    body = table[b"stts"][0]
+    times, now = [], 0
+    for i in range(_ints(data, body + 4, 1)[0]):
+        count, delta = _ints(data, body + 8 + 8 * i, 2)
+        if len(times) + count > n:
+            raise ValueError("the sample tables disagree")
+        times += range(now, now + count * delta, delta) if delta else [now] * count
+        now += count * delta
+    wide = b"co64" in table
+    body = table[b"co64" if wide else b"stco"][0]
+    places = _ints(data, body + 8, _ints(data, body + 4, 1)[0], "Q" if wide else "I")
+    body = table[b"stsc"][0]
+    runs = [_ints(data, body + 8 + 12 * i, 3) for i in range(_ints(data, body + 4, 1)[0])]
+    firsts = [r[0] for r in runs]
+    offsets: list[int] = []
+    for chunk, place in enumerate(places, 1):
+        for _ in range(runs[bisect_right(firsts, chunk) - 1][1]):
+            if len(offsets) == n:
+                break
+            offsets.append(place)
+            place += sizes[len(offsets) - 1]
+    if len(offsets) != n or len(times) != n:
+        raise ValueError("the sample tables disagree")
+    sync = range(1, n + 1)
+    if b"stss" in table:
+        body = table[b"stss"][0]
+        sync = set(_ints(data, body + 8, _ints(data, body + 4, 1)[0]))
+    return list(zip(offsets, sizes, times, (i in sync for i in range(1, n + 1)), strict=True))
+
+
+def _fields(data, body: int, flags: int, *known: tuple[int, str, str]) -> tuple[dict, int]:
+    """Fields that stand in a box only where their flag is set: (values by name, end)."""
+    out, at = {}, body
+    for bit, name, code in known:
+        if flags & bit:
+            (out[name],) = struct.unpack_from(f">{code}", data, at)
+            at += struct.calcsize(code)
+    return out, at
+
+
+def _fragment(data, start: int, boxes: list[tuple[bytes, int, int]], tracks: dict[int, dict]) -> None:
+    """Append the samples of one track fragment of the movie fragment that starts at ``start``."""
+    track, place = None, start
+    for kind, body, _ in boxes:
+        flags = _ints(data, body, 1)[0] & 0xFFFFFF
+        if kind == b"tfhd":
+            track = tracks[_ints(data, body + 4, 1)[0]]
+            own, _ = _fields(data, body + 8, flags, (0x1, "base", "Q"), (0x2, "entry", "I"), (0x8, "duration", "I"), (0x10, "size", "I"), (0x20, "flags", "I"))
+            default = track["default"] | own
+            base = own.get("base", start)
+            place = base
+        elif kind == b"tfdt" and track is not None:
+            track["now"] = _ints(data, body + 4, 1, "Q" if data[body] else "I")[0]
+        elif kind == b"trun" and track is not None:
+            (count,) = _ints(data, body + 4, 1)
+            run, at = _fields(data, body + 8, flags, (0x1, "offset", "i"), (0x4, "first", "I"))
+            each = 4 * bin(flags & 0xF00).count("1")
+            _fits(data, count, each or default.get("size", 0) or 1, "a fragment's run")
+            place = base + run["offset"] if "offset" in run else place
+            for i in range(count):
+                own, at = _fields(data, at, flags, (0x100, "duration", "I"), (0x200, "size", "I"), (0x400, "flags", "I"), (0x800, "shift", "I"))
+                mark = own.get("flags", run["first"] if i == 0 and "first" in run else default.get("flags", 0))
+                size = own.get("size", default.get("size", 0))
+                track["samples"].append((place, size, track["now"], not mark & 0x10000))
+                place += size
+                track["now"] += own.get("duration", default.get("duration", 0))
+
+
 def sample_table(data) -> list[dict]:
     """Tracks with codec, timescale, duration and samples (offset, size, time, sync)."""
     tracks: list[dict] = []
+    defaults: dict[int, dict] = {}
+    fragments: list[tuple[int, list]] = []
+    moof = 0
     for path, body, end in walk(data):
         kind = path[-1]
-        if kind == b"trak":
+        if path == (b"moov", b"trak"):
             tracks.append({"tables": {}})
         elif path[:2] == (b"moov", b"trak") and kind not in _PARENTS:
             tracks[-1]["tables"][kind] = (body, end)
+        elif path == (b"moov", b"mvex", b"trex"):
+            number, entry, duration, size, flags = _ints(data, body + 4, 5)
+            defaults[number] = {"entry": entry, "duration": duration, "size": size, "flags": flags}
+        elif path == (b"moof",):
+            moof = body - (16 if data[body - 16 : body - 8] == b"\0\0\0\1moof" else 8)
+        elif path == (b"moof", b"traf"):
+            fragments.append((moof, []))
+        elif path[:2] == (b"moof", b"traf"):
+            fragments[-1][1].append((kind, body, end))
+    by_number: dict[int, dict] = {}
     for track in tracks:
         table = track.pop("tables")
         body = table[b"mdhd"][0]
@@ -125,41 +220,15 @@ def sample_table(data) -> list[dict]:
         track["handler"] = bytes(data[table[b"hdlr"][0] + 8 : table[b"hdlr"][0] + 12]).decode("latin-1")
         track["codec"] = bytes(data[table[b"stsd"][0] + 12 : table[b"stsd"][0] + 16]).decode("latin-1")
         track["width"], track["height"] = _ints(data, table[b"stsd"][0] + 8 + 32, 2, "H")
-        body = table[b"stsz"][0]
-        same, n = _ints(data, body + 4, 2)
-        sizes = [same] * n if same else list(_ints(data, body + 12, n))
-        body = table[b"stts"][0]
-        times, now = [], 0
-        for i in range(_ints(data, body + 4, 1)[0]):
-            count, delta = _ints(data, body + 8 + 8 * i, 2)
-            times += range(now, now + count * delta, delta) if delta else [now] * count
-            now += count * delta
-        if b"co64" in table:
-            body = table[b"co64"][0]
-            places = _ints(data, body + 8, _ints(data, body + 4, 1)[0], "Q")
-        else:
-            body = table[b"stco"][0]
-            places = _ints(data, body + 8, _ints(data, body + 4, 1)[0])
-        body = table[b"stsc"][0]
-        runs = [_ints(data, body + 8 + 12 * i, 3) for i in range(_ints(data, body + 4, 1)[0])]
-        firsts = [r[0] for r in runs]
-        offsets: list[int] = []
-        for chunk, place in enumerate(places, 1):
-            for _ in range(runs[bisect_right(firsts, chunk) - 1][1]):
-                if len(offsets) == n:
-                    break
-                offsets.append(place)
-                place += sizes[len(offsets) - 1]
-        if len(offsets) != n or len(times) != n:
-            raise ValueError("the sample tables disagree")
-        if b"stss" in table:
-            body = table[b"stss"][0]
-            sync = set(_ints(data, body + 8, _ints(data, body + 4, 1)[0]))
-        else:
-            sync = set(range(1, n + 1))
-        if any(o + s > len(data) for o, s in zip(offsets, sizes, strict=True)):
+        track["samples"] = _tables(data, table)
+        number = _ints(data, table[b"tkhd"][0] + (20 if data[table[b"tkhd"][0]] else 12), 1)[0]
+        by_number[number] = track | {"now": track["duration"], "default": defaults.get(number, {})}
+    for start, boxes in fragments:
+        _fragment(data, start, boxes, by_number)
+    for track, more in zip(tracks, by_number.values(), strict=True):
+        track["duration"] = max(track["duration"], more["now"])
+        if any(o < 0 or o + s > len(data) for o, s, _, _ in track["samples"]):
             raise ValueError("a sample lies outside the file")
-        track["samples"] = list(zip(offsets, sizes, times, (i in sync for i in range(1, n + 1)), strict=True))
     return tracks
 
 
@@ -168,14 +237,19 @@ _FEATURES = [("codec", pa.string()), ("width", pa.int32()), ("height", pa.int32(
 _FEATURES_DDL = "codec string, width int, height int, timescale long, duration long, n_samples long, keyframes array<struct<offset:long,length:long,time:long>>, error string"
 
 
-def features(data) -> tuple:
-    """Codec, frame size, timescale, duration, samples and keyframe byte ranges of the first track."""
+def described(data) -> tuple[tuple, list[tuple]]:
+    """(features, samples) of the first track; a broken file has no samples."""
     try:
         track = sample_table(data)[0]
     except (ValueError, KeyError, IndexError, struct.error) as e:
-        return (None, None, None, None, None, None, None, str(e) or type(e).__name__)
+        return (None, None, None, None, None, None, None, str(e) or type(e).__name__), []
     keys = [{"offset": o, "length": s, "time": t} for o, s, t, k in track["samples"] if k]
-    return (track["codec"], track["width"], track["height"], track["timescale"], track["duration"], len(track["samples"]), keys, None)
+    return (track["codec"], track["width"], track["height"], track["timescale"], track["duration"], len(track["samples"]), keys, None), track["samples"]
+
+
+def features(data) -> tuple:
+    """Codec, frame size, timescale, duration, samples and keyframe byte ranges of the first track, and an error."""
+    return described(data)[0]
 
 
 def _runs(samples: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -209,9 +283,10 @@ def _describe(with_payload: bool):
             raw = data.tobytes()
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 own = raw[a:b]
-                found.append(features(own))
+                about, samples = described(own)
+                found.append(about)
                 if with_payload:
-                    payloads.append(None if found[-1][-1] else b"".join(own[x:y] for x, y in _runs(sample_table(own)[0]["samples"])))
+                    payloads.append(None if about[-1] else b"".join(own[x:y] for x, y in _runs(samples)))
             columns = [pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True), _FEATURES, strict=True)]
             names = [n for n, _ in _FEATURES]
             extra = [pa.array(payloads, pa.binary())] if with_payload else []

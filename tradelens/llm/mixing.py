@@ -10,11 +10,14 @@ document is taken depends on a hash of its id and the seed alone.
 Targets that a margin has no tokens for are left out and the others scaled up. Without targets
 a margin flattens: shares are raised to the power ``flatten`` and scaled to 1. Null sources,
 languages and texts (topic of an empty text) are values of their own. Rows with equal id are
-taken together or not at all. Other columns are ignored.
+taken together or not at all. Long texts are counted whole; a text that fits several topics has
+the first of them. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,7 +62,7 @@ def rake(cells: DataFrame, margins: list[str], targets: dict[str, dict | None],
     """The cells (margins..., tokens) with a ``weight`` under which every margin has its target shares.
 
     Each round scales all margins once; ``steps`` rounds make one job. Ends when no margin is off by more than ``tolerance`` of
-    all tokens; stops after ``most_rounds`` for targets that no weights can meet together.
+    all tokens; stops with a warning after ``most_rounds`` for targets that no weights can meet together.
     """
     state = cells.where("tokens > 0").withColumn("weight", F.lit(1.0))
     for m in margins:  # values without a target weigh nothing
@@ -78,8 +81,11 @@ def rake(cells: DataFrame, margins: list[str], targets: dict[str, dict | None],
                 state = state.withColumn("gap", gap).withColumn("weight", F.col("weight") * F.col(m + "_target") * total / F.col("now"))
                 gap = F.col("gap")
         state = settle(narrow(state, n))
-        if (state.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
+        gap = state.agg(F.max("gap")).first()[0] or 0.0
+        if gap <= tolerance:
             break
+    else:
+        warnings.warn(f"margins are off by up to {gap:.2g} of all tokens: no weights meet all targets", stacklevel=2)
     return state.select(*margins, "tokens", "weight")
 
 

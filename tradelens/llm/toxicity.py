@@ -19,7 +19,8 @@ chosen by a hash of the id; every row is scored.
 
 Null and empty texts have no passage and get the lowest score. Without labels of both kinds all
 scores are the share of toxic labels (0 without labels). Repeated label rows count once for
-each id (the largest label); a null label or id labels nothing.
+each id (the largest label); a null label or id labels nothing. Long texts are scanned whole;
+segments of equal score are all kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
