@@ -207,6 +207,16 @@ def test_probabilities_equal_plain_raking(spark):
         assert got[i].probability == pytest.approx(weight[c] / top, rel=1e-6) and got[i].n_tokens == tokens[i]
 
 
+def test_a_tiny_heavy_cell_does_not_thin_out_the_rest(spark):
+    rows = [(i, "w " * 20, "rare" if i == 0 else "ab"[i % 2], "en", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    targets = {"source": {"rare": 0.1, "a": 0.45, "b": 0.45}}
+    whole = mix_documents(docs, targets=targets).agg(F.sum("probability")).first()[0]
+    spared = mix_documents(docs, targets=targets, spare=0.01)
+    assert whole < 15 and spared.agg(F.sum("probability")).first()[0] > 350
+    assert spared.where("doc_id = 0").first().probability == 1 and spared.agg(F.max("copies")).first()[0] == 1
+
+
 def test_targets_that_cannot_be_met_are_told(spark):
     frame = spark.createDataFrame([("a", "x", "p", 10), ("b", "y", "p", 10)], "source string, lang string, topic string, tokens long")
     with pytest.warns(UserWarning, match="no weights meet"):

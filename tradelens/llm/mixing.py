@@ -89,23 +89,46 @@ def rake(cells: DataFrame, margins: list[str], targets: dict[str, dict | None],
     return state.select(*margins, "tokens", "weight")
 
 
+def heaviest(weights: DataFrame, spare: float) -> float:
+    """The weight that no cells exceed but those that hold together at most the share ``spare`` of all tokens (0 without cells).
+
+    Tokens are added up by eighths of a power of two, so the driver gets as many sums as a double has such steps at most.
+    """
+    top, total = weights.agg(F.max("weight"), F.sum("tokens")).first()
+    if not top or not spare:
+        return top or 0.0
+    steps = weights.groupBy(F.floor(F.log2("weight") * 8).alias("step")).agg(F.sum("tokens").alias("tokens")).collect()
+    above = 0
+    for r in sorted(steps, key=lambda r: -r.step):
+        above += r.tokens
+        if above > spare * total:
+            return min(top, 2.0 ** ((r.step + 1) / 8))
+    return top
+
+
 def mix_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None,
-    targets: dict[str, dict | None] | None = None, flatten: float = 0.7, rate: float | None = None, seed: int = 17, tolerance: float = 1e-5,
+    targets: dict[str, dict | None] | None = None, flatten: float = 0.7, rate: float | None = None, spare: float = 0.0, seed: int = 17, tolerance: float = 1e-5,
 ) -> DataFrame:
-    """Per row: id, source, lang, topic, n_tokens, weight, probability, copies, selected."""
+    """Per row: id, source, lang, topic, n_tokens, weight, probability, copies, selected.
+
+    With ``spare``, cells that hold at most that share of all tokens may weigh more than the one
+    that is kept whole; they are kept whole too, and all others need not be sampled down to them.
+    """
     text = F.col(text_col).cast("string")
     rows = docs.select(id_or_least(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), (topic_of(text) if topic is None else topic).alias("topic"), token_count(text).alias("n_tokens"))
     rows = settle(rows)
     margins = ["source", "lang", "topic"]
     cells = settle(narrow(rows.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens")), docs.count()))
     weights = rake(cells, margins, targets or {}, flatten, tolerance)
-    top, mass, total = weights.agg(F.max("weight"), F.sum(F.col("tokens") * F.col("weight")), F.sum("tokens")).first()
+    top, mass = heaviest(weights, spare), weights.agg(F.sum(F.col("tokens") * F.col("weight"))).first()[0]
     all_tokens = cells.agg(F.sum("tokens")).first()[0] or 0
     factor = (1.0 / top if top else 0.0) if rate is None else (rate * all_tokens / mass if mass else 0.0)
     w = weights.select(*(F.col(m).alias("w_" + m) for m in margins), "weight")
     joined = rows.join(w, F.col("source").eqNullSafe(F.col("w_source")) & F.col("lang").eqNullSafe(F.col("w_lang")) & F.col("topic").eqNullSafe(F.col("w_topic")), "left")
     expected = F.coalesce("weight", F.lit(0.0)) * F.lit(float(factor))
+    if rate is None:
+        expected = F.least(F.lit(1.0), expected)
     # documents without tokens change no margin: they stay
     expected = F.when(F.col("n_tokens") == 0, 1.0).otherwise(expected)
     draw = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 52)).cast("double") / F.lit(float(1 << 52))
