@@ -67,12 +67,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled so that sources, languages and topics have their target shares of the tokens.
 
-    The heaviest cell is kept whole and all others are sampled down to it: no weight asks for
-    copies, which would be lost here.
+    The heaviest cells are kept whole and all others are sampled down to them: no weight asks for
+    copies, which would be lost here, but those of cells that hold at most 1 % of all tokens.
     """
     small_batches(spark)
     keyed = _keyed(docs)
-    taken = mix_documents(keyed, id_col="row_key", flatten=0.9, rate=None)
+    taken = mix_documents(keyed, id_col="row_key", flatten=0.9, rate=None, spare=0.01)
     return narrow(_only(keyed, taken.where("selected")).select(*COLUMNS), docs.count())
 
 
