@@ -1,10 +1,13 @@
 """Nulls in every column, empty and long texts, repeated rows, empty tables and clashing column names."""
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
 from tradelens.llm.cotrain import cotrain
 from tradelens.llm.crf_langid import language_id
+from tradelens.llm.filter_audit import masks
 from tradelens.llm.line_rules import line_rules
 from tradelens.llm.lsh_forest import lsh_forest
 from tradelens.llm.media import describe_media, store_media
@@ -12,9 +15,18 @@ from tradelens.llm.mixing import mix_documents
 from tradelens.llm.packing import pack
 from tradelens.llm.ppm import ppm_scores
 from tradelens.llm.queries import tokenizer_path
+from tradelens.llm.simple8b import read_ids, write_ids
 from tradelens.llm.suffix_dedup import suffix_dedup
+from tradelens.llm.textcols import checkpoint_folder
 from tradelens.llm.toxicity import toxicity
 
+
+def coded(docs):
+    path = f"{checkpoint_folder(docs.sparkSession)}/ids-{uuid.uuid4()}"
+    write_ids(docs, tokenizer_path(), path)
+    return read_ids(docs.sparkSession, path)
+
+
 OPS = {
     "mixing": lambda d, y: mix_documents(d),
     "media": lambda d, y: describe_media(store_media(d), with_payload=True),
@@ -25,10 +37,12 @@ OPS = {
     "lines": lambda d, y: line_rules(d),
     "cotrain": lambda d, y: cotrain(d, y),
     "ppm": lambda d, y: ppm_scores(d, F.lit(True)),
+    "audit": lambda d, y: masks(d),
+    "simple8b": lambda d, y: coded(d),
     "toxicity": lambda d, y: toxicity(d, y, F.lit(True)),
 }
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ["id", "key", "kind", "place", "start", "bytes", "shard", "control", "share", "word", "n", "count", "label", "tree", "weight", "tokens", "node", "component", "part", "quality", "toxic_", "letters", "media", "n_words"]
+CLASH = ["id", "key", "kind", "place", "start", "bytes", "shard", "control", "share", "word", "n", "count", "label", "tree", "weight", "tokens", "node", "component", "part", "quality", "toxic_", "letters", "class", "row", "tie", "mask", "length", "hashes", "first", "rows", "ahead", "before", "doc_ids", "media", "n_words"]
 
 
 def edge_rows():

@@ -95,6 +95,9 @@ class Tokens:
     def _piece(self, piece: bytes) -> list[int]:
         return self._added.get(piece) or self._coder.encode_ordinary(piece.decode())
 
+    def _pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        return [self._piece(x) for x in pieces]
+
     def _added_at(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, stop) of the added tokens, leftmost first; none crosses documents."""
         found, at = [], 0
@@ -113,7 +116,7 @@ class Tokens:
 
     def _add(self, pieces: list[bytes]) -> np.ndarray:
         """Encode new pieces; returns their places."""
-        ids = [self._piece(x) for x in pieces]
+        ids = self._pieces(pieces)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         first, n = len(self._known), len(ids)
         self._known.update(zip(pieces, range(first, first + n), strict=True))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,15 +10,18 @@ from pyspark.sql import functions as F
 
 from .cotrain import cotrain
 from .crf_langid import language_id
+from .filter_audit import filter_audit
 from .line_rules import FURNITURE, MENU, line_rules
 from .lsh_forest import lsh_forest
 from .media import describe_media, store_media
 from .mixing import mix_documents
 from .packing import pack
 from .ppm import ppm_scores
+from .simple8b import read_ids, write_ids
 from .suffix_dedup import suffix_dedup
-from .textcols import crc_remainder, small_batches
+from .textcols import checkpoint_folder, crc_remainder, small_batches
 from .toxicity import toxicity
+from .whitening import by_component, whiten
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -88,8 +92,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_passages")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, by source."""
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All token ids written to files and read back."""
+    path = f"{checkpoint_folder(spark)}/ids-{uuid.uuid4()}"
+    write_ids(table(spark, sf_dir, "documents"), tokenizer_path(), path)
+    return read_ids(spark, path).drop("ids")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the eight leading components."""
+    return by_component(whiten(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_mixing, op2_media, op3_suffix_dedup, op4_lsh_forest, op5_packing, op6_crf_langid, op7_line_rules, op8_cotrain, op9_ppm, op10_toxicity]
+    own = [op1_mixing, op2_media, op3_suffix_dedup, op4_lsh_forest, op5_packing, op6_crf_langid, op7_line_rules, op8_cotrain, op9_ppm, op10_toxicity, op11_filter_audit, op12_simple8b, op13_whitening]
     return {f.__name__: f for f in own}
 
 
@@ -133,5 +154,34 @@ FROM b
 """
 
 
+OP11_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\f\r]+') AS words FROM documents),
+m AS (
+  SELECT doc_id, part,
+    CASE WHEN len(words) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+  FROM w),
+y AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN y USING (doc_id) GROUP BY part, mask),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_rules": OP7_SQL}
+    return {"op7_line_rules": OP7_SQL, "op11_filter_audit": OP11_SQL}
