@@ -6,7 +6,7 @@ Null identifiers match nothing. Ids of orders are unique; erp_id too.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Attempts in order: which ERP field is looked up as which market identifier.
@@ -49,25 +49,112 @@ def union_attempts(erp: DataFrame, market: DataFrame) -> DataFrame:
     return _attempts(erp).join(_identifiers(market), ["kind", "value"]).select("erp_id", "attempt", "order_id")
 
 
-def matched_identifiers(erp: DataFrame, market: DataFrame) -> DataFrame:
-    """erp_id, status, reference: order and pack ids of the matches (all attempts of a conflict, else the first)."""
+def reference_evidence(erp: DataFrame, market: DataFrame) -> DataFrame:
+    """reference, conflict, ambiguous, first, last: what the matches say that name an order or pack id.
+
+    A match names the market orders of the identifier that it was found by (of all its identifiers
+    where they contradict each other), with their packs. ERP orders are added up by identifier
+    before they meet the market orders that it stands for, and those by reference: an identifier
+    of m ERP orders and n market orders makes m + n rows, not m * n. ``first`` and ``last`` are the
+    bounds of the ERP ids; they differ where there are several.
+    """
     verdict = match_orders(erp, market).select("erp_id", "status", F.col("attempt").alias("first"))
-    hits = union_attempts(erp, market).join(verdict, "erp_id").where((F.col("status") == "CONFLICT") | (F.col("attempt") == F.col("first")))
-    named = hits.select("erp_id", "status", "order_id").distinct().join(market.select("order_id", "pack_id"), "order_id")
-    return named.select("erp_id", "status", F.explode(F.array("order_id", "pack_id")).alias("reference")).where(F.col("reference").isNotNull()).distinct()
+    used = _attempts(erp).join(verdict, "erp_id").where((F.col("status") == "CONFLICT") | (F.col("attempt") == F.col("first")))
+    parts = [F.bool_or("conflict").alias("conflict"), F.bool_or("ambiguous").alias("ambiguous"), F.min("first").alias("first"), F.max("last").alias("last")]
+    named = used.select("kind", "value", (F.col("status") == "CONFLICT").alias("conflict"), (F.col("status") == "AMBIGUOUS").alias("ambiguous"), F.col("erp_id").alias("first"), F.col("erp_id").alias("last"))
+    by_key = named.groupBy("kind", "value").agg(*parts)
+    packs = market.select("order_id", "pack_id")
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("value")) for k in ("order_id", "pack_id")))
+    met = packs.select("*", F.inline(kinds)).join(by_key, ["kind", "value"])
+    references = met.select(F.explode(F.array("order_id", "pack_id")).alias("reference"), "conflict", "ambiguous", "first", "last")
+    return references.where(F.col("reference").isNotNull()).groupBy("reference").agg(*parts)
 
 
 def three_way(records: DataFrame, erp: DataFrame, market: DataFrame) -> DataFrame:
     """order_reference, status for each distinct reference of financial records."""
-    by = matched_identifiers(erp, market).groupBy("reference").agg(
-        F.bool_or(F.col("status") == "CONFLICT").alias("conflict"), F.bool_or(F.col("status") == "AMBIGUOUS").alias("ambiguous"),
-        (F.min("erp_id") != F.max("erp_id")).alias("many"),
-    )
-    status = F.when(F.col("conflict").isNull(), "UNMATCHED").when(F.col("conflict"), "CONFLICT").when(F.col("many") | F.col("ambiguous"), "AMBIGUOUS").otherwise("MATCHED_EXACT")
+    by = reference_evidence(erp, market)
+    status = F.when(F.col("conflict").isNull(), "UNMATCHED").when(F.col("conflict"), "CONFLICT").when((F.col("first") != F.col("last")) | F.col("ambiguous"), "AMBIGUOUS").otherwise("MATCHED_EXACT")
     refs = records.select("order_reference").distinct()
     return refs.join(by, F.col("order_reference") == F.col("reference"), "left").select("order_reference", status.alias("status"))
 
 
+#: What two lines must share to be partners, from the strictest to the loosest.
+LINE_KEYS = [("sku", "unit_price", "quantity"), ("sku", "unit_price"), ("sku",), ("unit_price", "quantity")]
+
+
+def aligned_lines(matches: DataFrame, erp_lines: DataFrame, market_lines: DataFrame) -> DataFrame:
+    """erp_id, level, erp_line, market_line: a one-to-one assignment of the lines of matched orders.
+
+    Lines (``line``, sku, unit_price, quantity) of a side are numbered from 1, by ``line`` and then by
+    their other columns. Those of one match that share a key are paired in the order of their
+    numbers; what is over goes on to the next looser key of ``LINE_KEYS`` (``level`` from 1), and
+    lines without a partner have a null on the other side and no level. Lines are counted within
+    their key and side, so no pairs are made: all levels work on one exchange by ERP order. Nulls in
+    a key have no partner there. Other columns of the lines are in the structs.
+    """
+    keys = ["line", "sku", "unit_price", "quantity"]
+
+    def side(lines, name, key):
+        more = [c for c in lines.columns if c not in (key, *keys)]
+        number = F.row_number().over(Window.partitionBy("erp_id").orderBy(*keys, *more)).alias("line")
+        rows = matches.select("erp_id", key).join(lines, key).repartition("erp_id").select("erp_id", F.lit(name).alias("side"), number, *keys[1:], *more)
+        return rows.select("erp_id", "side", *keys, F.struct(*keys, *more).alias(name))
+
+    rows = side(erp_lines, "erp_line", "erp_id").unionByName(side(market_lines, "market_line", "order_id"), allowMissingColumns=True)
+    rows = rows.withColumns({"level": F.lit(None).cast("int"), "pair": F.lit(None).cast("int")})
+    for level, key in enumerate(LINE_KEYS, 1):
+        open_ = F.col("level").isNull()
+        for k in key:
+            open_ = open_ & F.col(k).isNotNull()
+        group = Window.partitionBy("erp_id", *key)
+        number = F.row_number().over(Window.partitionBy("erp_id", *key, "side", "open").orderBy("line"))
+        both = F.least(*(F.count_if(F.col("open") & (F.col("side") == s)).over(group) for s in ("erp_line", "market_line")))
+        rows = rows.withColumn("open", open_).withColumns({"number": number, "both": both})
+        now = F.col("open") & (F.col("number") <= F.col("both"))
+        rows = rows.withColumns({"level": F.coalesce("level", F.when(now, level)), "pair": F.coalesce("pair", F.when(now, F.col("number")))})
+    # partners share their level, its key and their number in it
+    shared = [F.when(F.array_contains(F.array(*(F.lit(i) for i, key in enumerate(LINE_KEYS, 1) if k in key)), F.col("level")), F.col(k)).alias("key_" + k) for k in keys[1:]]
+    alone = F.when(F.col("level").isNull(), F.struct("side", "line")).alias("alone")
+    paired = rows.groupBy("erp_id", "level", "pair", *shared, alone).agg(F.any_value("erp_line", True).alias("erp_line"), F.any_value("market_line", True).alias("market_line"))
+    return paired.select("erp_id", "level", "erp_line", "market_line")
+
+
+def matched_comparisons(erp: DataFrame, market: DataFrame, flags: DataFrame, erp_lines: DataFrame, market_lines: DataFrame) -> DataFrame:
+    """One row per exact match: both orders, their units and gross amounts, fulfilment, and how their lines correspond.
+
+    ``erp_lines`` and ``market_lines`` are lists of lines in their order; ``pairs`` has (level, erp_line,
+    market_line) by line number, ``erp_only`` and ``market_only`` the numbers of lines without a partner.
+    Market orders: order_id, pack_id, status, raw_status, gross_amount. ERP: erp_id, status_code, products.
+    """
+    method = F.element_at(F.array(*(F.lit(f"{field}->{key}") for field, key in ATTEMPTS)), F.col("attempt")).alias("method")
+    exact = match_orders(erp, market).where("status = 'MATCHED_EXACT'").select("erp_id", "order_id", method)
+    pairs = aligned_lines(exact, erp_lines, market_lines)
+
+    def all_of(name):
+        return F.array_sort(F.collect_list(name), lambda a, b: F.when(a.line < b.line, -1).when(a.line > b.line, 1).otherwise(0)).alias(name + "s")
+
+    def total(name, value):
+        # decimals of one scale all the way, so sums are exact
+        return F.aggregate(name + "s", F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + value(x)).cast("decimal(38,2)"))
+
+    lines = pairs.groupBy("erp_id").agg(
+        all_of("erp_line"), all_of("market_line"),
+        F.array_sort(F.collect_list(F.when(F.col("level").isNotNull(), F.struct("level", F.col("erp_line.line").alias("erp_line"), F.col("market_line.line").alias("market_line"))))).alias("pairs"),
+        F.array_sort(F.collect_list(F.when(F.col("market_line").isNull(), F.col("erp_line.line")))).alias("erp_only"),
+        F.array_sort(F.collect_list(F.when(F.col("erp_line").isNull(), F.col("market_line.line")))).alias("market_only"),
+    )
+    ours = market.select("order_id", "pack_id", "raw_status", F.col("status").alias("market_status"), F.col("gross_amount").alias("market_amount"))
+    theirs = erp.select("erp_id", "status_code", F.col("products").alias("erp_products"))
+    rows = exact.join(ours, "order_id").join(theirs, "erp_id").join(flags, "order_id", "left").join(lines, "erp_id", "left")
+    none = {c: F.coalesce(c, F.array()) for c in ("erp_lines", "market_lines", "pairs", "erp_only", "market_only")}
+    rows = rows.withColumns(none)
+    amounts = {
+        "erp_units": total("erp_line", lambda x: x.quantity), "market_units": total("market_line", lambda x: x.quantity),
+        "erp_gross": total("erp_line", lambda x: x.quantity * x.unit_price), "market_gross": total("market_line", lambda x: x.quantity * x.unit_price),
+    }
+    return rows.withColumns(amounts)
+
+
 def match_rates(matches: DataFrame) -> DataFrame:
     """status, attempt, orders, percent of all orders."""
     total = matches.agg(F.count("*").alias("total"))  # one row

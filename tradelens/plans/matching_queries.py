@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..binding import items, orders
+from ..binding import items, orders, read
 from ..operators import finance as fin
 from ..operators import matching as mt
 from ..functions.scalars import map_values
@@ -116,6 +116,53 @@ def rm_erp_inspection(spark, d):
     return rows.groupBy("account_code", "status").agg(F.count("*").alias("orders"), F.sum("total").cast("decimal(38,2)").alias("total"))
 
 
+# Lines of both sides of an order: the ERP lacks some, has other prices, quantities or no SKU for others.
+LINES = f"""{MATCH}{FLAGS}, ml AS (SELECT CAST(l_orderkey AS VARCHAR) AS order_id, l_linenumber AS line, 'S' || CAST(l_partkey % 9 AS VARCHAR) AS sku, CAST(100 + l_suppkey % 3 AS DECIMAL(14,2)) AS unit_price, CAST(l_quantity % 4 + 1 AS BIGINT) AS quantity, l_partkey AS listing_id FROM lineitem),
+el AS (SELECT CAST(order_id AS BIGINT) AS erp_id, line, CASE WHEN (CAST(order_id AS BIGINT) + line) % 11 <> 0 THEN sku END AS sku, CAST(unit_price + CASE WHEN (CAST(order_id AS BIGINT) + line) % 5 = 0 THEN 1 ELSE 0 END AS DECIMAL(14,2)) AS unit_price, quantity + CASE WHEN (CAST(order_id AS BIGINT) + line) % 6 = 0 THEN 1 ELSE 0 END AS quantity FROM ml WHERE (CAST(order_id AS BIGINT) + 3 * line) % 7 <> 0),
+el0 AS (SELECT mo.erp_id, row_number() OVER (PARTITION BY mo.erp_id ORDER BY line, sku NULLS FIRST, unit_price, quantity) AS line, sku, unit_price, quantity FROM mo JOIN el USING (erp_id) WHERE mo.status = 'MATCHED_EXACT'),
+ml0 AS (SELECT mo.erp_id, row_number() OVER (PARTITION BY mo.erp_id ORDER BY line, sku, unit_price, quantity, listing_id) AS line, sku, unit_price, quantity, listing_id FROM mo JOIN ml USING (order_id) WHERE mo.status = 'MATCHED_EXACT')"""
+for _i, _key in enumerate(mt.LINE_KEYS, 1):
+    _by = ", ".join(_key)
+    _some = " AND ".join(f"{k} IS NOT NULL" for k in _key)
+    LINES += f""", lp{_i} AS (SELECT a.erp_id, {_i} AS level, a.line AS el, b.line AS ml FROM (SELECT *, row_number() OVER (PARTITION BY erp_id, {_by} ORDER BY line) AS n FROM el{_i - 1} WHERE {_some}) a
+  JOIN (SELECT *, row_number() OVER (PARTITION BY erp_id, {_by} ORDER BY line) AS n FROM ml{_i - 1} WHERE {_some}) b USING (erp_id, n, {_by})),
+el{_i} AS (SELECT l.* FROM el{_i - 1} l ANTI JOIN lp{_i} p ON p.erp_id = l.erp_id AND p.el = l.line), ml{_i} AS (SELECT l.* FROM ml{_i - 1} l ANTI JOIN lp{_i} p ON p.erp_id = l.erp_id AND p.ml = l.line)"""
+LINES += ", lp AS (" + " UNION ALL ".join(f"SELECT * FROM lp{i}" for i in range(1, len(mt.LINE_KEYS) + 1)) + ")"
+_METHODS = " ".join(f"WHEN {i} THEN '{a}->{b}'" for i, (a, b) in enumerate(mt.ATTEMPTS, 1))
+
+
+def _text_of(lines, *fields):
+    return F.array_join(F.transform(lines, lambda x: F.concat_ws(":", *(F.coalesce(x[f].cast("string"), F.lit("?")) for f in fields))), ",")
+
+
+@R.add("rm_erp_inspection_matches", f"""{LINES},
+ea AS (SELECT erp_id, string_agg(line || ':' || coalesce(sku, '?') || ':' || unit_price || ':' || quantity, ',' ORDER BY line) AS erp_lines, sum(quantity) AS eu, sum(quantity * unit_price) AS eg FROM el0 GROUP BY 1),
+ma AS (SELECT erp_id, string_agg(line || ':' || sku || ':' || unit_price || ':' || quantity || ':' || listing_id, ',' ORDER BY line) AS market_lines, sum(quantity) AS mu, sum(quantity * unit_price) AS mg FROM ml0 GROUP BY 1),
+pa AS (SELECT erp_id, string_agg(level || ':' || el || ':' || ml, ',' ORDER BY level, el, ml) AS pairs FROM lp GROUP BY 1),
+eo AS (SELECT erp_id, string_agg(line, ',' ORDER BY line) AS erp_only FROM el{len(mt.LINE_KEYS)} GROUP BY 1), mn AS (SELECT erp_id, string_agg(line, ',' ORDER BY line) AS market_only FROM ml{len(mt.LINE_KEYS)} GROUP BY 1)
+SELECT erp_id, mo.order_id, m.pack_id, CASE attempt {_METHODS} END AS method, lower(o.status) AS raw_status, o.status AS market_status, erp.status_code, fl.is_full, m.gross_amount AS market_amount, erp.products AS erp_products,
+coalesce(erp_lines, '') AS erp_lines, coalesce(market_lines, '') AS market_lines, coalesce(pairs, '') AS pairs, coalesce(erp_only, '') AS erp_only, coalesce(market_only, '') AS market_only,
+CAST(coalesce(eu, 0) AS DECIMAL(38,2)) AS erp_units, CAST(coalesce(mu, 0) AS DECIMAL(38,2)) AS market_units, CAST(coalesce(eg, 0) AS DECIMAL(38,2)) AS erp_gross, CAST(coalesce(mg, 0) AS DECIMAL(38,2)) AS market_gross
+FROM mo JOIN erp USING (erp_id) JOIN m ON m.order_id = mo.order_id JOIN o ON CAST(o.order_id AS VARCHAR) = mo.order_id LEFT JOIN fl ON fl.order_id = mo.order_id
+LEFT JOIN ea USING (erp_id) LEFT JOIN ma USING (erp_id) LEFT JOIN pa USING (erp_id) LEFT JOIN eo USING (erp_id) LEFT JOIN mn USING (erp_id) WHERE mo.status = 'MATCHED_EXACT'""")
+def rm_erp_inspection_matches(spark, d):
+    base, erp, ships, _ = _views(spark, d)
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    sku, price, quantity = F.concat(F.lit("S"), (F.col("l_partkey") % 9).cast("string")), (100 + F.col("l_suppkey") % 3).cast("decimal(14,2)"), (F.col("l_quantity") % 4 + 1).cast("long")
+    lines = read(spark, d, "lineitem")
+    ours = lines.select(k.cast("string").alias("order_id"), n.alias("line"), sku.alias("sku"), price.alias("unit_price"), quantity.alias("quantity"), F.col("l_partkey").alias("listing_id"))
+    theirs = lines.where((k + 3 * n) % 7 != 0).select(
+        k.alias("erp_id"), n.alias("line"), F.when((k + n) % 11 != 0, sku).alias("sku"),
+        (price + F.when((k + n) % 5 == 0, 1).otherwise(0)).cast("decimal(14,2)").alias("unit_price"), (quantity + F.when((k + n) % 6 == 0, 1).otherwise(0)).alias("quantity"),
+    )
+    out = mt.matched_comparisons(erp, base.withColumn("raw_status", F.lower("status")), mt.shipment_flags(base, ships), theirs, ours)
+    common = ("line", "sku", "unit_price", "quantity")
+    return out.withColumns({
+        "erp_lines": _text_of("erp_lines", *common), "market_lines": _text_of("market_lines", *common, "listing_id"), "pairs": _text_of("pairs", "level", "erp_line", "market_line"),
+        "erp_only": F.array_join("erp_only", ","), "market_only": F.array_join("market_only", ","),
+    })
+
+
 @R.add("agg_operational_report", f"""{VIEW}{FLAGS}, ln AS (SELECT CAST(order_id AS VARCHAR) AS order_id, count(*) AS lines, sum(quantity) AS units FROM i GROUP BY 1)
 SELECT account_code, min(sold_at) AS first_sale, max(sold_at) AS last_sale, count(*) AS orders, CAST(coalesce(sum(lines), 0) AS BIGINT) AS lines, CAST(coalesce(sum(units), 0) AS BIGINT) AS units, count(*) FILTER (is_full) AS full_orders,
 count(*) FILTER (NOT is_full) AS other_orders, count(*) FILTER (is_full IS NULL) AS missing_shipments FROM m LEFT JOIN ln USING (order_id) LEFT JOIN fl USING (order_id) GROUP BY 1""")
