@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..binding import daily_metrics, items, listings, orders
+from ..binding import daily_metrics, items, listings, orders, read
 from ..functions import display
 from ..operators import evidence as ev
 from ..operators import ingest as ing
 from ..operators import materialize as mat
+from ..operators import plan_rules as rules
 from ..sources import erp, workbook
 from .base import Queries, local
 
@@ -116,6 +117,99 @@ def pl_materialize_validate(spark, d):
     return mat.plan_faults(candidates.unionByName(more), links.unionByName(links.where(F.col("item_id") % 100 == 0)), identities, {"candidates": -1, "links": -1})
 
 
+# A plan with evidence over parts and the orders that hold them, with faults of every kind, for both engines.
+FACTS = {
+    "lk": """SELECT p_partkey AS k, CAST(floor(p_partkey / 10) AS BIGINT) AS c, CAST(floor(p_partkey / 10) AS BIGINT) % 3 AS t FROM {part}""",
+    "links": """SELECT CASE WHEN c % 41 = 0 THEN 'pc-high-' ELSE 'PC-HIGH-' END || CAST(c AS VARCHAR(20)) AS candidate_id, 'I' || CAST(k AS VARCHAR(20)) AS item_id, CASE WHEN (c + CASE WHEN k % 37 = 0 THEN 1 ELSE 0 END) % 2 = 0 THEN 'C1' ELSE 'C2' END AS account,
+      CASE WHEN c % 2 = 0 THEN 'B1' ELSE 'B2' END AS business_id, 'M' || CAST(k AS VARCHAR(20)) AS listing_id, CASE WHEN k % 4 = 0 THEN 'V' || CAST(k AS VARCHAR(20)) END AS variation_id, CASE WHEN k % 29 = 0 THEN 'X' WHEN k % 4 = 0 THEN 'V' || CAST(k AS VARCHAR(20)) ELSE 'M' || CAST(k AS VARCHAR(20)) END AS sellable_id,
+      CASE WHEN k % 6 <> 0 THEN 'S' || CAST(k AS VARCHAR(20)) END AS seller_sku, 'E' || CAST(c + CASE WHEN k % 31 = 0 THEN 1 ELSE 0 END AS VARCHAR(20)) AS erp_product_id, CASE WHEN k % 59 = 0 THEN 'other' ELSE 'K' || CAST(c AS VARCHAR(20)) END AS erp_sku,
+      CASE WHEN k % 43 = 0 THEN 'TITLE' WHEN t = 1 THEN 'OLIST_SKU_EXACT_UNIQUE_PLUS_MULTIPLE_PAID_ORDERS' WHEN t = 0 AND c % 2 = 0 THEN 'GTIN_UNIQUE' ELSE 'ORDER_PRODUCT_ID' END AS evidence, k, c, t
+      FROM {lk} WHERE (t = 0 AND c % 2 = 0) OR (t = 2 AND k % 10 < 4) OR k % 10 = 0 OR (c % 13 = 0 AND k % 10 = 1)""",
+    "support": """SELECT candidate_id, item_id, 'O' || CAST(l_orderkey AS VARCHAR(20)) AS market_order_id, 'R' || CAST(CAST(floor(l_orderkey / 4) AS BIGINT) AS VARCHAR(20)) AS erp_order_id, CASE WHEN l_orderkey % 50 <> 7 THEN 'E' || CAST(c AS VARCHAR(20)) END AS erp_product_id, CAST(l_quantity AS BIGINT) AS units
+      FROM {links} JOIN {lineitem} ON l_partkey = k WHERE l_orderkey % 8 = l_partkey % 8""",
+    "backed": """SELECT item_id, count(*) AS orders, sum(units) AS units FROM {support} GROUP BY item_id""",
+    "full_links": """SELECT l.*, coalesce(orders, 0) + CASE WHEN k % 47 = 0 THEN 1 ELSE 0 END AS correlated_orders, CASE WHEN k % 53 = 0 THEN 1 ELSE 0 END AS conflicting_orders FROM {links} l LEFT JOIN {backed} b ON b.item_id = l.item_id""",
+    "per": """SELECT c, t, min(candidate_id) AS candidate_id, count(*) AS n FROM {links} GROUP BY c, t""",
+    "candidates": """SELECT candidate_id, c, t, CASE t WHEN 0 THEN 'HIGH' WHEN 1 THEN 'PROMOTABLE_TO_HIGH' ELSE CASE WHEN c % 61 = 0 THEN 'LOW' ELSE 'DETERMINISTIC_HIGH' END END AS classification, CASE WHEN c % 23 = 0 THEN 'BLOCKED' ELSE 'READY' END AS status, CASE WHEN c % 23 = 0 THEN 1 ELSE 0 END AS blockers,
+      CASE WHEN t = 0 AND c % 2 = 0 THEN CAST(10000000 + c AS VARCHAR(20)) || CASE WHEN c % 15 = 0 THEN 'x' ELSE '' END END AS gtin, n + CASE WHEN c % 17 = 0 THEN 1 ELSE 0 END AS listing_item_count, CASE WHEN c % 2 = 0 THEN 'C1' ELSE 'C2' END AS account, 'E' || CAST(c AS VARCHAR(20)) AS erp_product_id,
+      CASE WHEN c % 27 = 1 THEN 'PRD-X' WHEN t = 0 AND c % 2 = 0 THEN 'PRD-GTIN-' || CAST(10000000 + c AS VARCHAR(20)) ELSE 'PRD-OLIST-' || CASE WHEN c % 2 = 0 THEN 'C1' ELSE 'C2' END || '-E' || CAST(c AS VARCHAR(20)) END AS sku,
+      CASE WHEN c % 33 = 2 THEN 'DUP' WHEN t = 0 AND c % 2 = 0 THEN 'GTIN:' || CAST(10000000 + c AS VARCHAR(20)) ELSE CASE WHEN c % 2 = 0 THEN 'C1' ELSE 'C2' END || ':OLIST:E' || CAST(c AS VARCHAR(20)) END AS group_key,
+      CASE WHEN t > 0 AND c % 5 = 0 THEN 'REUSE_HIGH_PRODUCT_AND_LINK' ELSE 'CREATE_PRODUCT_AND_LINK' END AS action, CASE WHEN t > 0 AND c % 5 = 0 AND c % 25 <> 0 THEN 'P' || CAST(c AS VARCHAR(20)) END AS reuse_id FROM {per}""",
+    "paid": """SELECT candidate_id AS paid_of, count(*) AS paid_orders, sum(units) AS paid_units FROM {support} GROUP BY candidate_id""",
+    "market_ids": """SELECT candidate_id, k, c, business_id, 'MERCADO_LIVRE' AS provider, CASE WHEN k % 45 = 0 THEN 'Z' ELSE seller_sku END AS seller_sku, listing_id, variation_id, item_id, 'CREATE' AS action, CASE WHEN k % 51 = 0 THEN 'I0' END AS existing_id FROM {links} WHERE k % 39 <> 0 AND t > 0""",
+    "erp_ids": """SELECT candidate_id, min(k) AS k, c, business_id, 'OLIST' AS provider, min(erp_sku) AS seller_sku, erp_product_id AS listing_id, CAST(NULL AS VARCHAR(20)) AS variation_id, CAST(NULL AS VARCHAR(20)) AS item_id, CASE WHEN c % 5 = 0 THEN 'ALREADY_CORRECT' ELSE 'CREATE' END AS action, CASE WHEN c % 5 = 0 AND c % 20 <> 0 THEN 'I' || CAST(c AS VARCHAR(20)) END AS existing_id FROM {links} WHERE t > 0 GROUP BY candidate_id, c, business_id, erp_product_id""",
+    "identities": """SELECT i.*, d.sku FROM (SELECT * FROM {market_ids} UNION ALL SELECT * FROM {erp_ids}) i JOIN {candidates} d ON d.candidate_id = i.candidate_id""",
+}
+
+
+def _facts(spark, d):
+    """The plan's tables, with their lists."""
+    out = {"part": read(spark, d, "part"), "lineitem": read(spark, d, "lineitem")}
+    for name, text in FACTS.items():
+        out[name] = spark.sql(text, **out)
+    c, t = F.col("c"), F.col("t")
+    kinds = F.when(t == 0, F.array(F.lit("GTIN_UNIQUE"))).when(t == 1, F.array(*map(F.lit, rules.EVIDENCE[rules.PROMOTED]))).otherwise(F.array(F.lit("ORDER_PRODUCT_ID")))
+    lists = {
+        "accounts": F.when(c % 21 == 0, F.array("account", "account")).when(c % 22 == 0, F.array(F.lit("C1"), F.lit("C2"))).otherwise(F.array("account")), "evidence": F.when(c % 19 == 0, F.array_append(kinds, F.lit("TITLE"))).otherwise(kinds), "erp_products": F.array(F.struct("account", "erp_product_id")),
+    }
+    paid = F.coalesce("paid_orders", F.lit(0))
+    audit = F.struct(F.lit(1).alias("matches"), F.when(c % 14 == 1, 2).otherwise(1).alias("unlinked"), paid.alias("paid_orders"), F.coalesce("paid_units", F.lit(0)).alias("paid_units"), F.array_repeat(F.lit("O"), paid.cast("int")).alias("order_ids"), (c % 35 != 1).alias("consistent"), F.lit(0).alias("divergent"))
+    candidates = out["candidates"].join(out["paid"], F.col("candidate_id") == F.col("paid_of"), "left").withColumns(lists).withColumn("audit", audit)
+    return candidates.drop("account", "erp_product_id", "c", "t", "paid_of"), out["full_links"].drop("k", "c", "t"), out["identities"].drop("k", "c"), out["support"].drop("units")
+
+
+DECLARED = {"productCandidates": 7, "productsToCreate": 7, "productsToReuse": 7, "bothAccounts": 0, "ready": 7, "marketIdentities": 7, "erpIdentities": 7, "externalIdentities": 7, "listingItems": 7}
+FACTS_SQL = ", " + ", ".join(f"{n} AS ({t.format(part='part', lineitem='lineitem', **{k: k for k in FACTS})})" for n, t in FACTS.items())
+EVIDENCE_SQL = f"""{FACTS_SQL},
+cd2 AS (SELECT *, CASE WHEN c % 21 = 0 THEN [account, account] WHEN c % 22 = 0 THEN ['C1', 'C2'] ELSE [account] END AS accounts, coalesce(paid_orders, 0) AS po, coalesce(paid_units, 0) AS pu FROM candidates LEFT JOIN paid ON paid_of = candidate_id),
+ls AS (SELECT l.*, d.classification, d.accounts, d.account AS own_account, d.erp_product_id AS own_product, coalesce(s.orders, 0) AS orders, coalesce(s.mo, 0) AS mo, coalesce(s.eo, 0) AS eo, coalesce(s.odd, 0) AS odd
+  FROM full_links l JOIN cd2 d USING (candidate_id) LEFT JOIN (SELECT s.item_id, count(*) AS orders, count(DISTINCT market_order_id) AS mo, count(DISTINCT erp_order_id) AS eo, count(*) FILTER (s.erp_product_id IS DISTINCT FROM l.erp_product_id) AS odd FROM support s JOIN links l USING (item_id) GROUP BY 1) s USING (item_id)),
+ag AS (SELECT candidate_id, count(*) AS n, count(*) FILTER (NOT list_contains(accounts, account)) AS sa, count(DISTINCT account) AS na, count(DISTINCT erp_product_id) AS ne, min(account) AS la, min(erp_product_id) AS le,
+  count(*) FILTER (CASE classification WHEN 'HIGH' THEN evidence NOT IN ('GTIN_UNIQUE', 'ORDER_PRODUCT_ID') WHEN 'PROMOTABLE_TO_HIGH' THEN evidence <> 'OLIST_SKU_EXACT_UNIQUE_PLUS_MULTIPLE_PAID_ORDERS' WHEN 'DETERMINISTIC_HIGH' THEN evidence <> 'ORDER_PRODUCT_ID' ELSE false END) AS se FROM ls GROUP BY 1),
+ac AS (SELECT candidate_id, count(*) FILTER (action = 'ALREADY_CORRECT') AS ok FROM identities GROUP BY 1),
+w AS (SELECT cd2.*, ag.* EXCLUDE (candidate_id), coalesce(ok, 0) AS ok, sku = 'PRD-OLIST-' || la || '-' || le AND group_key = la || ':OLIST:' || le AS ek, classification IN ('PROMOTABLE_TO_HIGH', 'DETERMINISTIC_HIGH') AS later FROM cd2 JOIN ag USING (candidate_id) LEFT JOIN ac USING (candidate_id)),
+wi AS (SELECT candidate_id, business_id, 'MERCADO_LIVRE' AS provider, listing_id, coalesce(variation_id, '') AS variation_id, seller_sku, item_id, true AS agree FROM links WHERE t > 0
+  UNION ALL SELECT candidate_id, business_id, 'OLIST', erp_product_id, '', arg_min(erp_sku, item_id), NULL, count(DISTINCT erp_sku) = 1 FROM links WHERE t > 0 GROUP BY candidate_id, business_id, erp_product_id),
+bi AS (SELECT coalesce(i.candidate_id, wi.candidate_id) AS cid, coalesce(i.candidate_id, wi.candidate_id) || '|' || coalesce(i.business_id, wi.business_id) || '|' || coalesce(i.provider, wi.provider) || '|' || coalesce(i.listing_id, wi.listing_id) || '|' || coalesce(i.variation_id, wi.variation_id, '') AS key,
+  i.candidate_id IS NOT NULL AS planned, wi.candidate_id IS NOT NULL AS derived, i.seller_sku IS NOT DISTINCT FROM wi.seller_sku AND i.item_id IS NOT DISTINCT FROM wi.item_id AS same, i.action, i.existing_id, i.provider, wi.agree
+  FROM identities i FULL JOIN wi ON i.candidate_id = wi.candidate_id AND i.business_id = wi.business_id AND i.provider = wi.provider AND i.listing_id = wi.listing_id AND coalesce(i.variation_id, '') = wi.variation_id),
+bl AS (SELECT bi.* FROM bi JOIN w ON w.candidate_id = cid WHERE later)
+SELECT 'CANDIDATE_ID' AS rule, candidate_id AS subject FROM w WHERE c % 41 = 0
+UNION ALL SELECT 'CLASSIFICATION', candidate_id FROM w WHERE classification = 'LOW'
+UNION ALL SELECT 'READY', candidate_id FROM w WHERE status <> 'READY' OR listing_item_count <> n
+UNION ALL SELECT 'ACCOUNTS', candidate_id FROM w WHERE len(list_distinct(accounts)) <> len(accounts) OR sa > 0
+UNION ALL SELECT 'EVIDENCE', candidate_id FROM w WHERE se > 0 OR (c % 19 = 0 AND classification <> 'LOW')
+UNION ALL SELECT 'CANONICAL_KEY', candidate_id FROM w WHERE NOT CASE classification WHEN 'LOW' THEN true WHEN 'DETERMINISTIC_HIGH' THEN ek AND na = 1 AND ne = 1 AND len(accounts) = 1 AND la = account AND le = erp_product_id
+  WHEN 'HIGH' THEN CASE WHEN gtin IS NULL THEN n = 1 AND ek ELSE regexp_full_match(gtin, '[0-9]{{8,14}}') AND sku = 'PRD-GTIN-' || gtin AND group_key = 'GTIN:' || gtin END ELSE n = 1 AND ek END
+UNION ALL SELECT 'PRODUCT_ACTION', candidate_id FROM w WHERE later AND (action = 'CREATE_PRODUCT_AND_LINK') <> (reuse_id IS NULL)
+UNION ALL SELECT 'AUDIT', candidate_id FROM w WHERE classification = 'PROMOTABLE_TO_HIGH' AND (c % 14 = 1 OR po < 2 OR pu < 1 OR c % 35 = 1)
+UNION ALL SELECT 'REUSE_IDENTITIES', candidate_id FROM w WHERE later AND (action = 'CREATE_PRODUCT_AND_LINK') <> (ok = 0)
+UNION ALL SELECT 'SELLABLE', item_id FROM ls WHERE sellable_id <> coalesce(variation_id, listing_id)
+UNION ALL SELECT 'ERP_PRODUCT', item_id FROM ls WHERE account <> own_account OR erp_product_id <> own_product
+UNION ALL SELECT 'ORDER_SUPPORT', item_id FROM ls WHERE classification = 'DETERMINISTIC_HIGH' AND (orders < 2 OR correlated_orders <> orders OR conflicting_orders <> 0)
+UNION ALL SELECT 'INDEPENDENT_ORDERS', item_id FROM ls WHERE classification = 'DETERMINISTIC_HIGH' AND (mo <> orders OR eo <> orders)
+UNION ALL SELECT 'SUPPORTED_PRODUCT', item_id FROM ls WHERE classification = 'DETERMINISTIC_HIGH' AND odd > 0
+UNION ALL SELECT 'PLANNED_IDENTITY', key FROM bl WHERE NOT (planned AND derived AND same)
+UNION ALL SELECT 'AGREED_IDENTITY', key FROM bl WHERE NOT agree
+UNION ALL SELECT 'IDENTITY_ACTION', key FROM bl WHERE planned AND NOT CASE WHEN action = 'CREATE' THEN existing_id IS NULL ELSE existing_id IS NOT NULL AND provider = 'OLIST' END
+UNION ALL SELECT 'REPEATED_GROUP', group_key FROM w GROUP BY group_key HAVING count(*) > 1"""
+
+
+@R.add("pl_materialize_evidence", EVIDENCE_SQL)
+def pl_materialize_evidence(spark, d):
+    return rules.evidence_faults(*_facts(spark, d))
+
+
+@R.add("pl_materialize_totals", f"""{FACTS_SQL}, tt AS (SELECT unnest([
+  {{'n': 'productCandidates', 'v': (SELECT count(*) FROM candidates)}}, {{'n': 'productsToCreate', 'v': (SELECT count(*) FROM candidates WHERE action LIKE 'CREATE%')}}, {{'n': 'productsToReuse', 'v': (SELECT count(*) FROM candidates WHERE action LIKE 'REUSE%')}},
+  {{'n': 'bothAccounts', 'v': (SELECT count(*) FROM candidates WHERE c % 22 = 0 AND c % 21 <> 0)}}, {{'n': 'ready', 'v': (SELECT count(*) FROM candidates WHERE status = 'READY')}}, {{'n': 'listingItems', 'v': (SELECT count(*) FROM links)}},
+  {{'n': 'marketIdentities', 'v': (SELECT count(*) FROM identities WHERE action = 'CREATE' AND provider = 'MERCADO_LIVRE')}}, {{'n': 'erpIdentities', 'v': (SELECT count(*) FROM identities WHERE action = 'CREATE' AND provider = 'OLIST')}}, {{'n': 'externalIdentities', 'v': (SELECT count(*) FROM identities WHERE action = 'CREATE')}}]) AS x)
+SELECT 'DECLARED_COUNT' AS rule, x.n AS subject FROM tt WHERE x.v <> CASE WHEN x.n = 'bothAccounts' THEN 0 ELSE 7 END""")
+def pl_materialize_totals(spark, d):
+    candidates, links, identities, _ = _facts(spark, d)
+    return rules.declared_faults(candidates, links, identities, DECLARED)
+
+
 @R.add("pl_materialize_analyze", f"{PLAN} SELECT 'product' AS kind, outcome, count(*) AS n FROM tg GROUP BY ALL UNION ALL SELECT 'link', outcome, count(*) FROM lo GROUP BY ALL UNION ALL SELECT 'identity', outcome, count(*) FROM io GROUP BY ALL")
 def pl_materialize_analyze(spark, d):
     candidates, links, identities, state, items_now, stored = _plan(spark, d)
