@@ -161,7 +161,7 @@ def test_ids_of_nothing(spark):
 def test_ids_of_one_hot_document_spread_over_files(spark):
     docs = small_batches(spark).range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text in every row").alias("text"))
     path = f"{checkpoint_folder(spark)}/ids-{uuid.uuid4()}"
-    write_ids(docs, tokenizer_path(), path, shard_tokens=4000)
+    write_ids(docs, tokenizer_path(), path, shard_bytes=20_000)
     sizes = [r.n for r in spark.read.parquet(path).groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()]
     assert len(sizes) > 3 and max(sizes) < 3 * sorted(sizes)[len(sizes) // 2]
 

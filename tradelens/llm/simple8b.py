@@ -8,14 +8,14 @@ order. For every word the selector that spends the fewest bits an id is taken, e
 (of equal ones that with more ids).
 
 A file is a Parquet file of the shared folder, written by Spark, so that a task that is run
-again leaves nothing behind. Its rows are segments: whole documents of about 65,536 ids, or one
+again leaves nothing behind. Its rows are segments: whole documents of about 262,144 ids, or one
 longer document. Files and the segments in them stand in ascending order of id. The payload of a segment
 is little-endian: the bytes ``S8B1``; six 32-bit numbers (documents, ids, ids in a block, blocks,
 words, escapes); the ids in each document, first word and first escape of each block, escapes
 (32 bits each); the words (64 bits each).
 
 Null texts are empty: they are one end id. Rows without an id come first. Rows of one id are in
-the order of a hash of their ids, repeated rows one after the other. Every row is in the files as
+the order of a hash of their texts, repeated rows one after the other. Every row is in the files as
 often as it occurs. An empty table gives no segments. Other columns are ignored. A text of any
 length is coded whole, by one worker; a document has fewer than 2^32 ids.
 """
@@ -34,63 +34,87 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import Tokens
-from .textcols import parts_for, release, slices, written
+from .textcols import parts_for, release, slices
 
 BLOCK = 1024
-SEGMENT = 1 << 16
+SEGMENT = 1 << 18
 #: (ids in a word, bits of an id) by selector; ids of no bits are all 0.
 SELECTORS = [(240, 0), (120, 0), *((60 // bits, bits) for bits in (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60))]
 _COUNTS, _BITS = (np.array(x, np.int64) for x in zip(*SELECTORS, strict=True))
+_GAPS = b" \t\n\v\f\r"
+_REACH = max(n for n, _ in SELECTORS)
 _MAGIC = b"S8B1"
 _U = np.uint64
 
 SEGMENT_DDL = "shard int, ahead long, n_ids long, first_id long, last_id long, doc_ids array<long>, payload binary"
 
 
+def _choices(ids: np.ndarray) -> np.ndarray:
+    """The selector to take at each place of rows of ids that are filled up with zeros by as many as a word can hold."""
+    rows, width = ids.shape
+    width -= _REACH
+    best, cost = np.zeros((rows, width), np.uint8), np.full((rows, width), np.inf, np.float32)
+    escapes = np.zeros((rows, width + _REACH + 1), np.int32)
+    usual = np.inf  # what any word costs at most
+    for selector in range(len(SELECTORS) - 1, -1, -1):  # of equal ones the last stays: more ids
+        count, bits = SELECTORS[selector]
+        if bits < 32:
+            np.cumsum(ids > 0 if not bits else ids >= (1 << bits) - 1, axis=1, out=escapes[:, 1:])
+        needed = escapes[:, count : count + width] - escapes[:, :width]
+        price = ((64 + 32 * np.arange(count + 1)) / count).astype(np.float32)
+        if not bits:
+            price[1:] = np.inf
+        if price[needed.min()] > usual:
+            continue
+        own = price.take(needed)
+        better = own <= cost
+        np.copyto(cost, own, where=better)
+        np.copyto(best, np.uint8(selector), where=better)
+        usual = min(usual, float(cost.max()))
+    return best
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, first word of each block, escapes, first escape of each block) of unsigned 32-bit ids."""
     n, n_blocks = len(ids), -(-len(ids) // block)
     if not n:
         return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.int64)
-    at = np.arange(n)
-    left = np.minimum((at // block + 1) * block, n) - at  # ids to the end of the block
-    wide = ids.astype(np.int64)
-    best, cost, taken = np.zeros(n, np.int8), np.full(n, np.inf), np.ones(n, np.int64)
-    for selector, (count, bits) in enumerate(SELECTORS):
-        escapes = np.zeros(n + 1, np.int64)
-        np.cumsum(wide != 0 if not bits else wide >= (1 << bits) - 1, out=escapes[1:])
-        size = np.minimum(count, left)
-        needed = escapes[at + size] - escapes[:-1]
-        bits_each = (64 + 32 * needed) / size
-        better = (bits_each < cost) if bits else (needed == 0) & (bits_each < cost)
-        best[better], cost[better], taken[better] = selector, bits_each[better], size[better]
+    # what follows the end of a block fits in any word
+    grid = np.zeros((n_blocks, block + _REACH), np.uint32)
+    whole = n // block
+    grid[:whole, :block] = ids[: whole * block].reshape(whole, block)
+    grid[whole:, : n - whole * block] = ids[whole * block :]
+    best = _choices(grid)
     # the words of all blocks are found side by side, one word of each at a time
-    where, ends = np.arange(n_blocks) * block, np.minimum((np.arange(n_blocks) + 1) * block, n)
-    found, owner, live = [], [], np.arange(n_blocks)
+    stops = np.minimum(n - np.arange(n_blocks) * block, block)
+    jumps, where, live = _COUNTS[best], np.zeros(n_blocks, np.int64), np.arange(n_blocks)
+    begins = np.zeros((n_blocks, block), bool)
     while len(live):
-        found.append(where[live])
-        owner.append(live)
-        where[live] += taken[where[live]]
-        live = live[where[live] < ends[live]]
-    begin = np.sort(np.concatenate(found))
-    first_word = np.zeros(n_blocks, np.int64)
-    np.cumsum(np.bincount(np.concatenate(owner), minlength=n_blocks)[:-1], out=first_word[1:])
-    selector = best[begin]
+        at = where[live]
+        begins[live, at] = True
+        at += jumps[live, at]
+        where[live] = at
+        live = live[at < stops[live]]
+    row, column = np.nonzero(begins)
+    selector = best[row, column]
     words = selector.astype(_U) << _U(60)
-    escaped = np.zeros(n, bool)
-    for s, (_, bits) in enumerate(SELECTORS):
-        own = np.flatnonzero(selector == s)
-        if not bits or not len(own):
+    escaped = np.zeros(grid.shape, bool)
+    for s in np.unique(selector).tolist():
+        count, bits = SELECTORS[s]
+        if not bits:
             continue
+        own = np.flatnonzero(selector == s)
         most = (1 << bits) - 1
-        for k in range(SELECTORS[s][0]):
-            own = own[taken[begin[own]] > k]
-            places = begin[own] + k
-            over = wide[places] >= most
-            escaped[places[over]] = True
-            words[own] |= np.where(over, most, wide[places]).astype(_U) << _U(bits * k)
-    escaped = np.flatnonzero(escaped)
-    return words, first_word, ids[escaped], np.searchsorted(escaped, np.arange(n_blocks) * block)
+        columns = column[own, None] + np.arange(count)
+        fields = grid[row[own, None], columns].astype(_U)
+        over = fields >= _U(most)
+        if over.any():
+            escaped[row[own, None], columns] |= over
+            fields[over] = most
+        words[own] |= np.bitwise_or.reduce(fields << (np.arange(count) * bits).astype(_U), axis=1)
+    first_word = np.searchsorted(row, np.arange(n_blocks))
+    row, column = np.nonzero(escaped)
+    return words, first_word, ids[row * block + column], np.searchsorted(row, np.arange(n_blocks))
 
 
 def decode(words: np.ndarray, first_word: np.ndarray, escapes: np.ndarray, first_escape: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
@@ -158,9 +182,28 @@ class LibraryTokens(Tokens):
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-
-    def _pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        return [x.ids for x in self._library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        self._line = self._library.encode("\n", add_special_tokens=False).ids[0]
+
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces that do not end white are encoded in one text, a line each: a line end before them is a piece of its own."""
+        line = np.array([p[-1] not in _GAPS and (p[-1] < 128 or not p.decode().isspace()) and p not in self._added for p in pieces], bool)
+        at, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        parts, used = [], 0
+        if line.any():
+            text = b"\n".join(p for p, own in zip(pieces, line.tolist(), strict=True) if own).decode()
+            ids = np.array(self._library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.append(np.flatnonzero(ids == self._line), len(ids))
+            if len(ends) == line.sum():
+                at[line] = np.append(0, ends[:-1] + 1)
+                sizes[line] = ends - at[line]
+                parts, used = [ids], len(ids)
+            else:  # another way of splitting than that of ``split``
+                line[:] = False
+        rest = np.flatnonzero(~line)
+        coded = [x.ids for x in self._library.encode_batch_fast([pieces[i].decode() for i in rest.tolist()], add_special_tokens=False)]
+        sizes[rest] = [len(x) for x in coded]
+        at[rest] = used + np.cumsum(sizes[rest]) - sizes[rest]
+        return np.concatenate([*parts, np.array([i for x in coded for i in x], np.uint32)]), at, sizes
 
 
 @lru_cache(2)
@@ -168,47 +211,34 @@ def _library(path: str) -> LibraryTokens:
     return LibraryTokens(path)
 
 
-_CODED = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
-
-
-def _tokenize(path: str, end: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _library(path)
-        for rows, data, offsets in slices(batches):
-            ids, at = coder.encode(data, offsets)
-            own = [np.append(ids[at[i] : at[i + 1]], end).astype(coder.width).tobytes() for i in range(rows.num_rows)]
-            yield pa.record_batch([rows.column("doc_id"), rows.column("row"), rows.column("tie"), pa.array(np.diff(at) + 1), pa.array(own, pa.binary())], schema=_CODED)
-
-    return work
-
-
-def _segments(width: str, size: int):
-    """Rows in order as segments of whole documents."""
+def _segments(path: str, end: int, size: int):
+    """Texts in order as segments of whole documents."""
     schema = pa.schema([
         ("shard", pa.int32()), ("ahead", pa.int64()), ("n_ids", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary()),
     ])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, ahead = TaskContext.get().partitionId(), 0
+        coder = _library(path)
+        shard, ahead, waiting = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []
         names: list[int | None] = []
-        waiting = 0
 
         def segment() -> pa.RecordBatch:
-            payload = to_payload(np.concatenate(held).astype(np.uint32), np.array([len(x) for x in held]))
+            payload = to_payload(np.concatenate(held), np.array([len(x) for x in held]))
             row = [shard, ahead, waiting, names[0], names[-1], list(names), payload]
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-        for batch in batches:
-            for i, name in enumerate(batch.column("doc_id").to_pylist()):
-                ids = np.frombuffer(batch.column("ids")[i].as_py(), width)
-                if held and waiting + len(ids) > size:
+        for rows, data, offsets in slices(batches):
+            ids, at = coder.encode(data, offsets)
+            for name, a, b in zip(rows.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                own = np.append(ids[a:b], np.uint32(end))
+                if held and waiting + len(own) > size:
                     yield segment()
                     ahead += waiting
                     held, names, waiting = [], [], 0
-                held.append(ids)
+                held.append(own)
                 names.append(name)
-                waiting += len(ids)
+                waiting += len(own)
         if held:
             yield segment()
         release()
@@ -216,16 +246,14 @@ def _segments(width: str, size: int):
     return work
 
 
-def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0, shard_tokens: int = 32_000_000, segment: int = SEGMENT) -> None:
-    """Write the ids of all texts to files under ``path``, in ascending order of id; about ``shard_tokens`` ids a file."""
+def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 0, shard_bytes: int = 128 << 20, segment: int = SEGMENT) -> None:
+    """Write the ids of all texts to files under ``path``, in ascending order of id; about ``shard_bytes`` of text a file."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    coded = written(rows.mapInArrow(_tokenize(tokenizer, end), "doc_id long, row long, tie long, n long, ids binary"))
-    total = coded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(parts_for(docs), -(-total // shard_tokens))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     # rows of one id, and repeated ones, are parted by their rows
-    ordered = coded.repartitionByRange(shards, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
-    files = ordered.select("doc_id", "ids").mapInArrow(_segments(_library(tokenizer).width, segment), SEGMENT_DDL)
+    ordered = rows.repartitionByRange(max(parts_for(docs), -(-total // shard_bytes)), "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row")
+    files = ordered.select("doc_id", "text").mapInArrow(_segments(tokenizer, end, segment), SEGMENT_DDL)
     files.write.option("compression", "none").parquet(path)
 
 
