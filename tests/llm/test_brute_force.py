@@ -455,3 +455,69 @@ def test_every_source_has_its_name_and_all_tokens_over_many_shards(spark):
     for _, t, s in made:
         have[s] += len(coder.encode(t, add_special_tokens=False).ids) + 1
     assert want == have
+
+
+def thue_morse(n):
+    """Two different words of 2**n letters whose polynomial hashes modulo 2**64 are equal for every odd base (n of 10 or more)."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_prefix_hashes_are_products_modulo_the_prime():
+    import numpy as np
+
+    from tradelens.llm.textcols import Prefix, multiplied
+
+    p = (1 << 61) - 1
+    rng = random.Random(2)
+    a, b = ([rng.choice([0, 1, p - 1, rng.randrange(p)]) for _ in range(70_000)] for _ in range(2))
+    assert multiplied(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == [x * y % p for x, y in zip(a, b, strict=True)]
+    text = np.frombuffer(bytes(rng.choices(range(3), k=3000)), np.uint8)
+    hashes = Prefix(text)
+    spans = [(i, i + w) for i in range(0, 2900, 7) for w in (1, 4, 60)]
+    start, stop = (np.array(x) for x in zip(*spans, strict=True))
+    by = defaultdict(set)
+    for (i, j), h in zip(spans, hashes.of(start, stop).tolist(), strict=True):
+        by[text[i:j].tobytes()].add(h)
+    assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)
+    assert hashes.every(60)[start[2::3]].tolist() == hashes.of(start[2::3], stop[2::3]).tolist()
+
+
+def test_words_that_no_base_tells_apart_modulo_2_64(spark):
+    from tradelens.llm.line_rules import line_rules
+    from tradelens.llm.lsh_forest import lsh_forest
+    from tradelens.llm.ppm import ppm_scores
+    from pyspark.sql import functions as F
+
+    one, other = thue_morse(10)
+    docs = spark.createDataFrame([(1, f"{one}\n{other}")], "doc_id long, text string")
+    assert line_rules(docs).first().n_dup_lines == 0
+    pair = spark.createDataFrame([(1, " ".join([one] * 9)), (2, " ".join([other] * 9))], "doc_id long, text string")
+    assert [r.kept for r in lsh_forest(pair, percent=85).collect()] == [True, True]
+    scored = ppm_scores(pair, F.col("doc_id") == 1).collect()
+    assert {r.doc_id: r.n_known for r in scored} == {1: 10, 2: 1}
+    from tokenizers import Tokenizer
+
+    from tradelens.llm.pretokens import Tokens
+
+    ids, at = Tokens(q.tokenizer_path()).encode(np.frombuffer((one + other).encode(), np.uint8), np.array([0, 1024, 2048]))
+    assert ids[at[1] :].tolist() == Tokenizer.from_file(q.tokenizer_path()).encode(other, add_special_tokens=False).ids
+
+
+def test_suffix_dedup_of_texts_under_one_id_and_of_ids_at_the_ends(spark):
+    from tradelens.llm.suffix_dedup import suffix_dedup
+
+    rng = random.Random(21)
+    passage = "".join(rng.choices("abcdefghij ", k=300))
+    docs = spark.createDataFrame([(1, passage + " first"), (5, passage + " second one"), (5, "other")], "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.n_bytes): len(r.kept) for r in suffix_dedup(docs).collect()}
+    assert got == {(1, 306): 306, (5, 311): 10, (5, 5): 5} or got == {(1, 306): 306, (5, 311): 11, (5, 5): 5}
+    ends = [-(1 << 63), -(1 << 62) - 5, 0, (1 << 63) - 1]
+    for more in ([], [(None, "null " + passage)], [(0, "again " + passage)]):
+        docs = spark.createDataFrame([(i, f"{i} " + passage) for i in ends] + more, "doc_id long, text string").repartition(3)
+        out = suffix_dedup(docs).collect()
+        assert sorted((r.doc_id is not None, r.doc_id or 0) for r in out) == sorted((i is not None, i or 0) for i, _ in [(e, "") for e in ends] + more)
+        whole = [r.doc_id for r in out if passage.encode() in bytes(r.kept)]
+        assert whole == [None if more and more[0][0] is None else ends[0]]

@@ -12,11 +12,11 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 
-from .textcols import Prefix
+from .textcols import piece_hashes
 
 # The code points of the Unicode property White_Space.
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -26,7 +26,9 @@ _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 @lru_cache(1)
 def _classes() -> np.ndarray:
     kinds = {"L": _LETTER, "N": _NUMBER}
-    table = np.array([kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)], np.uint8)
+    table = np.full(0x110000, _OTHER, np.uint8)
+    # planes from 4 on have neither letters nor numbers
+    table[:0x40000] = [kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x40000)]
     table[_WHITE] = _SPACE
     return table
 
@@ -95,8 +97,11 @@ class Tokens:
     def _piece(self, piece: bytes) -> list[int]:
         return self._added.get(piece) or self._coder.encode_ordinary(piece.decode())
 
-    def _pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        return [self._piece(x) for x in pieces]
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where those of each piece begin, how many they are)."""
+        ids = [self._piece(x) for x in pieces]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), np.cumsum(sizes) - sizes, sizes
 
     def _added_at(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start, stop) of the added tokens, leftmost first; none crosses documents."""
@@ -114,17 +119,15 @@ class Tokens:
         self._ids, self._used = np.empty(0, np.uint32), 0
         self._at, self._size = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _add(self, pieces: list[bytes]) -> np.ndarray:
-        """Encode new pieces; returns their places."""
-        ids = self._pieces(pieces)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, n = len(self._known), len(ids)
+    def _add(self, pieces: list[bytes]) -> None:
+        """Encode new pieces."""
+        ids, at, sizes = self._pieces(pieces)
+        first, n = len(self._known), len(pieces)
         self._known.update(zip(pieces, range(first, first + n), strict=True))
-        self._at = np.concatenate([self._at, self._used + np.cumsum(sizes) - sizes])
+        self._at = np.concatenate([self._at, self._used + at])
         self._size = np.concatenate([self._size, sizes])
-        self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        self._ids = np.concatenate([self._ids, ids])
         self._used = len(self._ids)
-        return np.arange(first, first + n)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, offsets by document) of UTF-8 bytes."""
@@ -145,17 +148,19 @@ class Tokens:
             inside = np.searchsorted(cut, begin, "left") - 1
             begin = begin[(inside < 0) | (begin >= uncut[np.maximum(inside, 0)])]
         stop = np.append(begin[1:], len(data))
-        keys, one, inverse = np.unique(Prefix(data).of(begin, stop), return_index=True, return_inverse=True)
-        other = Prefix(data, 1).of(begin, stop)
+        keys, one, inverse = np.unique(piece_hashes(data, begin, stop), return_index=True, return_inverse=True)
+        other = piece_hashes(data, begin, stop, 1)
         if (other != other[one][inverse]).any():  # two pieces of one hash
             keys, one, inverse = np.unique([raw[a:b] for a, b in zip(begin, stop, strict=True)], return_index=True, return_inverse=True)
         if len(self._known) + len(keys) > self.most:
             self._clear()
         own = [raw[a:b] for a, b in zip(begin[one].tolist(), stop[one].tolist(), strict=True)]
-        known = self._known
-        where = np.array([known.get(k, -1) for k in own], np.int64)
+        where = np.fromiter(map(self._known.get, own, repeat(-1)), np.int64, len(own))
         new = np.flatnonzero(where < 0)
-        where[new] = self._add([own[j] for j in new.tolist()])
+        if len(new):
+            first = len(self._known)
+            self._add([own[j] for j in new.tolist()])
+            where[new] = np.arange(first, first + len(new))
         where = where[inverse]
         size = self._size[where]
         ends = np.cumsum(size)

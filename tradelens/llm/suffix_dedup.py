@@ -21,8 +21,8 @@ corpus would shuffle it many times over, so suffixes are first put in buckets:
     should (found in a sample of documents) are also dealt by context in step 2.
 
 Ids: a null id counts as the smallest. A row that repeats another row's id and text counts as the
-same document. Different texts under one id or under none are documents of their own that come
-before all others, in the order of a hash. Null or empty texts and texts shorter than ``length``
+same document. Different texts under one id or under none are documents of their own, in the place
+of their id and, there, in the order of a hash. Null or empty texts and texts shorter than ``length``
 lose nothing; long texts are taken in blocks that overlap. An empty table gives no rows. Columns
 other than id and text are ignored.
 """
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import hot_keys
-from .textcols import FIRST_ID, Prefix, document_ids, i64, mix, narrow, parts_for, slices, stream, utf8, written
+from .textcols import Prefix, document_ids, i64, mix, narrow, parts_for, slices, stream, utf8, written
 
 _U = np.uint64
 _BLOCK = 1 << 23
@@ -413,8 +413,8 @@ def _sort_contexts(length: int):
     return work
 
 
-_RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("kept", pa.binary())])
-RESULT_DDL = "id long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary"
+_RESULT = pa.schema([("id", pa.int64()), ("own", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("kept", pa.binary())])
+RESULT_DDL = "id long, own long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary"
 
 
 def merge_spans(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -447,7 +447,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans.append([{"start": int(x), "length": int(y - x)} for x, y in zip(low, high, strict=True)])
             edges = [0, *np.stack([low, high], 1).ravel().tolist(), len(text)]
             kept.append(b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
-        yield pa.record_batch([rows.column("id"), i64(np.diff(offsets)), pa.array(spans, _RESULT.field("spans").type), pa.array(kept, pa.binary())], schema=_RESULT)
+        yield pa.record_batch([rows.column("id"), rows.column("own"), i64(np.diff(offsets)), pa.array(spans, _RESULT.field("spans").type), pa.array(kept, pa.binary())], schema=_RESULT)
 
 
 def repeated_ranges(text: DataFrame, length: int = 100, k: int = 32, hot: int = 4096, by_bytes: bool = False, rows: int | None = None) -> DataFrame:
@@ -484,17 +484,17 @@ def repeated_ranges(text: DataFrame, length: int = 100, k: int = 32, hot: int =
     return found.unionByName(crowd.select("id", F.col("position").alias("start"), F.lit(length).cast("long").alias("bytes")))
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, k: int = 32, hot: int = 4096, by_bytes: bool = False, with_document: bool = False) -> DataFrame:
-    """One row per input row: id, n_bytes, spans removed, and the bytes kept (binary: a cut may split a character); ``document`` as in ``document_ids`` if ``with_document``."""
-    rows, names = document_ids(docs, id_col, text_col)
-    text = rows.select(F.col("document").alias("id"), "text")
-    ranges = repeated_ranges(text, length, k, hot, by_bytes, docs.count())
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, k: int = 32, hot: int = 4096, by_bytes: bool = False, documents: DataFrame | None = None) -> DataFrame:
+    """One row per input row: id, n_bytes, spans removed, and the bytes kept (binary: a cut may split a character).
+
+    ``documents``, if given, are the rows of ``document_ids`` for ``docs``; their number is then in ``document``.
+    """
+    rows = document_ids(docs, id_col, text_col) if documents is None else documents
+    text = rows.select(F.col("document").alias("id"), "own", "text")
+    ranges = repeated_ranges(text.select("id", "text"), length, k, hot, by_bytes, docs.count())
     ranges = ranges.groupBy("id").agg(F.collect_list(F.struct("start", "bytes")).alias("ranges")).hint("shuffle_hash")
     out = text.join(ranges, "id", "left").mapInArrow(_cut, RESULT_DDL)
-    own = F.when(F.col("id") >= FIRST_ID, F.col("id"))
-    if names is not None:
-        out, own = out.join(names, F.col("id") == F.col("document"), "left").drop("document"), F.coalesce("own", own)
-    return out.select(own.alias(id_col), *([F.col("id").alias("document")] if with_document else []), "n_bytes", "spans", "kept")
+    return out.select(F.col("own").alias(id_col), *([] if documents is None else [F.col("id").alias("document")]), "n_bytes", "spans", "kept")
 
 
 __all__ = ["suffix_dedup", "repeated_ranges", "Suffixes", "merge_spans", "anchor_runs", "stream"]

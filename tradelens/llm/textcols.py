@@ -43,28 +43,28 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(id_or_least(id_col), text.isNull(), F.coalesce(text, F.lit("")))
 
 
-#: Documents below this number have no id of their own alone.
-FIRST_ID = -(1 << 62)
+def document_ids(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(document, own, text, ``more``): ``document`` tells different texts apart and is ordered as ids are.
 
-
-def document_ids(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> tuple[DataFrame, DataFrame | None]:
-    """(rows (document, text, ``more``), names): ``document`` tells different texts apart.
-
-    It is the id where one text has it alone. Texts that share an id or have none get numbers below
-    ``FIRST_ID``, from a hash of id and text. ``names`` has (document, own) of texts that share an
-    id; None if there are none.
+    It is the id, ``own``, where every text has one alone. Where texts share an id or lack one, it is
+    a rank by id (none is the least) and two hashes of id and text, so 128 bits tell texts apart;
+    rows with equal id and text are one document.
     """
-    rows = docs.select(id_or_least(id_col).alias("own"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0), *more).alias("more"))
-    given = F.col("own") != F.lit(NULL_ID)
-    texts = rows.where(given).groupBy("own").agg(F.min("row_key").alias("one"), F.max("row_key").alias("other"))
-    shared = settle(narrow(texts.where("one <> other").select(F.col("own").alias("shared")), docs.count(), 100_000))
-    below = F.lit(NULL_ID) + F.shiftrightunsigned("row_key", 2)
-    if shared.isEmpty():
-        return rows.select(F.when(given, F.col("own")).otherwise(below).alias("document"), "text", "more.*").drop("col1"), None
-    # rows without an id are known: they need not meet in one task
-    rows = rows.withColumn("known", F.when(given, F.col("own")).otherwise(F.col("row_key"))).join(shared, (F.col("known") == F.col("shared")) & given, "left")
-    rows = rows.withColumn("document", F.when(given & F.col("shared").isNull(), F.col("own")).otherwise(below))
-    return rows.select("document", "text", "more.*").drop("col1"), rows.where("shared is not null").select("document", "own").distinct()
+    text = F.col(text_col).cast("string")
+    known = [F.col(id_col).cast("long"), text.isNull(), F.coalesce(text, F.lit(""))]
+    keys = {"own": known[0], "k1": F.xxhash64(*known), "k2": F.xxhash64(F.lit("other seed"), *known)}
+    rows = docs.select(*(c.alias(n) for n, c in keys.items()), text.alias("text"), F.struct(F.lit(0), *more).alias("more"))
+    bounds = rows.groupBy("own").agg(*(f(k).alias(f"{k}_{f.__name__}") for k in ("k1", "k2") for f in (F.min, F.max)))
+    if bounds.where("own is null or k1_min <> k1_max or k2_min <> k2_max").isEmpty():
+        return rows.select(F.col("own").alias("document"), "own", "text", "more.*").drop("col1")
+    from .graph import hot_keys, salted, spread_join
+
+    ordered = rows.select(*keys).distinct().repartitionByRange(parts_for(docs), *keys).sortWithinPartitions(*keys)
+    ranks = settle(ordered.select("k1", F.col("k2").alias("rank_k2"), F.col("own").alias("rank_own"), F.monotonically_increasing_id().alias("document")))
+    rows = rows.withColumn("spread", F.monotonically_increasing_id())
+    hot = hot_keys(rows.select("k1"), "k1")
+    rows = spread_join(salted(rows, "k1", "spread", hot), ranks, "k1", hot).where((F.col("k2") == F.col("rank_k2")) & F.col("own").eqNullSafe(F.col("rank_own")))
+    return rows.select("document", "own", "text", "more.*").drop("col1")
 
 
 def crc_remainder(name: str, modulus: int) -> Column:
@@ -145,42 +145,69 @@ def stream(seed: int, n: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U((seed * 0xD1342543DE82EF95) & (2**64 - 1)))
 
 
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+_P = (1 << 61) - 1
+_BASES = (0x9E3779B97F4A7C15 % _P, 0xC2B2AE3D27D4EB4F % _P)
 _POWERS: dict[tuple[int, bool], np.ndarray] = {}
+#: Numbers that are multiplied at a time: what is made in between stays in a processor's cache.
+_CHUNK = 1 << 15
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits modulo 2^61 - 1."""
+    x = (x & _U(_P)) + (x >> _U(61))
+    return np.where(x >= _U(_P), x - _U(_P), x)
+
+
+def multiplied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2^61 - 1 of numbers below it."""
+    out = np.empty(len(a), _U)
+    half, low = _U((1 << 31) - 1), _U((1 << 30) - 1)
+    for at in range(0, len(a), _CHUNK):
+        x, y = a[at : at + _CHUNK], b[at : at + _CHUNK]
+        x1, x0, y1, y0 = x >> _U(31), x & half, y >> _U(31), y & half
+        middle = x0 * y1 + x1 * y0
+        out[at : at + _CHUNK] = _reduced(((x1 * y1) << _U(1)) + (middle >> _U(30)) + ((middle & low) << _U(31)) + x0 * y0)
+    return out
 
 
 def _powers(family: int, n: int, inverse: bool = False) -> np.ndarray:
     have = _POWERS.get((family, inverse))
     if have is None or len(have) < n:
-        base = pow(_BASES[family], -1, 1 << 64) if inverse else _BASES[family]
-        steps = np.full(max(n, SLICE_BYTES + 1), base, _U)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
+        base = pow(_BASES[family], -1, _P) if inverse else _BASES[family]
+        size = max(n, SLICE_BYTES + 1)
+        have, done = np.empty(size, _U), 1
+        have[0] = 1
+        while done < size:
+            more = min(done, size - done)
+            have[done : done + more] = multiplied(have[:more], np.full(more, pow(base, done, _P), _U))
+            done += more
         if n <= SLICE_BYTES + 1:  # those of a longer text are not kept
             _POWERS[family, inverse] = have
     return have[:n]
 
 
 class Prefix:
-    """Prefix polynomial hashes of a byte (or code) array, modulo 2**64.
+    """Prefix polynomial hashes of a byte (or code) array, modulo the prime 2^61 - 1.
 
     ``of(start, stop)`` gives the hash of any substring in constant time, the same for equal
-    substrings wherever they stand. ``family`` picks one of two independent hash functions.
+    substrings wherever they stand. ``family`` picks one of two independent hash functions. (Modulo
+    2^64 there are short pairs of strings whose hashes are equal for every base.)
     """
 
     def __init__(self, codes: np.ndarray, family: int = 0):
         self.family, n = family, len(codes)
         if codes.dtype == np.uint8:
-            values = stream(family + 11, 256)[codes]
+            values = _reduced(stream(family + 11, 256))[codes]
         else:
-            values = mix(codes.astype(_U) + _U(family + 0x5851F42D4C957F2D))
-        values *= _powers(family, n)
-        self.sums = np.empty(n + 1, _U)
-        self.sums[0] = 0
-        np.cumsum(values, out=self.sums[1:])
+            values = _reduced(mix(codes.astype(_U) + _U(family + 0x5851F42D4C957F2D)))
+        values = multiplied(values, _powers(family, n))
+        self.sums = np.zeros(n + 1, _U)
+        low, high = np.cumsum(values & _U(0xFFFFFFFF)), np.cumsum(values >> _U(32))
+        # high * 2^32 modulo 2^61 - 1 is a turn of its bits
+        self.sums[1:] = _reduced(_reduced(((high << _U(32)) & _U(_P)) + (high >> _U(29))) + _reduced(low))
 
     def raw(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (self.sums[stop] - self.sums[start]) * _powers(self.family, len(self.sums), True)[start]
+        return multiplied(_reduced(self.sums[stop] + _U(_P) - self.sums[start]), _powers(self.family, len(self.sums), True)[start])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix(self.raw(start, stop))
@@ -190,7 +217,29 @@ class Prefix:
         n = len(self.sums) - width
         if n <= 0:
             return np.empty(0, _U)
-        return mix((self.sums[width:] - self.sums[:n]) * _powers(self.family, n, True))
+        return mix(multiplied(_reduced(self.sums[width:] + _U(_P) - self.sums[:n]), _powers(self.family, n, True)))
+
+
+_PLACES: dict[int, np.ndarray] = {}
+
+
+def piece_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, family: int = 0) -> np.ndarray:
+    """Hashes of whole pieces that follow each other: sums of a random value for each byte at its place in the piece."""
+    if family not in _PLACES:
+        _PLACES[family] = stream(family + 31, 1 << 16)
+    table, sizes = _PLACES[family], stop - start
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    codes = data if len(place) == len(data) else data[place + np.repeat(start, sizes)]
+    if sizes.max(initial=0) <= 256:
+        values = table[(place << 8) | codes]
+    else:
+        values = table[((place & 255) << 8) | codes]
+        far = np.flatnonzero(place > 255)
+        values[far] = mix(values[far] + place[far].astype(_U) * _U(0x9E3779B97F4A7C15))
+    total = np.zeros(len(values) + 1, _U)
+    np.cumsum(values, out=total[1:])
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
