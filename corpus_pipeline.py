@@ -53,8 +53,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A cut inside a character also drops the rest of that character.
     """
     small_batches(spark)
-    cut = suffix_dedup(docs, length=100, k=32, with_document=True).select("document", "spans", "kept").dropDuplicates(["document"])
-    rows, _ = document_ids(docs, "doc_id", "text", "doc_id", "lang", "source", "n_chars", F.col("text").isNull().alias("none"))
+    rows = document_ids(docs, "doc_id", "text", "doc_id", "lang", "source", "n_chars", F.col("text").isNull().alias("none"))
+    cut = suffix_dedup(docs, length=100, k=32, documents=rows).select("document", "spans", "kept").dropDuplicates(["document"])
     joined = rows.drop("text").dropDuplicates(["document"]).join(cut, "document")
     whole = F.size("spans") == 0
     # bytes that do not form a character become U+FFFD, which no valid text part needs to keep
