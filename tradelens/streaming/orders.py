@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import os
+import datetime
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
-from ..operators.ingest import latest
 from ..sources.landing import parse_orders
+from .tables import KeyedTable
 
 LANDED = "payload STRING, arrived_at TIMESTAMP"
 
@@ -20,17 +23,19 @@ def landed_orders(spark: SparkSession, folder: str) -> DataFrame:
     return parse_orders(raw, "arrived_at").where(F.col("order_id").isNotNull())
 
 
-def sync_orders(orders: DataFrame, table: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Writes each batch under its number below ``table``; a repeated batch replaces itself.
+def sync_orders(orders: DataFrame, table: str, checkpoint: str, every: str | None = None, compact_after: int = 50) -> StreamingQuery:
+    """Puts each batch over the stored orders, under its number; a repeated batch replaces itself.
 
-    Batches hold one row per order, so that a scan that overlaps the last one adds no duplicates
-    once they are read with ``current_orders``. ``every`` is a processing-time trigger such as
-    ``10 minutes``; without it all that is available is processed.
+    Batches hold one row per order, so that a scan that overlaps the last one adds no duplicates.
+    Once there are ``compact_after`` batches they are merged. ``every`` is a processing-time trigger
+    such as ``10 minutes``; without it all that is available is processed.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = latest(batch, ["order_id"], ["arrived_at"])
-        rows.write.mode("overwrite").parquet(os.path.join(table, f"batch={number}"))
+        stored = KeyedTable(batch.sparkSession, table, ["order_id"], ["arrived_at"])
+        stored.append(batch, number)
+        if len(stored.runs()) > compact_after:
+            stored.compact()
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return orders.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
@@ -38,5 +43,51 @@ def sync_orders(orders: DataFrame, table: str, checkpoint: str, every: str | Non
 
 def current_orders(spark: SparkSession, table: str) -> DataFrame:
     """The state of every order: the batch processed last wins, whatever the order's own times say."""
-    rows = spark.read.parquet(table)
-    return latest(rows, ["order_id"], ["batch", "arrived_at"]).drop("batch")
+    return KeyedTable(spark, table, ["order_id"], ["arrived_at"]).read()
+
+
+class LastState(StatefulProcessor):
+    """Keeps the last processed row of an order and gives it on where it says something new; forgets it some time after its arrival."""
+
+    def __init__(self, schema: StructType, forget: datetime.timedelta):
+        self.schema, self.forget = schema, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", self.schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        rows = list(rows)
+        new = max(rows, key=lambda r: r["arrived_at"])
+        values = tuple(new[f] for f in self.schema.fieldNames())
+        told = not self.last.exists() or tuple(self.last.get()) != values
+        self.last.update(values)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        seen = max(int(new["arrived_at"].timestamp() * 1000), timerValues.getCurrentWatermarkInMs())
+        self.handle.registerTimer(seen + int(self.forget.total_seconds() * 1000))
+        if told:
+            yield Row(order_id=key[0], **{f: new[f] for f in self.schema.fieldNames()})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def changed_states(orders: DataFrame, columns: str = "status string", forget: datetime.timedelta = datetime.timedelta(days=90), late: str = "0 seconds") -> DataFrame:
+    """A stream of orders (order_id, ``columns``, arrived_at) as a stream of new states: the last processed row wins.
+
+    The state of an order is dropped ``forget`` after its last arrival (or after the watermark it met), which
+    is as far as replays go back; so what is kept is bounded by the orders of that time. It needs
+    the RocksDB state store.
+    """
+    schema = StructType.fromDDL(columns)
+    rows = orders.withWatermark("arrived_at", late).select("order_id", "arrived_at", *schema.fieldNames())
+    return rows.groupBy("order_id").transformWithState(LastState(schema, forget), f"order_id string, {columns}", "Update", "EventTime")
+
+
+#: What a session needs for ``changed_states``.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
