@@ -52,8 +52,36 @@ def test_margin_sums_components_and_backfill_settles(spark):
 TWO = {"a": "First", "b": "Second"}
 
 
-def test_workbook_round_trip_skips_blank_rows():
-    assert workbook.parse(workbook.build([("1", "<&>"), (None, None), ("2", None)], TWO), TWO) == [(2, "1", "<&>"), (4, "2", None)]
+def parsed(spark, *contents, days=()):
+    files = spark.createDataFrame([(f"f{i}", bytearray(c)) for i, c in enumerate(contents)], "path string, content binary")
+    return sorted(tuple(r) for r in workbook.read_workbooks(files, TWO, days).collect())
+
+
+def test_workbook_round_trip_skips_blank_rows(spark):
+    one_, two = workbook.build([("1", "<&>"), (None, None), ("", None), ("2", None)], TWO), workbook.build([(None, "x")], TWO)
+    assert parsed(spark, one_, two) == [("f0", 2, "1", "<&>"), ("f0", 5, "2", None), ("f1", 2, None, "x")]
+
+
+def test_serial_numbers_are_days_of_the_workbooks_system(spark):
+    rows = [(1, "-"), (59, "-"), (60, "-"), (61.75, "-"), (45000, "-"), ("02/01/2026", "-"), ("soon", "-")]
+    day = datetime.date
+    got = parsed(spark, workbook.build(rows, TWO), workbook.build([(0, "-"), (45000, "-")], TWO, from_1904=True), days=("a",))
+    assert [r[4] for r in got[:7]] == [day(1900, 1, 1), day(1900, 2, 28), None, day(1900, 3, 1), day(2023, 3, 15), day(2026, 1, 2), None]
+    assert [r[4] for r in got[7:]] == [day(1904, 1, 1), day(2027, 3, 16)]
+
+
+def test_the_first_whole_sheet_is_taken(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(workbook.build([("1", "2")], TWO))) as old, zipfile.ZipFile(out, "w") as new:
+        for name in old.namelist():
+            body = old.read(name).decode()
+            if name == "xl/workbook.xml":
+                body = body.replace("<sheets>", '<sheets><sheet name="notes" sheetId="2" r:id="r2"/>')
+            if name.endswith("rels"):
+                body = body.replace("</Relationships>", '<Relationship Id="r2" Target="worksheets/sheet2.xml"/></Relationships>')
+            new.writestr(name, body)
+        new.writestr("xl/worksheets/sheet2.xml", old.read("xl/worksheets/sheet1.xml").decode().replace("Second", "Other"))
+    assert parsed(spark, out.getvalue()) == [("f0", 2, "1", "2")]
 
 
 def changed(**files):
@@ -78,9 +106,9 @@ def changed(**files):
         (changed(edit=lambda s: "<!DOCTYPE x>" + s), "UNSAFE_ARCHIVE"),
     ],
 )
-def test_bad_workbooks_are_named(content, code):
-    with pytest.raises(workbook.WorkbookError, match=code):
-        workbook.parse(content, TWO)
+def test_bad_workbooks_are_named(spark, content, code):
+    with pytest.raises(Exception, match=code):
+        parsed(spark, workbook.build([("1", "2")], TWO), content)
 
 
 @pytest.mark.parametrize(

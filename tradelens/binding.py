@@ -34,8 +34,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     """One row per (order, listing, sellable): quantity, item_gross, product_id; with the columns of the orders ``of`` if given.
 
-    Lines meet their orders before they are added up: where ``of`` is a part of the orders, only
-    its lines are, and both share one shuffle by order.
+    Where ``of`` is a part of the orders, lines meet it before they are added up, so only its lines are.
     """
     product = F.when(F.col("l_returnflag") != "R", F.col("l_partkey") % 50)
     lines, key = read(spark, sf_dir, "lineitem"), F.col("l_orderkey").alias("order_id")
@@ -43,8 +42,8 @@ def items(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> Data
     if of is not None:
         lines, key = lines.join(of, F.col("l_orderkey") == F.col("order_id")), F.col("order_id")
         more = [c for c in of.columns if c != "order_id"]
-    return lines.groupBy(key, F.col("l_partkey").alias("listing_id"), F.col("l_suppkey").alias("sellable_id"), *more).agg(
-        F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.sum(F.col("l_extendedprice").cast("decimal(14,2)")).cast("decimal(38,2)").alias("item_gross"), F.max(product).alias("product_id")
+    return lines.groupBy(key, F.col("l_partkey").alias("listing_id"), F.col("l_suppkey").alias("sellable_id")).agg(
+        *(F.any_value(c).alias(c) for c in more), F.sum(F.col("l_quantity").cast("long")).alias("quantity"), F.sum(F.col("l_extendedprice").cast("decimal(14,2)")).cast("decimal(38,2)").alias("item_gross"), F.max(product).alias("product_id")
     )
 
 
@@ -59,7 +58,9 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sales(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     """Order items with order, account and listing: the fact view of all sales operators; of the orders ``of`` (all)."""
-    rows = items(spark, sf_dir, orders(spark, sf_dir) if of is None else of)
+    rows = items(spark, sf_dir, of)
+    if of is None:  # added up first: the orders are joined to fewer rows
+        rows = rows.join(orders(spark, sf_dir), "order_id")
     return rows.join(listings(spark, sf_dir), "listing_id").withColumn("revenue", F.col("unit_price") * F.col("quantity"))
 
 

@@ -104,10 +104,19 @@ def parse_rate(text) -> Column:
     return F.when(col(text).contains("%"), F.round(number / 100, 10)).otherwise(number).cast("decimal(20,10)")
 
 
+# What is taken out of free text, in this order: e-mail addresses, personal and company tax ids, phone numbers.
+SENSITIVE = [
+    r"[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}",
+    r"\b\d{3}[.\s-]?\d{3}[.\s-]?\d{3}[-\s]?\d{2}\b",
+    r"\b\d{2}[.\s-]?\d{3}[.\s-]?\d{3}[/]?\d{4}[-\s]?\d{2}\b",
+    r"\b(?:\+?55\s*)?(?:\(?\d{2}\)?\s*)?9?\d{4}[-\s]?\d{4}\b",
+]
+
+
 def redact(text) -> Column:
-    """E-mail addresses, tax ids and phone numbers become ``[REDACTED]``."""
+    """E-mail addresses, tax ids and phone numbers (with or without country and area code, groups parted by dots, blanks or dashes) become ``[REDACTED]``."""
     out = col(text)
-    for pattern in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\b\d{2}\.?\d{3}\.?\d{3}/?\d{4}-?\d{2}\b", r"\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b", r"\(?\b\d{2}\)?[ -]?9?\d{4}-?\d{4}\b"):
+    for pattern in SENSITIVE:
         out = F.regexp_replace(out, pattern, "[REDACTED]")
     return out
 

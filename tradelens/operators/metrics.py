@@ -56,6 +56,37 @@ def snapshot(daily: DataFrame) -> DataFrame:
     return wide.select("account_code", "day", *(F.col(c).cast("decimal(30,10)").alias(c) for c in NAMES)).unpivot(["account_code", "day"], NAMES, "name", "value")
 
 
+# The metrics of a stored day.
+DAY_METRICS = ["salesCount", "unitsSold", "grossSales", "marginRate", "fullSalesCount", "fullUnitsSold", "fullGrossSales", "visits", "averageTicket", "conversionRate"]
+
+
+def day_snapshot(orders: DataFrame, items: DataFrame, flags: DataFrame, margins: DataFrame, visits: DataFrame) -> DataFrame:
+    """account_code, day, name, value, status: the ten metrics of every day with orders; one that is not known is null and UNAVAILABLE.
+
+    ``flags``: order_id, is_full; while one of a day's orders has an unknown flag, so are its three
+    fulfilment metrics. ``margins``: order_id, margin; an order without one leaves the day's rate
+    unknown. ``visits``: account_code, day, visits. Void orders are no sales.
+    """
+    day = local_day("sold_at")
+    own = orders.withColumn("day", day).select("order_id", "account_code", "day", "status", "gross_amount")
+    lines = items.groupBy("order_id").agg(F.sum("quantity").alias("units"))
+    rows = own.join(lines, "order_id", "left").join(flags, "order_id", "left").join(margins, "order_id", "left")
+    kept = ~F.col("status").isin(VOID)
+    full, known = F.coalesce("is_full", F.lit(False)) & kept, F.count_if(F.col("is_full").isNull()) == 0
+    total = lambda c, x: F.coalesce(F.sum(F.when(c, F.col(x))), F.lit(0))
+    sums = rows.groupBy("account_code", "day").agg(
+        F.count_if(kept).alias("salesCount"), F.coalesce(F.sum("units"), F.lit(0)).alias("unitsSold"), money(total(kept, "gross_amount")).alias("grossSales"),
+        F.when(F.count("margin") == F.count("*"), F.sum("margin")).cast("decimal(16,4)").alias("_margin"), F.sum("gross_amount").cast("decimal(16,4)").alias("_base"),
+        F.when(known, F.count_if(full)).alias("fullSalesCount"), F.when(known, total(full, "units")).alias("fullUnitsSold"), F.when(known, money(total(full, "gross_amount"))).alias("fullGrossSales"),
+    )
+    sums = sums.join(visits.select("account_code", "day", "visits"), ["account_code", "day"], "left").withColumns({
+        "marginRate": F.round(F.try_divide((F.col("_margin") * 100).cast("decimal(18,4)"), F.col("_base")), 10), "averageTicket": ticket("grossSales", "salesCount"),
+        "conversionRate": F.round(F.try_divide((F.col("salesCount") * 100).cast("decimal(20,0)"), F.col("visits").cast("decimal(14,0)")), 10),
+    })
+    long = sums.select("account_code", "day", *(F.col(c).cast("decimal(30,10)").alias(c) for c in DAY_METRICS)).unpivot(["account_code", "day"], DAY_METRICS, "name", "value")
+    return long.withColumn("status", F.when(F.col("value").isNull(), "UNAVAILABLE").otherwise("AVAILABLE"))
+
+
 def pivoted(long: DataFrame) -> DataFrame:
     """Snapshots with one column for each metric; a snapshot without one of them is an error."""
     wide = long.groupBy("account_code", "day").pivot("name", NAMES).agg(F.first("value"))

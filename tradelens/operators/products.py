@@ -82,11 +82,11 @@ def shared_products(sales: DataFrame) -> DataFrame:
     return sales.where(F.col("product").isNotNull()).groupBy(F.col("product").alias("product_id")).agg(both.alias("codes")).where(F.array_contains("codes", "C1") & F.array_contains("codes", "C2")).select("product_id")
 
 
-def rankings(curve: DataFrame, sales: DataFrame) -> DataFrame:
-    """Ranks over all products, over members of C1 and over members of C2."""
+def rankings(per_product: DataFrame, sales: DataFrame) -> DataFrame:
+    """Ranks by units of the sums of products: over all, over members of C1 and over members of C2."""
     members = sales.where(F.col("product").isNotNull()).select(F.col("product").alias("product_id"), F.col("account_code").alias("scope")).distinct()
-    rows = curve.select("product_id", "sku", F.lit("ALL").alias("scope"), F.col("units").alias("value")).unionByName(
-        curve.join(members, "product_id").select("product_id", "sku", "scope", F.when(F.col("scope") == "C1", F.col("units_c1")).otherwise(F.col("units_c2")).alias("value"))
+    rows = per_product.select("product_id", "sku", F.lit("ALL").alias("scope"), F.col("units").alias("value")).unionByName(
+        per_product.join(members, "product_id").select("product_id", "sku", "scope", F.when(F.col("scope") == "C1", F.col("units_c1")).otherwise(F.col("units_c2")).alias("value"))
     )
     return ranked(rows, F.desc("value"), by_locale("sku"), F.asc("product_id"), within=("scope",), name="position")
 

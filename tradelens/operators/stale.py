@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EFFECTIVE, business_days, money, operational_status
+from .ranking import ranked
 
 
 def history_coverage(orders: DataFrame) -> DataFrame:
@@ -69,6 +70,32 @@ def threshold_counts(evaluated: DataFrame, thresholds: tuple[int, ...] = (30, 60
     return evaluated.groupBy("account_code").agg(F.count("*").alias("listings"), *(F.count(F.when(qualifies(d), 1)).alias(f"no_sale_{d}") for d in thresholds))
 
 
+# Falls between classes in the order in which they are shown.
+FALLS = ["A_TO_C", "A_TO_B", "B_TO_C"]
+
+
+def attention_center(compared: DataFrame, rows: DataFrame) -> DataFrame:
+    """What needs attention, as ordered lists: section, position, account_code, listing_id, transition, revenue_delta, days.
+
+    CURVE_DROP: listings of a compared curve that fell, by kind of fall, then by revenue lost. REVENUE_DROP:
+    listings whose revenue fell, the largest fall first. NO_SALE_90, _60 and _30: listings of
+    ``no_sale`` by days without a sale, longest first. Equal ones go by account and id; a difference
+    that is not known counts as none.
+    """
+    lost = F.coalesce("revenue_delta", F.lit(0)).cast("decimal(38,2)")
+    kind = F.array_position(F.array(*map(F.lit, FALLS)), F.col("transition"))
+    none = F.lit(None)
+    own = [none.cast("string").alias("account_code"), "listing_id", "transition", "revenue_delta", none.cast("long").alias("days")]
+    falls = compared.where("movement = 'DECLINED'").select(F.lit("CURVE_DROP").alias("section"), F.when(kind > 0, kind).otherwise(len(FALLS) + 1).alias("_first"), lost.alias("_second"), *own)
+    drops = compared.where("revenue_movement = 'DECLINED'").select(F.lit("REVENUE_DROP").alias("section"), F.lit(0).alias("_first"), lost.alias("_second"), *own)
+    d = F.col("sort_days")
+    section = F.when(d >= 90, "NO_SALE_90").when(d >= 60, "NO_SALE_60").when(d >= 30, "NO_SALE_30")
+    still = rows.where(d >= 30).select(section.alias("section"), (-d).alias("_first"), F.lit(0).cast("decimal(38,2)").alias("_second"), "account_code", "listing_id", none.cast("string").alias("transition"), none.cast("decimal(38,2)").alias("revenue_delta"), d.cast("long").alias("days"))
+    whole = falls.unionByName(drops).unionByName(still)
+    order = [F.asc(c) for c in ("_first", "_second", "account_code", "listing_id")]
+    return ranked(whole, *order, within=("section",), name="position").drop("_first", "_second")
+
+
 def attention(rows: DataFrame) -> DataFrame:
     """Buckets 30-59, 60-89 and 90+ days."""
     d = F.col("sort_days")

@@ -32,7 +32,18 @@ def agg_margin_components(spark, d):
     return ev.margin(rows, ["account_code", "week"], "FINANCE")
 
 
-@R.add("pl_margin_backfill", f"SELECT account_code, day, CASE WHEN {N} % 10 = 1 THEN 'MISSING_SNAPSHOT' WHEN {N} IN (3, 4, 5) OR {N} % 2 = 0 THEN 'ENRICHED' ELSE 'UNCHANGED' END AS outcome, CASE WHEN {N} % 10 <> 1 THEN CASE WHEN {N} IN (3, 4, 5) THEN 2 ELSE 3 END END AS entries FROM dm")
+# The same entries in SQL; those that count are picked out of the lists.
+_NAMED = "x.component IN ('MARGIN_AMOUNT', 'MARGIN_BASE_AMOUNT')"
+_GOOD = "x.source = 'FINANCE' AND x.status = 'AVAILABLE' AND TRY_CAST(x.value AS DECIMAL(38,10)) IS NOT NULL"
+NOTED = f""", en AS (SELECT *, {N} AS n, {{'component': 'MARGIN_AMOUNT', 'source': 'FINANCE', 'status': 'AVAILABLE', 'value': CAST(sales_count AS VARCHAR)}} AS a, {{'component': 'MARGIN_BASE_AMOUNT', 'source': 'FINANCE', 'status': 'AVAILABLE', 'value': CAST(visits AS VARCHAR)}} AS b,
+  {{'component': 'MARGIN_BASE_AMOUNT', 'source': 'ERP', 'status': 'AVAILABLE', 'value': CAST(visits AS VARCHAR)}} AS c, {{'component': 'OTHER', 'source': 'FINANCE', 'status': 'AVAILABLE', 'value': 'x'}} AS x FROM dm),
+ev AS (SELECT account_code, day, n, visits, sales_count, CASE n WHEN 3 THEN [a] WHEN 4 THEN [a, a, b] WHEN 5 THEN [a, c] ELSE [x, a, b] END AS e FROM en),
+nw AS (SELECT account_code, day, sales_count + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END AS amount, visits AS base FROM ev),
+sn AS (SELECT account_code, day, e, [CAST(x.value AS DECIMAL(38,10)) FOR x IN e IF x.component = 'MARGIN_AMOUNT' AND {_GOOD}] AS va, [CAST(x.value AS DECIMAL(38,10)) FOR x IN e IF x.component = 'MARGIN_BASE_AMOUNT' AND {_GOOD}] AS vb, len([x FOR x IN e IF {_NAMED}]) AS named, len([x FOR x IN e IF NOT {_NAMED}]) AS others FROM ev WHERE n % 10 <> 1),
+bf AS (SELECT account_code, day, CASE WHEN e IS NULL THEN 'MISSING_SNAPSHOT' WHEN va = [CAST(amount AS DECIMAL(38,10))] AND vb = [CAST(base AS DECIMAL(38,10))] AND named = 2 THEN 'UNCHANGED' ELSE 'ENRICHED' END AS outcome, len(e) AS n_entries, others FROM nw LEFT JOIN sn USING (account_code, day))"""
+
+
+@R.add("pl_margin_backfill", f"{NOTED} SELECT account_code, day, outcome, CAST(CASE outcome WHEN 'UNCHANGED' THEN n_entries WHEN 'ENRICHED' THEN others + 2 END AS INTEGER) AS entries FROM bf")
 def pl_margin_backfill(spark, d):
     rows, n = _noted(spark, d), F.dayofmonth("day")
     new = rows.select("account_code", "day", F.when(n % 2 == 0, F.col("sales_count") + 1).otherwise(F.col("sales_count")).alias("amount"), F.col("visits").alias("base"))
@@ -40,16 +51,23 @@ def pl_margin_backfill(spark, d):
     return out.select("account_code", "day", "outcome", F.when(F.col("evidence").isNotNull(), F.size("evidence")).alias("entries"))
 
 
-@R.add("fn_canonical_json", """SELECT account_code, day, '{"a":{"x":' || CAST(visits AS VARCHAR) || ',"y":null},"b":[1,"s"]}' AS text FROM dm""")
+@R.add("fn_canonical_json", """, rw AS (SELECT account_code, day, '{ "b" : [1, "s", ' || CAST(sales_count AS VARCHAR) || '], "a": {"y":' || CASE WHEN day(day) % 2 = 0 THEN 'null' ELSE '{"z": "' || account_code || '"}' END || ', "x": ' || CAST(visits AS VARCHAR) || '}}' AS raw FROM dm)
+SELECT account_code, day, '{"a":{"x":' || CAST(json_extract(raw, '$.a.x') AS VARCHAR) || ',"y":' || CAST(json_extract(raw, '$.a.y') AS VARCHAR) || '},"b":' || CAST(json_extract(raw, '$.b') AS VARCHAR) || '}' AS text FROM rw""")
 def fn_canonical_json(spark, d):
-    raw = F.concat(F.lit('{ "b" : [1, "s"], "a": {"y":null, "x": '), F.col("visits").cast("string"), F.lit("}}"))
+    y = F.when(F.dayofmonth("day") % 2 == 0, "null").otherwise(F.concat(F.lit('{"z": "'), "account_code", F.lit('"}')))
+    raw = F.concat(F.lit('{ "b" : [1, "s", '), F.col("sales_count").cast("string"), F.lit('], "a": {"y":'), y, F.lit(', "x": '), F.col("visits").cast("string"), F.lit("}}"))
     return daily_metrics(spark, d).select("account_code", "day", ev.canonical_json(raw).alias("text"))
 
 
 ALLOWED = {"metric": ["visits", "gross"], "source": ["MARKETPLACE", "ERP"], "status": ["AVAILABLE", "UNAVAILABLE"], "comparison": ["EXACT", "DIFFERENT", "PRIMARY"]}
 
 
-@R.add("fn_evidence_sanitize", f"SELECT account_code, day, 'visits' AS metric, CASE WHEN {N} % 2 = 0 THEN 'ERP' END AS source, CAST(visits AS DOUBLE) AS value, CAST(CASE WHEN {N} % 3 = 0 THEN 1.5 END AS DOUBLE) AS absolute_difference, 1 AS entries FROM dm")
+_RAW = f"""'[7, null, ["x"], {{"metric": "visits", "secret": 1, "source": "' || CASE WHEN {N} % 2 = 0 THEN 'ERP' ELSE '<script>' END || '", "value": ' || CAST(visits AS VARCHAR) || ', "absolute_difference": "' || CASE WHEN {N} % 3 = 0 THEN '1.50' ELSE 'many' END || '"}}]'"""
+
+
+@R.add("fn_evidence_sanitize", f"""{', rw AS (SELECT account_code, day, unnest(json_extract(' + _RAW + ", '$[*]')) AS e FROM dm)"}
+SELECT account_code, day, max(CASE WHEN e->>'$.metric' IN ('visits', 'gross') THEN e->>'$.metric' END) AS metric, max(CASE WHEN e->>'$.source' IN ('MARKETPLACE', 'ERP') THEN e->>'$.source' END) AS source,
+CAST(max(TRY_CAST(e->>'$.value' AS DECIMAL(38,10))) AS DOUBLE) AS value, CAST(max(TRY_CAST(e->>'$.absolute_difference' AS DECIMAL(38,10))) AS DOUBLE) AS absolute_difference, CAST(count(*) AS INTEGER) AS entries FROM rw WHERE json_type(e) = 'OBJECT' GROUP BY 1, 2""")
 def fn_evidence_sanitize(spark, d):
     n = F.dayofmonth("day")
     source, gap = F.when(n % 2 == 0, "ERP").otherwise("<script>"), F.when(n % 3 == 0, "1.50").otherwise("many")
@@ -59,12 +77,17 @@ def fn_evidence_sanitize(spark, d):
     return rows.select("account_code", "day", one["metric"].alias("metric"), one["source"].alias("source"), one["value"].cast("double").alias("value"), one["absolute_difference"].cast("double").alias("absolute_difference"), F.size("e").alias("entries"))
 
 
-@R.add("src_xlsx", "SELECT 'book-' || CAST(order_id // 2000 AS VARCHAR) AS path, CAST(row_number() OVER (PARTITION BY order_id // 2000 ORDER BY order_id) + 1 AS BIGINT) AS row_number, strftime(sold_at, '%d/%m/%Y') AS sold_on, CAST(order_id AS VARCHAR) AS order_reference, CAST(gross_amount AS VARCHAR) AS total_sale FROM o")
+@R.add("src_xlsx", """, b AS (SELECT order_id // 2000 AS book, CAST(row_number() OVER (PARTITION BY order_id // 2000 ORDER BY order_id) + 1 AS BIGINT) AS row_number, CAST(sold_at AS DATE) AS day, order_id, gross_amount FROM o)
+SELECT 'book-' || CAST(book AS VARCHAR) AS path, row_number, CASE WHEN order_id % 3 <> 0 THEN strftime(day, '%d/%m/%Y') ELSE CAST(date_diff('day', CASE WHEN book % 2 = 1 THEN DATE '1904-01-01' ELSE DATE '1899-12-30' END, day) AS VARCHAR) END AS sold_on, day AS sold_on_day, CAST(order_id AS VARCHAR) AS order_reference, CAST(gross_amount AS VARCHAR) AS total_sale FROM b""")
 def src_xlsx(spark, d):
-    blank = F.lit(None).cast("string")
-    cells = {"sold_on": F.date_format("sold_at", "dd/MM/yyyy"), "order_reference": F.col("order_id"), "total_sale": F.col("gross_amount")}
-    rows = orders(spark, d).select(F.concat(F.lit("book-"), F.floor(F.col("order_id") / 2000).cast("string")).alias("path"), "order_id", *(cells.get(c, blank).alias(c) for c in workbook.HEADERS))
-    return workbook.read_workbooks(workbook.write_workbooks(rows, "path", "order_id")).select("path", "row_number", "sold_on", "order_reference", "total_sale")
+    """A third of the days are serial numbers, in every second workbook those of the 1904 system."""
+    blank, k, day = F.lit(None).cast("string"), F.col("order_id"), F.to_date("sold_at")
+    late = F.floor(k / 2000) % 2 == 1
+    values = {"sold_on": F.date_format("sold_at", "dd/MM/yyyy"), "order_reference": k, "total_sale": F.col("gross_amount")}
+    serial = F.when(k % 3 == 0, F.date_diff(day, F.when(late, F.lit("1904-01-01")).otherwise("1899-12-30").cast("date")))
+    rows = orders(spark, d).select(F.concat(F.lit("book-"), F.floor(k / 2000).cast("string")).alias("path"), "order_id", *(values.get(c, blank).alias(c) for c in workbook.HEADERS), serial.alias("sold_on_number"), late.alias("from_1904"))
+    read_ = workbook.read_workbooks(workbook.write_workbooks(rows, "path", "order_id", from_1904="from_1904"))
+    return read_.select("path", "row_number", "sold_on", "sold_on_day", "order_reference", "total_sale")
 
 
 ERP_DAY = "DATE '2001-07-10'"
@@ -104,10 +127,17 @@ def _plan(spark, d):
     return candidates, links, identities, state, items_now, stored
 
 
-PLAN = """, ln AS (SELECT listing_id // 10 AS c, listing_id AS k FROM li), cd AS (SELECT DISTINCT c FROM ln),
-tg AS (SELECT c, CASE c % 5 WHEN 0 THEN 'REUSE' WHEN 1 THEN 'REUSE' WHEN 2 THEN 'CONFLICT' ELSE 'CREATE' END AS outcome FROM cd),
-lo AS (SELECT c, k, CASE WHEN k % 7 = 0 THEN 'CONFLICT' WHEN k % 3 <> 0 THEN 'CREATE' WHEN c % 5 <= 1 THEN 'ALREADY_CORRECT' ELSE 'CONFLICT' END AS outcome FROM ln),
-io AS (SELECT c, k, CASE WHEN k % 10 <> 5 THEN 'CREATE' WHEN c % 5 <= 1 THEN 'ALREADY_CORRECT' ELSE 'CONFLICT' END AS outcome FROM ln)"""
+# The same plan and state in SQL; outcomes follow from joins.
+PLAN = """, ln AS (SELECT listing_id // 10 AS c, listing_id AS k, 'K' || CAST(listing_id AS VARCHAR) AS seller_sku FROM li), cd AS (SELECT DISTINCT c, 'P' || CAST(c AS VARCHAR) AS sku, 'name ' || CAST(c AS VARCHAR) AS name, CASE WHEN c % 5 = 0 THEN c + 1000 END AS reuse_id FROM ln),
+st AS (SELECT c + 1000 AS product_id, sku, CASE WHEN c % 5 = 2 THEN 'other' ELSE name END AS name FROM cd WHERE c % 5 <= 2),
+it AS (SELECT k AS item_id, CASE WHEN k % 7 = 0 THEN 'changed' ELSE seller_sku END AS seller_sku, CASE WHEN k % 3 = 0 THEN c + 1000 END AS product_id FROM ln),
+idn AS (SELECT c, 'C1|M|' || CAST(k AS VARCHAR) AS ikey FROM ln), sd AS (SELECT ikey, count(*) AS n, max(c + 1000) AS owner FROM idn WHERE ikey LIKE '%5' GROUP BY 1),
+tg AS (SELECT cd.c, bs.product_id AS sku_id, CASE WHEN reuse_id IS NOT NULL THEN CASE WHEN bi.sku = cd.sku AND bs.product_id = reuse_id THEN 'REUSE' ELSE 'CONFLICT' END WHEN bs.product_id IS NULL THEN 'CREATE' WHEN bs.name = cd.name THEN 'REUSE' ELSE 'CONFLICT' END AS outcome
+  FROM cd LEFT JOIN st bs ON bs.sku = cd.sku LEFT JOIN st bi ON bi.product_id = cd.reuse_id),
+tt AS (SELECT c, CASE WHEN outcome = 'REUSE' THEN sku_id END AS target FROM tg),
+lo AS (SELECT ln.c, k, CASE WHEN it.item_id IS NULL OR it.seller_sku <> ln.seller_sku THEN 'CONFLICT' WHEN it.product_id IS NULL THEN 'CREATE' WHEN it.product_id = target THEN 'ALREADY_CORRECT' ELSE 'CONFLICT' END AS outcome FROM ln JOIN tt USING (c) LEFT JOIN it ON item_id = k),
+io AS (SELECT c, CASE WHEN n IS NULL THEN 'CREATE' WHEN n = 1 AND owner = target THEN 'ALREADY_CORRECT' ELSE 'CONFLICT' END AS outcome FROM idn JOIN tt USING (c) LEFT JOIN sd USING (ikey)),
+pn AS (SELECT sku, product_id FROM st UNION ALL SELECT sku, c + 1000 FROM cd JOIN tg USING (c) WHERE outcome = 'CREATE')"""
 
 
 @R.add("pl_materialize_validate", f"{PLAN} SELECT 'DECLARED_COUNT' AS rule, 'links' AS subject UNION ALL SELECT 'REPEATED_ITEM', CAST(k AS VARCHAR) FROM ln WHERE k % 100 = 0 UNION ALL SELECT 'NO_LINKS', '-1' UNION ALL SELECT 'DECLARED_COUNT', 'candidates'")
@@ -217,7 +247,8 @@ def pl_materialize_analyze(spark, d):
     return mat.outcomes(found, mat.link_outcomes(found, links, items_now), mat.identity_outcomes(found, identities, stored))
 
 
-@R.add("pl_materialize_apply", f"{PLAN}, bl AS (SELECT DISTINCT c FROM lo WHERE outcome = 'CONFLICT') SELECT k AS item_id, CASE WHEN k % 3 = 0 OR c NOT IN (SELECT c FROM bl) THEN c + 1000 END AS product_id FROM ln")
+@R.add("pl_materialize_apply", f"""{PLAN}, bl AS (SELECT DISTINCT c FROM lo WHERE outcome = 'CONFLICT'), nl AS (SELECT k, pn.product_id AS new_id FROM lo JOIN cd USING (c) JOIN pn USING (sku) WHERE lo.outcome = 'CREATE' AND lo.c NOT IN (SELECT c FROM bl))
+SELECT item_id, coalesce(product_id, new_id) AS product_id FROM it LEFT JOIN nl ON k = item_id""")
 def pl_materialize_apply(spark, d):
     candidates, links, _, state, items_now, _ = _plan(spark, d)
     found = mat.targets(candidates, state)

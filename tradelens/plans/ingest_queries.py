@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..binding import items, orders
@@ -9,7 +11,7 @@ from ..functions import scalars as s
 from ..operators import ingest as ing
 from ..operators.finance import canonical_decimal
 from ..sources import landing
-from .base import Queries
+from .base import Queries, local
 
 R = Queries()
 CUT = "TIMESTAMP '2001-01-01'"
@@ -183,9 +185,21 @@ def fn_parse_sale_date(spark, d):
     return _keys(spark, d).select("order_id", s.parse_sale_day(text).alias("day"))
 
 
-@R.add("fn_redact", "SELECT order_id, 'call [REDACTED] or [REDACTED] for ' || CAST(order_id AS VARCHAR) AS note FROM o")
+# Notes with contacts made of the order's number: forms by turns, and numbers that are none.
+CONTACTS = ["mail k{a}.x+y@shop-{a}.example.com", "cpf {a}.456.789-09", "cpf {a} 456 789 09", "cpf {a}-456-789-09", "cnpj 12.{a}.678/0001-95", "cnpj 12 {a} 678000195", "fone +55 11 9{b}-5678", "fone (11) {b}-5678", "fone 9{b} 5678", "nota {a}-{b}-1", "valor {a},{b} {a}"]
+_NOTE = "CASE " + " ".join(f"WHEN order_id % {len(CONTACTS)} = {i} THEN '" + t.replace("{a}", "' || CAST(100 + order_id % 900 AS VARCHAR) || '").replace("{b}", "' || CAST(1000 + order_id % 9000 AS VARCHAR) || '") + "'" for i, t in enumerate(CONTACTS)) + " END"
+_REDACTED = _NOTE
+for _p in s.SENSITIVE:
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_p}', '[REDACTED]', 'g')"
+
+
+@R.add("fn_redact", f"SELECT order_id, {_REDACTED} AS note FROM o")
 def fn_redact(spark, d):
-    note = F.concat(F.lit("call someone@example.com or 123.456.789-09 for "), "k")
+    k = F.col("order_id")
+    number = {"a": (100 + k % 900).cast("string"), "b": (1000 + k % 9000).cast("string")}
+    note = F.lit(None).cast("string")
+    for i, text in enumerate(CONTACTS):
+        note = F.when(k % len(CONTACTS) == i, F.concat(*(number[x] if x in number else F.lit(x) for x in re.split(r"[{}]", text)))).otherwise(note)
     return _keys(spark, d).select("order_id", s.redact(note).alias("note"))
 
 
@@ -200,11 +214,12 @@ def prj_account_ordinal(spark, d):
     return orders(spark, d).select("order_id", F.regexp_extract(name, r"(\d+)\s*$", 1).try_cast("int").alias("ordinal"))
 
 
-@R.add("fn_resolve_period", "SELECT days, CAST(DATE '2001-08-01' + 1 - days AS DATE) AS first_day, DATE '2001-08-02' AS end_day FROM (SELECT unnest([30, 60, 90]) AS days)")
+@R.add("fn_resolve_period", f"SELECT account_code, days, CAST(day + 1 - days AS DATE) AS first_day, CAST(day + 1 AS DATE) AS end_day FROM (SELECT account_code, max(CAST({local('sold_at')} AS DATE)) AS day FROM o GROUP BY 1), (SELECT unnest([30, 60, 90]) AS days)")
 def fn_resolve_period(spark, d):
-    day = F.to_date(F.lit("2001-08-01"))
-    rows = spark.createDataFrame([(30,), (60,), (90,)], "days int")
-    return rows.select("days", F.date_sub(F.date_add(day, 1), F.col("days")).alias("first_day"), F.date_add(day, 1).alias("end_day"))
+    """The periods that end with each account's last day with an order."""
+    last = orders(spark, d).groupBy("account_code").agg(F.max(s.local_day("sold_at")).alias("day"))
+    rows = last.select("account_code", "day", F.explode(F.array(*(F.lit(n) for n in (30, 60, 90)))).alias("days"))
+    return rows.select("account_code", "days", F.date_sub(F.date_add("day", 1), F.col("days")).alias("first_day"), F.date_add("day", 1).alias("end_day"))
 
 
 @R.add("fn_money", "SELECT order_id, CAST(CAST((CAST(gross_amount * 100 AS HUGEINT) + 4) // 8 AS DECIMAL(30,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(38,2)) AS amount FROM o")
@@ -260,10 +275,14 @@ def fn_decimal10(spark, d):
     return _keys(spark, d).withColumn("v", value).select("order_id", canonical_decimal("v").alias("text"))
 
 
-@R.add("fn_title_primary", "SELECT p_partkey AS listing_id, CASE p_partkey % 3 WHEN 0 THEN 'A (+1 componentes)' WHEN 1 THEN 'A' END AS title FROM part")
+@R.add("fn_title_primary", """, nm AS (SELECT p_partkey AS k, unnest(CASE p_partkey % 3 WHEN 0 THEN [' ' || p_brand, p_type || ' ', p_brand, ' '] WHEN 1 THEN [p_brand, p_brand || ' '] ELSE ['', NULL] END) AS name, unnest([1, 2, 3, 4]) AS place FROM part), tn AS (SELECT k, trim(name) AS name, place FROM nm WHERE trim(name) <> '')
+SELECT p_partkey AS listing_id, arg_min(name, place) || CASE WHEN count(DISTINCT name) > 1 THEN ' (+' || CAST(count(DISTINCT name) - 1 AS VARCHAR) || ' componentes)' ELSE '' END AS title FROM part LEFT JOIN tn ON k = p_partkey GROUP BY 1""")
 def fn_title_primary(spark, d):
-    k = F.col("p_partkey")
-    names = F.when(k % 3 == 0, F.array(F.lit(" A"), F.lit("B "), F.lit("A"), F.lit(" "))).when(k % 3 == 1, F.array(F.lit("A"), F.lit("A "))).otherwise(F.array(F.lit("")))
+    k, blank = F.col("p_partkey"), F.lit(" ")
+    names = (
+        F.when(k % 3 == 0, F.array(F.concat(blank, "p_brand"), F.concat("p_type", blank), F.col("p_brand"), blank))
+        .when(k % 3 == 1, F.array(F.col("p_brand"), F.concat("p_brand", blank))).otherwise(F.array(F.lit(""), F.lit(None).cast("string")))
+    )
     return spark.read.parquet(f"{d}/part.parquet").select(k.alias("listing_id"), s.primary_title(names).alias("title"))
 
 

@@ -11,6 +11,7 @@ from ..operators import stale
 from ..operators.abc import in_window
 from ..operators.ranking import by_locale, ranked
 from .base import Queries, local, local_days
+from .sales_queries import _CMP, _compared
 
 R = Queries()
 DONE = ", ".join(repr(x) for x in EFFECTIVE)
@@ -127,8 +128,19 @@ def top_attention_5(spark, d):
     return rm_no_sale(spark, d).select("account_code", "listing_id", "sort_days").orderBy(F.desc("sort_days"), "account_code", "listing_id").limit(5)
 
 
-@R.add("pl_attention_center", f"{NOSALE} SELECT account_code, CASE WHEN sort_days >= 90 THEN '90+' WHEN sort_days >= 60 THEN '60-89' ELSE '30-59' END AS bucket, count(*) AS listings FROM ns GROUP BY 1, 2")
+_LISTS = f"""{_CMP}, {NOSALE.lstrip(', ')}, att AS (
+  SELECT 'CURVE_DROP' AS section, CASE transition WHEN 'A_TO_C' THEN 1 WHEN 'A_TO_B' THEN 2 WHEN 'B_TO_C' THEN 3 ELSE 4 END AS f, coalesce(revenue_delta, 0) AS g, NULL AS account_code, listing_id, transition, revenue_delta, NULL AS days FROM cmp WHERE movement = 'DECLINED'
+  UNION ALL SELECT 'REVENUE_DROP', 0, revenue_delta, NULL, listing_id, transition, revenue_delta, NULL FROM cmp WHERE revenue_delta < 0
+  UNION ALL SELECT CASE WHEN sort_days >= 90 THEN 'NO_SALE_90' WHEN sort_days >= 60 THEN 'NO_SALE_60' ELSE 'NO_SALE_30' END, -sort_days, 0, account_code, listing_id, NULL, NULL, sort_days FROM ns)"""
+
+
+@R.add("pl_attention_center", f"{_LISTS} SELECT section, account_code, listing_id, transition, revenue_delta, days, row_number() OVER (PARTITION BY section ORDER BY f, g, account_code, listing_id) AS position FROM att")
 def pl_attention_center(spark, d):
+    return stale.attention_center(_compared(spark, d), stale.no_sale(_evaluated(spark, d), listings(spark, d)))
+
+
+@R.add("agg_attention_buckets", f"{NOSALE} SELECT account_code, CASE WHEN sort_days >= 90 THEN '90+' WHEN sort_days >= 60 THEN '60-89' ELSE '30-59' END AS bucket, count(*) AS listings FROM ns GROUP BY 1, 2")
+def agg_attention_buckets(spark, d):
     return stale.attention(stale.no_sale(_evaluated(spark, d), listings(spark, d)))
 
 

@@ -82,8 +82,8 @@ LONG = f""", dt AS (SELECT *, {TICKET} AS ticket FROM dm), lg AS (SELECT account
   UNION ALL SELECT account_code, day, 'gross', CAST(gross AS DECIMAL(30,10)) FROM dt UNION ALL SELECT account_code, day, 'ticket', CAST(ticket AS DECIMAL(30,10)) FROM dt)"""
 
 
-@R.add("pl_persist", f"{LONG} SELECT * FROM lg")
-def pl_persist(spark, d):
+@R.add("pl_persist_basic", f"{LONG} SELECT * FROM lg")
+def pl_persist_basic(spark, d):
     return m.snapshot(daily_metrics(spark, d))
 
 

@@ -18,7 +18,7 @@ from ..streaming.orders import current_orders, landed_orders, sync_orders
 from .base import Queries, local
 from .ingest_queries import _catalog, _payloads
 from .matching_queries import DIGEST, ERP_LABELS, FLAGS, VIEW, _views
-from .metric_queries import LONG
+from .metric_queries import LONG, SUMMARY, VOID
 
 R = Queries()
 OPS_DAY = "2001-07-10"
@@ -38,12 +38,36 @@ def rm_ops_reconciliation(spark, d):
     base, _, ships, _ = _views(spark, d)
     day = F.to_date(F.lit(OPS_DAY))
     own = base.where((F.col("sold_at") >= local_midnight(day)) & (F.col("sold_at") < local_midnight(F.date_add(day, 1))))
-    lines = items(spark, d).withColumn("order_id", F.col("order_id").cast("string"))
+    lines = items(spark, d, own.select(F.col("k").alias("order_id"))).withColumn("order_id", F.col("order_id").cast("string"))
     visits = daily_metrics(spark, d).where("day = DATE '2024-01-10' AND account_code = 'C1'").select("account_code", "visits")
     noted = spark.createDataFrame([("C1", "gross", "1250.5"), ("C1", "sales_count", "12"), ("C2", "ticket", "88.25")], "account_code string, metric string, value string").withColumn("value", F.col("value").cast("decimal(14,2)"))
     return m.operations_report(own, lines, mt.shipment_flags(base, ships), visits, noted)
 
 
+# Values of a day as it is stored: events are moved to the last days of the orders; margins need every order's cost.
+DAY_METRICS = f"""{VIEW}{FLAGS}{SUMMARY}, fo AS (SELECT m.k, m.account_code, CAST({local('m.sold_at')} AS DATE) AS day, fl.is_full, m.gross_amount, o.status FROM m JOIN fl USING (order_id) JOIN o ON o.order_id = m.k),
+fd AS (SELECT fo.account_code, fo.day, count(*) FILTER (is_full IS NULL) = 0 AS known, count(*) FILTER (is_full AND NOT {VOID}) AS n, coalesce(sum(gross_amount) FILTER (is_full AND NOT {VOID}), 0) AS gross, coalesce(sum(units) FILTER (is_full AND NOT {VOID}), 0) AS units,
+  CASE WHEN count(*) FILTER (k % 97 = 0) = 0 THEN sum(k % 100) END AS margin, sum(gross_amount) AS base FROM fo LEFT JOIN (SELECT order_id, sum(quantity) AS units FROM i GROUP BY 1) u ON u.order_id = fo.k GROUP BY 1, 2),
+vd AS (SELECT account_code, day - 8217 AS day, visits FROM dm),
+dd AS (SELECT oa.account_code, oa.day, kept_orders, coalesce(ia.units, 0) AS units, kept_gross, fd.*  EXCLUDE (account_code, day, units), fd.units AS full_units, visits FROM oa LEFT JOIN ia USING (account_code, day) JOIN fd USING (account_code, day) LEFT JOIN vd USING (account_code, day)),
+dv AS (SELECT account_code, day, unnest(['salesCount', 'unitsSold', 'grossSales', 'marginRate', 'fullSalesCount', 'fullUnitsSold', 'fullGrossSales', 'visits', 'averageTicket', 'conversionRate']) AS name,
+  unnest([CAST(kept_orders AS DECIMAL(30,10)), CAST(units AS DECIMAL(30,10)), CAST(kept_gross AS DECIMAL(30,10)),
+    CASE WHEN base > 0 THEN CAST(CAST((2 * CAST(margin AS HUGEINT) * 100000000000000 + CAST(base * 100 AS HUGEINT)) // (2 * CAST(base * 100 AS HUGEINT)) AS DECIMAL(28,0)) * CAST(0.0000000001 AS DECIMAL(10,10)) AS DECIMAL(30,10)) END,
+    CAST(CASE WHEN known THEN n END AS DECIMAL(30,10)), CAST(CASE WHEN known THEN full_units END AS DECIMAL(30,10)), CAST(CASE WHEN known THEN gross END AS DECIMAL(30,10)), CAST(visits AS DECIMAL(30,10)),
+    CASE WHEN kept_orders > 0 THEN CAST(CAST((2 * CAST(kept_gross * 100 AS HUGEINT) + kept_orders) // (2 * kept_orders) AS DECIMAL(28,0)) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(30,10)) END,
+    CASE WHEN visits > 0 THEN CAST(CAST((2 * CAST(kept_orders AS HUGEINT) * 1000000000000 + visits) // (2 * visits) AS DECIMAL(28,0)) * CAST(0.0000000001 AS DECIMAL(10,10)) AS DECIMAL(30,10)) END]) AS value FROM dd)"""
+
+
+@R.add("pl_persist", f"{DAY_METRICS} SELECT *, CASE WHEN value IS NULL THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS status FROM dv")
+def pl_persist(spark, d):
+    """Visits are known for the last days only; a failed shipment lookup leaves fulfilment unknown, an order without cost the margin."""
+    base, _, ships, _ = _views(spark, d)
+    lines = items(spark, d).withColumn("order_id", F.col("order_id").cast("string"))
+    visits = daily_metrics(spark, d).select("account_code", F.date_sub("day", 8217).alias("day"), "visits")
+    costs = base.select("order_id", F.when(F.col("k") % 97 != 0, F.col("k") % 100).cast("decimal(14,2)").alias("margin"))
+    return m.day_snapshot(base, lines, mt.shipment_flags(base, ships), costs, visits)
+
+
 FACTS = f"""{LONG}, pm AS (SELECT account_code, name AS metric, sum(value) FILTER (day >= DATE '2024-01-15') AS now, sum(value) FILTER (day < DATE '2024-01-15') AS before FROM lg WHERE day BETWEEN DATE '2024-01-05' AND DATE '2024-01-24' GROUP BY 1, 2),
 ch AS (SELECT *, CASE WHEN before <> 0 THEN sign(now - before) * round(abs((now - before) * 100 / before), 6) END AS change FROM (SELECT account_code, metric, CAST(now AS DOUBLE) AS now, CAST(before AS DOUBLE) AS before FROM pm)),
 hi AS (SELECT metric, max(now) AS high, min(now) AS low, arg_max(account_code, now) AS account_code FROM ch WHERE metric IN ('gross', 'ticket', 'visits') GROUP BY 1 HAVING count(now) = count(*) AND count(*) > 1)"""

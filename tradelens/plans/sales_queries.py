@@ -197,9 +197,9 @@ def flt_ilike_search(spark, d):
     return listings(spark, d).where(F.col("title").ilike("%1%") | F.col("listing_id").cast("string").ilike("%77%")).select("listing_id", "title")
 
 
-@query("flt_text_contains", f"{_CMP} SELECT cmp.listing_id, movement FROM cmp JOIN li USING (listing_id) WHERE contains(lower(coalesce(title, '')), '2') AND movement IN ('IMPROVED', 'DECLINED', 'NEW')")
+@query("flt_text_contains", f"{_CMP} SELECT cmp.listing_id, movement FROM cmp JOIN li USING (listing_id) WHERE contains(lower(coalesce(title, '')), 'g') AND movement IN ('IMPROVED', 'DECLINED', 'NEW')")
 def flt_text_contains(spark, d):
-    return _compared(spark, d).where(F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lit("2")) & F.col("movement").isin("IMPROVED", "DECLINED", "NEW")).select("listing_id", "movement")
+    return _compared(spark, d).where(F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lit("g")) & F.col("movement").isin("IMPROVED", "DECLINED", "NEW")).select("listing_id", "movement")
 
 
 @query("join_item_order_account", "SELECT account_code, status, count(*) AS items, CAST(sum(quantity) AS BIGINT) AS units, CAST(sum(revenue) AS DECIMAL(38,2)) AS revenue FROM s GROUP BY 1, 2")
@@ -329,7 +329,7 @@ _RANK = f"{_PS}, mem AS (SELECT DISTINCT product_id, account_code AS scope FROM
 
 @query("rm_pi_rankings", f"{_RANK} SELECT *, row_number() OVER (PARTITION BY scope ORDER BY value DESC, sku COLLATE pt, product_id) AS position FROM r")
 def rm_pi_rankings(spark, d):
-    return prod.rankings(prod.product_curve(_ps(spark, d)), prod.resolved(sales(spark, d)))
+    return prod.rankings(_ps(spark, d), prod.resolved(sales(spark, d)))
 
 
 @query("win_rank_per_account", f"{_RANK} SELECT product_id, scope, row_number() OVER (PARTITION BY scope ORDER BY value DESC, sku COLLATE pt, product_id) AS position FROM r WHERE scope <> 'ALL'")

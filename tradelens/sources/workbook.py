@@ -1,6 +1,6 @@
-"""Financial workbooks (XLSX) as rows of text cells, checked before anything is unpacked.
+"""Financial workbooks (XLSX) as cells, and their report rows by DataFrame steps; archives are checked before anything is unpacked.
 
-A workbook is bounded (25 MB, 100 MB unpacked), so one is read whole in a task; many are read in parallel.
+A workbook is bounded (25 MB, 100 MB unpacked), so one is unpacked whole in a task; many are in parallel.
 """
 
 from __future__ import annotations
@@ -11,9 +11,12 @@ import zipfile
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import col, parse_sale_day
+from ..shared import settle
+
 # Limits of an archive, and the columns of a financial report with their headers.
 MAX_BYTES, MAX_UNPACKED, MAX_ENTRIES = 25 * 1024 * 1024, 100 * 1024 * 1024, 500
 HEADERS = {
@@ -60,89 +63,134 @@ def _column(reference: str) -> int:
     return n
 
 
-def _sheets(archive: zipfile.ZipFile):
-    """Rows of each sheet in workbook order: {row: {column: (text, is it a formula)}}."""
+def _cells(archive: zipfile.ZipFile):
+    """(sheet, row, column, text, kind, formula, from 1904) of all cells, sheet by sheet; ``kind`` is the cell's type, ``n`` for a number."""
     shared = []
     if "xl/sharedStrings.xml" in archive.namelist():
         shared = ["".join(t.text or "" for t in s.iterfind(".//m:t", NS)) for s in _xml(archive, "xl/sharedStrings.xml").iterfind("m:si", NS)]
     files = {r.get("Id"): r.get("Target").removeprefix("/xl/") for r in _xml(archive, "xl/_rels/workbook.xml.rels")}
-    for sheet in _xml(archive, "xl/workbook.xml").iterfind("m:sheets/m:sheet", NS):
-        rows = {}
+    book = _xml(archive, "xl/workbook.xml")
+    settings = book.find("m:workbookPr", NS)
+    from_1904 = settings is not None and settings.get("date1904") in ("1", "true")
+    for number, sheet in enumerate(book.iterfind("m:sheets/m:sheet", NS), 1):
         for row in _xml(archive, "xl/" + files[sheet.get(f"{{{NS['r']}}}id")]).iterfind("m:sheetData/m:row", NS):
-            cells = rows.setdefault(int(row.get("r")), {})
             for c in row.iterfind("m:c", NS):
-                value = c.findtext("m:v", None, NS)
-                if c.get("t") == "inlineStr":
+                value, kind = c.findtext("m:v", None, NS), c.get("t", "n")
+                if kind == "inlineStr":
                     value = "".join(t.text or "" for t in c.iterfind(".//m:t", NS))
-                elif c.get("t") == "s" and value is not None:
+                elif kind == "s" and value is not None:
                     value = shared[int(value)]
-                cells[_column(c.get("r"))] = (value, c.find("m:f", NS) is not None)
-        yield rows
-
-
-def parse(content: bytes, headers: dict[str, str] = HEADERS) -> list[tuple]:
-    """Row number and one text per header, of the first sheet that has all headers in row 1; blank rows are left out."""
-    least = list(headers.values())
-    for rows in _sheets(open_archive(content)):
-        named: dict[str, int] = {}
-        for column, (value, _) in sorted(rows.get(1, {}).items()):
-            text = (value or "").strip()
-            if text in named and text in headers.values():
-                raise WorkbookError(f"DUPLICATE_HEADERS: {text}")
-            named.setdefault(text, column)
-        missing = [h for h in headers.values() if h not in named]
-        if missing:
-            least = min(least, missing, key=len)
-            continue
-        out = []
-        for number in sorted(n for n in rows if n > 1):
-            cells = [rows[number].get(named[h], (None, False)) for h in headers.values()]
-            if any(formula for _, formula in cells):
-                raise WorkbookError(f"FORMULA_NOT_ALLOWED: row {number}")
-            if any(value for value, _ in cells):
-                out.append((number, *(value for value, _ in cells)))
-        if not out:
-            raise WorkbookError("EMPTY_REPORT")
-        return out
-    raise WorkbookError(f"MISSING_HEADERS: {', '.join(least)}")
-
-
-def build(rows: list[tuple], headers: dict[str, str] = HEADERS) -> bytes:
-    """A workbook with one sheet of text cells."""
-    line = lambda n, values: f'<row r="{n}">' + "".join(f'<c r="{chr(65 + i)}{n}" t="inlineStr"><is><t>{escape(v)}</t></is></c>' for i, v in enumerate(values) if v is not None) + "</row>"
-    body = "".join(line(n, values) for n, values in enumerate([tuple(headers.values()), *rows], 1))
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{NS["m"]}" xmlns:r="{NS["r"]}"><sheets><sheet name="report" sheetId="1" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{NS["m"]}"><sheetData>{body}</sheetData></worksheet>')
-    return out.getvalue()
+                yield number, int(row.get("r")), _column(c.get("r")), value, kind, c.find("m:f", NS) is not None, from_1904
+
 
+CELLS_DDL = "path string, sheet int, row_number long, column int, text string, kind string, formula boolean, from_1904 boolean"
 
-def read_workbooks(files: DataFrame, headers: dict[str, str] = HEADERS) -> DataFrame:
-    """path, row_number and the text of each column; ``files`` has path and content, as ``binaryFile`` gives them.
 
-    Any broken file fails the job with its code.
+def cells(files: DataFrame) -> DataFrame:
+    """One row per cell; ``files`` has path and content, as ``binaryFile`` gives them. A broken file fails the job with its code.
+
+    A file without a cell gives one row of nulls, so that it is not lost.
     """
     import pandas as pd
 
-    names = ["path", "row_number", *headers]
-
     def read(batches):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                yield pd.DataFrame([(path, *row) for row in parse(content, headers)], columns=names)
+                found = [(path, *x) for x in _cells(open_archive(content))] or [(path, None, None, None, None, None, None, None)]
+                for at in range(0, len(found), 50_000):
+                    yield pd.DataFrame(found[at : at + 50_000], columns=[x.split()[0] for x in CELLS_DDL.split(", ")]).astype({"sheet": "Int32", "row_number": "Int64", "column": "Int32", "formula": "boolean", "from_1904": "boolean"})
+
+    return files.select("path", "content").mapInPandas(read, CELLS_DDL)
+
+
+def serial_day(text, from_1904) -> Column:
+    """The day of a serial number of days (its part of a day does not count). The 1900 system has a 29 February 1900, number 60, which is no day; null for it, for numbers below 1 there, and for other text."""
+    whole = F.floor(col(text).try_cast("double")).try_cast("int")
+    old = F.when(whole >= 61, F.date_add(F.lit("1899-12-30").cast("date"), whole)).when((whole >= 1) & (whole <= 59), F.date_add(F.lit("1899-12-31").cast("date"), whole))
+    return F.when(col(from_1904), F.when(whole >= 0, F.date_add(F.lit("1904-01-01").cast("date"), whole))).otherwise(old)
+
+
+def _stop(code: str, *parts: Column) -> Column:
+    return F.raise_error(F.concat(F.lit(code), *parts))
 
-    schema = "path string, row_number long, " + ", ".join(f"{c} string" for c in headers)
-    return files.select("path", "content").mapInPandas(read, schema)
 
+def report_rows(found: DataFrame, headers: dict[str, str] = HEADERS, days: tuple[str, ...] = ("sold_on",)) -> DataFrame:
+    """path, row_number, the text of each column, and ``<column>_day`` of ``days``, of the first sheet that has all headers in row 1.
 
-def write_workbooks(rows: DataFrame, path: str, order: str, headers: dict[str, str] = HEADERS) -> DataFrame:
-    """path and content of one workbook for each value of ``path``; the caller keeps a workbook within its limits."""
+    Blank rows are left out. A numeric cell of a day column is a serial number in the workbook's date
+    system, text is dd/mm/yyyy. Two equal headers, a file without all of them (the fewest missing
+    are named), a formula in a row's cells, and a file without rows are errors.
+    """
+    names = F.create_map(*(F.lit(x) for k, h in headers.items() for x in (h, k)))
+    name = names[F.trim("text")]
+    heads = found.where((F.col("row_number") == 1) & name.isNotNull()).select("path", "sheet", "column", name.alias("name"))
+    sheets = heads.groupBy("path", "sheet").agg(F.collect_set("name").alias("names"), F.count("*").alias("n"))  # as many as there are headers
+    lacking = F.transform(F.array_except(F.array(*map(F.lit, headers)), "names"), lambda k: F.create_map(*(F.lit(x) for kv in headers.items() for x in kv))[k])
+    whole = F.when(F.size("lacking") == 0, F.col("sheet"))
+    per_file = sheets.withColumn("lacking", lacking).groupBy("path").agg(
+        F.min(whole).alias("chosen"), F.min_by("lacking", F.struct(F.size("lacking"), "sheet")).alias("lacking"), F.min(F.when(F.col("n") > F.size("names"), F.col("sheet"))).alias("twice"),
+    )
+    cut = ", "
+    files = found.select("path").distinct().join(per_file, "path", "left")
+    chosen = (
+        F.when(F.col("twice") <= F.coalesce("chosen", "twice"), _stop("DUPLICATE_HEADERS: ", F.col("path")).cast("int"))
+        .when(F.col("chosen").isNull(), _stop("MISSING_HEADERS: ", F.array_join(F.coalesce("lacking", F.array(*map(F.lit, headers.values()))), cut), F.lit(" in "), F.col("path")).cast("int"))
+        .otherwise(F.col("chosen"))
+    )
+    files = files.select("path", chosen.alias("sheet"))
+    columns = heads.join(files, ["path", "sheet"])
+    body = found.where(F.col("row_number") > 1).join(columns, ["path", "sheet", "column"])
+    day = F.when(F.col("kind") == "n", serial_day("text", "from_1904")).otherwise(parse_sale_day("text"))
+    of = lambda k, value: F.max(F.when(F.col("name") == k, value))
+    rows = body.groupBy("path", "row_number").agg(F.bool_or("formula").alias("formula"), *(of(k, F.col("text")).alias(k) for k in headers), *(of(k, day).alias(f"{k}_day") for k in days))
+    filled = rows.where(F.col("formula") | (F.concat_ws("", *headers) != ""))
+    out = files.join(filled, "path", "left")
+    number = (
+        F.when(F.col("row_number").isNull(), _stop("EMPTY_REPORT: ", F.col("path")).cast("long"))
+        .when(F.col("formula"), _stop("FORMULA_NOT_ALLOWED: row ", F.col("row_number").cast("string"), F.lit(" of "), F.col("path")).cast("long"))
+        .otherwise(F.col("row_number"))
+    )
+    return out.select("path", number.alias("row_number"), *headers, *(f"{k}_day" for k in days))
+
+
+def build(rows: list[tuple], headers: dict[str, str] = HEADERS, from_1904: bool = False) -> bytes:
+    """A workbook with one sheet of cells, text or number."""
+
+    def cell(place: str, v) -> str:
+        return f'<c r="{place}"><v>{v:g}</v></c>' if isinstance(v, (int, float)) else f'<c r="{place}" t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+
+    line = lambda n, values: f'<row r="{n}">' + "".join(cell(f"{chr(65 + i)}{n}", v) for i, v in enumerate(values) if v is not None) + "</row>"
+    body = "".join(line(n, values) for n, values in enumerate([tuple(headers.values()), *rows], 1))
+    settings = '<workbookPr date1904="1"/>' if from_1904 else ""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{NS["m"]}" xmlns:r="{NS["r"]}">{settings}<sheets><sheet name="report" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{NS["m"]}"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def read_workbooks(files: DataFrame, headers: dict[str, str] = HEADERS, days: tuple[str, ...] = ("sold_on",)) -> DataFrame:
+    """The report rows of all files: the cells are unpacked once, what they mean is worked out in DataFrame steps."""
+    return report_rows(settle(cells(files)), headers, days)
+
+
+def write_workbooks(rows: DataFrame, path: str, order: str, headers: dict[str, str] = HEADERS, from_1904: str | None = None) -> DataFrame:
+    """path and content of one workbook for each value of ``path``; the caller keeps a workbook within its limits.
+
+    Text columns become text cells, others numbers. ``from_1904`` names a boolean column, equal in a
+    workbook, for its date system. A column ``<name>_number`` is written for ``name`` where it is not null.
+    """
     import pandas as pd
 
+    numbers = [c for c in headers if f"{c}_number" in rows.columns]
+
     def write(one):
         one = one.sort_values(order).astype(object).where(lambda x: x.notna(), None)
-        return pd.DataFrame({"path": [one[path].iloc[0]], "content": [build(list(one[list(headers)].itertuples(index=False, name=None)), headers)]})
+        for c in numbers:
+            one[c] = [t if n is None else float(n) for t, n in zip(one[c], one[f"{c}_number"])]
+        old = bool(one[from_1904].iloc[0]) if from_1904 else False
+        return pd.DataFrame({"path": [one[path].iloc[0]], "content": [build(list(one[list(headers)].itertuples(index=False, name=None)), headers, old)]})
 
-    return rows.select(path, order, *(F.col(c).cast("string").alias(c) for c in headers)).groupBy(path).applyInPandas(write, "path string, content binary")
+    more = [*(f"{c}_number" for c in numbers), *([from_1904] if from_1904 else [])]
+    return rows.select(path, order, *(F.col(c).cast("string").alias(c) for c in headers), *more).groupBy(path).applyInPandas(write, "path string, content binary")
