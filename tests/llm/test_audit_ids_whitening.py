@@ -247,3 +247,20 @@ def test_audit_equals_its_sql(spark, small):
     want = con.sql(oracle_sql()["op11_filter_audit"])
     got = queries()["op11_filter_audit"](spark, small).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+@pytest.mark.parametrize("most", [3, 40, 100_000])
+def test_a_small_memory_of_pieces_changes_no_ids(most):
+    from tokenizers import Tokenizer
+
+    from tradelens.llm.pretokens import Tokens
+    from tradelens.llm.simple8b import LibraryTokens
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    for coder in (Tokens(tokenizer_path()), LibraryTokens(tokenizer_path())):
+        coder.most = most
+        for turn in range(6):
+            texts = [f"the same words come again, and word{turn * 7 + i} once \n\n" * (1 + i % 2) for i in range(7)]
+            raw = [t.encode() for t in texts]
+            ids, at = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])))
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]

@@ -76,7 +76,7 @@ def _byte_alphabet() -> dict[str, int]:
 class Tokens:
     """Ids of byte-level BPE pieces, from the JSON file of the ``tokenizers`` library."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -118,6 +118,19 @@ class Tokens:
         self._known: dict[bytes, int] = {}
         self._ids, self._used = np.empty(0, np.uint32), 0
         self._at, self._size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self._again = np.empty(0, bool)
+
+    def _trim(self) -> None:
+        """Keep the pieces that were met again since they came; all go where that leaves too many."""
+        keep = np.flatnonzero(self._again)
+        if len(keep) > self.most // 2:
+            return self._clear()
+        names, size = list(self._known), self._size[keep]
+        ends = np.cumsum(size)
+        self._ids = self._ids[np.repeat(self._at[keep] - (ends - size), size) + np.arange(int(size.sum()))]
+        self._known = {names[i]: j for j, i in enumerate(keep.tolist())}
+        self._at, self._size, self._used = ends - size, size, len(self._ids)
+        self._again = np.zeros(len(keep), bool)
 
     def _add(self, pieces: list[bytes]) -> None:
         """Encode new pieces."""
@@ -127,6 +140,7 @@ class Tokens:
         self._at = np.concatenate([self._at, self._used + at])
         self._size = np.concatenate([self._size, sizes])
         self._ids = np.concatenate([self._ids, ids])
+        self._again = np.concatenate([self._again, np.zeros(n, bool)])
         self._used = len(self._ids)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,15 +162,18 @@ class Tokens:
             inside = np.searchsorted(cut, begin, "left") - 1
             begin = begin[(inside < 0) | (begin >= uncut[np.maximum(inside, 0)])]
         stop = np.append(begin[1:], len(data))
-        keys, one, inverse = np.unique(piece_hashes(data, begin, stop), return_index=True, return_inverse=True)
-        other = piece_hashes(data, begin, stop, 1)
+        key, other = piece_hashes(data, begin, stop)
+        keys, one, inverse = np.unique(key, return_index=True, return_inverse=True)
         if (other != other[one][inverse]).any():  # two pieces of one hash
             keys, one, inverse = np.unique([raw[a:b] for a, b in zip(begin, stop, strict=True)], return_index=True, return_inverse=True)
-        if len(self._known) + len(keys) > self.most:
-            self._clear()
         own = [raw[a:b] for a, b in zip(begin[one].tolist(), stop[one].tolist(), strict=True)]
         where = np.fromiter(map(self._known.get, own, repeat(-1)), np.int64, len(own))
         new = np.flatnonzero(where < 0)
+        self._again[where[where >= 0]] = True
+        if len(self._known) + len(new) > self.most:
+            self._trim()
+            where = np.fromiter(map(self._known.get, own, repeat(-1)), np.int64, len(own))
+            new = np.flatnonzero(where < 0)
         if len(new):
             first = len(self._known)
             self._add([own[j] for j in new.tolist()])

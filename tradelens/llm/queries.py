@@ -101,7 +101,7 @@ def op12_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All token ids written to files and read back."""
     path = f"{checkpoint_folder(spark)}/ids-{uuid.uuid4()}"
     write_ids(table(spark, sf_dir, "documents"), tokenizer_path(), path)
-    return read_ids(spark, path).drop("ids")
+    return read_ids(spark, path, with_ids=False)
 
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,12 +61,10 @@ def _choices(ids: np.ndarray) -> np.ndarray:
         if bits < 32:
             np.cumsum(ids > 0 if not bits else ids >= (1 << bits) - 1, axis=1, out=escapes[:, 1:])
         needed = escapes[:, count : count + width] - escapes[:, :width]
-        price = ((64 + 32 * np.arange(count + 1)) / count).astype(np.float32)
-        if not bits:
-            price[1:] = np.inf
-        if price[needed.min()] > usual:
+        least, each = np.float32(64 / count), np.float32(32 / count if bits else np.inf)
+        if needed.min() and least + needed.min() * each > usual:
             continue
-        own = price.take(needed)
+        own = needed.astype(np.float32) * each + least if bits else np.where(needed, each, least)
         better = own <= cost
         np.copyto(cost, own, where=better)
         np.copyto(best, np.uint8(selector), where=better)
@@ -228,7 +226,7 @@ def _segments(path: str, end: int, size: int):
             row = [shard, ahead, waiting, names[0], names[-1], list(names), payload]
             return pa.record_batch([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
-        for rows, data, offsets in slices(batches):
+        for rows, data, offsets in slices(batches, limit=2 << 20):
             ids, at = coder.encode(data, offsets)
             for name, a, b in zip(rows.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 own = np.append(ids[a:b], np.uint32(end))
@@ -257,22 +255,26 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id"
     files.write.option("compression", "none").parquet(path)
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _documents(with_ids: bool):
     """Segments as documents."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            ids, sizes = from_payload(batch.column("payload")[i].as_py())
-            stops = np.cumsum(sizes)
-            raw = ids.astype("<u4")
-            own = [raw[b - n : b].tobytes() for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)]
-            names = batch.column("doc_ids")[i].values.cast(pa.int64())
-            shard = pa.array(np.full(len(sizes), batch.column("shard")[i].as_py(), np.int32))
-            ahead = pa.array(stops - sizes + batch.column("ahead")[i].as_py())
-            yield pa.record_batch([names, shard, ahead, pa.array(sizes), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())], ["doc_id", "shard", "ahead", "n_tokens", "ids_crc32", "ids"])
-    release()
-
-
-def read_ids(spark, path: str, id_col: str = "doc_id") -> DataFrame:
+    names = ["doc_id", "shard", "ahead", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, sizes = from_payload(batch.column("payload")[i].as_py())
+                stops = np.cumsum(sizes)
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                own = [raw[4 * (b - n) : 4 * b] for b, n in zip(stops.tolist(), sizes.tolist(), strict=True)]
+                shard = pa.array(np.full(len(sizes), batch.column("shard")[i].as_py(), np.int32))
+                columns = [batch.column("doc_ids")[i].values, shard, pa.array(stops - sizes + batch.column("ahead")[i].as_py()), pa.array(sizes), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                yield pa.record_batch(columns + ([pa.array([bytes(x) for x in own], pa.binary())] if with_ids else []), names)
+        release()
+
+    return work
+
+
+def read_ids(spark, path: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) from the files: ``ids`` are little-endian unsigned 32-bit, ``start`` counts those of all documents before.
 
     The totals of files, of which there are as many as tasks that wrote them, are added up first.
@@ -284,6 +286,7 @@ def read_ids(spark, path: str, id_col: str = "doc_id") -> DataFrame:
         starts.append((row["shard"], at))
         at += row["n"]
     before = spark.createDataFrame(starts, "shard int, before long")
-    rows = files.select("shard", "ahead", "doc_ids", "payload").mapInArrow(_documents, "doc_id long, shard int, ahead long, n_tokens long, ids_crc32 long, ids binary")
+    more = ["ids"] if with_ids else []
+    rows = files.select("shard", "ahead", "doc_ids", "payload").mapInArrow(_documents(with_ids), "doc_id long, shard int, ahead long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     out = rows.join(F.broadcast(before), "shard")  # one row a file
-    return out.select(F.col("doc_id").alias(id_col), (F.col("before") + F.col("ahead")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return out.select(F.col("doc_id").alias(id_col), (F.col("before") + F.col("ahead")).alias("start"), "n_tokens", "ids_crc32", *more)

@@ -91,9 +91,21 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def narrow(df: DataFrame, rows: int, each: int = 10_000) -> DataFrame:
-    """``df`` of about ``rows`` rows in no more tasks than hold ``each`` of them: a small table is not written as a crowd of small files."""
-    return df.coalesce(max(1, -(-rows // each)))
+def narrow(df: DataFrame, rows: int, each: int = 10_000, of: DataFrame | None = None, bytes_: int = 32 << 20) -> DataFrame:
+    """``df`` of about ``rows`` rows in no more tasks than hold ``each`` of them: a small table is not written as a crowd of small files.
+
+    What ``df`` is made of in the same stage is narrowed too. Where that reads texts, ``of`` names
+    them: there is at least a task for every ``bytes_`` of what Spark takes their size to be.
+    """
+    tasks = -(-rows // each)
+    if of is not None:
+        tasks = max(tasks, int(str(of._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // bytes_)
+    return df.coalesce(max(1, min(tasks, 1 << 30)))
+
+
+def gathered(df: DataFrame, rows: int, each: int = 10_000) -> DataFrame:
+    """``df`` worked out in all its tasks, its about ``rows`` small rows then dealt to no more than hold ``each`` of them."""
+    return df.repartition(max(1, -(-rows // each)))
 
 
 def release() -> None:
@@ -220,26 +232,68 @@ class Prefix:
         return mix(multiplied(_reduced(self.sums[width:] + _U(_P) - self.sums[:n]), _powers(self.family, n, True)))
 
 
-_PLACES: dict[int, np.ndarray] = {}
+_ODD = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+_ODD_POWERS: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def piece_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, family: int = 0) -> np.ndarray:
-    """Hashes of whole pieces that follow each other: sums of a random value for each byte at its place in the piece."""
-    if family not in _PLACES:
-        _PLACES[family] = stream(family + 31, 1 << 16)
-    table, sizes = _PLACES[family], stop - start
-    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    codes = data if len(place) == len(data) else data[place + np.repeat(start, sizes)]
-    if sizes.max(initial=0) <= 256:
-        values = table[(place << 8) | codes]
-    else:
-        values = table[((place & 255) << 8) | codes]
-        far = np.flatnonzero(place > 255)
-        values[far] = mix(values[far] + place[far].astype(_U) * _U(0x9E3779B97F4A7C15))
-    total = np.zeros(len(values) + 1, _U)
-    np.cumsum(values, out=total[1:])
+def _odd_powers(family: int, n: int, inverse: bool = False) -> np.ndarray:
+    have = _ODD_POWERS.get((family, inverse))
+    if have is None or len(have) < n:
+        steps = np.full(max(n, SLICE_BYTES + 1), pow(_ODD[family], -1, 1 << 64) if inverse else _ODD[family], _U)
+        steps[0] = 1
+        have = np.multiply.accumulate(steps)
+        if n <= SLICE_BYTES + 1:  # those of a longer text are not kept
+            _ODD_POWERS[family, inverse] = have
+    return have[:n]
+
+
+class WindowPrefix(Prefix):
+    """The same modulo 2^64, several times faster: for short substrings of bytes whose equality is verified afterwards.
+
+    Strings of a thousand letters or more exist that no base tells apart here; shorter ones collide by chance only.
+    """
+
+    def __init__(self, codes: np.ndarray, family: int = 0):
+        self.family = family
+        values = stream(family + 11, 256)[codes]
+        values *= _odd_powers(family, len(codes))
+        self.sums = np.zeros(len(codes) + 1, _U)
+        np.cumsum(values, out=self.sums[1:])
+
+    def raw(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return (self.sums[stop] - self.sums[start]) * _odd_powers(self.family, len(self.sums), True)[start]
+
+    def every(self, width: int) -> np.ndarray:
+        n = len(self.sums) - width
+        if n <= 0:
+            return np.empty(0, _U)
+        return mix((self.sums[width:] - self.sums[:n]) * _odd_powers(self.family, n, True))
+
+
+_PLACES: list[np.ndarray] = []
+
+
+def piece_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of whole pieces that follow each other: sums of a random value for each byte at its place in the piece."""
+    if not _PLACES:
+        _PLACES.extend(stream(seed, 1 << 16) for seed in (31, 32))
+    sizes = stop - start
     ends = np.cumsum(sizes)
-    return total[ends] - total[ends - sizes]
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 22 else np.int64
+    place = np.arange(total, dtype=kind) - np.repeat((ends - sizes).astype(kind), sizes)
+    codes = data if total == len(data) else data[place + np.repeat(start, sizes)]
+    far = np.flatnonzero(place > 255) if sizes.max(initial=0) > 256 else None
+    at = ((place & 255) << 8) | codes
+    out = []
+    for table in _PLACES:
+        values = table[at]
+        if far is not None:
+            values[far] = mix(values[far] + place[far].astype(_U) * _U(0x9E3779B97F4A7C15))
+        sums = np.zeros(total + 1, _U)
+        np.cumsum(values, out=sums[1:])
+        out.append(sums[ends] - sums[ends - sizes])
+    return out[0], out[1]
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
