@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import hot_keys
-from .textcols import Prefix, document_ids, i64, mix, narrow, parts_for, slices, stream, utf8, written
+from .textcols import WindowPrefix, document_ids, i64, mix, narrow, parts_for, slices, stream, utf8, written
 
 _U = np.uint64
 _BLOCK = 1 << 23
@@ -61,7 +61,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     """Runs of windows with one anchor: (document, first window, windows, anchor's distance, anchor hash)."""
     if len(data) < length:
         return None
-    grams = Prefix(data, 0).every(k)
+    grams = WindowPrefix(data).every(k)
     order = (grams & ~_POSITION) | np.arange(len(grams), dtype=_U)
     anchor = (_least(order, length - k + 1) & _POSITION).astype(np.int64)
     n = len(anchor)
@@ -290,7 +290,7 @@ class Suffixes:
     """Suffixes of a byte array, compared over their first ``length`` bytes by prefix hashes."""
 
     def __init__(self, data: np.ndarray, length: int):
-        self.data, self.length, self.hashes = data, length, Prefix(data, 0)
+        self.data, self.length, self.hashes = data, length, WindowPrefix(data)
 
     def equal(self, x, y, n) -> np.ndarray:
         return self.hashes.raw(x, x + n) == self.hashes.raw(y, y + n)
