@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .line_rules import _again
-from .textcols import NULL_ID, Prefix, id_or_least, narrow, null_if_least, row_key, slices, sums_by, words, written
+from .textcols import NULL_ID, Prefix, gathered, id_or_least, null_if_least, row_key, slices, sums_by, words, written
 from .toxicity import logistic
 
 FEATURES = ["log_words", "word_length", "symbols", "capitals", "digits", "marks", "shouts", "distinct_words", "repeated_windows", "repeated_lines", "words_a_line", "sentence_ends", "white", "non_ascii"]
@@ -272,7 +272,7 @@ def cotrain(
     at = F.when(F.col("id") == F.lit(NULL_ID), F.col("row_key")).otherwise(F.col("id"))
     described = described.join(known, (at == F.col("label_id")) & (F.col("id") == F.col("label_id")), "left")
     quality = F.when(F.col("training"), F.col("quality")).cast("double").alias("quality")
-    described = written(narrow(described.select("id", "row_key", "source", "lang", "length", "content", quality), docs.count()))
+    described = written(gathered(described.select("id", "row_key", "source", "lang", "length", "content", quality), docs.count()))
     n_known = known.count()
     taken = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, most_labelled / max(n_known, 1)))
     sample = described.where(F.col("quality").isNotNull() & taken).select("id", "row_key", "source", "lang", "length", "content", "quality", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)).alias("part"))

@@ -324,7 +324,7 @@ def lsh_forest(
     agree = percent / 100 - 0.25 if agree is None else agree
     tasks = max(1, docs.count() // 2_000)
     text = docs.select(row_key(id_col, text_col).alias("id"), id_or_least(id_col).alias("own"), F.col(text_col).cast("string").alias("text"))
-    described = small(text.mapInArrow(_describe(width, size), _DOCS_DDL), 5_000, tasks=tasks)
+    described = small(text.mapInArrow(_describe(width, size), _DOCS_DDL).repartition(tasks), 5_000)
     full = described.where("n_shingles > 0")
     # one class for equal sets: its smallest key stands for it, its row of smallest id may be kept, and its signature is any member's
     lead = F.min(F.struct("own", "id")).alias("lead")
