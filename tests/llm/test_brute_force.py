@@ -418,6 +418,34 @@ def test_windows_keep_their_target_proportions(spark):
     assert total > 20_000
 
 
+def test_shards_keep_their_target_proportions_while_sources_last(spark):
+    from tradelens.llm.packing import pack
+
+    rng = random.Random(8)
+    names = ["a"] * 50 + ["b"] * 28 + ["c"] * 20 + ["d"] + [None]
+    made = [(i, " ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.randrange(20, 200))), rng.choice(names)) for i in range(3000)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(4)
+    targets = {"a": 0.4, "b": 0.3, "c": 0.25, None: 0.05, "nowhere": 0.5}
+    targets.pop("nowhere")
+    rows = pack(docs, q.tokenizer_path(), targets=targets, shard_tokens=10_000).collect()
+    pieces = defaultdict(int)
+    for r in rows:
+        pieces[r.doc_id] += r.length
+    assert len(pieces) == len(made) and all(pieces[r.doc_id] == r.doc_tokens for r in rows)
+    shards = sorted({r.sequence_id >> 32 for r in rows})
+    assert len(shards) > 20
+    first = [r for r in rows if r.sequence_id >> 32 < len(shards) * 0.18]  # the source without a name lasts for about a fifth
+    total, by = sum(r.length for r in first), Counter()
+    for r in first:
+        by[r.source] += r.length
+    for name, share in targets.items():
+        assert abs(by[name] / total - share) < 0.05, (name, by, total)
+    assert by["d"] == 0 and {r.source for r in rows if r.sequence_id >> 32 == shards[-1]} >= {"d"}
+    half = [r for r in rows if r.sequence_id >> 32 < len(shards) // 2]
+    total, part = sum(r.length for r in half), sum(r.length for r in half if r.source == "c")
+    assert abs(part / total - 0.26) < 0.04  # 0.25 of what the lasting sources share
+
+
 def test_deficits_carry_from_shard_to_shard(spark):
     from tradelens.llm.packing import carried
 

@@ -5,10 +5,11 @@ to shards of about ``shard_tokens`` tokens; every shard is packed on its own by
 round-robin. A source has one queue in each shard where it occurs. At each window every queue
 that still has tokens earns its target share of the window; queues are served in turn when they
 have earned at least ``least_piece`` tokens, and what they earned but did not use (or used ahead)
-stays with them for the next windows. Between shards deficits carry on too. All tokens are packed
-in the end, so over all shards a source gets its part of all tokens whatever its target; what it
-lacks of that part after the shards before, by their token counts, is its deficit at the start of
-a shard. Documents are cut wherever a window ends. What is left in a shard below one window goes
+stays with them for the next windows. Between shards deficits carry on too: what a source lacks of
+its share after the shards before, by their token counts, is its deficit at the start of a shard.
+With targets, documents are dealt to shards so that each has the target proportions as long as
+every source lasts: all tokens are packed in the end, so the last shards hold what is over. Without
+targets a source's share is its part of all tokens. Documents are cut wherever a window ends. What is left in a shard below one window goes
 into sequences whose lengths are powers of two, so no sequence needs padding.
 
 Null texts are empty: they are one end token. A null source is a source of its own. Repeated
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pretokens import tokens
-from .textcols import id_or_least, narrow, null_if_least, parts_for, slices, written
+from .textcols import id_or_least, narrow, null_if_least, parts_for, settle, slices, written
 
 _OUT = pa.schema([
     ("id", pa.int64()), ("source", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
@@ -140,30 +141,62 @@ def _pack(window: int, least_piece: int, width: str):
     return work
 
 
-def carried(counts: DataFrame, block: int = 1024) -> DataFrame:
-    """(shard, source, tokens, share, deficit) from (shard, source, tokens): the part of all tokens, and what is lacking of it after the shards before.
+def sums_before(rows: DataFrame, value: str, at: str, block: int, *keys: str) -> DataFrame:
+    """``rows`` (keys, ``at``, value) with ``<value>_before``, the sum of ``value`` over smaller places, added up in blocks of places."""
+    rows = rows.withColumn("block", F.floor(F.col(at) / block))
+    sums = rows.groupBy(*keys, "block").agg(F.sum(value).alias("sum"))
+    ahead = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*(F.col(k).alias("at_" + k) for k in keys), F.col("block").alias("at_block"), F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("start"))
+    same = F.col("block") == F.col("at_block")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("at_" + k))
+    own = Window.partitionBy(*keys, "block").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum(value).over(own), F.lit(0))).join(starts, same)
+    return rows.withColumn(value + "_before", F.col("start") + F.col("inside")).drop("block", "at_block", "start", "inside", *("at_" + k for k in keys))
 
-    A source's shards are added up in blocks, so no task holds all shards of one source.
+
+def dealt_to_targets(coded: DataFrame, wanted: DataFrame, shards: int, buckets: int = 16) -> DataFrame:
+    """``coded`` with a ``shard`` under which every shard has the proportions of ``wanted`` (target_source, target) as long as all sources last.
+
+    A source's documents are dealt to ``shards * buckets`` cells, whose sizes are added up, so no task
+    holds a source. The cells of a source follow each other at its target's pace: a cell comes when
+    the tokens ahead of it, over the target, have passed in every source. Sources without a target come last.
+    """
+    cells = shards * buckets
+    coded = coded.withColumn("cell", F.pmod(F.xxhash64("id", "salt"), F.lit(cells)))
+    sizes = settle(coded.groupBy("source", "cell").agg(F.sum("tokens").alias("size")))
+    sums = sizes.groupBy("source").agg(F.sum("size").alias("all"))
+    sums = sums.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("target_source")), "left").select("source", F.coalesce("target", F.lit(0.0)).alias("target"), "all")
+    paces = [(float(r.target), float(r["all"])) for r in sums.where("target > 0").select("target", "all").collect()]  # as long as the caller's list
+    known = sum(n for _, n in paces)
+    at = sums_before(sizes, "size", "cell", 1024, "source").withColumn("ahead", F.col("size_before") + F.col("size") / 2)
+    rest = sums.where("target = 0").agg(F.coalesce(F.sum("all"), F.lit(0)).alias("rest"))
+    at = at.join(sums.select(F.col("source").alias("of"), "target", "all"), F.col("source").eqNullSafe(F.col("of"))).crossJoin(F.broadcast(rest))  # one row
+    time = F.try_divide("ahead", "target")
+    passed = F.lit(0.0)
+    for pace, all_ in paces:
+        passed = passed + F.least(time * pace, F.lit(all_))
+    passed = F.when(F.col("target") > 0, passed).otherwise(known + F.col("ahead") / F.col("all") * F.col("rest"))
+    total = known + F.col("rest")
+    places = at.select(F.col("source").alias("of"), F.col("cell").alias("of_cell"), F.least(F.lit(shards - 1), F.floor(passed * shards / total)).cast("long").alias("shard"))
+    return coded.join(places, F.col("source").eqNullSafe(F.col("of")) & (F.col("cell") == F.col("of_cell"))).drop("cell", "of", "of_cell")
+
+
+def carried(counts: DataFrame, wanted: DataFrame | None = None, block: int = 1024) -> DataFrame:
+    """(shard, source, tokens, share, deficit) from (shard, source, tokens): the share, and what is lacking of it after the shards before.
+
+    The share is the target of ``wanted`` (target_source, target), which add up to 1, else the part of
+    all tokens. A source's shards are added up in blocks, so no task holds all shards of one source.
     """
-    total = counts.agg(F.sum("tokens").alias("total"))
-    share = counts.groupBy("source").agg(F.sum("tokens").alias("own")).crossJoin(F.broadcast(total)).select(F.col("source").alias("of"), (F.col("own") / F.col("total")).alias("share"))  # one row of totals
+    if wanted is not None:
+        share = wanted.select(F.col("target_source").alias("of"), F.col("target").alias("share"))
+    else:
+        total = counts.agg(F.sum("tokens").alias("total"))
+        share = counts.groupBy("source").agg(F.sum("tokens").alias("own")).crossJoin(F.broadcast(total)).select(F.col("source").alias("of"), (F.col("own") / F.col("total")).alias("share"))  # one row of totals
     per_shard = counts.groupBy("shard").agg(F.sum("tokens").alias("shard_tokens"))
 
-    def before(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-        """``rows`` (keys, shard, value) with the sum of ``value`` over smaller shards."""
-        rows = rows.withColumn("block", F.floor(F.col("shard") / block))
-        sums = rows.groupBy(*keys, "block").agg(F.sum(value).alias("sum"))
-        ahead = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        starts = sums.select(*(F.col(k).alias("at_" + k) for k in keys), F.col("block").alias("at_block"), F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("start"))
-        same = F.col("block") == F.col("at_block")
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col("at_" + k))
-        own = Window.partitionBy(*keys, "block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("inside", F.coalesce(F.sum(value).over(own), F.lit(0))).join(starts, same)
-        return rows.withColumn(value + "_before", F.col("start") + F.col("inside")).drop("block", "at_block", "start", "inside", *("at_" + k for k in keys))
-
-    rows = before(counts, "tokens", "source").join(before(per_shard, "shard_tokens").drop("shard_tokens"), "shard")
-    rows = rows.join(share, F.col("source").eqNullSafe(F.col("of")))
+    rows = sums_before(counts, "tokens", "shard", block, "source").join(sums_before(per_shard, "shard_tokens", "shard", block).drop("shard_tokens"), "shard")
+    rows = rows.join(share, F.col("source").eqNullSafe(F.col("of")), "inner" if wanted is None else "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
     return rows.select("shard", "source", "tokens", "share", (F.col("share") * F.col("shard_tokens_before") - F.col("tokens_before")).alias("deficit"))
 
 
@@ -183,17 +216,18 @@ def pack(
     coded = written(rows.mapInArrow(_encode(tokenizer, end), "id long, source string, salt long, tokens long, ids binary"))
     total, n_rows = coded.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     shards = max(1, round(total / shard_tokens))
-    # repeated rows and rows without an id spread over the shards too
-    coded = coded.withColumn("shard", F.pmod(F.xxhash64("id", "salt"), F.lit(shards)))
-    control = carried(coded.groupBy("shard", "source").agg(F.sum("tokens").alias("tokens")))
-    share = F.col("share")
+    wanted = None
     if targets:
-        wanted = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], "target_source string, target double")
-        control = control.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("target_source")), "left")  # as long as the caller's list
-        share = F.coalesce("target", F.lit(0.0)) / F.lit(float(sum(targets.values())))
-    control = control.select("shard", F.lit(True).alias("control"), "source", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("ids"), share.alias("share"), "deficit", F.lit(0).cast("long").alias("salt"))
+        whole = float(sum(targets.values()))
+        wanted = docs.sparkSession.createDataFrame([(k, float(v) / whole) for k, v in targets.items()], "target_source string, target double")
+        coded = settle(dealt_to_targets(coded, wanted, shards))
+    else:  # repeated rows and rows without an id spread over the shards too
+        coded = coded.withColumn("shard", F.pmod(F.xxhash64("id", "salt"), F.lit(shards)))
+    control = carried(coded.groupBy("shard", "source").agg(F.sum("tokens").alias("tokens")), wanted)
+    control = control.select("shard", F.lit(True).alias("control"), "source", F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("ids"), "share", "deficit", F.lit(0).cast("long").alias("salt"))
     body = coded.select("shard", F.lit(False).alias("control"), "source", "id", "ids", F.lit(0.0).alias("share"), F.lit(0.0).alias("deficit"), "salt")
-    n = max(parts_for(docs), shards)
+    # a task packs several shards, one after the other
+    n = min(shards, max(parts_for(docs), -(-shards // 64)))
     ready = control.unionByName(body).repartition(n, "shard").sortWithinPartitions("shard", F.desc("control"), F.xxhash64("id", "salt"), "id")
     out = ready.select("shard", "control", "source", "id", "ids", "share", "deficit").mapInArrow(_pack(window, least_piece, tokens(tokenizer).width), OUT_DDL)
     out = narrow(out, n_rows, 5_000)
