@@ -35,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     small_batches(spark)
     verdict = cotrain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_key=True)
-    return narrow(_only(_keyed(docs), verdict.where("kept")).select(*COLUMNS), docs.count())
+    return narrow(_only(_keyed(docs), verdict.where("kept")).select(*COLUMNS), docs.count(), of=docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     small_batches(spark)
     groups = lsh_forest(docs, with_key=True)
     # rows with equal id and text are one document
-    return narrow(_only(_keyed(docs), groups.where("kept")).dropDuplicates(["row_key"]).select(*COLUMNS), docs.count())
+    return narrow(_only(_keyed(docs), groups.where("kept")).dropDuplicates(["row_key"]).select(*COLUMNS), docs.count(), of=docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     text = F.when(~F.col("none"), F.when(whole, F.col("kept").cast("string")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))))
     out = joined.withColumn("text", text).where(whole | (F.length(F.trim("text")) > 0))
     out = out.select("doc_id", "text", "lang", "source", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast("long").alias("n_chars"))
-    return narrow(out, docs.count())
+    return narrow(out, docs.count(), of=docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
     keyed = _keyed(docs)
     taken = mix_documents(keyed, id_col="row_key", flatten=0.9, rate=None, spare=0.01)
-    return narrow(_only(keyed, taken.where("selected")).select(*COLUMNS), docs.count())
+    return narrow(_only(keyed, taken.where("selected")).select(*COLUMNS), docs.count(), of=docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

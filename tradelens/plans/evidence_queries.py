@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..binding import daily_metrics, items, listings, orders, read
 from ..functions import display
 from ..operators import evidence as ev
-from ..operators import ingest as ing
 from ..operators import materialize as mat
 from ..operators import plan_rules as rules
+from ..shared import checkpoint_folder
 from ..sources import erp, workbook
+from ..streaming.tables import ControlTable, recover_leases
 from .base import Queries, local
 
 R = Queries()
@@ -289,7 +292,10 @@ def rm_pi_coverage_const(spark, d):
 @R.add("st_lease_recovery", "SELECT order_id AS run_id, CASE WHEN status = 'PROCESSING' AND sold_at < TIMESTAMP '2001-07-01' - INTERVAL 30 MINUTE THEN 'FAILED' WHEN status = 'PROCESSING' THEN 'RUNNING' ELSE 'COMPLETED' END AS status FROM o")
 def st_lease_recovery(spark, d):
     runs = orders(spark, d).select(F.col("order_id").alias("run_id"), F.when(F.col("status") == "PROCESSING", "RUNNING").otherwise("COMPLETED").alias("status"), F.col("sold_at").alias("heartbeat_at"))
-    return ing.recovered(runs, F.lit("2001-07-01").cast("timestamp")).select("run_id", "status")
+    table = ControlTable(spark, f"{checkpoint_folder(spark)}/runs-{uuid.uuid4()}")
+    table.replace(runs)
+    recover_leases(table, F.lit("2001-07-01").cast("timestamp"))
+    return table.read()[1].select("run_id", "status")
 
 
 QUERIES, ORACLES = R.queries, R.sql

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..binding import daily_metrics, items, orders
@@ -12,9 +13,12 @@ from ..operators import finance as fin
 from ..operators import ingest as ing
 from ..operators import matching as mt
 from ..operators import metrics as m
-from ..shared import checkpoint_folder
+from ..shared import checkpoint_folder, settle
 from ..sources import landing
-from ..streaming.orders import current_orders, landed_orders, sync_orders
+from ..sources.sinks import write_snapshots, write_upsert
+from ..streaming.orders import STATE_STORE, changed_states, current_orders, landed_orders, sync_orders
+from ..streaming.pages import LandedPages, land_pages
+from ..streaming.tables import KeyedTable
 from .base import Queries, local
 from .ingest_queries import _catalog, _payloads
 from .matching_queries import DIGEST, ERP_LABELS, FLAGS, VIEW, _views
@@ -94,7 +98,15 @@ OLD_NEW = f"{LONG}, old AS (SELECT * FROM (SELECT * FROM lg UNION ALL SELECT acc
 
 @R.add("snk_snapshot_upsert", f"{OLD_NEW} SELECT * FROM old ANTI JOIN (SELECT DISTINCT account_code, day FROM new) USING (account_code, day) UNION ALL SELECT * FROM new")
 def snk_snapshot_upsert(spark, d):
-    return _replaced(spark, d)[0]
+    """Written by partition, the second run twice, and read back."""
+    long, n = m.snapshot(daily_metrics(spark, d)), F.dayofmonth("day")
+    extra = long.where("name = 'visits'").withColumn("name", F.lit("dropped"))
+    path = f"{checkpoint_folder(spark)}/snapshots-{uuid.uuid4()}"
+    write_snapshots(long.unionByName(extra).where(n % 2 == 1), path, "run-1")
+    new = long.where(n % 3 == 0).withColumn("value", (F.col("value") + 1).cast("decimal(30,10)"))
+    for _ in range(2):
+        write_snapshots(new, path, "run-2")
+    return spark.read.schema(long.schema).parquet(path).select("account_code", "day", "name", "value")
 
 
 @R.add("snk_snapshot_actions", f"{OLD_NEW} SELECT n.account_code, n.day, CASE WHEN o.day IS NULL THEN 'CREATED' ELSE 'UPDATED' END AS action FROM (SELECT DISTINCT account_code, day FROM new) n LEFT JOIN (SELECT DISTINCT account_code, day FROM old) o USING (account_code, day)")
@@ -144,7 +156,11 @@ def snk_catalog_upsert(spark, d):
     rows = _shared(spark, d).select("listing_id", F.coalesce("variation_id", F.lit("-")).alias("variation_id"), "sku")
     old = rows.where(k % 5 != 0).withColumn("sku", F.lit("OLD")).withColumn("product_id", k % 7)
     new = rows.where(k % 5 < 3).withColumn("product_id", F.lit(None).cast("long"))
-    return ing.upsert(old, new, ["listing_id", "variation_id"], keep=("product_id",))
+    path = f"{checkpoint_folder(spark)}/catalog-{uuid.uuid4()}"
+    write_upsert(old, path, "run-1", ["listing_id", "variation_id"], buckets=8)
+    for _ in range(2):
+        write_upsert(new, path, "run-2", ["listing_id", "variation_id"], keep=("product_id",), buckets=8)
+    return spark.read.schema(old.schema).parquet(path).select(*old.columns)
 
 
 def _late(spark, d):
@@ -183,6 +199,49 @@ def st_incremental_sync(spark, d):
     return current_orders(spark, f"{folder}/table").select("order_id", "status", "gross_amount")
 
 
+@R.add("src_landed_pages", "SELECT strftime(sold_at, '%Y-%m') AS chunk, CAST(row_number() OVER (PARTITION BY strftime(sold_at, '%Y-%m') ORDER BY order_id) - 1 AS BIGINT) AS position, CAST(order_id AS VARCHAR) AS payload FROM o")
+def src_landed_pages(spark, d):
+    """Months of orders land as pages of 50; a page of the middle month lands last, and the stream waits for it."""
+    spark.dataSource.register(LandedPages)
+    folder = f"{checkpoint_folder(spark)}/pages-{uuid.uuid4()}"
+    rows = orders(spark, d).select(F.date_format("sold_at", "yyyy-MM").alias("chunk"), "order_id")
+    place = F.row_number().over(Window.partitionBy("chunk").orderBy("order_id")) - 1
+    rows = rows.withColumns({"place": place, "total": F.count("*").over(Window.partitionBy("chunk"))})
+    pages = rows.groupBy("chunk", "total", (F.floor(F.col("place") / 50) * 50).alias("page_offset")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "order_id"))), lambda r: r["order_id"].cast("string")).alias("results"))
+    pages = settle(pages.withColumn("page_limit", F.lit(50)))
+    late = (F.col("chunk") == "1998-06") & (F.col("page_offset") == 50)
+    for part in (pages.where(~late), pages.where(late)):
+        land_pages(part, f"{folder}/landed")
+        stream = spark.readStream.format("landed_pages").load(f"{folder}/landed")
+        stream.writeStream.format("parquet").option("path", f"{folder}/table").option("checkpointLocation", f"{folder}/marks").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("chunk string, position long, payload string").parquet(f"{folder}/table")
+
+
+@R.add("st_dedup_stream", "SELECT CAST(order_id AS VARCHAR) AS order_id, CASE WHEN order_id % 2 = 0 THEN status ELSE 'PENDING' END AS status FROM o")
+def st_dedup_stream(spark, d):
+    """All orders arrive PENDING, half of them again with their state; keyed state tells what changed, and the changes are kept."""
+    folder = f"{checkpoint_folder(spark)}/states-{uuid.uuid4()}"
+    o = orders(spark, d).select(F.col("order_id").cast("string").alias("order_id"), "status")
+    at = lambda x: F.lit(x).cast("timestamp").alias("arrived_at")
+    first, second = o.select("order_id", F.lit("PENDING").alias("status"), at("2026-01-01")), o.where("CAST(order_id AS BIGINT) % 2 = 0").select("*", at("2026-01-02"))
+
+    def keep(batch, number):
+        KeyedTable(batch.sparkSession, f"{folder}/table", ["order_id"], ["order_id"]).append(batch, number)
+
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    try:
+        for k, v in STATE_STORE.items():
+            spark.conf.set(k, v)
+        for rows in (first, second):
+            rows.write.mode("append").parquet(f"{folder}/landed")
+            stream = changed_states(spark.readStream.schema(first.schema).parquet(f"{folder}/landed"))
+            stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/marks").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return KeyedTable(spark, f"{folder}/table", ["order_id"], ["order_id"]).read()
+
+
 RUN = f"""{DIGEST}, st AS (SELECT sold_on, CASE WHEN day(sold_on) % 5 = 2 THEN 'stale' WHEN day(sold_on) % 5 > 2 THEN sha256 END AS daily_sha256 FROM dg WHERE day(sold_on) % 5 <> 0),
 dt AS (SELECT sold_on, CAST(sum(margin) AS DECIMAL(38,2)) AS margin, CAST(sum(total_products) AS DECIMAL(38,2)) AS products FROM fr GROUP BY 1),
 ac AS (SELECT dg.sold_on, dg.sha256, st.sold_on IS NOT NULL AS stored, st.daily_sha256, day(dg.sold_on) % 3 <> 0 AS answered, CASE WHEN dg.sold_on >= DATE '2001-07-25' THEN 'CURRENT_DAY_IGNORED' WHEN st.sold_on IS NULL THEN 'FULL_EXTERNAL_PROCESS' WHEN st.daily_sha256 IS NULL THEN 'BLOCKED_LEGACY' WHEN st.daily_sha256 = sha256 THEN 'SKIPPED' ELSE 'LOCAL_REFRESH' END AS action FROM dg LEFT JOIN st USING (sold_on))"""

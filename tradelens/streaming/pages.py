@@ -4,6 +4,7 @@ Pages lie as ``<folder>/<chunk>/<offset>.json``: an object with ``limit``, ``tot
 stream's offset is (chunk, next offset); chunks go in the order of their names. A page is read once it
 is whole, that is when it holds as many results as its limit and the total allow, and a chunk ends
 with the page that reaches the total. A partial or missing page holds the stream up where it is.
+A chunk must have landed in part before a later one ends: what comes before the offset is not read.
 """
 
 from __future__ import annotations
@@ -11,8 +12,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+#: Pages that a task reads.
+EACH = 32
+
 
 def _files(folder: str):
     """(file system, path) of a local path or an address."""
@@ -24,9 +29,11 @@ def _files(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-class Page(InputPartition):
-    def __init__(self, chunk: str, offset: int):
-        self.chunk, self.offset = chunk, offset
+class Pages(InputPartition):
+    """(chunk, offset) of the pages of one task."""
+
+    def __init__(self, pages: list[tuple[str, int]]):
+        self.pages = pages
 
 
 class PageReader(DataSourceStreamReader):
@@ -83,21 +90,22 @@ class PageReader(DataSourceStreamReader):
         return end
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        """Pages behind ``start`` up to ``end``: each is a task."""
+        """Pages behind ``start`` up to ``end``, ``EACH`` of them a task."""
         out, last = [], (end["chunk"], end["next_offset"])
         behind = start["chunk"] + "\0" if start["whole"] and start["chunk"] else start["chunk"]  # the next name after a chunk that ended
         for chunk, offset, after, _ in self._walk(behind, start["next_offset"]):
             if (chunk, after) > last:
                 break
-            out.append(Page(chunk, offset))
-        return out
+            out.append((chunk, offset))
+        return [Pages(out[i : i + EACH]) for i in range(0, len(out), EACH)]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Pages) -> Iterator[tuple]:
         files, root = _files(self.folder)
-        with files.open_input_stream(f"{root}/{partition.chunk}/{partition.offset}.json") as f:
-            page = json.loads(f.read())
-        for i, result in enumerate(page["results"]):
-            yield partition.chunk, partition.offset + i, result if isinstance(result, str) else json.dumps(result)
+        for chunk, offset in partition.pages:
+            with files.open_input_stream(f"{root}/{chunk}/{offset}.json") as f:
+                page = json.loads(f.read())
+            for i, result in enumerate(page["results"]):
+                yield chunk, offset + i, result if isinstance(result, str) else json.dumps(result)
 
     def commit(self, end: dict) -> None:
         """Nothing is kept outside the stream's own checkpoint."""
@@ -115,3 +123,20 @@ class LandedPages(DataSource):
 
     def streamReader(self, schema) -> PageReader:
         return PageReader(self.options["path"])
+
+
+def land_pages(pages: DataFrame, folder: str) -> None:
+    """Write pages (chunk, page_offset, page_limit, total, results) where the stream finds them, each in place by a rename."""
+
+    def write(batches):
+        files, root = _files(folder)
+        for batch in batches:
+            for p in batch.to_pylist():
+                files.create_dir(f"{root}/{p['chunk']}", recursive=True)
+                place = f"{root}/{p['chunk']}/{p['page_offset']}.json"
+                with files.open_output_stream(place + ".draft") as f:
+                    f.write(json.dumps({"limit": p["page_limit"], "total": p["total"], "results": p["results"]}).encode())
+                files.move(place + ".draft", place)
+        return iter(())
+
+    pages.select("chunk", "page_offset", "page_limit", "total", "results").mapInArrow(write, "done int").write.format("noop").mode("overwrite").save()
