@@ -32,14 +32,23 @@ def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    A null text is judged as an empty one, a null source or language as a value of its own. A text
+    of any length is read whole. A score that equals the threshold stays. Rows with equal id and
+    text share a verdict; no documents give none.
+    """
     small_batches(spark)
     verdict = cotrain(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), with_key=True)
     return narrow(_only(_keyed(docs), verdict.where("kept")).select(*COLUMNS), docs.count(), of=docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
+    """One document of each near-duplicate group stays: the one with the smallest id (no id is the least).
+
+    Of texts under the same smallest id, the one with the least hash of id and text stays. Null,
+    empty and blank texts are like nothing and all stay; rows with equal id and text are one.
+    """
     small_batches(spark)
     groups = lsh_forest(docs, with_key=True)
     # rows with equal id and text are one document
@@ -69,6 +78,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The heaviest cells are kept whole and all others are sampled down to them: no weight asks for
     copies, which would be lost here, but those of cells that hold at most 1 % of all tokens.
+    A null source or language is a value of its own. Documents without tokens, null texts among
+    them, change no share and stay. A document is drawn by a hash of its id and text, so equal rows
+    share their fate. Texts of any length count with all their tokens.
     """
     small_batches(spark)
     keyed = _keyed(docs)
@@ -77,7 +89,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
+    """Pieces of sequences of 1024 tokens.
+
+    A null text is one end token, a null source a source of its own; a text of any length is cut
+    where sequences end; repeated rows are packed as often as they come. No documents, no pieces.
+    """
     small_batches(spark)
     out = pack(docs, tokenizer_path())
     return out.select("doc_id", "source", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
