@@ -87,3 +87,11 @@ def test_declared_totals(spark):
     right = {"productCandidates": 1, "productsToCreate": 1, "productsToReuse": 0, "bothAccounts": 0, "ready": 1, "marketIdentities": 1, "erpIdentities": 1, "externalIdentities": 2, "listingItems": 1}
     assert rules.declared_faults(*frames, right).collect() == []
     assert [r.subject for r in rules.declared_faults(*frames, right | {"erpIdentities": 2}).collect()] == ["erpIdentities"]
+
+
+def test_an_unknown_classification_is_told_once_and_its_action_is_not_judged(spark):
+    """Neither way to act is wrong for a class that no rule names; a HIGH candidate may only be created."""
+    of = lambda **changes: {rule for rule, subject in faults(spark, [CANDIDATE | changes], [LINK]) if subject == "PC-HIGH-1"}
+    for action in (rules.REUSE, rules.CREATE):
+        assert of(classification="LOW", action=action, reuse_id=None) == of(classification="LOW", action=action, reuse_id="P1") == {"CLASSIFICATION"}
+    assert "PRODUCT_ACTION" in of(classification=rules.HIGH, action=rules.REUSE, reuse_id="P1")

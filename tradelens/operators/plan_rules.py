@@ -71,6 +71,7 @@ def candidate_rules() -> dict[str, Column]:
     single = (c("n_links") == 1) & erp_key
     gtin_key = c("gtin").rlike(GTIN_FORMAT) & (c("sku") == F.format_string(GTIN_SKU, c("gtin"))) & (c("group_key") == F.format_string(GTIN_GROUP, c("gtin")))
     one_product = (c("kinds") == 1) & (F.size("accounts") == 1) & (c("accounts")[0] == c("account")) & (F.size("erp_products") == 1) & (F.get("erp_products", F.lit(0))["account"] == c("account")) & (F.get("erp_products", F.lit(0))["erp_product_id"] == c("erp_product_id"))
+    acts = F.when(c("action") == CREATE, c("reuse_id").isNull()).otherwise((c("action") == REUSE) & c("reuse_id").isNotNull())
     audit = c("audit")
     audited = (
         (audit["matches"] == 1) & (audit["unlinked"] == 1) & (audit["paid_orders"] >= LEAST_ORDERS) & (audit["paid_units"] >= 1)
@@ -83,7 +84,7 @@ def candidate_rules() -> dict[str, Column]:
         "ACCOUNTS": (F.size(F.array_distinct("accounts")) == F.size("accounts")) & (c("strange_accounts") == 0),
         "EVIDENCE": _by_class(whole) & (c("strange_evidence") == 0),
         "CANONICAL_KEY": _by_class({HIGH: F.when(c("gtin").isNotNull(), gtin_key).otherwise(single), PROMOTED: single, CORRELATED: erp_key & one_product}),
-        "PRODUCT_ACTION": F.when(later, F.when(c("action") == CREATE, c("reuse_id").isNull()).otherwise((c("action") == REUSE) & c("reuse_id").isNotNull())).otherwise(c("action") == CREATE),
+        "PRODUCT_ACTION": _by_class({HIGH: c("action") == CREATE, PROMOTED: acts, CORRELATED: acts}),
         "AUDIT": _by_class({PROMOTED: audited}),
         "REUSE_IDENTITIES": F.when(later, (c("action") == CREATE) == (c("already_correct") == 0)).otherwise(True),
     }
