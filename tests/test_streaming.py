@@ -221,3 +221,28 @@ def test_keyed_state_equals_the_batch_query_and_is_forgotten(spark, tmp_path):
     finally:
         for k in STATE_STORE:
             spark.conf.unset(k)
+
+
+def test_keyed_state_is_one_value_a_bucket_and_tells_every_change(spark, tmp_path):
+    """Fifty orders in two buckets; a state that comes back is told again, a repeated one is not, nulls are values."""
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        ddl, told, sizes = "order_id string, status string, total decimal(14,2), arrived_at timestamp", [], []
+        for number, (status, total) in enumerate([("A", None), ("A", None), ("B", None), ("A", 5), ("A", None)]):
+            at = START + datetime.timedelta(minutes=number)
+            rows = [(str(i), "old", None, at) for i in range(50)] + [(str(i), status if i else "A", total, at + datetime.timedelta(microseconds=1)) for i in range(50)]
+            spark.createDataFrame(rows, ddl.replace("decimal(14,2)", "int")).withColumn("total", F.col("total").cast("decimal(14,2)")).write.mode("append").parquet(str(tmp_path / "land"))
+            out = changed_states(spark.readStream.schema(ddl).parquet(str(tmp_path / "land")), "status string, total decimal(14,2)", buckets=2)
+            now = []
+            query = out.writeStream.outputMode("update").foreachBatch(lambda batch, _, now=now: now.extend(batch.collect())).option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).start()
+            query.awaitTermination()
+            told.append({r.order_id: (r.status, r.total) for r in now})
+            sizes.append(max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]))
+        ids = {str(i) for i in range(50)}
+        assert [set(x) for x in told] == [ids, set(), ids - {"0"}, ids, ids]
+        assert told[2]["1"] == ("B", None) and told[3]["1"] == ("A", 5) and told[4]["0"] == ("A", None)
+        assert max(sizes) <= 6
+    finally:
+        for k in STATE_STORE:
+            spark.conf.unset(k)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -46,47 +48,80 @@ def current_orders(spark: SparkSession, table: str) -> DataFrame:
     return KeyedTable(spark, table, ["order_id"], ["arrived_at"]).read()
 
 
-class LastState(StatefulProcessor):
-    """Keeps the last processed row of an order and gives it on where it says something new; forgets it some time after its arrival."""
+class LastStates(StatefulProcessor):
+    """Keeps the last processed row of every order of a bucket and gives on the rows that say something new; forgets an order some time after its arrival.
 
-    def __init__(self, schema: StructType, forget: datetime.timedelta):
-        self.schema, self.forget = schema, forget
+    Orders are kept as one Arrow table a bucket (order_id, said, until), so a bucket is read and
+    written once a batch, however many of its orders arrive.
+    """
+
+    def __init__(self, forget: datetime.timedelta):
+        self.forget = int(forget.total_seconds() * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", self.schema)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        rows = list(rows)
-        new = max(rows, key=lambda r: r["arrived_at"])
-        values = tuple(new[f] for f in self.schema.fieldNames())
-        told = not self.last.exists() or tuple(self.last.get()) != values
-        self.last.update(values)
+        self.last = handle.getValueState("last", "orders binary")
+
+    def _stored(self) -> dict[str, tuple[str, int]]:
+        kept = self.last.get()
+        if kept is None:
+            return {}
+        order_id, said, until = (c.to_pylist() for c in pa.ipc.open_stream(kept[0]).read_all().columns)
+        return dict(zip(order_id, zip(said, until)))
+
+    def _store(self, orders: dict[str, tuple[str, int]]) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        seen = max(int(new["arrived_at"].timestamp() * 1000), timerValues.getCurrentWatermarkInMs())
-        self.handle.registerTimer(seen + int(self.forget.total_seconds() * 1000))
-        if told:
-            yield Row(order_id=key[0], **{f: new[f] for f in self.schema.fieldNames()})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.last.clear()
+        if not orders:
+            self.last.clear()
+            return
+        said, until = zip(*orders.values())
+        table = pa.table([pa.array(orders, pa.string()), pa.array(said, pa.string()), pa.array(until, pa.int64())], names=["order_id", "said", "until"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.last.update((sink.getvalue().to_pybytes(),))
+        self.handle.registerTimer(min(until))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = {}
+        for part in rows:  # what is held is bounded by the bucket's orders, not by their arrivals
+            for order, said, at in zip(part["order_id"].tolist(), part["said"].tolist(), part["arrived_us"].tolist()):
+                if order not in new or new[order][1] < at:
+                    new[order] = said, at
+        now, old = timerValues.getCurrentWatermarkInMs(), self._stored()
+        told = [(order, said) for order, (said, _) in new.items() if order not in old or old[order][0] != said]
+        kept = {order: x for order, x in old.items() if x[1] > now}
+        self._store(kept | {order: (said, max(at // 1000, now) + self.forget) for order, (said, at) in new.items()})
+        yield pd.DataFrame(told, columns=["order_id", "said"], dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        self._store({order: x for order, x in self._stored().items() if x[1] > now})
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def changed_states(orders: DataFrame, columns: str = "status string", forget: datetime.timedelta = datetime.timedelta(days=90), late: str = "0 seconds") -> DataFrame:
+#: Instants keep their microseconds in what is stored of an order.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def changed_states(orders: DataFrame, columns: str = "status string", forget: datetime.timedelta = datetime.timedelta(days=90), late: str = "0 seconds", buckets: int = 2048) -> DataFrame:
     """A stream of orders (order_id, ``columns``, arrived_at) as a stream of new states: the last processed row wins.
 
     The state of an order is dropped ``forget`` after its last arrival (or after the watermark it met), which
-    is as far as replays go back; so what is kept is bounded by the orders of that time. It needs
-    the RocksDB state store.
+    is as far as replays go back; so what is kept is bounded by the orders of that time. Orders are
+    dealt to ``buckets`` by their id, and a batch reads and writes the buckets that it touches as a
+    whole: a call of Python for each bucket, not for each order. It needs the RocksDB state store.
     """
     schema = StructType.fromDDL(columns)
-    rows = orders.withWatermark("arrived_at", late).select("order_id", "arrived_at", *schema.fieldNames())
-    return rows.groupBy("order_id").transformWithState(LastState(schema, forget), f"order_id string, {columns}", "Update", "EventTime")
+    rows = orders.withWatermark("arrived_at", late).select(
+        "order_id", F.to_json(F.struct(*schema.fieldNames()), _JSON).alias("said"), F.unix_micros("arrived_at").alias("arrived_us"), "arrived_at", F.pmod(F.xxhash64("order_id"), F.lit(buckets)).alias("bucket"),
+    )
+    told = rows.groupBy("bucket").transformWithStateInPandas(LastStates(forget), "order_id string, said string", "Update", "EventTime")
+    return told.select("order_id", F.from_json("said", schema, _JSON).alias("said")).select("order_id", "said.*")
 
 
 #: What a session needs for ``changed_states``.
