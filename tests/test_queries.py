@@ -143,3 +143,20 @@ def test_the_window_reaches_the_lines_before_they_are_added_up(spark, small):
     lines = plan.splitlines()
     depth = {name: min(len(x) - len(x.lstrip(" :+-")) for x in lines if name in x) for name in ("Aggregate [order_id", "o_orderdate")}
     assert depth["o_orderdate"] > depth["Aggregate [order_id"]
+
+
+def test_sales_meet_the_history_of_their_account_without_being_dealt_by_account(spark):
+    """No hint of size: without a broadcast of the bounds, all sales of an account met in one task."""
+    from tradelens.operators import stale
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([("C1", 1, 1), ("C1", 2, 2), ("C2", 3, 9), (None, 4, 3)], "account_code string, order_id long, day int").select("account_code", "order_id", F.timestamp_seconds(F.col("day") * 86400).alias("sold_at"))
+        bounds = stale.history_coverage(rows.where("order_id <> 2"))
+        found = stale.within_history(rows, bounds)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(r.order_id for r in found.collect()) == [1, 3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -20,8 +20,11 @@ def watermark(coverage: DataFrame, accounts: int) -> DataFrame:
 
 
 def within_history(sales: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Sales inside their account's bounds; the coverage has one row per account."""
-    bounds = coverage.withColumnRenamed("account_code", "covered")
+    """Sales inside their account's bounds; the coverage has one row per account.
+
+    It is broadcast: dealt by account, all sales would meet in as many tasks as there are accounts.
+    """
+    bounds = F.broadcast(coverage.withColumnRenamed("account_code", "covered"))
     inside = (F.col("account_code") == F.col("covered")) & F.col("sold_at").between(F.col("history_from"), F.col("history_through"))
     return sales.join(bounds, inside).drop("covered")
 
