@@ -74,7 +74,7 @@ def join_range_history(spark, d):
 def join_lateral_candidates(spark, d):
     cov = stale.history_coverage(orders(spark, d))
     rows = stale.within_history(sales(spark, d), cov).groupBy("account_code", "listing_id").agg(F.min("sold_at").alias("first_order"), F.count("*").alias("items"))
-    return ntz(cov.select("account_code").join(rows, "account_code", "left"))
+    return ntz(rows.join(F.broadcast(cov.select("account_code")), "account_code", "right"))
 
 
 @R.add("src_raw_sql", f"SELECT listing_id, count(DISTINCT order_id) AS orders FROM s WHERE status IN ({DONE}) GROUP BY 1")
