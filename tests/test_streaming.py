@@ -246,3 +246,12 @@ def test_keyed_state_is_one_value_a_bucket_and_tells_every_change(spark, tmp_pat
     finally:
         for k in STATE_STORE:
             spark.conf.unset(k)
+
+
+def test_only_the_columns_asked_for_are_shuffled_where_runs_are_merged(spark, tmp_path):
+    table = keyed(spark, tmp_path)
+    for number in range(2):
+        table.append(spark.createDataFrame([(1, number, "x" * 50, 0), (2 + number, number, "y", 0)], "k int, v int, wide string, at int"), number)
+    few = table.read(["k", "v"])
+    assert few.columns == ["k", "v"] and sorted((r.k, r.v) for r in few.collect()) == [(1, 1), (2, 0), (3, 1)]
+    assert "wide" not in few._jdf.queryExecution().executedPlan().toString()

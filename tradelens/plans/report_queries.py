@@ -190,13 +190,16 @@ def st_weekly(spark, d):
 def st_incremental_sync(spark, d):
     """Payloads land as files, the even orders a second time and cancelled; the stream puts each over the stored orders."""
     folder = f"{checkpoint_folder(spark)}/orders-{uuid.uuid4()}"
-    payloads = _payloads(spark, d)
     at = lambda x: F.lit(x).cast("timestamp").alias("arrived_at")
-    later = F.regexp_replace("payload", '"status":"[a-z_]*"', '"status":"cancelled"').alias("payload")
-    for rows in (payloads.select("payload", at("2001-08-01 00:00:00")), payloads.where("order_id % 2 = 0").select(later, at("2001-08-01 00:10:00"))):
-        rows.write.mode("append").json(f"{folder}/landed")
+
+    def land(rows):
+        rows.write.mode("append").option("compression", "gzip").json(f"{folder}/landed")
         sync_orders(landed_orders(spark, f"{folder}/landed"), f"{folder}/table", f"{folder}/marks").awaitTermination()
-    return current_orders(spark, f"{folder}/table").select("order_id", "status", "gross_amount")
+
+    land(_payloads(spark, d).select("payload", at("2001-08-01 00:00:00")))
+    landed = spark.read.schema("payload string").json(f"{folder}/landed").where(F.get_json_object("payload", "$.id").cast("long") % 2 == 0)
+    land(landed.select(F.regexp_replace("payload", '"status":"[a-z_]*"', '"status":"cancelled"').alias("payload"), at("2001-08-01 00:10:00")))
+    return current_orders(spark, f"{folder}/table", ["order_id", "status", "gross_amount"])
 
 
 @R.add("src_landed_pages", "SELECT strftime(sold_at, '%Y-%m') AS chunk, CAST(row_number() OVER (PARTITION BY strftime(sold_at, '%Y-%m') ORDER BY order_id) - 1 AS BIGINT) AS position, CAST(order_id AS VARCHAR) AS payload FROM o")

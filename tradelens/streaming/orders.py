@@ -43,9 +43,9 @@ def sync_orders(orders: DataFrame, table: str, checkpoint: str, every: str | Non
     return orders.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def current_orders(spark: SparkSession, table: str) -> DataFrame:
-    """The state of every order: the batch processed last wins, whatever the order's own times say."""
-    return KeyedTable(spark, table, ["order_id"], ["arrived_at"]).read()
+def current_orders(spark: SparkSession, table: str, columns: list[str] | None = None) -> DataFrame:
+    """The state of every order (``columns`` of it): the batch processed last wins, whatever the order's own times say."""
+    return KeyedTable(spark, table, ["order_id"], ["arrived_at"]).read(columns)
 
 
 class LastStates(StatefulProcessor):

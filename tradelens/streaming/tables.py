@@ -101,17 +101,23 @@ class KeyedTable:
             if self.versions.put(version + 1, {"runs": runs}):
                 return
 
-    def _rows(self, runs: list[dict]) -> DataFrame:
+    def _rows(self, runs: list[dict], columns: list[str] | None = None) -> DataFrame:
         data = f"{self.path}/data"
         rows = self.spark.read.option("basePath", data).parquet(*(f"{data}/run={r['name']}" for r in runs)).drop("run", "bucket")
+        if columns is not None:
+            rows = rows.select(*dict.fromkeys([*self.keys, *self.order, *columns, "_batch"]))
         return rows if len(runs) == 1 else latest(rows, self.keys, ["_batch", *self.order])
 
-    def read(self) -> DataFrame:
-        """The table's rows; a compacted table is read as it lies."""
+    def read(self, columns: list[str] | None = None) -> DataFrame:
+        """The table's rows; a compacted table is read as it lies.
+
+        With ``columns`` only these: the others are not shuffled either, as whole rows are where runs are merged.
+        """
         runs = self.runs()
         if not runs:
             raise ValueError(f"{self.path} has no batch yet")
-        return self._rows(runs).drop("_batch")
+        rows = self._rows(runs, columns)
+        return rows.drop("_batch") if columns is None else rows.select(*columns)
 
     def compact(self) -> bool:
         """Merge all runs; False where there is nothing to merge or another writer merged them first."""
