@@ -64,3 +64,12 @@ def test_a_pack_of_many_orders_named_by_many_makes_no_pairs(spark):
     out = mt.three_way(records, erp, market)
     assert most_rows(out) <= 4 * (2 * n + 3)
     assert {r.order_reference: r.status for r in out.collect()} == {"pack": "AMBIGUOUS", "o7": "AMBIGUOUS", "alone": "MATCHED_EXACT", "nothing": "UNMATCHED"}
+
+
+def test_lines_are_aligned_in_as_many_tasks_as_are_set(spark):
+    """Small partitions are not merged: the sorts of a task all hold its rows."""
+    rows = spark.range(400).selectExpr("id as erp_id", "concat('m', id) as order_id", "1 as line", "'A' as sku", "5 as unit_price", "1 as quantity")
+    lines = ("line", "sku", "unit_price", "quantity")
+    out = mt.aligned_lines(rows.select("erp_id", "order_id"), rows.select("erp_id", *lines), rows.select("order_id", *lines))
+    parts = {r.p for r in out.select(F.spark_partition_id().alias("p")).distinct().collect()}
+    assert out.count() == 400 and len(parts) >= int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -93,11 +93,13 @@ def aligned_lines(matches: DataFrame, erp_lines: DataFrame, market_lines: DataFr
     a key have no partner there. Other columns of the lines are in the structs.
     """
     keys = ["line", "sku", "unit_price", "quantity"]
+    # a number keeps partitions from being merged to 64 MB: every sort of a task below holds its rows
+    parts = 2 * int(matches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def side(lines, name, key):
         more = [c for c in lines.columns if c not in (key, *keys)]
         number = F.row_number().over(Window.partitionBy("erp_id").orderBy(*keys, *more)).alias("line")
-        rows = matches.select("erp_id", key).join(lines, key).repartition("erp_id").select("erp_id", F.lit(name).alias("side"), number, *keys[1:], *more)
+        rows = matches.select("erp_id", key).join(lines, key).repartition(parts, "erp_id").select("erp_id", F.lit(name).alias("side"), number, *keys[1:], *more)
         return rows.select("erp_id", "side", *keys, F.struct(*keys, *more).alias(name))
 
     rows = side(erp_lines, "erp_line", "erp_id").unionByName(side(market_lines, "market_line", "order_id"), allowMissingColumns=True)
