@@ -145,3 +145,25 @@ def test_kept_tokens_meet_the_target_shares(spark, small):
     want = {s: n**0.9 / sum(m**0.9 for m in sizes.values()) for s, n in sizes.items()}
     for s in sizes:
         assert abs(tokens[s] / sum(tokens.values()) - want[s]) < 0.05 * want[s], s
+
+
+def test_raking_few_cells_shuffles_nothing(spark, monkeypatch):
+    """Every shuffle of a step is a stage that the driver plans anew."""
+    from tradelens.llm import mixing
+
+    plans, settle = [], mixing.settle
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df)
+
+    monkeypatch.setattr(mixing, "settle", noted)
+    cells = spark.createDataFrame([(a, b, 10 + 7 * i + 3 * j * j) for i, a in enumerate("pqrs") for j, b in enumerate(["x", "y", None])], "source string, lang string, tokens long").repartition(4)
+    weights = mixing.rake(cells, ["source", "lang"], {}).collect()
+    steps = [x for x in plans if "Window" in x]
+    assert steps and not any("Exchange hashpartitioning" in x for x in steps)
+    for k, names in (("source", "pqrs"), ("lang", ["x", "y", None])):
+        sums = [sum(r.tokens for r in weights if r[k] == name) ** 0.7 for name in names]
+        total = sum(r.tokens * r.weight for r in weights)
+        for name, want in zip(names, sums, strict=True):
+            assert abs(sum(r.tokens * r.weight for r in weights if r[k] == name) / total - want / sum(sums)) < 1e-4

@@ -64,12 +64,14 @@ def rake(cells: DataFrame, margins: list[str], targets: dict[str, dict | None],
     Each round scales all margins once; ``steps`` rounds make one job. Ends when no margin is off by more than ``tolerance`` of
     all tokens; stops with a warning after ``most_rounds`` for targets that no weights can meet together.
     """
+    n = cells.count()
+    # few cells are one partition, and Spark knows it: no sum over a margin moves them
+    cells = narrow(cells, n)
     state = cells.where("tokens > 0").withColumn("weight", F.lit(1.0))
     for m in margins:  # values without a target weigh nothing
         wanted = _targets(cells, m, targets.get(m), flatten).select(F.col("value").alias(m + "_value"), F.col("target").alias(m + "_target"))
         state = state.join(wanted, F.col(m).eqNullSafe(F.col(m + "_value"))).drop(m + "_value")
-    n = cells.count()
-    state = settle(narrow(state, n))
+    state = narrow(settle(narrow(state, n)), n)
     total = state.agg(F.sum("tokens")).first()[0] or 0
     for done in range(0, most_rounds, steps):
         for _ in range(steps):
@@ -80,7 +82,7 @@ def rake(cells: DataFrame, margins: list[str], targets: dict[str, dict | None],
                 gap = F.greatest(gap, F.abs(F.col("now") / total - F.col(m + "_target")))
                 state = state.withColumn("gap", gap).withColumn("weight", F.col("weight") * F.col(m + "_target") * total / F.col("now"))
                 gap = F.col("gap")
-        state = settle(narrow(state, n))
+        state = narrow(settle(narrow(state, n)), n)
         gap = state.agg(F.max("gap")).first()[0] or 0.0
         if gap <= tolerance:
             break
