@@ -264,3 +264,24 @@ def test_a_small_memory_of_pieces_changes_no_ids(most):
             raw = [t.encode() for t in texts]
             ids, at = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])))
             assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("weak", ["first", "first of later texts"])
+def test_pieces_of_one_hash_keep_their_own_ids(monkeypatch, weak):
+    from tokenizers import Tokenizer
+
+    from tradelens.llm import pretokens
+    from tradelens.llm.simple8b import LibraryTokens
+
+    def colliding(data, start, stop):
+        key, other = piece_hashes(data, start, stop)
+        return (key * np.uint64(0) if weak == "first" else key % np.uint64(3)), other
+
+    piece_hashes = pretokens.piece_hashes
+    monkeypatch.setattr(pretokens, "piece_hashes", colliding)
+    whole = Tokenizer.from_file(tokenizer_path())
+    for coder in (pretokens.Tokens(tokenizer_path()), LibraryTokens(tokenizer_path())):
+        for text in ("!", "?", " words", "! !\0 !\0\0 ! words", "one, two, three, one"):  # texts of one piece meet those before them
+            raw = text.encode()
+            ids, _ = coder.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids

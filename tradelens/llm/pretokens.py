@@ -1,7 +1,7 @@
 """Byte-level BPE ids of whole slices of text.
 
 The split pattern of the vocabulary is applied to all characters of a slice at once; each
-distinct piece is encoded once and its ids are kept by its bytes. The ids are those of the
+distinct piece is encoded once and its ids are kept by two 64-bit hashes of it. The ids are those of the
 ``tokenizers`` library on the same file; as there, strings of added tokens are cut out of a text
 first and have their own ids.
 """
@@ -12,7 +12,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 
@@ -76,7 +76,7 @@ def _byte_alphabet() -> dict[str, int]:
 class Tokens:
     """Ids of byte-level BPE pieces, from the JSON file of the ``tokenizers`` library."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -115,33 +115,67 @@ class Tokens:
         return tuple(np.array(found, np.int64).reshape(-1, 2).T)
 
     def _clear(self) -> None:
-        self._known: dict[bytes, int] = {}
-        self._ids, self._used = np.empty(0, np.uint32), 0
+        # hashes in ascending order and the slot of each; slots are in the order in which pieces came
+        self._keys, self._slot = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self._other, self._again = np.empty(0, np.uint64), np.empty(0, bool)
         self._at, self._size = np.empty(0, np.int64), np.empty(0, np.int64)
-        self._again = np.empty(0, bool)
+        self._ids = np.empty(0, np.uint32)
 
     def _trim(self) -> None:
         """Keep the pieces that were met again since they came; all go where that leaves too many."""
         keep = np.flatnonzero(self._again)
         if len(keep) > self.most // 2:
             return self._clear()
-        names, size = list(self._known), self._size[keep]
+        size = self._size[keep]
         ends = np.cumsum(size)
         self._ids = self._ids[np.repeat(self._at[keep] - (ends - size), size) + np.arange(int(size.sum()))]
-        self._known = {names[i]: j for j, i in enumerate(keep.tolist())}
-        self._at, self._size, self._used = ends - size, size, len(self._ids)
+        stay = self._again[self._slot]
+        slots = np.cumsum(self._again, dtype=np.int32) - np.int32(1)
+        self._keys, self._slot = self._keys[stay], slots[self._slot[stay]]
+        self._at, self._size, self._other = ends - size, size, self._other[keep]
         self._again = np.zeros(len(keep), bool)
 
-    def _add(self, pieces: list[bytes]) -> None:
-        """Encode new pieces."""
+    def _find(self, keys: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Slots of pieces by both hashes, -1 for those not met yet."""
+        if not len(self._keys):
+            return np.full(len(keys), -1, np.int64)
+        place = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
+        slot = np.where(self._keys[place] == keys, self._slot[place], -1).astype(np.int64)
+        if (self._other[slot] != other)[slot >= 0].any():  # another piece with the same first hash
+            self._clear()
+            slot[:] = -1
+        return slot
+
+    def _add(self, pieces: list[bytes], keys: np.ndarray, other: np.ndarray) -> None:
+        """Encode new pieces, which come in ascending order of their hashes."""
         ids, at, sizes = self._pieces(pieces)
-        first, n = len(self._known), len(pieces)
-        self._known.update(zip(pieces, range(first, first + n), strict=True))
-        self._at = np.concatenate([self._at, self._used + at])
+        have, n = len(self._keys), len(pieces)
+        own = np.searchsorted(self._keys, keys) + np.arange(n)
+        old = np.ones(have + n, bool)
+        old[own] = False
+        for name, new in (("_keys", keys), ("_slot", np.arange(have, have + n, dtype=np.int32))):
+            merged = np.empty(have + n, new.dtype)
+            merged[own], merged[old] = new, getattr(self, name)
+            setattr(self, name, merged)
+        self._at = np.concatenate([self._at, len(self._ids) + at])
         self._size = np.concatenate([self._size, sizes])
+        self._other = np.concatenate([self._other, other])
         self._ids = np.concatenate([self._ids, ids])
         self._again = np.concatenate([self._again, np.zeros(n, bool)])
-        self._used = len(self._ids)
+
+    def _known(self, raw: bytes, begin: np.ndarray, stop: np.ndarray, keys: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Slots of distinct pieces, which come in ascending order of their hashes; new ones are encoded."""
+        slot = self._find(keys, other)
+        new = np.flatnonzero(slot < 0)
+        self._again[slot[slot >= 0]] = True
+        if len(new) and len(self._keys) + len(new) > self.most:
+            self._trim()
+            slot = self._find(keys, other)
+            new = np.flatnonzero(slot < 0)
+        if len(new):
+            slot[new] = np.arange(len(self._keys), len(self._keys) + len(new))
+            self._add([raw[a:b] for a, b in zip(begin[new].tolist(), stop[new].tolist(), strict=True)], keys[new], other[new])
+        return slot
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, offsets by document) of UTF-8 bytes."""
@@ -163,25 +197,21 @@ class Tokens:
             begin = begin[(inside < 0) | (begin >= uncut[np.maximum(inside, 0)])]
         stop = np.append(begin[1:], len(data))
         key, other = piece_hashes(data, begin, stop)
-        keys, one, inverse = np.unique(key, return_index=True, return_inverse=True)
-        if (other != other[one][inverse]).any():  # two pieces of one hash
-            keys, one, inverse = np.unique([raw[a:b] for a, b in zip(begin, stop, strict=True)], return_index=True, return_inverse=True)
-        own = [raw[a:b] for a, b in zip(begin[one].tolist(), stop[one].tolist(), strict=True)]
-        where = np.fromiter(map(self._known.get, own, repeat(-1)), np.int64, len(own))
-        new = np.flatnonzero(where < 0)
-        self._again[where[where >= 0]] = True
-        if len(self._known) + len(new) > self.most:
-            self._trim()
-            where = np.fromiter(map(self._known.get, own, repeat(-1)), np.int64, len(own))
-            new = np.flatnonzero(where < 0)
-        if len(new):
-            first = len(self._known)
-            self._add([own[j] for j in new.tolist()])
-            where[new] = np.arange(first, first + len(new))
-        where = where[inverse]
-        size = self._size[where]
+        order = np.argsort(key)
+        keys = key[order]
+        head = np.append(True, keys[1:] != keys[:-1])
+        one, inverse = order[head], np.empty(len(key), np.int64)
+        inverse[order] = np.cumsum(head) - 1
+        if (other != other[one][inverse]).any():  # two pieces of one hash: told apart by their bytes
+            names: dict[bytes, int] = {}
+            inverse = np.array([names.setdefault(raw[a:b], len(names)) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)], np.int64)
+            store, at, size = self._pieces(list(names))
+            at, size = at[inverse], size[inverse]
+        else:
+            where = self._known(raw, begin[one], stop[one], keys[head], other[one])[inverse]
+            store, at, size = self._ids, self._at[where], self._size[where]
         ends = np.cumsum(size)
-        ids = self._ids[np.repeat(self._at[where] - (ends - size), size) + np.arange(int(ends[-1]))]
+        ids = store[np.repeat(at - (ends - size), size) + np.arange(int(ends[-1]))]
         per = np.searchsorted(begin, offsets)
         return ids, np.append(0, ends)[per]
 

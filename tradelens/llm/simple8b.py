@@ -43,6 +43,7 @@ SELECTORS = [(240, 0), (120, 0), *((60 // bits, bits) for bits in (1, 2, 3, 4, 5
 _COUNTS, _BITS = (np.array(x, np.int64) for x in zip(*SELECTORS, strict=True))
 _GAPS = b" \t\n\v\f\r"
 _REACH = max(n for n, _ in SELECTORS)
+_TOGETHER = 32
 _MAGIC = b"S8B1"
 _U = np.uint64
 
@@ -82,37 +83,43 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray,
     whole = n // block
     grid[:whole, :block] = ids[: whole * block].reshape(whole, block)
     grid[whole:, : n - whole * block] = ids[whole * block :]
-    best = _choices(grid)
-    # the words of all blocks are found side by side, one word of each at a time
-    stops = np.minimum(n - np.arange(n_blocks) * block, block)
-    jumps, where, live = _COUNTS[best], np.zeros(n_blocks, np.int64), np.arange(n_blocks)
-    begins = np.zeros((n_blocks, block), bool)
-    while len(live):
-        at = where[live]
-        begins[live, at] = True
-        at += jumps[live, at]
-        where[live] = at
-        live = live[at < stops[live]]
-    row, column = np.nonzero(begins)
-    selector = best[row, column]
+    # some blocks at a time, so that what is compared stays in a processor's cache
+    best = np.concatenate([_choices(grid[i : i + _TOGETHER]) for i in range(0, n_blocks, _TOGETHER)])
+    # the words of all blocks are found side by side, one word of each at a time; places are those of all blocks in a row
+    at = np.arange(n_blocks) * block
+    stops = np.minimum(at + block, n)
+    flat, begins = best.ravel(), np.zeros(n_blocks * block, bool)
+    while len(at):
+        begins[at] = True
+        at = at + _COUNTS[flat[at]]
+        live = at < stops
+        if not live.all():
+            at, stops = at[live], stops[live]
+    begin = np.flatnonzero(begins)
+    selector = flat[begin]
     words = selector.astype(_U) << _U(60)
-    escaped = np.zeros(grid.shape, bool)
+    row = begin // block
+    place = begin + row * _REACH  # in the grid
+    fill, escaped = grid.ravel(), np.zeros(grid.size, bool)
     for s in np.unique(selector).tolist():
         count, bits = SELECTORS[s]
         if not bits:
             continue
         own = np.flatnonzero(selector == s)
         most = (1 << bits) - 1
-        columns = column[own, None] + np.arange(count)
-        fields = grid[row[own, None], columns].astype(_U)
+        places = place[own, None] + np.arange(count)
+        fields = fill[places].astype(_U)
         over = fields >= _U(most)
         if over.any():
-            escaped[row[own, None], columns] |= over
+            escaped[places[over]] = True
             fields[over] = most
-        words[own] |= np.bitwise_or.reduce(fields << (np.arange(count) * bits).astype(_U), axis=1)
+        packed = words[own]
+        for k in range(count):
+            packed |= fields[:, k] << _U(bits * k)
+        words[own] = packed
     first_word = np.searchsorted(row, np.arange(n_blocks))
-    row, column = np.nonzero(escaped)
-    return words, first_word, ids[row * block + column], np.searchsorted(row, np.arange(n_blocks))
+    place = np.flatnonzero(escaped)
+    return words, first_word, fill[place], np.searchsorted(place // (block + _REACH), np.arange(n_blocks))
 
 
 def decode(words: np.ndarray, first_word: np.ndarray, escapes: np.ndarray, first_escape: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
